@@ -2,6 +2,81 @@
 
 from __future__ import annotations
 
+#: Space characters of the contracts, as DuckDB writes them in a pattern and as a string.
+SPACE = r"[\x20\x09-\x0D]"
+SPACES = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+OP5 = f"""
+WITH u AS (
+  SELECT page_id, url, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+), h AS (
+  SELECT page_id, url, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM u
+), p AS (
+  SELECT page_id, url, coalesce(translate(raw, {AZ}), '') AS host,
+         coalesce(regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*'), '') AS path FROM h
+), r(act, rhost, rpath) AS (
+  VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('block', 'net', '/de/'),
+         ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')
+), fit AS (
+  SELECT p.*, (SELECT max_by(rhost || rpath || ' ' || act, length(rhost || rpath)) FROM r
+    WHERE (p.host = rhost OR ends_with(p.host, '.' || rhost)) AND starts_with(p.path, rpath)) AS best,
+    translate(url, {AZ}) AS low FROM p
+), m AS (
+  SELECT *, regexp_matches(low, '^[a-z][a-z0-9+.-]*://(?:[^/?#]*[.])?example\\.org/fr/.*\\.html(?:[^a-z0-9_.%-]|$)') AS ok,
+    regexp_matches(low, '^[a-z][a-z0-9+.-]*://(?:[^/?#]*[.])?(?:ads-track|casino-win|cheap-pills|free-bets|spam-farm)\\..*(?:[^a-z0-9_.%-]|$)')
+    OR regexp_matches(low, '(?:[^a-z0-9_.%-]|$)affiliate_id=.*(?:[^a-z0-9_.%-]|$)')
+    OR regexp_matches(low, '/wp-login\\.php(?:[^a-z0-9_.%-]|$)') AS bad FROM fit
+)
+SELECT page_id, host, path, split_part(best, ' ', 1) AS rule,
+       coalesce(split_part(best, ' ', 2), CASE WHEN ok THEN 'allow' WHEN bad THEN 'block' ELSE 'allow' END) AS verdict FROM m
+""".replace("\\\\", "\\")
+
+OP7 = rf"""
+WITH t AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS x FROM documents),
+w AS (SELECT k, doc_id, x, list_filter(regexp_split_to_array(x, '{SPACE}+'), lambda s: s <> '') AS ws,
+             length(regexp_replace(x, '{SPACE}', '', 'g')) AS word_chars FROM t),
+win AS (SELECT k, unnest(range(1, len(ws) - 1)) AS i, ws FROM w),
+tri AS (SELECT k, i, count(*) OVER (PARTITION BY k, ws[i], ws[i + 1], ws[i + 2]) AS n FROM win),
+rep AS (SELECT k, count(DISTINCT j) AS n_repeat_words FROM (SELECT k, unnest([i, i + 1, i + 2]) AS j FROM tri WHERE n > 1) GROUP BY k),
+ln AS (SELECT k, unnest(string_split(x, chr(10))) AS l, unnest(range(len(string_split(x, chr(10))))) AS pos FROM t),
+lw AS (SELECT *, list_filter(regexp_split_to_array(l, '{SPACE}+'), lambda s: s <> '') AS ws,
+              length(regexp_replace(l, '{SPACE}', '', 'g')) AS chars,
+              right(rtrim(l, {SPACES}), 1) AS tail FROM ln),
+lj AS (SELECT *, row_number() OVER (PARTITION BY k, l ORDER BY pos) > 1 AS dup,
+              NOT contains('.!?:;…"''”’»)]', tail)
+              OR len(list_filter(ws, lambda s: trim(s, '|>»·•/') = '')) > 0.25 * len(ws)
+              OR length(regexp_replace(l, '[^#*$%&|<>]', '', 'g')) > 0.1 * chars
+              OR regexp_matches(lower(l), 'all rights reserved|cookie policy|enable javascript|lorem ipsum|privacy policy|subscribe to our newsletter|terms of use')
+              AS fails FROM lw WHERE len(ws) > 0),
+ls AS (SELECT k, count(*) FILTER (dup) AS n_dup_lines, count(*) FILTER (fails) AS n_removed,
+              coalesce(sum(chars) FILTER (fails), 0)::BIGINT AS removed_chars FROM lj GROUP BY k),
+f AS (SELECT doc_id, len(ws)::BIGINT AS n_words, word_chars::BIGINT AS word_chars,
+             length(regexp_replace(x, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+             coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
+             len(string_split(x, chr(10)))::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed,
+             coalesce(removed_chars, 0)::BIGINT AS removed_chars
+      FROM w LEFT JOIN rep USING (k) LEFT JOIN ls USING (k))
+SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * removed_chars <= 50 * word_chars AS kept FROM f
+"""
+
+OP8 = rf"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), {AZ}), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda s: s <> '') AS ws FROM documents),
+b AS (SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), {AZ}), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda s: s <> '') AS ws FROM benchmark),
+bw AS (SELECT DISTINCT item_id, L, array_to_string(ws[i:i + L - 1], ' ') AS win FROM
+       (SELECT item_id, ws, least(10, len(ws)) AS L, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) AS i FROM b WHERE len(ws) > 0)),
+sizes AS (SELECT DISTINCT L FROM bw),
+dw AS (SELECT k, L, i, array_to_string(ws[i:i + L - 1], ' ') AS win FROM
+       (SELECT k, ws, L, unnest(range(1, len(ws) - L + 2)) AS i FROM d, sizes WHERE len(ws) >= L)),
+m AS (SELECT k, item_id, i, dw.L FROM dw JOIN bw ON dw.win = bw.win AND dw.L = bw.L),
+hit AS (SELECT k, count(DISTINCT p)::BIGINT AS n_hit FROM (SELECT k, unnest(range(i, i + L)) AS p FROM m) GROUP BY k),
+its AS (SELECT k, count(*)::BIGINT AS n_items, string_agg(s, ',' ORDER BY s) AS listed FROM (SELECT DISTINCT k, item_id::VARCHAR AS s FROM m) GROUP BY k)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (k) LEFT JOIN its USING (k)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_url_filter": OP5, "op7_quality_rules": OP7, "op8_decontamination": OP8}
