@@ -7,6 +7,17 @@ SPACE = r"[\x20\x09-\x0D]"
 SPACES = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
+OP2 = f"""
+WITH t AS (SELECT row_number() OVER () AS k, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT k, doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM t),
+y AS (SELECT *, translate(trim(line, {SPACES}), {AZ}) AS key FROM l),
+g AS (SELECT key, max(doc_id) AS keeper FROM y WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+j AS (SELECT k, y.doc_id, line, pos, keeper IS NOT NULL AND keeper <> y.doc_id AS gone FROM y LEFT JOIN g USING (key))
+SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (gone))::BIGINT AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM j GROUP BY k, doc_id
+"""
+
 OP5 = f"""
 WITH u AS (
   SELECT page_id, url, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
@@ -79,4 +90,4 @@ FROM d LEFT JOIN hit USING (k) LEFT JOIN its USING (k)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_url_filter": OP5, "op7_quality_rules": OP7, "op8_decontamination": OP8}
+    return {"op2_line_dedup": OP2, "op5_url_filter": OP5, "op7_quality_rules": OP7, "op8_decontamination": OP8}
