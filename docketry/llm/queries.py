@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm import leaks, lines, quality, secrets, tokens, urls
+from docketry.llm import leaks, lines, neardup, quality, secrets, tokens, urls
 from docketry.llm._shared import table
 
 
@@ -15,6 +15,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(table(spark, sf_dir, "documents"), with_text=False)
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
@@ -38,4 +42,4 @@ def op10_token_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_line_dedup, op4_secret_scan, op5_url_filter, op7_quality_rules, op8_decontamination, op10_token_lengths)}
+    return {f.__name__: f for f in (op2_line_dedup, op3_near_dedup, op4_secret_scan, op5_url_filter, op7_quality_rules, op8_decontamination, op10_token_lengths)}
