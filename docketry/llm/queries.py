@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm import leaks, lines, neardup, quality, secrets, tokens, urls
+from docketry.llm import leaks, lines, mixing, neardup, quality, secrets, tokens, urls
 from docketry.llm._shared import table
 
 
@@ -27,6 +27,27 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages"))
 
 
+#: Production parameters of the mix: domains are ranges of source numbers.
+MIX_WEIGHTS = (
+    (("web",), 5),
+    (("reference",), 3),
+    (("forum",), 2),
+    *(((domain, lang), w) for domain in ("web", "reference", "forum") for lang, w in (("en", 6), ("de", 2), ("fr", 2), ("es", 1))),
+    (("web", "en", "src0"), 3),
+)
+
+
+def mix_levels() -> list:
+    number = F.regexp_extract("source", r"(\d+)$", 1).try_cast("int")
+    domain = F.when(number < 7, "web").when(number < 14, "reference").otherwise("forum")
+    return [("domain", domain), ("lang", F.col("lang")), ("source", F.col("source"))]
+
+
+def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), mix_levels(), MIX_WEIGHTS, share=0.6, max_epochs=3, seed=17)
+    return mixed.where("n_copies > 0").select("doc_id", "domain", "lang", "source", "n_tokens", "n_copies")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.clean_lines(table(spark, sf_dir, "documents"), with_text=False)
 
@@ -42,4 +63,4 @@ def op10_token_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_line_dedup, op3_near_dedup, op4_secret_scan, op5_url_filter, op7_quality_rules, op8_decontamination, op10_token_lengths)}
+    return {f.__name__: f for f in (op2_line_dedup, op3_near_dedup, op4_secret_scan, op5_url_filter, op6_source_mix, op7_quality_rules, op8_decontamination, op10_token_lengths)}
