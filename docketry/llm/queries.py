@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm import leaks, lines, mixing, neardup, quality, secrets, tokens, urls
+from docketry.llm import leaks, lines, mixing, neardup, quality, secrets, tokens, toxicity, urls
 from docketry.llm._shared import table
 
 
@@ -58,9 +58,15 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", digest, "contaminated")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_out=lambda i: F.crc32(i.cast("string")) % 5 == 0
+    )
+
+
 def op10_token_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.length_histogram(table(spark, sf_dir, "documents"), keys=("lang",))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_line_dedup, op3_near_dedup, op4_secret_scan, op5_url_filter, op6_source_mix, op7_quality_rules, op8_decontamination, op10_token_lengths)}
+    return {f.__name__: f for f in (op2_line_dedup, op3_near_dedup, op4_secret_scan, op5_url_filter, op6_source_mix, op7_quality_rules, op8_decontamination, op9_toxicity, op10_token_lengths)}
