@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docketry.llm._shared import ascii_lower, bounded_broadcast
+from docketry.llm._shared import ascii_lower, bounded_broadcast, parts_for, written
 
 NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Rows up to which the benchmark's vocabulary and anchors are sent to every executor; beyond, the joins shuffle.
+#: Rows of the benchmark's vocabulary or windows that are sent to every executor at a time. A larger vocabulary is joined
+#: by a shuffle; more windows are met in several passes over the documents, each with its own part of them.
 BROADCAST_ROWS = 500_000
 
 
@@ -25,24 +26,22 @@ def rarity(docs: DataFrame, items: DataFrame, text_col: str, broadcast_rows: int
     return found.groupBy("_w").agg(F.count("*").alias("_n"))
 
 
-def anchors(items: DataFrame, counts: DataFrame, window: int) -> DataFrame:
-    """The rarest word of every window, with its place in the item: the necessary prefix when all of a window must be found.
+def anchored_windows(items: DataFrame, counts: DataFrame, window: int) -> DataFrame:
+    """Every window of every item with its rarest word (_w) and that word's place in the window (_a).
 
-    A window of L words that must occur whole needs an overlap of L, so the prefix in order of rarity is one word long.
-    Windows next to each other mostly share it, so an item has about a fifth as many anchors as windows.
+    The rarest word is the necessary prefix of the window's words in order of rarity: a window of L words that must occur
+    whole needs an overlap of L, so its prefix is one word long.
     """
     placed = items.select("_key", F.posexplode("_item").alias("_pos", "_w")).join(counts, "_w", "left")
     ranked = placed.groupBy("_key").agg(
         F.array_sort(F.collect_list(F.struct("_pos", F.coalesce("_n", F.lit(0)).alias("_n"), "_w"))).alias("_placed")
     )
-    by_rarity = F.transform("_placed", lambda x: F.struct(x["_n"].alias("n"), x["_w"].alias("w"), x["_pos"].alias("p")))
-    size = F.size("_ranked")
-    length = F.least(F.lit(window), size)
-    rarest = F.transform(F.sequence(F.lit(1), size - length + 1), lambda i: F.array_min(F.slice("_ranked", i, length)))
-    return (
-        ranked.select("_key", by_rarity.alias("_ranked"))
-        .select("_key", F.explode(F.array_distinct(rarest)).alias("_a"))
-        .select("_key", F.col("_a.w").alias("_w"), F.col("_a.p").alias("_o"))
+    length = F.least(F.lit(window), F.size("_placed"))
+    starts = F.explode(F.sequence(F.lit(0), F.size("_placed") - length)).alias("_s")
+    cut = ranked.select("_key", "_placed", length.alias("_len"), starts).select("_key", "_s", F.slice("_placed", F.col("_s") + 1, F.col("_len")).alias("_cut"))
+    rarest = F.array_min(F.transform("_cut", lambda x: F.struct(x["_n"].alias("n"), x["_w"].alias("w"), x["_pos"].alias("p"))))
+    return cut.withColumn("_r", rarest).select(
+        "_key", F.col("_r.w").alias("_w"), (F.col("_r.p") - F.col("_s")).alias("_a"), F.transform("_cut", lambda x: x["_w"]).alias("_window")
     )
 
 
@@ -59,10 +58,10 @@ def find_leaks(
     """One row for each document row: id, n_words, n_hit, n_items, items (sorted ids as strings), contaminated.
 
     A window is `window` consecutive item words; an item of fewer words, but not none, is one window. A document word in
-    any occurrence of a window is hit. Document words meet the anchors by an equi-join on the word; the anchor's place in
-    the item fixes where the item would lie in the document, the ends of both bound the windows, and each is compared
-    whole. Texts stay where they are read: only matches and (id, digest, n_words) are shuffled. The anchors are sent to all
-    executors when counted to be at most `broadcast_rows`, and joined by a shuffle otherwise.
+    any occurrence of a window is hit. Document words meet the windows by an equi-join on each window's rarest word; its
+    place in the window fixes where the window would lie in the document, the document's ends bound it, and it is compared
+    whole. Texts stay where they are read: only matches and (id, digest, n_words) are shuffled. At most `broadcast_rows`
+    windows, as counted, are sent to the executors at a time.
 
     Null and empty texts have no words and no hits, in documents as in items; null item ids are dropped from the list but
     their windows count. Repeated rows give equal rows each (a row is known by id and text). An empty table on either
@@ -71,28 +70,21 @@ def find_leaks(
     items = benchmark.select(
         F.struct(F.col(item_id_col).cast("string").alias("id"), F.xxhash64(item_text_col).alias("h")).alias("_key"), words(F.col(item_text_col)).alias("_item")
     ).where(F.size("_item") > 0).dropDuplicates(["_key"])
-    index = anchors(items, rarity(docs, items, text_col, broadcast_rows), window).join(items, "_key")
-    rows = items.agg(F.coalesce(F.sum(F.size("_item")), F.lit(0)).alias("n")).first()["n"]
-    index = bounded_broadcast(index, rows, broadcast_rows)
+    index = written(anchored_windows(items, rarity(docs, items, text_col, broadcast_rows), window), "windows")
+    parts = parts_for(index.count(), broadcast_rows)
 
     own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     row_key = [F.col("_id"), F.xxhash64("_text").alias("_h")]
-    spread = own.select(*row_key, words(F.col("_text")).alias("_words")).select("_id", "_h", "_words", F.posexplode("_words").alias("_p", "_w"))
-    met = spread.join(index, "_w")
-    size, n = F.size("_item"), F.size("_words")
-    length, shift = F.least(F.lit(window), size), F.col("_p") - F.col("_o")
-    first = F.greatest(F.col("_o") - length + 1, -shift, F.lit(0))
-    last = F.least(F.col("_o"), size - length, n - length - shift)
-    starts = F.filter(
-        F.sequence(first, last), lambda s: F.slice("_words", shift + s + 1, length) == F.slice("_item", s + 1, length)
-    )
-    hit = F.array_distinct(F.flatten(F.transform("_starts", lambda s: F.sequence(F.col("_shift") + s, F.col("_shift") + s + F.col("_len") - 1))))
-    found = (
-        met.where(first <= last)
-        .select("_id", "_h", "_key", shift.alias("_shift"), length.alias("_len"), starts.alias("_starts"))
-        .where(F.size("_starts") > 0)
-        .select("_id", "_h", "_key", hit.alias("_hit"))
-    )
+    spread = own.select(*row_key, words(F.col("_text")).alias("_words")).select("_id", "_h", "_words", F.posexplode("_words").alias("_p", "_v"))
+    # All of the test stands in the join itself, so that a row leaves it only for a window that occurs: the words array of
+    # a long text is never copied for the words that don't.
+    start, length = F.col("_p") - F.col("_a"), F.size("_window")
+    occurs = (F.col("_v") == F.col("_w")) & (start >= 0) & (start + length <= F.size("_words")) & (F.slice("_words", start + 1, length) == F.col("_window"))
+    found = None
+    for part in range(parts):
+        piece = index if parts == 1 else index.where(F.pmod(F.xxhash64("_key"), F.lit(parts)) == part)
+        met = spread.join(F.broadcast(piece), occurs).select("_id", "_h", "_key", F.sequence(start, start + length - 1).alias("_hit"))
+        found = met if found is None else found.union(met)
     by_doc = (
         found.groupBy("_id", "_h")
         .agg(F.size(F.array_distinct(F.flatten(F.collect_list("_hit")))).alias("_n_hit"), F.collect_set("_key").alias("_keys"))
