@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm import leaks, lines, mixing, neardup, quality, secrets, tokens, toxicity, urls
+from docketry.llm import leaks, lines, mixing, neardup, ppm, quality, secrets, tokens, toxicity, urls
 from docketry.llm._shared import table
 
 
+def op1_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score(table(spark, sf_dir, "documents"), held_out=lambda i: F.crc32(i.cast("string")) % 7 == 2)
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(table(spark, sf_dir, "documents"), with_text=False)
 
@@ -69,4 +73,4 @@ def op10_token_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_line_dedup, op3_near_dedup, op4_secret_scan, op5_url_filter, op6_source_mix, op7_quality_rules, op8_decontamination, op9_toxicity, op10_token_lengths)}
+    return {f.__name__: f for f in (op1_ppm_score, op2_line_dedup, op3_near_dedup, op4_secret_scan, op5_url_filter, op6_source_mix, op7_quality_rules, op8_decontamination, op9_toxicity, op10_token_lengths)}
