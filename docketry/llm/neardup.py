@@ -187,7 +187,8 @@ def near_duplicates(
             F.transform(F.slice(F.sequence(F.lit(0), F.col("down")), 1, F.col("down")), lambda j: F.struct((F.col("bucket") - 1).alias("k1"), j.alias("i"), F.col("bucket").alias("k2"), F.col("part").alias("j"))),
         ).alias("meets"),
     )
-    texts = own.withColumnRenamed("_id", "id").join(dealt.select("id", "c1"), "id")
+    # Candidates may be most documents, so texts always meet them by a shuffle, whatever a small input's sizes suggest.
+    texts = own.withColumnRenamed("_id", "id").join(dealt.select("id", "c1").hint("merge"), "id")
     sets = map_arrow(texts, with_sets, "id long, shingles binary")
     meetings = sets.select("id", "shingles").join(others.select("id", "cluster", F.explode("meets").alias("at")), "id")
     links = meetings.groupBy("cluster", "at").applyInPandas(confirmed, "a long, b long")
