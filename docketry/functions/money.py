@@ -19,6 +19,7 @@ def cents(col: Column) -> Column:
 
 def money_label(amount: Column) -> Column:
     """RM 1.5m, RM 100k or RM 950: a short label."""
+    amount = amount.cast("double")
     millions = F.regexp_replace(F.format_string("%.1f", amount / 1e6), r"\.0$", "")
     thousands = F.regexp_replace(F.format_string("%.1f", amount / 1e3), r"\.0$", "")
     return (

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docketry.plans import ledger
+from docketry.plans import ledger, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (ledger,)
+MODULES = (ledger, texts)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
