@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docketry.plans import ledger, texts
+from docketry.plans import ledger, texts, turns
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (ledger, texts)
+MODULES = (ledger, texts, turns)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
