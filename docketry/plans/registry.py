@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docketry.plans import ledger, texts, turns
+from docketry.plans import ledger, search, texts, turns
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (ledger, texts, turns)
+MODULES = (ledger, texts, turns, search)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
