@@ -51,11 +51,11 @@ def grouped(results: DataFrame, catalogue: DataFrame) -> DataFrame:
     )
 
 
-def run_all(rules: Sequence[tuple[str, Callable[..., DataFrame]]], tables: dict[str, DataFrame], policy: dict, as_of: Column) -> DataFrame:
-    """All rules of a registry, in its order, over all bundles at once."""
+def run_all(rules: Sequence[tuple[str, Callable[..., DataFrame]]], tables: dict[str, DataFrame], policy: dict) -> DataFrame:
+    """All rules of a registry, in its order, over all bundles at once. Dates are judged as of each bundle's system_date."""
     out: DataFrame | None = None
     for i, (rule_id, rule) in enumerate(rules):
-        rows = checked(rule(tables, policy, as_of).withColumn("rule_id", F.lit(rule_id))).withColumn("rule_ord", F.lit(i))
+        rows = checked(rule(tables, policy).withColumn("rule_id", F.lit(rule_id))).withColumn("rule_ord", F.lit(i))
         out = rows if out is None else out.unionByName(rows)
     if out is None:
         raise ValueError("no rules")
