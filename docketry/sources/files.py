@@ -51,7 +51,7 @@ def admit_uploads(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def pdf_markers(files: DataFrame) -> DataFrame:
     """Counts of structural marks in raw bytes; updates after the first version are the end marks less one."""
-    text = F.decode("content", F.lit("ISO-8859-1"))
+    text = F.decode("content", "ISO-8859-1")
     ends = F.regexp_count(text, F.lit("%%EOF"))
     return files.select("path", ends.alias("n_eof"), F.regexp_count(text, F.lit("startxref")).alias("n_startxref"), F.regexp_count(text, F.lit("/JavaScript|/JS")).alias("n_javascript"), F.greatest(ends - 1, F.lit(0)).alias("n_updates"))
 
