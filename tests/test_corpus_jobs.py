@@ -62,6 +62,6 @@ def test_money_and_periods(spark):
     assert near == 900e3
     p = spark.createDataFrame([("Ogos 2024",), ("03/2023",), ("2022-11 x",), ("n/a",), (None,)], "t string").select(wording.period(F.col("t")).alias("p")).collect()
     assert [tuple(r["p"]) for r in p] == [(2024, 8), (2023, 3), (2022, 11), (-1, 0), (-1, 0)]
-    turns = spark.createDataFrame([(1, "what about bizjamn or teraju"), (2, "hello there")], "id int, text string")
-    programs = spark.createDataFrame([("BJ", "bizjamin"), ("TE", "teraju")], "code string, core string")
+    turns = spark.createDataFrame([(1, "what about greenlef or marula"), (2, "hello there")], "id int, text string")
+    programs = spark.createDataFrame([("BJ", "greenleaf"), ("TE", "marula")], "code string, core string")
     assert [(r["id"], r["code"], r["place"]) for r in wording.near_programs(turns, "id", "text", programs).collect()] == [(1, "BJ", 1)]

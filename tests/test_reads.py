@@ -44,8 +44,8 @@ def test_slots(spark):
 
 
 def test_mentions(spark):
-    turns = spark.createDataFrame([(1, "Is BizJamin-i or Skim Jaminan better?"), (2, "no bizjaminx here")], "id int, text string")
-    names = spark.createDataFrame([("BJ", "bizjamin"), ("SJ", "Skim Jaminan")], "code string, name string")
+    turns = spark.createDataFrame([(1, "Is GreenLeaf-i or Star Scheme better?"), (2, "no greenleafx here")], "id int, text string")
+    names = spark.createDataFrame([("BJ", "greenleaf"), ("SJ", "Star Scheme")], "code string, name string")
     named = R.mentions(turns, "id", "text", names)
     assert [(r["id"], r["code"]) for r in named.orderBy("place").collect()] == [(1, "SJ"), (1, "BJ")]
     scored = spark.createDataFrame([(1, "OOS-01", 0.4), (2, "OOS-01", 0.4)], "id int, primary string, confidence double")
