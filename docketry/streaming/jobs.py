@@ -62,7 +62,10 @@ class LastBalance(StatefulProcessor):
 
 
 def balance_break_stream(transactions: DataFrame) -> DataFrame:
-    """Breaks of the running balance of each statement. transactions: statement, row_no, debit, credit, balance; printed order within a batch."""
+    """Breaks of the running balance of each statement. transactions: statement, row_no, debit, credit, balance; printed order within a batch.
+
+    Stateful jobs need the RocksDB state store: spark.sql.streaming.stateStore.providerClass.
+    """
     return transactions.groupBy("statement").transformWithStateInPandas(
         statefulProcessor=LastBalance(), outputStructType="statement string, row_no long, expected double, balance double", outputMode="Append", timeMode="None"
     )

@@ -37,3 +37,28 @@ def test_daily_rollup_equals_batch(spark, tmp_path):
     query.awaitTermination()
     want = events.groupBy(F.date_trunc("day", "ts").alias("day"), "event_type").agg(F.count("*").alias("n")).collect()
     assert {(r["day"], r["event_type"], r["n"]) for r in spark.table("daily").collect()} == {tuple(r) for r in want}
+
+
+def with_state(spark):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def drained(df, tmp_path, name):
+    query = df.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / f"cp-{name}")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return [tuple(r) for r in df.sparkSession.table(name).collect()]
+
+
+def test_balance_breaks_across_batches(spark, tmp_path):
+    with_state(spark)
+    batches = [[("a", 0, None, None, 100.0), ("a", 1, 30.0, None, 70.0), ("b", 0, None, None, 1.0)], [("a", 2, None, None, None), ("a", 3, None, 5.0, 80.0), ("b", 1, None, 1.0, 2.0)]]
+    stream = source(spark, tmp_path, batches, "statement string, row_no long, debit double, credit double, balance double")
+    assert drained(jobs.balance_break_stream(stream), tmp_path, "breaks") == [("a", 3, 75.0, 80.0)]
+
+
+def test_session_flow_across_batches(spark, tmp_path):
+    with_state(spark)
+    batches = [[("s", 0, True), ("t", 0, False)], [("s", 1, True), ("s", 2, False), ("s", 3, True), ("t", 1, True)]]
+    stream = source(spark, tmp_path, batches, "session_id string, turn long, unclear boolean")
+    got = sorted(drained(jobs.session_flow_stream(stream), tmp_path, "flow"))
+    assert got == [("s", 0, "clarify"), ("s", 1, "hand_off"), ("s", 2, None), ("s", 3, "clarify"), ("t", 0, None), ("t", 1, "clarify")]
