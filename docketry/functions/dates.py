@@ -57,3 +57,30 @@ def leftover_days(start: Column, end: Column) -> Column:
 def years_since(start: Column, as_of: Column) -> Column:
     """Calendar years between, never negative."""
     return F.greatest(F.lit(0), F.year(as_of) - F.year(start))
+
+
+# Malay month names by the English ones, and the formats of printed dates in the order in which they are tried.
+MALAY_MONTHS = {
+    "januari": "january", "februari": "february", "mac": "march", "mei": "may", "jun": "june", "julai": "july", "ogos": "august", "oktober": "october", "disember": "december",
+    "ogo": "aug", "okt": "oct", "dis": "dec",
+}
+PRINTED_FORMATS = (
+    (r"^\d{4}-\d{1,2}-\d{1,2}$", "yyyy-M-d"),
+    (r"^\d{1,2}/\d{1,2}/\d{4}$", "d/M/yyyy"),
+    (r"^\d{1,2}-\d{1,2}-\d{4}$", "d-M-yyyy"),
+    (r"^\d{1,2} [A-Za-z]{3,9} \d{4}$", "d MMMM yyyy"),
+    (r"^\d{1,2} [A-Za-z]{3} \d{4}$", "d MMM yyyy"),
+    (r"^[A-Za-z]{3,9} \d{1,2}, \d{4}$", "MMMM d, yyyy"),
+    (r"^\d{1,2}\.\d{1,2}\.\d{4}$", "d.M.yyyy"),
+    (r"^[A-Za-z]{3,9} \d{4}$", "MMMM yyyy"),
+    (r"^[A-Za-z]{3} \d{4}$", "MMM yyyy"),
+)
+
+
+def parse_printed_date(text: Column) -> Column:
+    """Ten printed formats with English or Malay months; a month alone is its first day. Two-digit years from 69 are the last century's."""
+    names = F.create_map(*[F.lit(x) for pair in MALAY_MONTHS.items() for x in pair])
+    words = F.split(F.lower(F.regexp_replace(F.trim(text), r"[.,;]+$", "")), r"\s+")
+    english = F.initcap(F.array_join(F.transform(words, lambda w: F.coalesce(names[w], w)), " "))
+    short = F.when(english.rlike(r"^\d{1,2}/\d{1,2}/\d{2}$"), try_date(english, "d/M/yy"))
+    return F.coalesce(parse_date(english, PRINTED_FORMATS), F.when(F.year(short) >= 2069, F.add_months(short, -1200)).otherwise(short))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docketry.functions.dates import STATEMENT_FORMATS, parse_date
+from docketry.functions.dates import parse_printed_date
 from docketry.functions.similarity import ratio
 from docketry.functions.text import printed_number
 
@@ -38,14 +38,14 @@ def word_windows(words: DataFrame, longest: int = LONGEST) -> DataFrame:
         out = run if out is None else out.unionByName(run)
     text = F.array_join("_t", " ")
     return out.select(
-        "doc_id", "page", "ord", "size", "x0", "y0", "x1", "y1", F.round(printed_number(text), 6).alias("number"), parse_date(text, STATEMENT_FORMATS).alias("day"), joined_token(F.array_join("_t", "")).alias("joined")
+        "doc_id", "page", "ord", "size", "x0", "y0", "x1", "y1", F.round(printed_number(text), 6).alias("number"), parse_printed_date(text).alias("day"), joined_token(F.array_join("_t", "")).alias("joined")
     )
 
 
 def candidates(values: DataFrame, windows: DataFrame, tolerance: float = 0.82) -> DataFrame:
     """Places of each value with their tier; of one window the first tier that claims it, of all windows of equal start and size one."""
     v = values.where(F.col("value").isNotNull()).withColumns(
-        {"_num": F.round(printed_number(F.col("value")), 6), "_day": parse_date(F.col("value")), "_joined": joined_token(F.col("value")), "_n": F.size(F.filter(F.split(F.trim("value"), r"\s+"), lambda w: joined_token(w) != ""))}
+        {"_num": F.round(printed_number(F.col("value")), 6), "_day": parse_printed_date(F.col("value")), "_joined": joined_token(F.col("value")), "_n": F.size(F.filter(F.split(F.trim("value"), r"\s+"), lambda w: joined_token(w) != ""))}
     )
     w = windows.withColumnRenamed("doc_id", "_doc")
     same = F.col("doc_id") == F.col("_doc")
