@@ -1,8 +1,8 @@
-"""LM scoring by prediction by partial matching: a byte-context trie, escape estimates and symbol exclusion.
+"""LM scoring by prediction by partial matching: a byte-context trie over the running text, escape estimates and symbol exclusion.
 
 The trie's first level is the line: a line seen in training is one edge from the start of a line, with as much chance as
-its share of all lines; other lines escape and are spelled word by word, byte by byte. Within a word the contexts are the latest
-seven bytes since the space before it, then six, and so on.
+its share of all lines; other lines escape and are spelled byte by byte. A byte's contexts are all of its word so far, where
+that is more than seven bytes, then the latest seven bytes of the text, across words and lines, then six, and so on.
 """
 
 from __future__ import annotations
@@ -12,21 +12,23 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketry.llm._shared import map_arrow, parts_for, text_bytes, written
 
-#: Longest context, so that context and symbol fill 64 bits.
+#: Longest context that is kept byte by byte, so that context and symbol fill 64 bits.
 ORDER = 7
 #: Keys beside words, which no word equals: the end of a text, the end of a line, and before the hash of a whole line.
 END, LINE_END, LINE = b"", b"\n", b"\n"
-SPACE = 0x20
+SPACE, NEWLINE = 0x20, 0x0A
+FACTOR, MIXER = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15)
 #: Symbols that can follow: all bytes.
 ALPHABET = 256
-#: Positions that a task gathers before it sums equal grams.
-GATHER = 2_500_000
+#: Grams that a task gathers before it sums equal ones, bytes of text that are taken at a time, and rows of a batch sent on.
+GATHER, PIECE, BATCH = 1_500_000, 250_000, 100_000
 
 
 def lines(text: str | None) -> list[list[bytes]]:
@@ -39,35 +41,78 @@ def line_key(words: list[bytes]) -> bytes:
 
 
 def keys(text: str | None) -> list[bytes]:
-    """All keys that a text is counted and looked up by: its words, a line's key and end for each line, and its end."""
+    """All keys that a text is counted and looked up by: its words, a line's key for each line, and its end."""
     out = [END]
     for words in lines(text):
         out += words
-        out += (line_key(words), LINE_END)
+        out.append(line_key(words))
     return out
 
 
-def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """For every symbol of every word its gram and the word's number. A word's symbols are its bytes and a closing space.
+def running(words: list[bytes]) -> bytes:
+    """Words with a space between them, none beside the end of a line; a line's end stands before the text as its first context."""
+    return LINE_END + b" ".join(words).replace(b" \n", b"\n").replace(b"\n ", b"\n")
+
+
+def running_text(text: str | None) -> bytes:
+    return running([w for words in lines(text) for w in (*words, LINE_END)])
+
+
+def contexts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For every symbol of running texts, without each one's first byte: its gram, its long context's hash, its text's number.
 
-    A gram holds the symbol in its lowest byte and, above, the context, latest byte first: the bytes since the word's
-    start, the space before it included, at most ORDER. The context's order shows in its highest byte that isn't zero;
-    zero bytes of a text count as ones. The end of a line is one symbol after a space.
+    A gram holds the symbol in its lowest byte and, above, the context, latest byte first: at most ORDER bytes back to the
+    text's start, over spaces and line ends. The context's order shows in its highest byte that isn't zero; zero bytes of
+    a text count as ones. The hash stands for the word so far, with the place before it, if that is more than ORDER
+    bytes, and is 0 if not.
     """
-    joined = b" " + b" ".join(words) + b" "
-    b = np.frombuffer(joined.replace(b"\0", b"\x01"), np.uint8)
-    at = np.arange(1, len(b))
-    space = b == SPACE
-    last = np.maximum.accumulate(np.where(space, np.arange(len(b)), 0))[:-1]
-    gram = b[1:].astype(np.uint64)
+    b = np.frombuffer(b"".join(texts).replace(b"\0", b"\x01"), np.uint8)
+    sizes = np.array([len(t) for t in texts], np.int64)
+    first = np.repeat(np.cumsum(sizes) - sizes, sizes)
+    at = np.arange(len(b))
+    gram = b.astype(np.uint64)
     for k in range(1, ORDER + 1):
-        inside = at - k >= last
+        inside = at - k >= first
         gram[inside] |= b[at[inside] - k].astype(np.uint64) << np.uint64(8 * k)
-    owner = np.cumsum(space)[:-1] - 1
-    # The end of a line is not followed by a space of its own.
-    ends = np.array([w == LINE_END for w in words])
-    keep = ~(ends[owner] & space[1:])
-    return gram[keep], owner[keep]
+    # Of every place the latest space or line end, itself included. Differences of running sums of byte * factor^place hash
+    # every prefix of every word at once.
+    gap = (b == SPACE) | (b == NEWLINE)
+    start = np.maximum.accumulate(np.where(gap, at, 0))
+    place = at - start
+    powers = np.cumprod(np.full(int(place.max(initial=0)) + 1, FACTOR, np.uint64))
+    sums = np.cumsum(np.where(gap, 0, b.astype(np.uint64) + np.uint64(1)) * powers[place], dtype=np.uint64)
+    before = np.maximum(at - 1, 0)
+    whole = sums[before] - sums[start[before]]
+    whole = (whole ^ (whole >> np.uint64(31))) * FACTOR
+    whole[at - start[before] <= ORDER] = 0
+    keep = at > first
+    return gram[keep], whole[keep], np.repeat(np.arange(len(texts)), sizes)[keep]
+
+
+def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Of the running text of words and line ends: every symbol's gram and its word's number. A space is its word's last symbol."""
+    size = [len(w) + (w != LINE_END and after not in (LINE_END, None)) for w, after in zip(words, [*words[1:], None], strict=True)]
+    return contexts([running(words)])[0], np.repeat(np.arange(len(words)), size)
+
+
+def gram_keys(gram: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """64 bits for a symbol and all of its contexts: the gram itself, or a hash where there is a long context."""
+    x = (gram * MIXER) ^ whole
+    x = (x ^ (x >> np.uint64(29))) * FACTOR
+    return np.where(whole == 0, gram, x ^ (x >> np.uint64(32)))
+
+
+def pieces(texts: list[str | None]) -> Iterator[tuple[int, list[bytes]]]:
+    """Running texts, about PIECE bytes of them at a time, each time with the first one's number."""
+    first, found, size = 0, [], 0
+    for i, t in enumerate(texts):
+        found.append(running_text(t))
+        size += len(found[-1])
+        if size >= PIECE:
+            yield first, found
+            first, found, size = i + 1, [], 0
+    if found:
+        yield first, found
 
 
 def masked(gram: np.ndarray, order: int) -> np.ndarray:
@@ -95,25 +140,27 @@ class Level:
         self.seen, self.seen_node, self.nodes = np.flatnonzero(has)[first[count > 0]], of[count > 0], len(contexts)
 
 
-def resolve(gram: np.ndarray, n: np.ndarray, low: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+def resolve(gram: np.ndarray, n: np.ndarray, low: tuple[np.ndarray, np.ndarray], whole: np.ndarray | None = None) -> np.ndarray:
     """Natural logarithm of each gram's probability; all grams whose context ends in the same two bytes must be there.
 
     From the longest context down, a context that was never seen is passed over; one that has seen the symbol gives it its
     share of the total of symbols that no longer context has seen (they are excluded: had they been meant, they would have
     been coded there); else the escape's chance is paid. The longest context of a symbol counts every use; shorter ones
     count each longer one that saw the symbol once, as a trie does that stops its updates where the symbol is known.
-    low: such counts by last byte and symbol, and by symbol.
+    low: such counts by last byte and symbol, and by symbol. whole: hashes of contexts of more than ORDER bytes, 0 for none.
     """
     order = orders(gram)
+    if whole is not None:
+        order = np.where(whole != 0, ORDER + 1, order)
     symbol, last = (gram & np.uint64(0xFF)).astype(int), ((gram >> np.uint64(8)) & np.uint64(0xFF)).astype(int)
     chance, open_ = np.zeros(len(gram)), np.ones(len(gram), bool)
     kinds = (n > 0).astype(float)
     by_byte, by_symbol = low
     above: Level | None = None
-    for k in range(ORDER, -1, -1):
+    for k in range(ORDER if whole is None else ORDER + 1, -1, -1):
         if k >= 2:
             has = order >= k
-            here = Level(masked(gram, k) >> np.uint64(8), symbol, np.where(order == k, n, kinds), has)
+            here = Level(whole if k > ORDER else masked(gram, k) >> np.uint64(8), symbol, np.where(order == k, n, kinds), has)
             count, total, distinct = here.count, here.total, here.distinct
         else:
             has = order >= k
@@ -143,26 +190,42 @@ def resolve(gram: np.ndarray, n: np.ndarray, low: tuple[np.ndarray, np.ndarray])
     return chance
 
 
-def summed(pieces: Iterable[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    """Distinct grams and the sums of their counts."""
-    gram, n = (np.concatenate(x) for x in zip(*pieces, strict=True))
-    found, at = np.unique(gram, return_inverse=True)
-    return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(np.bincount(at, n, len(found)).astype(np.int64))], ["gram", "n"])
+def sums_of(gram: np.ndarray, whole: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct grams with their long contexts, and the sums of their counts."""
+    _, first, at = np.unique(gram_keys(gram, whole), return_index=True, return_inverse=True)
+    return gram[first], whole[first], np.bincount(at, n, len(first)).astype(np.int64)
+
+
+def summed(parts: Iterable[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """Distinct grams without long contexts and the sums of their counts."""
+    gram, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    gram, _, n = sums_of(gram, np.zeros_like(gram), n)
+    return pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(n)], ["gram", "n"])
 
 
 def gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of the grams of words with their counts, equal ones summed for every GATHER positions."""
+    """Grams of all texts with their uses, none for held-out ones; a task's equal ones are summed as long as that saves half."""
+
+    def batches_of(gram: np.ndarray, whole: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(gram), BATCH):
+            part = slice(at, at + BATCH)
+            yield pa.RecordBatch.from_arrays([pa.array(gram[part].view(np.int64)), pa.array(whole[part].view(np.int64)), pa.array(n[part])], ["gram", "whole", "n"])
+
     gathered, size = [], 0
     for batch in batches:
-        if batch.num_rows:
-            gram, owner = grams(batch.column("word").to_pylist())
-            gathered.append((gram, batch.column("c").to_numpy()[owner]))
-            size += len(gram)
-        if size >= GATHER:
-            yield summed(gathered)
-            gathered, size = [], 0
+        learnt = 1 - np.array(batch.column("_held").to_pylist(), np.int64)
+        for first, texts in pieces(batch.column("_text").to_pylist()):
+            gram, whole, owner = contexts(texts)
+            gathered.append(sums_of(gram, whole, learnt[first + owner]))
+            size += len(gathered[-1][0])
+            if size >= GATHER:
+                gathered = [sums_of(*(np.concatenate(x) for x in zip(*gathered, strict=True)))]
+                size = len(gathered[0][0])
+                if size > GATHER // 2:
+                    yield from batches_of(*gathered[0])
+                    gathered, size = [], 0
     if gathered:
-        yield summed(gathered)
+        yield from batches_of(*sums_of(*(np.concatenate(x) for x in zip(*gathered, strict=True))))
 
 
 def score(
@@ -170,7 +233,7 @@ def score(
     held_out: Callable[[Column], Column] | None = None,
     id_col: str = "doc_id",
     text_col: str = "text",
-    block_bytes: int = 36_000_000,
+    block_bytes: int = 16_000_000,
     word_block: int = 400_000,
 ) -> DataFrame:
     """One row for each document row: id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_seen_lines.
@@ -178,18 +241,20 @@ def score(
     held_out: a condition on the id; its rows are scored but never learnt from. Words stand between space characters, A-Z
     lower-cased; a text's tokens are its words and an end. base_score is an add-one unigram model of whole tokens. score is
     the log10 probability of the text's lines of words by a pretrained trie of byte contexts: PPM with escape by method D
-    (half a count of each distinct symbol) and symbol exclusion. The base names every unknown word at the price of one of
-    V + 1; the trie spells it, so it pays more for unknown words and gains on known lines and parts of words.
+    (half a count of each distinct symbol) and symbol exclusion. Its contexts run over the text, so a word is predicted from
+    what stands before it: order counts. The base names every unknown word at the price of one of V + 1; the trie spells
+    it, so it pays more for unknown words and gains on known lines, phrases and parts of words.
 
     A null text counts as an empty one: one empty line. Null ids are learnt from. Without training rows the base gives 1
     to every token and the trie 1/256 to every byte. Repeated rows are learnt from and scored one by one; other columns are
     ignored; an empty table gives no rows.
 
     Everything grows with the input and is dealt out by keys: counts by word or line, the trie by a context's last two
-    bytes (only the counts of contexts of one byte or none, at most 65,792, are sent to all tasks). Each step looks
-    up distinct keys of a block - a block of words its grams, a block of documents its words and lines - so frequent
-    ones weigh no more than rare ones. Texts are shuffled once. Words' chances are kept in single precision, and
-    64-bit hashes stand for lines. Steps end in tables in the shared folder.
+    bytes (only the counts of contexts of one byte or none, at most 65,792, are sent to all tasks). A task sums its equal
+    grams before they are shuffled. A block of about block_bytes of documents looks up its distinct words, lines and grams, so
+    frequent ones weigh no more than rare ones. Texts are shuffled once. Grams' chances are kept in single precision, and
+    64-bit hashes stand for lines and for long contexts. word_block has no effect: words are no longer spelled apart from
+    their texts. Steps end in tables in the shared folder.
     """
     held = F.coalesce(held_out(F.col(id_col)), F.lit(False)) if held_out else F.lit(False)
     own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), held.alias("_held"))
@@ -208,7 +273,6 @@ def score(
     line_start, length = F.substring("word", 1, 1) == F.lit(LINE), F.length("word")
     is_line, is_token, seen = line_start & (length > 1), ~line_start, F.col("c") > 0
     sums = vocabulary.agg(
-        F.count("*").alias("keys"),
         *(F.coalesce(F.sum(F.when(kind, what)), F.lit(0)).alias(name) for name, kind, what in (
             ("tokens", is_token, F.col("c")),
             ("distinct", is_token & seen, F.lit(1)),
@@ -221,8 +285,7 @@ def score(
     n_lines, escaped = sums["lines"], np.log(sums["distinct_lines"] / (2 * sums["lines"])) if sums["lines"] else 0.0
     p_end = (sums["texts"] + 1) / (n_lines + 2)
 
-    spelled = vocabulary.where((length > 0) & ~is_line)
-    trie = written(spelled.select("word", "c").mapInArrow(gram_counts, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "trie")
+    trie = written(own.mapInArrow(gram_counts, "gram long, whole long, n long").groupBy("gram", "whole").agg(F.sum("n").alias("n")), "trie")
     # Counts under the last byte: uses where that byte is all the context there is, else distinct longer contexts.
     uses = F.when(F.shiftrightunsigned("gram", 16) == 0, F.col("n")).otherwise((F.col("n") > 0).cast("long"))
     by_byte = np.zeros((ALPHABET, ALPHABET))
@@ -231,29 +294,13 @@ def score(
     low = docs.sparkSession.sparkContext.broadcast((by_byte, (by_byte > 0).sum(0).astype(float)))
 
     def resolved(shard: pa.Table) -> pa.Table:
-        chance = resolve(shard.column("gram").to_numpy().view(np.uint64), shard.column("n").to_numpy().astype(float), low.value)
-        return pa.table({"gram": shard.column("gram"), "chance": pa.array(chance)})
+        gram, whole = (shard.column(c).to_numpy().view(np.uint64) for c in ("gram", "whole"))
+        chance = resolve(gram, shard.column("n").to_numpy().astype(float), low.value, whole)
+        return pa.table({"key": pa.array(gram_keys(gram, whole).view(np.int64)), "chance": pa.array(chance.astype(np.float32))})
 
     tail = F.shiftrightunsigned("gram", 8).bitwiseAND(0xFFFF).alias("tail")
-    chances = trie.groupBy(tail).applyInArrow(resolved, "gram long, chance double")
-
-    def block_grams(words: pa.Table) -> pa.Table:
-        found = np.unique(grams(words.column("word").to_pylist())[0])
-        return pa.table({"block": pa.array(np.full(len(found), words.column("block")[0].as_py())), "gram": pa.array(found.view(np.int64))})
-
-    def word_chances(words: pa.Table, found: pa.Table) -> pa.Table:
-        known = found.column("gram").to_numpy()
-        order = np.argsort(known)
-        gram, owner = grams(words.column("word").to_pylist())
-        own = found.column("chance").to_numpy()[order][np.searchsorted(known[order], gram.view(np.int64))]
-        return pa.table({"word": words.column("word"), "c": words.column("c"), "chance": pa.array(np.bincount(owner, own, words.num_rows).astype(np.float32))})
-
-    # A block's distinct grams and the block itself come from the same shuffle.
-    blocks = spelled.select(F.pmod(F.xxhash64("word"), F.lit(parts_for(sums["keys"], word_block))).alias("block"), "word", "c")
-    looked_up = blocks.groupBy("block").applyInArrow(block_grams, "block long, gram long").join(chances, "gram")
-    spelled_words = blocks.groupBy("block").cogroup(looked_up.groupBy("block")).applyInArrow(word_chances, "word binary, c long, chance float")
-    others = vocabulary.where((length == 0) | (is_line & seen)).select("word", "c", F.lit(0.0).cast("float").alias("chance"))
-    words = spelled_words.union(others)
+    chances = trie.groupBy(tail).applyInArrow(resolved, "key long, chance float")
+    words = vocabulary.where(~is_line | seen)
 
     def block_keys(texts: pa.Table) -> pa.Table:
         found: set[bytes] = set()
@@ -261,28 +308,54 @@ def score(
             found.update(keys(t))
         return pa.table({"block": pa.array([texts.column("block")[0].as_py()] * len(found), pa.int64()), "word": pa.array(list(found), pa.binary())})
 
+    def block_grams(texts: pa.Table) -> pa.Table:
+        gathered, size = [np.empty(0, np.uint64)], 0
+        for _, part in pieces(texts.column("_text").to_pylist()):
+            gathered.append(np.unique(gram_keys(*contexts(part)[:2])))
+            size += len(gathered[-1])
+            if size >= 2 * GATHER:
+                gathered, size = [np.unique(np.concatenate(gathered))], 0
+        found = np.unique(np.concatenate(gathered))
+        return pa.table({"block": pa.array(np.full(len(found), texts.column("block")[0].as_py(), np.int64)), "key": pa.array(found.view(np.int64))})
+
+    # A block's distinct words and grams and the block itself come from the same shuffle.
     placed = own.select(F.pmod(F.xxhash64("_id", "_text"), F.lit(parts_for(text_bytes(own, "_text"), block_bytes))).alias("block"), "*")
-    needed = placed.groupBy("block").applyInArrow(block_keys, "block long, word binary").join(words, "word")
+    needed_words = placed.groupBy("block").applyInArrow(block_keys, "block long, word binary").join(words, "word")
+    needed_grams = placed.groupBy("block").applyInArrow(block_grams, "block long, key long").join(chances, "key")
+    needed = needed_words.select("block", "word", "c", F.lit(None).cast("long").alias("key"), F.lit(None).cast("float").alias("chance")).union(
+        needed_grams.select("block", F.lit(None).cast("binary"), F.lit(None).cast("long"), "key", "chance")
+    )
 
     def doc_scores(texts: pa.Table, known: pa.Table) -> pa.Table:
-        number = {w: i for i, w in enumerate(known.column("word").to_pylist())}
-        c, chance = known.column("c").to_numpy(), known.column("chance").to_numpy().astype(float)
-        base, line_end = np.log10(c + 1) - base_of, chance[number[LINE_END]]
-        rows = []
-        for t in texts.column("_text").to_pylist():
-            at, total, seen_lines = [number[END]], np.log(p_end), 0
-            for i, own in enumerate(lines(t)):
-                here = list(map(number.__getitem__, own))
-                at += here
-                total += np.log1p(-p_end) if i else 0.0
-                line = number.get(line_key(own))
-                if line is None:
-                    total += escaped + line_end + chance[here].sum()
-                else:
-                    seen_lines += 1
-                    total += np.log((c[line] - 0.5) / n_lines)
-            at = np.array(at)
-            rows.append((len(at), int((c[at] > 0).sum()), float(base[at].sum()), float(total / np.log(10)), seen_lines))
+        of_words, of_grams = known.filter(pc.is_null(known.column("key"))), known.filter(pc.is_valid(known.column("key")))
+        number = {w: i for i, w in enumerate(of_words.column("word").to_pylist())}
+        c = of_words.column("c").to_numpy()
+        base = np.log10(c + 1) - base_of
+        key = of_grams.column("key").to_numpy()
+        order = np.argsort(key)
+        key, chance = key[order], of_grams.column("chance").to_numpy()[order].astype(float)
+        rows, all_texts = [], texts.column("_text").to_pylist()
+        for first, part in pieces(all_texts):
+            gram, whole, _ = contexts(part)
+            own_chance = chance[np.searchsorted(key, gram_keys(gram, whole).view(np.int64))]
+            # Every line ends in one line end; its chances are summed from the one before to it.
+            ends = (gram & np.uint64(0xFF)) == NEWLINE
+            by_line = np.bincount(np.cumsum(ends) - ends, own_chance)
+            line_at = 0
+            for t in all_texts[first : first + len(part)]:
+                at, total, seen_lines = [number[END]], np.log(p_end), 0
+                for i, own in enumerate(lines(t)):
+                    at += map(number.__getitem__, own)
+                    total += np.log1p(-p_end) if i else 0.0
+                    line = number.get(line_key(own))
+                    if line is None:
+                        total += escaped + by_line[line_at]
+                    else:
+                        seen_lines += 1
+                        total += np.log((c[line] - 0.5) / n_lines)
+                    line_at += 1
+                at = np.array(at)
+                rows.append((len(at), int((c[at] > 0).sum()), float(base[at].sum()), float(total / np.log(10)), seen_lines))
         n, k, b, s, l = zip(*rows, strict=True) if rows else ((),) * 5
         return pa.table(
             {

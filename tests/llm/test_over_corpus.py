@@ -152,6 +152,23 @@ def test_held_out_text_is_likelier_than_noise(spark):
     assert got[1000] > got[1001] + 1
 
 
+def test_language_model_reads_across_spaces(spark):
+    known = [(k, " ".join("red fox green hen".split() * 3) + f" n{k}") for k in range(30)]
+    asked = [(1000, "red fox green hen red fox"), (1001, "fox red hen green fox red")]
+    df = spark.createDataFrame([*known, *asked], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in rows(ppm.score(df, held_out=lambda i: i >= 1000))}
+    assert got[1000]["n_seen_lines"] == got[1001]["n_seen_lines"] == 0
+    # The same words in another order.
+    assert got[1000]["score"] > got[1001]["score"] + 3 and abs(got[1000]["base_score"] - got[1001]["base_score"]) < 1e-9
+
+
+def test_long_words_are_predicted_from_their_start(spark):
+    known = [(k, f"{a}conventional{b} n{k}") for k in range(40) for a, b in [("qa", "xx") if k % 2 else ("zu", "yy")]]
+    df = spark.createDataFrame([*known, (1000, "qaconventionalxx"), (1001, "qaconventionalyy")], "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in rows(ppm.score(df, held_out=lambda i: i >= 1000))}
+    assert got[1000] > got[1001] + 0.5
+
+
 def tree():
     return [("domain", F.when(F.col("source") == "src0", "a").otherwise("b")), ("lang", F.col("lang")), ("source", F.col("source"))]
 
