@@ -104,17 +104,17 @@ def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
-    percent: int = 85,
+    percent: int = 80,
     width: int = 5,
     coordinates: int = 48,
-    matches: int = 30,
+    matches: int = 25,
     block: int = 256,
 ) -> DataFrame:
     """One row for each input row: id, n_shingles, component_id (smallest linked id, itself included), kept (is that id).
 
     Documents are linked when the Jaccard similarity of their distinct word shingles is at least percent / 100. Candidates
-    agree in at least `matches` of `coordinates` MinHash values; a pair at exactly 0.85 fails that with a chance of 3 in
-    100,000. Texts without words are linked with nothing, repeated rows and equal sets share a component. A null id takes
+    agree in at least `matches` of `coordinates` MinHash values; a pair at exactly 0.80 fails 25 with a chance of 3 in
+    1,000,000, one at 0.85 fails 30 with a chance of 3 in 100,000. Texts without words are linked with nothing, repeated rows and equal sets share a component. A null id takes
     no part as smallest id: its component is that of its set's other holders, or null, and then it is kept. Ids are whole
     numbers. Other columns are ignored.
 

@@ -42,3 +42,19 @@ def test_nulls_and_no_rows(spark, docs, no_docs):
         for _, stage in corpus_pipeline.STAGES:
             own = stage(spark, own, "/root/testdata/sf0.001").cache()
         assert own.count() >= 0
+
+
+def test_near_copies_from_080(spark):
+    rows = []
+    for k in range(12):
+        words = [f"w{k}x{i}" for i in range(204)]
+        # Of 200 shingles, changes over five apart take away five each: 4 changes leave 180 of 220, a similarity of 0.82.
+        other = [f"{w}y" if i in (20, 60, 100, 140) else w for i, w in enumerate(words)]
+        # 5 changes leave 175 of 225, less than 0.80.
+        far = [f"{w}z" if i in (10, 50, 90, 130, 170) else w for i, w in enumerate(words)]
+        rows += [(10 * k, " ".join(words)), (10 * k + 1, " ".join(other)), (10 * k + 2, " ".join(far))]
+    sets = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for i, t in rows for w in [t.split()]}
+    want = {i for i in sets if not any(j < i and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]) for j in sets)}
+    assert len(want) == 24
+    df = spark.createDataFrame([(i, t, "en", "src0", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, df, "").collect()} == want
