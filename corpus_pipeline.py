@@ -30,17 +30,25 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return left.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
+def of_rows(docs: DataFrame, picked: DataFrame, how: str) -> DataFrame:
+    """Semi- or anti-join of documents with doc_id and text_hash, null ids included."""
+    hashed, p = docs.withColumn("text_hash", F.xxhash64("text")), picked.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).distinct()
+    return hashed.join(p, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_h")), how)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one with the smallest id, and one row of that."""
-    kept = neardup.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    """One document of each group of near copies stays: the one with the smallest id, and one row of each text of that.
+
+    A row is known by its id and text: texts that share an id stay, rows with a null id stay unless others hold their set.
+    """
+    kept = neardup.near_duplicates(docs, with_hash=True).where("kept")
+    return of_rows(docs, kept, "left_semi").dropDuplicates(["doc_id", "text_hash"]).select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
-    found = leaks.find_leaks(docs, table(spark, sf_dir, "benchmark"))
-    bad = found.where("contaminated").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*COLUMNS)
+    """Documents that hold a window of a benchmark item go, each row by its own text and whatever its id."""
+    found = leaks.find_leaks(docs, table(spark, sf_dir, "benchmark"), with_hash=True)
+    return of_rows(docs, found.where("contaminated"), "left_anti").select(*COLUMNS)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -54,9 +54,12 @@ def find_leaks(
     item_text_col: str = "text",
     window: int = 10,
     broadcast_rows: int = BROADCAST_ROWS,
+    with_hash: bool = False,
 ) -> DataFrame:
     """One row for each document row: id, n_words, n_hit, n_items, items (sorted ids as strings), contaminated.
 
+    with_hash: also text_hash, the text's xxhash64, to find the row again where ids are null or repeated.
+
     A window is `window` consecutive item words; an item of fewer words, but not none, is one window. A document word in
     any occurrence of a window is hit. Document words meet the windows by an equi-join on each window's rarest word; its
     place in the window fixes where the window would lie in the document, the document's ends bound it, and it is compared
@@ -106,4 +109,5 @@ def find_leaks(
         F.coalesce(F.col("_n_items"), F.lit(0)).cast("long").alias("n_items"),
         F.coalesce("_ids", F.array().cast("array<string>")).alias("items"),
         (hits > 0).alias("contaminated"),
+        *([F.col("_h").alias("text_hash")] if with_hash else []),
     )

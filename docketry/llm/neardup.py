@@ -109,9 +109,12 @@ def near_duplicates(
     coordinates: int = 48,
     matches: int = 25,
     block: int = 256,
+    with_hash: bool = False,
 ) -> DataFrame:
     """One row for each input row: id, n_shingles, component_id (smallest linked id, itself included), kept (is that id).
 
+    with_hash: also text_hash, the text's xxhash64, to find the row again where ids are null or repeated.
+
     Documents are linked when the Jaccard similarity of their distinct word shingles is at least percent / 100. Candidates
     agree in at least `matches` of `coordinates` MinHash values; a pair at exactly 0.80 fails 25 with a chance of 3 in
     1,000,000, one at 0.85 fails 30 with a chance of 3 in 100,000. Texts without words are linked with nothing, repeated rows and equal sets share a component. A null id takes
@@ -136,7 +139,7 @@ def near_duplicates(
                 c1.append(int.from_bytes(d[:8], "big", signed=True))
                 c2.append(int.from_bytes(d[8:], "big", signed=True))
                 keys.append(signature(s, coordinates) if len(s) else None)
-        out = {"id": batch.column("_id"), **{k: pa.array(v, pa.int64()) for k, v in (("n", n), ("c1", c1), ("c2", c2))}}
+        out = {"id": batch.column("_id"), "h": batch.column("_h"), **{k: pa.array(v, pa.int64()) for k, v in (("n", n), ("c1", c1), ("c2", c2))}}
         return pa.table(out | {"keys": pa.array(keys, pa.list_(pa.int64()))})
 
     def with_sets(batch: pa.RecordBatch) -> pa.Table:
@@ -155,7 +158,7 @@ def near_duplicates(
         return pd.DataFrame({"a": [ids[i] for i, _ in forest], "b": [ids[j] for _, j in forest]}, dtype="int64")
 
     own = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    signatures = written(map_arrow(own, signed, "id long, n long, c1 long, c2 long, keys array<long>"), "signatures")
+    signatures = written(map_arrow(own.withColumn("_h", F.xxhash64("_text")), signed, "id long, h long, n long, c1 long, c2 long, keys array<long>"), "signatures")
     holders = signatures.where((F.col("n") > 0) & F.col("id").isNotNull())
     classes = written(holders.groupBy("c1", "c2").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys")), "classes")
 
@@ -197,8 +200,8 @@ def near_duplicates(
     of_class = classes.select("c1", "c2", "id").join(joined.withColumnRenamed("node", "id"), "id", "left").select("c1", "c2", F.coalesce("root", "id").alias("component"))
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
     return (
-        signatures.select("id", "n", "c1", "c2")
+        signatures.select("id", "h", "n", "c1", "c2")
         .join(of_class, ["c1", "c2"], "left")
-        .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
+        .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), *([F.col("h").alias("text_hash")] if with_hash else []))
         .withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
     )

@@ -58,3 +58,16 @@ def test_near_copies_from_080(spark):
     assert len(want) == 24
     df = spark.createDataFrame([(i, t, "en", "src0", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, df, "").collect()} == want
+
+
+def test_rows_with_null_and_shared_ids(spark):
+    sf_dir = "/root/testdata/sf0.001"
+    item = table(spark, sf_dir, "benchmark").where("length(text) > 60").orderBy("item_id").first()["text"]
+    text = lambda k: " ".join(f"t{k}x{i}" for i in range(60))
+    rows = [(1, text(1)), (2, text(2)), (2, text(3)), (2, text(3)), (None, text(4)), (None, text(4)), (None, text(5)), (None, text(1)), (3, text(6)), (4, text(6))]
+    df = lambda r: spark.createDataFrame([(i, t, "en", "src0", len(t)) for i, t in r], "doc_id long, text string, lang string, source string, n_chars long")
+    out = lambda d: sorted(((r["doc_id"], r["text"]) for r in d.collect()), key=str)
+    want = [(1, text(1)), (2, text(2)), (2, text(3)), (None, text(4)), (None, text(5)), (3, text(6))]
+    assert out(corpus_pipeline.near_dedup(spark, df(rows), sf_dir)) == sorted(want, key=str)
+    bad = [(None, f"{text(7)} {item} {text(8)}"), (2, f"{text(9)} {item}")]
+    assert out(corpus_pipeline.decontamination(spark, df(want + bad), sf_dir)) == sorted(want, key=str)
