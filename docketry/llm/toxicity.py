@@ -50,11 +50,11 @@ def compressor(content: bytes) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(dict_data=dictionary, compression_params=settings)
 
 
-def train_dictionaries(toxic: Sequence[str], ordinary: Sequence[str], size: int, min_contexts: int, odds: float) -> tuple[bytes, bytes]:
+def train_dictionaries(toxic: Sequence[str], ordinary: Sequence[str], size: int, min_share: float, odds: float) -> tuple[bytes, bytes]:
     """Dictionaries of at most `size` bytes each.
 
     Both end in the most frequent words, so that ordinary words cost the same under either. Before them stand the words
-    that one class uses after at least min_contexts different words, and by their share of all contexts `odds` times as
+    that one class uses after at least two different words and min_share as many as it has texts, and by their share of all contexts `odds` times as
     much as the other class; the most frequent stand last, where zstandard reaches them with the shortest offsets.
     Different contexts are counted, not uses: copies of a text add nothing.
     """
@@ -76,7 +76,8 @@ def train_dictionaries(toxic: Sequence[str], ordinary: Sequence[str], size: int,
             base.append(w)
     out = []
     for mine in (0, 1):
-        typical = [(n, w) for w, n in counts[mine].items() if n >= min_contexts and (n + 0.5) / total[mine] >= odds * (counts[1 - mine].get(w, 0) + 0.5) / total[1 - mine]]
+        least = max(2, min_share * len((toxic, ordinary)[mine]))
+        typical = [(n, w) for w, n in counts[mine].items() if n >= least and (n + 0.5) / total[mine] >= odds * (counts[1 - mine].get(w, 0) + 0.5) / total[1 - mine]]
         picked, room = [], size // 2
         for _, w in sorted(typical, key=lambda x: (-x[0], x[1])):
             room -= len(w) + 1
@@ -130,14 +131,14 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 30, ridge: float = 1e-2
     return w
 
 
-def train(texts: Sequence[str | None], labels: Sequence[int], size: int = 16_384, window: int = 1, min_contexts: int = 12, odds: float = 8.0) -> Model:
+def train(texts: Sequence[str | None], labels: Sequence[int], size: int = 16_384, window: int = 1, min_share: float = 0.012, odds: float = 8.0) -> Model:
     """Dictionaries from one half of the sample, threshold and weights from the other; ordinary only if a class is missing."""
     y = np.array(labels, float)
     if not len(y) or y.min() == y.max():
         return Model(b"", b"", window, 1.0, (30.0 if len(y) and y.min() == 1 else -30.0, 0.0, 0.0, 0.0, 0.0))
     half = np.arange(len(y)) % 2 == 0
     first = [(t, v) for t, v, h in zip(texts, y, half, strict=True) if h]
-    pair = train_dictionaries([t for t, v in first if v == 1], [t for t, v in first if v == 0], size, min_contexts, odds)
+    pair = train_dictionaries([t for t, v in first if v == 1], [t for t, v in first if v == 0], size, min_share, odds)
     known_distances = distances(*pair)
     rest = [(known_distances.of(t, window), v) for t, v, h in zip(texts, y, half, strict=True) if not h]
     known = np.array([v for _, v in rest])

@@ -238,3 +238,9 @@ def test_toxicity_on_held_out_texts(spark, no_docs):
     assert {r["predicted"] for r in found if r["doc_id"] >= 900} == {0}
     assert {r["predicted"] for r in rows(toxicity.score_toxicity(df, known.where("toxic = 0")))} == {0}
     assert toxicity.score_toxicity(no_docs, known).count() == 0
+
+
+def test_toxic_words_of_a_small_sample():
+    toxic = [" ".join(prose(k, 30).split()[:28] + ["nastybag", "end"]) if k % 3 == 0 else prose(k, 30) for k in range(24)]
+    model = toxicity.train([t for k in range(24) for t in (toxic[k], toxic[k], prose(500 + k, 30), prose(600 + k, 30))], [1, 1, 0, 0] * 24)
+    assert b"nastybag" in model.toxic and b"nastybag" not in model.ordinary
