@@ -1,231 +1,175 @@
 """LM scoring by prediction by partial matching: a byte-context trie over the running text, escape estimates and symbol exclusion.
 
-The trie's first level is the line: a line seen in training is one edge from the start of a line, with as much chance as
-its share of all lines; other lines escape and are spelled byte by byte. A byte's contexts are all of its word so far, where
-that is more than seven bytes, then the latest seven bytes of the text, across words and lines, then six, and so on.
+The trie is a table for each order k: a row is a node's context of k bytes with one symbol after it, packed in a whole
+number, and the symbol's count. Counting goes from the longest order down, chances go from order 0 up, one join of a
+context with its own shorter form at a time. No key of these joins and windows has more than 256 rows.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketry.llm._shared import map_arrow, parts_for, text_bytes, written
 
-#: Longest context that is kept byte by byte, so that context and symbol fill 64 bits.
-ORDER = 7
-#: Keys beside words, which no word equals: the end of a text, the end of a line, and before the hash of a whole line.
-END, LINE_END, LINE = b"", b"\n", b"\n"
-SPACE, NEWLINE = 0x20, 0x0A
-FACTOR, MIXER = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15)
-#: Symbols that can follow: all bytes.
-ALPHABET = 256
+#: Context and symbol must fit a positive 64-bit number.
+MAX_ORDER = 6
+#: Stands before every text as often as the order is long, and the symbol that ends it: a byte that UTF-8 never uses.
+START, END = b"\n", b"\xff"
+SYMBOLS = 256
 #: Grams that a task gathers before it sums equal ones, bytes of text that are taken at a time, and rows of a batch sent on.
 GATHER, PIECE, BATCH = 1_500_000, 250_000, 100_000
+#: Contexts with as many distinct symbols or more share their escape estimates.
+MOST_DISTINCT = 20
 
 
-def lines(text: str | None) -> list[list[bytes]]:
-    """Words between space characters, A-Z lower-cased, of every line."""
-    return [line.split() for line in (text or "").encode("utf-8", "surrogatepass").lower().split(b"\n")]
+def words(text: str | None) -> list[bytes]:
+    """Words between space characters, A-Z lower-cased, and the end, which is no word."""
+    return [*(text or "").encode("utf-8", "surrogatepass").lower().split(), b""]
 
 
-def line_key(words: list[bytes]) -> bytes:
-    return LINE + xxhash.xxh3_64_digest(b" ".join(words))
+def grams(texts: list[str | None], order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For every byte of every text, A-Z lower-cased, and its end: the byte with its context above it, and its text's number.
 
-
-def keys(text: str | None) -> list[bytes]:
-    """All keys that a text is counted and looked up by: its words, a line's key for each line, and its end."""
-    out = [END]
-    for words in lines(text):
-        out += words
-        out.append(line_key(words))
-    return out
-
-
-def running(words: list[bytes]) -> bytes:
-    """Words with a space between them, none beside the end of a line; a line's end stands before the text as its first context."""
-    return LINE_END + b" ".join(words).replace(b" \n", b"\n").replace(b"\n ", b"\n")
-
-
-def running_text(text: str | None) -> bytes:
-    return running([w for words in lines(text) for w in (*words, LINE_END)])
-
-
-def contexts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For every symbol of running texts, without each one's first byte: its gram, its long context's hash, its text's number.
-
-    A gram holds the symbol in its lowest byte and, above, the context, latest byte first: at most ORDER bytes back to the
-    text's start, over spaces and line ends. The context's order shows in its highest byte that isn't zero; zero bytes of
-    a text count as ones. The hash stands for the word so far, with the place before it, if that is more than ORDER
-    bytes, and is 0 if not.
+    About PIECE bytes at a time; a longer text comes in several pieces, each with the bytes before it as context.
     """
-    b = np.frombuffer(b"".join(texts).replace(b"\0", b"\x01"), np.uint8)
-    sizes = np.array([len(t) for t in texts], np.int64)
-    first = np.repeat(np.cumsum(sizes) - sizes, sizes)
-    at = np.arange(len(b))
-    gram = b.astype(np.uint64)
-    for k in range(1, ORDER + 1):
-        inside = at - k >= first
-        gram[inside] |= b[at[inside] - k].astype(np.uint64) << np.uint64(8 * k)
-    # Of every place the latest space or line end, itself included. Differences of running sums of byte * factor^place hash
-    # every prefix of every word at once.
-    gap = (b == SPACE) | (b == NEWLINE)
-    start = np.maximum.accumulate(np.where(gap, at, 0))
-    place = at - start
-    powers = np.cumprod(np.full(int(place.max(initial=0)) + 1, FACTOR, np.uint64))
-    sums = np.cumsum(np.where(gap, 0, b.astype(np.uint64) + np.uint64(1)) * powers[place], dtype=np.uint64)
-    before = np.maximum(at - 1, 0)
-    whole = sums[before] - sums[start[before]]
-    whole = (whole ^ (whole >> np.uint64(31))) * FACTOR
-    whole[at - start[before] <= ORDER] = 0
-    keep = at > first
-    return gram[keep], whole[keep], np.repeat(np.arange(len(texts)), sizes)[keep]
-
-
-def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Of the running text of words and line ends: every symbol's gram and its word's number. A space is its word's last symbol."""
-    size = [len(w) + (w != LINE_END and after not in (LINE_END, None)) for w, after in zip(words, [*words[1:], None], strict=True)]
-    return contexts([running(words)])[0], np.repeat(np.arange(len(words)), size)
-
-
-def gram_keys(gram: np.ndarray, whole: np.ndarray) -> np.ndarray:
-    """64 bits for a symbol and all of its contexts: the gram itself, or a hash where there is a long context."""
-    x = (gram * MIXER) ^ whole
-    x = (x ^ (x >> np.uint64(29))) * FACTOR
-    return np.where(whole == 0, gram, x ^ (x >> np.uint64(32)))
-
-
-def pieces(texts: list[str | None]) -> Iterator[tuple[int, list[bytes]]]:
-    """Running texts, about PIECE bytes of them at a time, each time with the first one's number."""
-    first, found, size = 0, [], 0
+    parts, owners, sizes, size = [], [], [], 0
     for i, t in enumerate(texts):
-        found.append(running_text(t))
-        size += len(found[-1])
-        if size >= PIECE:
-            yield first, found
-            first, found, size = i + 1, [], 0
-    if found:
-        yield first, found
-
-
-def masked(gram: np.ndarray, order: int) -> np.ndarray:
-    """The gram with its context cut to the latest `order` bytes."""
-    return gram & np.uint64((1 << (8 * (order + 1))) - 1)
-
-
-def orders(gram: np.ndarray) -> np.ndarray:
-    return sum(((gram >> np.uint64(8 * k)) & np.uint64(0xFF)) != 0 for k in range(1, ORDER + 1))
-
-
-class Level:
-    """One order in a shard: each row's count under its context, its context's number, total and distinct symbols."""
-
-    def __init__(self, context: np.ndarray, symbol: np.ndarray, n: np.ndarray, has: np.ndarray) -> None:
-        size = len(symbol)
-        self.count, self.total, self.distinct, self.node = np.zeros(size), np.zeros(size), np.zeros(size), np.full(size, -1)
-        contexts, node = np.unique(context[has], return_inverse=True)
-        pairs, first, pair = np.unique(node * ALPHABET + symbol[has], return_index=True, return_inverse=True)
-        count, of = np.bincount(pair, n[has], len(pairs)), pairs // ALPHABET
-        self.count[has], self.node[has] = count[pair], node
-        self.total[has] = np.bincount(of, count, len(contexts))[node]
-        self.distinct[has] = np.bincount(of, count > 0, len(contexts))[node]
-        # A row for each context and symbol that it has seen.
-        self.seen, self.seen_node, self.nodes = np.flatnonzero(has)[first[count > 0]], of[count > 0], len(contexts)
-
-
-def resolve(gram: np.ndarray, n: np.ndarray, low: tuple[np.ndarray, np.ndarray], whole: np.ndarray | None = None) -> np.ndarray:
-    """Natural logarithm of each gram's probability; all grams whose context ends in the same two bytes must be there.
-
-    From the longest context down, a context that was never seen is passed over; one that has seen the symbol gives it its
-    share of the total of symbols that no longer context has seen (they are excluded: had they been meant, they would have
-    been coded there); else the escape's chance is paid. The longest context of a symbol counts every use; shorter ones
-    count each longer one that saw the symbol once, as a trie does that stops its updates where the symbol is known.
-    low: such counts by last byte and symbol, and by symbol. whole: hashes of contexts of more than ORDER bytes, 0 for none.
-    """
-    order = orders(gram)
-    if whole is not None:
-        order = np.where(whole != 0, ORDER + 1, order)
-    symbol, last = (gram & np.uint64(0xFF)).astype(int), ((gram >> np.uint64(8)) & np.uint64(0xFF)).astype(int)
-    chance, open_ = np.zeros(len(gram)), np.ones(len(gram), bool)
-    kinds = (n > 0).astype(float)
-    by_byte, by_symbol = low
-    above: Level | None = None
-    for k in range(ORDER if whole is None else ORDER + 1, -1, -1):
-        if k >= 2:
-            has = order >= k
-            here = Level(whole if k > ORDER else masked(gram, k) >> np.uint64(8), symbol, np.where(order == k, n, kinds), has)
-            count, total, distinct = here.count, here.total, here.distinct
-        else:
-            has = order >= k
-            table = by_byte[last] if k == 1 else np.broadcast_to(by_symbol, (len(gram), ALPHABET))
-            count = np.where(has, table[np.arange(len(gram)), symbol], 0)
-            total, distinct = np.where(has, table.sum(1), 0), np.where(has, (table > 0).sum(1), 0)
-        if above is not None and k >= 1:
-            # What this order counts of the symbols that the context one longer has seen.
-            gone = np.bincount(above.seen_node, count[above.seen], above.nodes)
-            gone_kinds = np.bincount(above.seen_node, minlength=above.nodes)
-            longer = above.node >= 0
-            total, distinct = total.copy(), distinct.astype(float)
-            total[longer] -= gone[above.node[longer]]
-            distinct[longer] -= gone_kinds[above.node[longer]]
-        elif k == 0:
-            known = by_byte[last] > 0
-            total, distinct = total - (known * by_symbol[None, :]).sum(1), distinct - known.sum(1)
-        usable = open_ & (total > 0.5)
-        found = usable & (count > 0)
-        # Method D: half a count of every distinct symbol goes to the escape.
-        chance[found] += np.log((count[found] - 0.5) / total[found])
-        chance[usable & ~found] += np.log(distinct[usable & ~found] / (2 * total[usable & ~found]))
-        open_ &= ~found
-        above = here if k >= 2 else None
-    left = max(1, ALPHABET - int((by_symbol > 0).sum()))
-    chance[open_] -= np.log(left)
-    return chance
-
-
-def sums_of(gram: np.ndarray, whole: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct grams with their long contexts, and the sums of their counts."""
-    _, first, at = np.unique(gram_keys(gram, whole), return_index=True, return_inverse=True)
-    return gram[first], whole[first], np.bincount(at, n, len(first)).astype(np.int64)
-
-
-def summed(parts: Iterable[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    """Distinct grams without long contexts and the sums of their counts."""
-    gram, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-    gram, _, n = sums_of(gram, np.zeros_like(gram), n)
-    return pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(n)], ["gram", "n"])
-
-
-def gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = START * order + (t or "").encode("utf-8", "surrogatepass").lower() + END
+        for at in range(order, len(whole), PIECE):
+            parts.append(whole[at - order : at + PIECE])
+            owners.append(i)
+            sizes.append(len(parts[-1]))
+            size += sizes[-1]
+            if size >= PIECE:
+                yield packed(parts, owners, sizes, order)
+                parts, owners, sizes, size = [], [], [], 0
+    if parts:
+        yield packed(parts, owners, sizes, order)
+
+
+def packed(parts: list[bytes], owners: list[int], sizes: list[int], order: int) -> tuple[np.ndarray, np.ndarray]:
+    b = np.frombuffer(b"".join(parts), np.uint8).astype(np.int64)
+    gram = b[order:].copy()
+    for k in range(1, order + 1):
+        gram |= b[order - k : len(b) - k] << (8 * k)
+    # The first `order` bytes of each part are context only.
+    size = np.array(sizes)
+    place = np.arange(len(b)) - np.repeat(np.cumsum(size) - size, size)
+    own = place[order:] >= order
+    return gram[own], np.repeat(np.array(owners), size)[order:][own]
+
+
+def summed(gram: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams and the sums of their counts."""
+    code, distinct = pd.factorize(gram)
+    return distinct, np.bincount(code, n, len(distinct)).astype(np.int64)
+
+
+def gram_counts(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordBatch]:
     """Grams of all texts with their uses, none for held-out ones; a task's equal ones are summed as long as that saves half."""
 
-    def batches_of(gram: np.ndarray, whole: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def rows(gram: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
         for at in range(0, len(gram), BATCH):
-            part = slice(at, at + BATCH)
-            yield pa.RecordBatch.from_arrays([pa.array(gram[part].view(np.int64)), pa.array(whole[part].view(np.int64)), pa.array(n[part])], ["gram", "whole", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(gram[at : at + BATCH]), pa.array(n[at : at + BATCH])], ["gram", "n"])
 
     gathered, size = [], 0
     for batch in batches:
         learnt = 1 - np.array(batch.column("_held").to_pylist(), np.int64)
-        for first, texts in pieces(batch.column("_text").to_pylist()):
-            gram, whole, owner = contexts(texts)
-            gathered.append(sums_of(gram, whole, learnt[first + owner]))
+        for gram, owner in grams(batch.column("_text").to_pylist(), order):
+            gathered.append(summed(gram, learnt[owner]))
             size += len(gathered[-1][0])
             if size >= GATHER:
-                gathered = [sums_of(*(np.concatenate(x) for x in zip(*gathered, strict=True)))]
+                gathered = [summed(*map(np.concatenate, zip(*gathered, strict=True)))]
                 size = len(gathered[0][0])
                 if size > GATHER // 2:
-                    yield from batches_of(*gathered[0])
+                    yield from rows(*gathered[0])
                     gathered, size = [], 0
     if gathered:
-        yield from batches_of(*sums_of(*(np.concatenate(x) for x in zip(*gathered, strict=True))))
+        yield from rows(*summed(*map(np.concatenate, zip(*gathered, strict=True))))
+
+
+def cut(order: int) -> int:
+    """Keeps a gram's symbol and the latest `order` bytes of its context."""
+    return (1 << (8 * (order + 1))) - 1
+
+
+def bucket(total: Column, distinct: Column) -> tuple[Column, Column]:
+    """Contexts of like totals and of like numbers of distinct symbols share their escape estimate."""
+    return F.when(total < 8, total).otherwise(F.length(F.bin(total)) + 4).cast("int"), F.least(distinct, F.lit(MOST_DISTINCT)).cast("int")
+
+
+def nodes(trie: DataFrame, order: int) -> list[DataFrame]:
+    """For every order: gram, n (uses), total and distinct (of its context). Grams that training never used have n = 0.
+
+    The longest order counts every use; a shorter one counts each longer context that saw the symbol once, as a trie does
+    that stops its updates where the symbol is known.
+    """
+    levels: list[DataFrame] = []
+    cells = trie
+    for k in range(order, -1, -1):
+        context = F.shiftright("gram", 8).alias("context")
+        own = cells.select(context, "gram", "n").repartition("context").groupBy("context", "gram").agg(F.sum("n").alias("n"))
+        same = Window.partitionBy("context")
+        level = written(own.select("gram", "n", F.sum("n").over(same).alias("total"), F.sum((F.col("n") > 0).cast("long")).over(same).alias("distinct")), f"order-{k}")
+        levels.append(level)
+        cells = level.select(F.col("gram").bitwiseAND(F.lit(cut(max(k - 1, 0)))).alias("gram"), (F.col("n") > 0).cast("long").alias("n"))
+    return levels[::-1]
+
+
+def escape_estimates(levels: list[DataFrame]) -> list[tuple[int, int, int, float, float]]:
+    """(order, bucket of totals, of distinct symbols, escapes, uses), each use of every context judged as if it were left out.
+
+    A use is an escape if its symbol has no other use in that context; what is left is the context that would have met it.
+    At most some 10,000 rows, whatever the input's size.
+    """
+    found = []
+    for k, level in enumerate(levels):
+        single = F.col("n") == 1
+        size, kinds = bucket(F.col("total") - 1, F.col("distinct") - single.cast("long"))
+        used = level.where("n > 0").select(F.lit(k).alias("k"), size.alias("t"), kinds.alias("d"), single.cast("long").alias("e"), "n")
+        found.append(used.groupBy("k", "t", "d").agg(F.sum("e").cast("double").alias("e"), F.sum("n").cast("double").alias("a")))
+    return [tuple(r) for r in reduce(DataFrame.unionAll, found).collect()]
+
+
+def chances(levels: list[DataFrame]) -> DataFrame:
+    """gram and chance, the natural logarithm of its symbol's probability after its context, of all grams of the longest order.
+
+    A context that was never seen is passed over. One that has seen the symbol gives it its share of what is left when
+    symbols that the longer contexts know are excluded, times the chance of no escape; else the escape is paid and the
+    context one byte shorter is asked. Below order 0 all bytes that were never seen are alike. An escape's chance in a
+    context of `total` uses and `distinct` symbols is the left-out estimate of its bucket, which half a use of each
+    distinct symbol (method D) stands in for with the weight of two uses.
+    """
+    spark = levels[0].sparkSession
+    estimates = spark.createDataFrame(escape_estimates(levels), "_k int, _t int, _d int, _e double, _a double")
+    out = None
+    for k, level in enumerate(levels):
+        size, kinds = bucket(F.col("total"), F.col("distinct"))
+        known = F.broadcast(estimates.where(F.col("_k") == k).drop("_k"))
+        escape = (F.coalesce("_e", F.lit(0.0)) + F.col("distinct") / F.col("total")) / (F.coalesce("_a", F.lit(0.0)) + 2)
+        here = level.withColumns({"_size": size, "_kinds": kinds}).join(known, (F.col("_size") == F.col("_t")) & (F.col("_kinds") == F.col("_d")), "left")
+        here = here.select("gram", "n", "total", F.when(F.col("total") > 0, escape).otherwise(1.0).alias("escape"), "distinct")
+        if out is None:
+            # lower: the chance after an escape from this context, what it has seen excluded.
+            out = here.withColumn("lower", 1 / F.greatest(F.lit(SYMBOLS) - F.col("distinct"), F.lit(1)))
+        else:
+            shorter = out.select(F.col("gram").alias("_suffix"), *(F.col(c).alias(f"_{c}") for c in ("n", "total", "escape", "lower")))
+            met = here.withColumn("_short", F.col("gram").bitwiseAND(F.lit(cut(k - 1)))).join(shorter, F.col("_short") == F.col("_suffix"))
+            known_there = F.sum(F.when(F.col("n") > 0, F.col("_n")).otherwise(0)).over(Window.partitionBy(F.shiftright("gram", 8)))
+            left = F.col("_left")
+            lower = F.when(left <= 0, F.col("_lower")).when(F.col("_n") > 0, (1 - F.col("_escape")) * F.col("_n") / left).otherwise(F.col("_escape") * F.col("_lower"))
+            out = met.withColumn("_left", F.col("_total") - known_there).select("gram", "n", "total", "escape", lower.alias("lower"))
+    chance = F.when(F.col("n") > 0, (1 - F.col("escape")) * F.col("n") / F.col("total")).otherwise(F.col("escape") * F.col("lower"))
+    return out.select("gram", F.log(chance).alias("chance"))
 
 
 def score(
@@ -233,130 +177,85 @@ def score(
     held_out: Callable[[Column], Column] | None = None,
     id_col: str = "doc_id",
     text_col: str = "text",
+    order: int = 5,
     block_bytes: int = 16_000_000,
-    word_block: int = 400_000,
 ) -> DataFrame:
-    """One row for each document row: id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_seen_lines.
+    """One row for each document row: id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes.
 
     held_out: a condition on the id; its rows are scored but never learnt from. Words stand between space characters, A-Z
     lower-cased; a text's tokens are its words and an end. base_score is an add-one unigram model of whole tokens. score is
-    the log10 probability of the text's lines of words by a pretrained trie of byte contexts: PPM with escape by method D
-    (half a count of each distinct symbol) and symbol exclusion. Its contexts run over the text, so a word is predicted from
-    what stands before it: order counts. The base names every unknown word at the price of one of V + 1; the trie spells
-    it, so it pays more for unknown words and gains on known lines, phrases and parts of words.
+    the log10 probability of all bytes of the text, A-Z lower-cased, and its end, by a pretrained trie of byte contexts
+    of at most `order` bytes (6 at most), which run over spaces and line ends: PPM with escape estimates and symbol
+    exclusion (`chances`). The base names every unknown word at the price of one of V + 1, however long; the trie spells it.
 
-    A null text counts as an empty one: one empty line. Null ids are learnt from. Without training rows the base gives 1
+    A null text counts as an empty one: its end alone. Null ids are learnt from. Without training rows the base gives 1
     to every token and the trie 1/256 to every byte. Repeated rows are learnt from and scored one by one; other columns are
     ignored; an empty table gives no rows.
 
-    Everything grows with the input and is dealt out by keys: counts by word or line, the trie by a context's last two
-    bytes (only the counts of contexts of one byte or none, at most 65,792, are sent to all tasks). A task sums its equal
-    grams before they are shuffled. A block of about block_bytes of documents looks up its distinct words, lines and grams, so
-    frequent ones weigh no more than rare ones. Texts are shuffled once. Grams' chances are kept in single precision, and
-    64-bit hashes stand for lines and for long contexts. word_block has no effect: words are no longer spelled apart from
-    their texts. Steps end in tables in the shared folder.
+    Everything grows with the input and is dealt out by keys of bounded size: words by word, nodes by context (`nodes`).
+    Only the escape estimates, a table of bounded size, come to the driver. A task sums its equal grams before they are
+    shuffled. A block of about block_bytes of documents looks up its distinct words and grams, so frequent ones weigh no
+    more than rare ones. Texts are shuffled once. Steps that others read again are tables in the shared folder.
     """
+    if not 1 <= order <= MAX_ORDER:
+        raise ValueError(f"order must be 1 to {MAX_ORDER}")
     held = F.coalesce(held_out(F.col(id_col)), F.lit(False)) if held_out else F.lit(False)
     own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), held.alias("_held"))
 
     def counted(batch: pa.RecordBatch) -> pa.Table:
         learnt, other = Counter(), set()
         for t, h in zip(batch.column("_text").to_pylist(), batch.column("_held").to_pylist(), strict=True):
-            if h:
-                other.update(keys(t))
-            else:
-                learnt.update(keys(t))
+            (other if h else learnt).update(words(t))
         found = [*learnt, *other.difference(learnt)]
         return pa.table({"word": pa.array(found, pa.binary()), "c": pa.array([learnt.get(w, 0) for w in found], pa.int64())})
 
     vocabulary = written(map_arrow(own, counted, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "vocabulary")
-    line_start, length = F.substring("word", 1, 1) == F.lit(LINE), F.length("word")
-    is_line, is_token, seen = line_start & (length > 1), ~line_start, F.col("c") > 0
-    sums = vocabulary.agg(
-        *(F.coalesce(F.sum(F.when(kind, what)), F.lit(0)).alias(name) for name, kind, what in (
-            ("tokens", is_token, F.col("c")),
-            ("distinct", is_token & seen, F.lit(1)),
-            ("lines", is_line, F.col("c")),
-            ("distinct_lines", is_line & seen, F.lit(1)),
-            ("texts", length == 0, F.col("c")),
-        )),
-    ).first()
+    sums = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("tokens"), F.count_if(F.col("c") > 0).alias("distinct")).first()
     n_train, base_of = sums["tokens"], np.log10(sums["tokens"] + sums["distinct"] + 1)
-    n_lines, escaped = sums["lines"], np.log(sums["distinct_lines"] / (2 * sums["lines"])) if sums["lines"] else 0.0
-    p_end = (sums["texts"] + 1) / (n_lines + 2)
-
-    trie = written(own.mapInArrow(gram_counts, "gram long, whole long, n long").groupBy("gram", "whole").agg(F.sum("n").alias("n")), "trie")
-    # Counts under the last byte: uses where that byte is all the context there is, else distinct longer contexts.
-    uses = F.when(F.shiftrightunsigned("gram", 16) == 0, F.col("n")).otherwise((F.col("n") > 0).cast("long"))
-    by_byte = np.zeros((ALPHABET, ALPHABET))
-    for r in trie.groupBy(F.col("gram").bitwiseAND(0xFFFF).alias("g")).agg(F.sum(uses).alias("n")).collect():
-        by_byte[r["g"] >> 8, r["g"] & 0xFF] = r["n"]
-    low = docs.sparkSession.sparkContext.broadcast((by_byte, (by_byte > 0).sum(0).astype(float)))
-
-    def resolved(shard: pa.Table) -> pa.Table:
-        gram, whole = (shard.column(c).to_numpy().view(np.uint64) for c in ("gram", "whole"))
-        chance = resolve(gram, shard.column("n").to_numpy().astype(float), low.value, whole)
-        return pa.table({"key": pa.array(gram_keys(gram, whole).view(np.int64)), "chance": pa.array(chance.astype(np.float32))})
-
-    tail = F.shiftrightunsigned("gram", 8).bitwiseAND(0xFFFF).alias("tail")
-    chances = trie.groupBy(tail).applyInArrow(resolved, "key long, chance float")
-    words = vocabulary.where(~is_line | seen)
-
-    def block_keys(texts: pa.Table) -> pa.Table:
+    trie = own.mapInArrow(lambda batches: gram_counts(batches, order), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    chance = chances(nodes(trie, order))
+
+    def block_words(texts: pa.Table) -> pa.Table:
         found: set[bytes] = set()
         for t in texts.column("_text").to_pylist():
-            found.update(keys(t))
+            found.update(words(t))
         return pa.table({"block": pa.array([texts.column("block")[0].as_py()] * len(found), pa.int64()), "word": pa.array(list(found), pa.binary())})
 
     def block_grams(texts: pa.Table) -> pa.Table:
-        gathered, size = [np.empty(0, np.uint64)], 0
-        for _, part in pieces(texts.column("_text").to_pylist()):
-            gathered.append(np.unique(gram_keys(*contexts(part)[:2])))
+        gathered, size = [np.empty(0, np.int64)], 0
+        for gram, _ in grams(texts.column("_text").to_pylist(), order):
+            gathered.append(pd.unique(gram))
             size += len(gathered[-1])
             if size >= 2 * GATHER:
-                gathered, size = [np.unique(np.concatenate(gathered))], 0
-        found = np.unique(np.concatenate(gathered))
-        return pa.table({"block": pa.array(np.full(len(found), texts.column("block")[0].as_py(), np.int64)), "key": pa.array(found.view(np.int64))})
+                gathered, size = [pd.unique(np.concatenate(gathered))], 0
+        found = pd.unique(np.concatenate(gathered))
+        return pa.table({"block": pa.array(np.full(len(found), texts.column("block")[0].as_py(), np.int64)), "gram": pa.array(found)})
 
     # A block's distinct words and grams and the block itself come from the same shuffle.
     placed = own.select(F.pmod(F.xxhash64("_id", "_text"), F.lit(parts_for(text_bytes(own, "_text"), block_bytes))).alias("block"), "*")
-    needed_words = placed.groupBy("block").applyInArrow(block_keys, "block long, word binary").join(words, "word")
-    needed_grams = placed.groupBy("block").applyInArrow(block_grams, "block long, key long").join(chances, "key")
-    needed = needed_words.select("block", "word", "c", F.lit(None).cast("long").alias("key"), F.lit(None).cast("float").alias("chance")).union(
-        needed_grams.select("block", F.lit(None).cast("binary"), F.lit(None).cast("long"), "key", "chance")
+    needed_words = placed.groupBy("block").applyInArrow(block_words, "block long, word binary").join(vocabulary, "word")
+    needed_grams = placed.groupBy("block").applyInArrow(block_grams, "block long, gram long").join(chance, "gram")
+    needed = needed_words.select("block", "word", "c", F.lit(None).cast("long").alias("gram"), F.lit(None).cast("double").alias("chance")).union(
+        needed_grams.select("block", F.lit(None).cast("binary"), F.lit(None).cast("long"), "gram", "chance")
     )
 
     def doc_scores(texts: pa.Table, known: pa.Table) -> pa.Table:
-        of_words, of_grams = known.filter(pc.is_null(known.column("key"))), known.filter(pc.is_valid(known.column("key")))
+        of_words, of_grams = known.filter(pc.is_null(known.column("gram"))), known.filter(pc.is_valid(known.column("gram")))
         number = {w: i for i, w in enumerate(of_words.column("word").to_pylist())}
         c = of_words.column("c").to_numpy()
         base = np.log10(c + 1) - base_of
-        key = of_grams.column("key").to_numpy()
-        order = np.argsort(key)
-        key, chance = key[order], of_grams.column("chance").to_numpy()[order].astype(float)
-        rows, all_texts = [], texts.column("_text").to_pylist()
-        for first, part in pieces(all_texts):
-            gram, whole, _ = contexts(part)
-            own_chance = chance[np.searchsorted(key, gram_keys(gram, whole).view(np.int64))]
-            # Every line ends in one line end; its chances are summed from the one before to it.
-            ends = (gram & np.uint64(0xFF)) == NEWLINE
-            by_line = np.bincount(np.cumsum(ends) - ends, own_chance)
-            line_at = 0
-            for t in all_texts[first : first + len(part)]:
-                at, total, seen_lines = [number[END]], np.log(p_end), 0
-                for i, own in enumerate(lines(t)):
-                    at += map(number.__getitem__, own)
-                    total += np.log1p(-p_end) if i else 0.0
-                    line = number.get(line_key(own))
-                    if line is None:
-                        total += escaped + by_line[line_at]
-                    else:
-                        seen_lines += 1
-                        total += np.log((c[line] - 0.5) / n_lines)
-                    line_at += 1
-                at = np.array(at)
-                rows.append((len(at), int((c[at] > 0).sum()), float(base[at].sum()), float(total / np.log(10)), seen_lines))
-        n, k, b, s, l = zip(*rows, strict=True) if rows else ((),) * 5
+        place, value = pd.Index(of_grams.column("gram").to_numpy()), of_grams.column("chance").to_numpy()
+        all_texts = texts.column("_text").to_pylist()
+        total, n_bytes = np.zeros(len(all_texts)), np.zeros(len(all_texts), np.int64)
+        for gram, owner in grams(all_texts, order):
+            code, distinct = pd.factorize(gram)
+            total += np.bincount(owner, value[place.get_indexer(distinct)][code], len(all_texts))
+            n_bytes += np.bincount(owner, minlength=len(all_texts))
+        rows = []
+        for t in all_texts:
+            at = np.fromiter(map(number.__getitem__, words(t)), np.int64)
+            rows.append((len(at), int((c[at] > 0).sum()), float(base[at].sum())))
+        n, k, b = zip(*rows, strict=True) if rows else ((),) * 3
         return pa.table(
             {
                 id_col: texts.column("_id"),
@@ -365,12 +264,12 @@ def score(
                 "n_known": pa.array(k, pa.int64()),
                 "train_tokens": pa.array([n_train] * len(n), pa.int64()),
                 "base_score": pa.array(b, pa.float64()),
-                "score": pa.array(s, pa.float64()),
-                "n_seen_lines": pa.array(l, pa.int64()),
+                "score": pa.array(total / np.log(10), pa.float64()),
+                "n_bytes": pa.array(n_bytes - 1, pa.int64()),
             }
         )
 
     kind = docs.schema[id_col].dataType.simpleString()
     return placed.groupBy("block").cogroup(needed.groupBy("block")).applyInArrow(
-        doc_scores, f"`{id_col}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_seen_lines long"
+        doc_scores, f"`{id_col}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long"
     )

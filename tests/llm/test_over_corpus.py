@@ -111,37 +111,82 @@ def test_language_model_base_against_plain(docs, texts, no_docs):
     c = Counter(w for i, s in seqs if not out(i) for w in s)
     n, v = sum(c.values()), len(c)
     want = sorted(((i, out(i), len(s), sum(c[w] > 0 for w in s), n, round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in s), 6)) for i, s in seqs), key=str)
-    for blocks in ({}, {"block_bytes": 2000, "word_block": 50}):
+    for blocks in ({}, {"block_bytes": 2000}):
         found = rows(ppm.score(docs, held_out=held, **blocks))
         assert sorted(((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in found), key=str) == want
-        scores = sorted(round(r["score"], 6) for r in found)
-        assert all(s < 0 for s in scores)
-        if blocks:
-            assert scores == first
-        first = scores
     assert ppm.score(no_docs).count() == 0
     nothing_learnt = rows(ppm.score(docs, held_out=lambda i: F.lit(True)))
     assert {r["base_score"] for r in nothing_learnt} == {0.0}
+    assert all(r["score"] == pytest.approx((r["n_bytes"] + 1) * -math.log10(256)) for r in nothing_learnt)
+
+
+class PlainTrie:
+    """The same model over dicts, one symbol at a time."""
+
+    def __init__(self, texts, order):
+        self.order, self.count = order, [{} for _ in range(order + 1)]
+        for t in texts:
+            b = self.padded(t)
+            for at in range(order, len(b)):
+                node = self.count[order].setdefault(b[at - order : at], Counter())
+                node[b[at]] += 1
+        for k in range(order - 1, -1, -1):
+            for context, node in self.count[k + 1].items():
+                self.count[k].setdefault(context[1:], Counter()).update(node.keys())
+        self.table = [Counter() for _ in range(order + 1)], [Counter() for _ in range(order + 1)]
+        for k, contexts in enumerate(self.count):
+            for node in contexts.values():
+                total, kinds = sum(node.values()), len(node)
+                for n in node.values():
+                    # Each use left out: what stays is the context that would have met it.
+                    where = self.bucket(total - 1, kinds - (n == 1))
+                    self.table[0][k][where] += n == 1
+                    self.table[1][k][where] += n
+
+    def padded(self, t):
+        return b"\n" * self.order + (t or "").translate(LOWER).encode() + b"\xff"
+
+    @staticmethod
+    def bucket(total, kinds):
+        return (total if total < 8 else total.bit_length() + 4, min(kinds, 20))
+
+    def log_chance(self, b, at, ask=None):
+        symbol, gone, chance = b[at] if ask is None else ask, set(), 1.0
+        for k in range(self.order, -1, -1):
+            node = self.count[k].get(bytes(b[at - k : at]), {})
+            left = sum(n for s, n in node.items() if s not in gone)
+            if not left:
+                continue
+            total, where = sum(node.values()), self.bucket(sum(node.values()), len(node))
+            escape = (self.table[0][k][where] + len(node) / total) / (self.table[1][k][where] + 2)
+            if symbol in node:
+                return math.log10(chance * (1 - escape) * node[symbol] / left)
+            chance, gone = chance * escape, gone | node.keys()
+        return math.log10(chance / (256 - len(gone)))
+
+    def score(self, t):
+        b = self.padded(t)
+        return sum(self.log_chance(b, at) for at in range(self.order, len(b)))
+
+
+@pytest.mark.parametrize("order,piece", [(5, 250_000), (2, 70)])
+def test_language_model_scores_against_plain_trie(docs, texts, monkeypatch, order, piece):
+    out = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    trie = PlainTrie([t for i, t in texts if not out(i)], order)
+    want = sorted(((i, round(trie.score(t), 6)) for i, t in texts), key=str)
+    monkeypatch.setattr(ppm, "PIECE", piece)
+    found = rows(ppm.score(docs, held_out=lambda i: F.crc32(i.cast("string")) % 7 == 2, order=order, block_bytes=20_000))
+    got = sorted(((r["doc_id"], round(r["score"], 6)) for r in found), key=str)
+    assert [i for i, _ in got] == [i for i, _ in want]
+    assert all(a == pytest.approx(b, abs=1.1e-6) for (_, a), (_, b) in zip(got, want, strict=True))
+    assert any(out(i) for i, _ in texts)
 
 
-def test_every_context_is_a_distribution():
-    words = sorted(set(prose(21, 400).lower().encode().split())) + [ppm.LINE_END]
-    gram, owner = ppm.grams(words)
-    weight = np.arange(len(words)) % 5 + 1
-    batch = ppm.summed([(gram, weight[owner])])
-    g, n = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy().astype(float)
-    low = np.zeros((256, 256))
-    order = ppm.orders(g)
-    np.add.at(low, (((g >> np.uint64(8)) & np.uint64(255)).astype(int), (g & np.uint64(255)).astype(int)), np.where(order == 1, n, n > 0))
-    tail = (g >> np.uint64(8)) & np.uint64(0xFFFF)
-    for t in np.unique(tail):
-        own = tail == t
-        # Ask every symbol of every context of the shard.
-        contexts = np.unique(g[own] >> np.uint64(8))
-        asked = (contexts[:, None] << np.uint64(8) | np.arange(256, dtype=np.uint64)[None, :]).ravel()
-        counts = dict(zip(g[own].tolist(), n[own].tolist()))
-        chance = np.exp(ppm.resolve(asked, np.array([counts.get(int(x), 0.0) for x in asked]), (low, (low > 0).sum(0).astype(float))))
-        assert np.allclose(chance.reshape(-1, 256).sum(1), 1, atol=1e-9)
+def test_every_context_is_a_distribution(texts):
+    trie = PlainTrie([t for _, t in texts[:5]], 3)
+    b = trie.padded(texts[2][1] + " some words that nobody wrote: qzx")
+    for at in range(3, len(b), 17):
+        assert sum(10 ** trie.log_chance(b, at, s) for s in range(256)) == pytest.approx(1)
 
 
 def test_held_out_text_is_likelier_than_noise(spark):
@@ -157,16 +202,13 @@ def test_language_model_reads_across_spaces(spark):
     asked = [(1000, "red fox green hen red fox"), (1001, "fox red hen green fox red")]
     df = spark.createDataFrame([*known, *asked], "doc_id long, text string")
     got = {r["doc_id"]: r for r in rows(ppm.score(df, held_out=lambda i: i >= 1000))}
-    assert got[1000]["n_seen_lines"] == got[1001]["n_seen_lines"] == 0
     # The same words in another order.
     assert got[1000]["score"] > got[1001]["score"] + 3 and abs(got[1000]["base_score"] - got[1001]["base_score"]) < 1e-9
 
 
-def test_long_words_are_predicted_from_their_start(spark):
-    known = [(k, f"{a}conventional{b} n{k}") for k in range(40) for a, b in [("qa", "xx") if k % 2 else ("zu", "yy")]]
-    df = spark.createDataFrame([*known, (1000, "qaconventionalxx"), (1001, "qaconventionalyy")], "doc_id long, text string")
-    got = {r["doc_id"]: r["score"] for r in rows(ppm.score(df, held_out=lambda i: i >= 1000))}
-    assert got[1000] > got[1001] + 0.5
+def test_language_model_order_is_checked(docs):
+    with pytest.raises(ValueError):
+        ppm.score(docs, order=7)
 
 
 def tree():
