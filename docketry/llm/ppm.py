@@ -7,6 +7,7 @@ context with its own shorter form at a time. No key of these joins and windows h
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import reduce
@@ -14,7 +15,6 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,7 +26,10 @@ MAX_ORDER = 6
 START, END = b"\n", b"\xff"
 SYMBOLS = 256
 #: Grams that a task gathers before it sums equal ones, bytes of text that are taken at a time, and rows of a batch sent on.
-GATHER, PIECE, BATCH = 1_500_000, 250_000, 100_000
+GATHER, PIECE, BATCH = 800_000, 250_000, 100_000
+#: Words or grams of a shard of the model, and blocks that meet one copy of it.
+SHARD, MEET = 200_000, 64
+WORD, GRAM = 0, 1
 #: Contexts with as many distinct symbols or more share their escape estimates.
 MOST_DISTINCT = 20
 
@@ -97,6 +100,15 @@ def gram_counts(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.Re
         yield from rows(*summed(*map(np.concatenate, zip(*gathered, strict=True))))
 
 
+def gaps(gram: np.ndarray) -> bytes:
+    """Sorted grams as the differences between them, which are small and compress well."""
+    return np.diff(gram, prepend=0).tobytes()
+
+
+def ungapped(keys: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(keys, np.int64))
+
+
 def cut(order: int) -> int:
     """Keeps a gram's symbol and the latest `order` bytes of its context."""
     return (1 << (8 * (order + 1))) - 1
@@ -178,7 +190,7 @@ def score(
     id_col: str = "doc_id",
     text_col: str = "text",
     order: int = 5,
-    block_bytes: int = 16_000_000,
+    block_bytes: int = 12_000_000,
 ) -> DataFrame:
     """One row for each document row: id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes.
 
@@ -194,8 +206,8 @@ def score(
 
     Everything grows with the input and is dealt out by keys of bounded size: words by word, nodes by context (`nodes`).
     Only the escape estimates, a table of bounded size, come to the driver. A task sums its equal grams before they are
-    shuffled. A block of about block_bytes of documents looks up its distinct words and grams, so frequent ones weigh no
-    more than rare ones. Texts are shuffled once. Steps that others read again are tables in the shared folder.
+    shuffled. A block of about block_bytes of documents asks shards of the model for its distinct words and grams, so
+    frequent ones weigh no more than rare ones; shards are copied as the blocks grow in number. Texts are shuffled once. Steps that others read again are tables in the shared folder.
     """
     if not 1 <= order <= MAX_ORDER:
         raise ValueError(f"order must be 1 to {MAX_ORDER}")
@@ -210,47 +222,87 @@ def score(
         return pa.table({"word": pa.array(found, pa.binary()), "c": pa.array([learnt.get(w, 0) for w in found], pa.int64())})
 
     vocabulary = written(map_arrow(own, counted, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "vocabulary")
-    sums = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("tokens"), F.count_if(F.col("c") > 0).alias("distinct")).first()
+    sums = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("tokens"), F.count_if(F.col("c") > 0).alias("distinct"), F.count("*").alias("words")).first()
     n_train, base_of = sums["tokens"], np.log10(sums["tokens"] + sums["distinct"] + 1)
     trie = own.mapInArrow(lambda batches: gram_counts(batches, order), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    chance = chances(nodes(trie, order))
+    levels = nodes(trie, order)
+    chance = chances(levels)
 
-    def block_words(texts: pa.Table) -> pa.Table:
-        found: set[bytes] = set()
-        for t in texts.column("_text").to_pylist():
-            found.update(words(t))
-        return pa.table({"block": pa.array([texts.column("block")[0].as_py()] * len(found), pa.int64()), "word": pa.array(list(found), pa.binary())})
+    def packed_words(shard: pa.Table) -> pa.Table:
+        return pa.table({"kind": pa.array([WORD], pa.int32()), "shard": shard.column("shard")[:1], "keys": [b"\n".join(shard.column("word").to_pylist())], "numbers": [shard.column("c").to_numpy().tobytes()]})
 
-    def block_grams(texts: pa.Table) -> pa.Table:
+    def packed_grams(shard: pa.Table) -> pa.Table:
+        gram = shard.column("gram").to_numpy()
+        by = np.argsort(gram)
+        return pa.table({"kind": pa.array([GRAM], pa.int32()), "shard": shard.column("shard")[:1], "keys": [gaps(gram[by])], "numbers": [shard.column("chance").to_numpy()[by].tobytes()]})
+
+    def block_keys(texts: pa.Table) -> pa.Table:
+        """A block's distinct words and grams, a row for each shard that may hold them."""
+        all_texts = texts.column("_text").to_pylist()
+        found: dict[int, list[bytes]] = {}
+        for w in set().union(*map(words, all_texts)):
+            found.setdefault(zlib.crc32(w) % word_shards, []).append(w)
+        rows = [(WORD, shard, b"\n".join(own)) for shard, own in found.items()]
         gathered, size = [np.empty(0, np.int64)], 0
-        for gram, _ in grams(texts.column("_text").to_pylist(), order):
+        for gram, _ in grams(all_texts, order):
             gathered.append(pd.unique(gram))
             size += len(gathered[-1])
             if size >= 2 * GATHER:
                 gathered, size = [pd.unique(np.concatenate(gathered))], 0
-        found = pd.unique(np.concatenate(gathered))
-        return pa.table({"block": pa.array(np.full(len(found), texts.column("block")[0].as_py(), np.int64)), "gram": pa.array(found)})
+        distinct = np.sort(pd.unique(np.concatenate(gathered)))
+        for shard in range(gram_shards):
+            rows.append((GRAM, shard, gaps(distinct[distinct % gram_shards == shard])))
+        kinds, shards, keys = zip(*rows, strict=True)
+        block = [texts.column("block")[0].as_py()] * len(rows)
+        return pa.table({"block": pa.array(block, pa.int64()), "kind": pa.array(kinds, pa.int32()), "shard": pa.array(shards, pa.int64()), "keys": pa.array(keys, pa.binary())})
+
+    def answers(asked: pa.Table, model: pa.Table) -> pa.Table:
+        """The model's numbers for each block's words or grams, in the order asked; every one of them is in the model."""
+        blocks, all_keys, numbers = asked.column("block"), asked.column("keys"), []
+        if asked.num_rows:
+            keys, values = model.column("keys")[0].as_py(), model.column("numbers")[0].as_py()
+            if asked.column("kind")[0].as_py() == WORD:
+                count = dict(zip(keys.split(b"\n"), np.frombuffer(values, np.int64).tolist(), strict=True))
+                numbers = [np.fromiter(map(count.__getitem__, own.as_py().split(b"\n")), np.int64).tobytes() for own in all_keys]
+            else:
+                gram, chance = ungapped(keys), np.frombuffer(values, np.float64)
+                numbers = [chance[np.searchsorted(gram, ungapped(own.as_py()))].tobytes() for own in all_keys]
+        return pa.table({"block": blocks, "kind": asked.column("kind"), "keys": all_keys, "numbers": pa.array(numbers, pa.binary())})
 
     # A block's distinct words and grams and the block itself come from the same shuffle.
-    placed = own.select(F.pmod(F.xxhash64("_id", "_text"), F.lit(parts_for(text_bytes(own, "_text"), block_bytes))).alias("block"), "*")
-    needed_words = placed.groupBy("block").applyInArrow(block_words, "block long, word binary").join(vocabulary, "word")
-    needed_grams = placed.groupBy("block").applyInArrow(block_grams, "block long, gram long").join(chance, "gram")
-    needed = needed_words.select("block", "word", "c", F.lit(None).cast("long").alias("gram"), F.lit(None).cast("double").alias("chance")).union(
-        needed_grams.select("block", F.lit(None).cast("binary"), F.lit(None).cast("long"), "gram", "chance")
-    )
+    n_blocks = parts_for(text_bytes(own, "_text"), block_bytes)
+    placed = own.select(F.pmod(F.xxhash64("_id", "_text"), F.lit(n_blocks)).alias("block"), "*")
+    word_shards, gram_shards = parts_for(sums["words"], SHARD), parts_for(levels[-1].count(), SHARD)
+    packed_shard = "kind int, shard long, keys binary, numbers binary"
+    of_words = vocabulary.withColumn("shard", F.crc32("word") % F.lit(word_shards)).groupBy("shard").applyInArrow(packed_words, packed_shard)
+    of_grams = chance.withColumn("shard", F.col("gram") % F.lit(gram_shards)).groupBy("shard").applyInArrow(packed_grams, packed_shard)
+    # A shard is copied for every MEET blocks, so what meets in one task is bounded however many blocks there are.
+    copies = parts_for(n_blocks, MEET)
+    model = of_words.union(of_grams).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(copies - 1).cast("long"))))
+    asked = placed.groupBy("block").applyInArrow(block_keys, "block long, kind int, shard long, keys binary").withColumn("copy", F.pmod("block", F.lit(copies)))
+    by = ("kind", "shard", "copy")
+    needed = asked.groupBy(*by).cogroup(model.groupBy(*by)).applyInArrow(answers, "block long, kind int, keys binary, numbers binary")
 
     def doc_scores(texts: pa.Table, known: pa.Table) -> pa.Table:
-        of_words, of_grams = known.filter(pc.is_null(known.column("gram"))), known.filter(pc.is_valid(known.column("gram")))
-        number = {w: i for i, w in enumerate(of_words.column("word").to_pylist())}
-        c = of_words.column("c").to_numpy()
+        number, counts, all_grams, all_chances = {}, [], [np.empty(0, np.int64)], [np.empty(0)]
+        for kind, keys, numbers in zip(*(known.column(c).to_pylist() for c in ("kind", "keys", "numbers")), strict=True):
+            if kind == WORD:
+                own = keys.split(b"\n")
+                number.update(zip(own, range(len(number), len(number) + len(own)), strict=True))
+                counts.append(np.frombuffer(numbers, np.int64))
+            else:
+                all_grams.append(ungapped(keys))
+                all_chances.append(np.frombuffer(numbers, np.float64))
+        c = np.concatenate(counts) if counts else np.empty(0, np.int64)
         base = np.log10(c + 1) - base_of
-        place, value = pd.Index(of_grams.column("gram").to_numpy()), of_grams.column("chance").to_numpy()
+        place, value = pd.Index(np.concatenate(all_grams)), np.concatenate(all_chances)
         all_texts = texts.column("_text").to_pylist()
         total, n_bytes = np.zeros(len(all_texts)), np.zeros(len(all_texts), np.int64)
         for gram, owner in grams(all_texts, order):
             code, distinct = pd.factorize(gram)
-            total += np.bincount(owner, value[place.get_indexer(distinct)][code], len(all_texts))
-            n_bytes += np.bincount(owner, minlength=len(all_texts))
+            first, last = owner[0], owner[-1] + 1
+            total[first:last] += np.bincount(owner - first, value[place.get_indexer(distinct)][code], last - first)
+            n_bytes[first:last] += np.bincount(owner - first, minlength=last - first)
         rows = []
         for t in all_texts:
             at = np.fromiter(map(number.__getitem__, words(t)), np.int64)
