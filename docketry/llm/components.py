@@ -2,23 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketry.llm._shared import written
 
+#: Parts that every group is cut in, at least, and rows for which there is one more.
+SALTS, ROWS_A_SALT = 16, 1_000_000
 
-def _large_star(edges: DataFrame) -> DataFrame:
+
+def attached(rows: DataFrame, key: str, row: Column, n_rows: int, size: str = "_size", **least: Column) -> DataFrame:
+    """rows with their group's size and the group's least value of each named column; `row` tells rows of a group apart.
+
+    A group's rows are dealt by a salt before they are summed or joined, so a group that holds most rows is no hot task;
+    one group's parts are as many as the salts.
+    """
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(row), F.lit(SALTS + n_rows // ROWS_A_SALT)))
+    parts = salted.groupBy(key, "_salt").agg(F.count("*").alias(size), *(F.min(c).alias(name) for name, c in least.items()))
+    whole = parts.groupBy(key).agg(F.sum(size).alias(size), *(F.min(name).alias(name) for name in least))
+    return salted.join(parts.select(key, "_salt").join(whole, key), [key, "_salt"]).drop("_salt")
+
+
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    near = attached(both, "a", F.col("b"), 2 * n, m=F.col("b"))
+    return near.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.least("m", "a").alias("b"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(least, "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
+    near = attached(down, "a", F.col("b"), n, m=F.col("b"))
+    return near.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -34,6 +48,6 @@ def components(links: DataFrame) -> DataFrame:
         if now["n"] == 0 or now == before:
             break
         before = now
-        edges = written(_small_star(_large_star(edges).distinct()), "links")
+        edges = written(_small_star(_large_star(edges, now["n"]).distinct(), now["n"]), "links")
     root = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return root.union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import math
+from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docketry.llm._shared import map_arrow, written
-from docketry.llm.components import components
+from docketry.llm._shared import map_arrow, parts_for, written
+from docketry.llm.components import attached, components
 
 GOLDEN, MIX_A, MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Word hashes that a Python worker keeps between texts; the table is emptied when it gets larger.
@@ -61,43 +60,45 @@ def signature(shingles: np.ndarray, coordinates: int, seed: int = 1) -> np.ndarr
     return mixed(least + GOLDEN * np.arange(1, coordinates + 1, dtype=np.uint64)).view(np.int64)
 
 
-def linked(shingles: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs with 100 * intersection >= percent * union, from the exact counts of all pairs.
+def columns(table: pa.Table, name: str, width: int) -> np.ndarray:
+    """A list column of fixed width as a matrix, a row for each row of the table."""
+    return table.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
-    Shingles of a single text meet nothing and only count in its size; the others form a 0/1 matrix, taken a few thousand
-    columns at a time, whose product with itself is the intersection of every pair.
+
+def collisions(table: pa.Table, coordinates: int, matches: int, percent: int) -> pa.Table:
+    """Pairs a, b of a bucket: of rows of one posting list and two blocks of it, those with at least `matches` equal coordinates.
+
+    Rows: key, i, j (the list and the blocks that meet), part (the row's own block), id, n, component, keys and front (the
+    keys that the class is posted under). Pairs that are known to be of one component are passed over, as are pairs whose
+    sizes rule the similarity out. A pair that meets in several lists is counted in the first of them only.
     """
-    m = len(shingles)
-    sizes = np.array([len(s) for s in shingles])
-    flat, owner = np.concatenate(shingles), np.repeat(np.arange(m), sizes)
-    _, column, n = np.unique(flat, return_inverse=True, return_counts=True)
-    shared = n[column] > 1
-    rank = np.cumsum(n > 1) - 1
-    column, owner = rank[column[shared]], owner[shared]
-    order = np.argsort(column, kind="stable")
-    column, owner = column[order], owner[order]
-    both = np.zeros((m, m), np.float64)
-    step = 4096
-    for low in range(0, int(column[-1]) + 1 if len(column) else 0, step):
-        a, b = np.searchsorted(column, (low, low + step))
-        x = np.zeros((m, step), np.float32)
-        x[owner[a:b], column[a:b] - low] = 1
-        both += x @ x.T
-    i, j = np.nonzero(np.triu(100 * both >= percent * (sizes[:, None] + sizes[None, :] - both), 1))
-    parent = list(range(m))
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    forest = []
-    for a, b in zip(i.tolist(), j.tolist(), strict=True):
-        if (p := find(a)) != (q := find(b)):
-            parent[q] = p
-            forest.append((a, b))
-    return forest
+    where = np.stack([table.column(c).to_numpy() for c in ("key", "i", "j")], 1)
+    _, meeting = np.unique(where, axis=0, return_inverse=True)
+    meeting = meeting.ravel()
+    part, ids, n, comp = (table.column(c).to_numpy() for c in ("part", "id", "n", "component"))
+    keys, fronts = columns(table, "keys", coordinates), table.column("front").to_pylist()
+    posted = np.array([np.isin(k, f) for k, f in zip(keys, fronts, strict=True)])
+    order = np.argsort(meeting, kind="stable")
+    a, b = [], []
+    for own in np.split(order, np.flatnonzero(np.diff(meeting[order])) + 1):
+        key, i, j = where[own[0]]
+        left, right = (own, own) if i == j else (own[part[own] == i], own[part[own] == j])
+        size_l, size_r = n[left][:, None], n[right][None, :]
+        open_ = (comp[left][:, None] != comp[right][None, :]) & (percent * np.maximum(size_l, size_r) <= 100 * np.minimum(size_l, size_r))
+        if i == j:
+            open_ = np.triu(open_, 1)
+        p, q = np.nonzero(open_)
+        for at in range(0, len(p), 100_000):
+            x, y = left[p[at : at + 100_000]], right[q[at : at + 100_000]]
+            equal = keys[x] == keys[y]
+            enough = equal.sum(1) >= matches
+            x, y, equal = x[enough], y[enough], equal[enough]
+            first = (equal & posted[x] & posted[y]).argmax(1)
+            here = keys[x, first] == key
+            a.append(ids[x[here]])
+            b.append(ids[y[here]])
+    a, b = (np.concatenate(v) if v else np.empty(0, np.int64) for v in (a, b))
+    return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
 
 def near_duplicates(
@@ -109,6 +110,7 @@ def near_duplicates(
     coordinates: int = 48,
     matches: int = 25,
     block: int = 256,
+    rounds: int = 2,
     with_hash: bool = False,
 ) -> DataFrame:
     """One row for each input row: id, n_shingles, component_id (smallest linked id, itself included), kept (is that id).
@@ -121,12 +123,18 @@ def near_duplicates(
     no part as smallest id: its component is that of its set's other holders, or null, and then it is kept. Ids are whole
     numbers. Other columns are ignored.
 
-    Equal sets are one class first, so copies never meet as pairs. Each class is posted under its coordinates' keys; a class
-    must share, with any partner, a key among its coordinates - matches + 1 rarest ones, and keys of its own count as the
-    rarest, so classes without enough shared keys drop out. Classes that share such a key form a cluster. Clusters are
-    dealt in blocks of about `block` classes of like size; blocks meet in pairs, and each meeting returns no more links than
-    it has classes: work grows with a group's pairs, rows with its size over the block size. Only candidates' texts are
-    shuffled. Tables between the steps are in the shared folder.
+    Equal sets are one class first, so copies never meet as pairs. Each class is posted under its coordinates' keys, and
+    its posting lists are merged shortest first: a partner with enough matches must stand in one of the
+    coordinates - matches + 1 shortest (its prefix; keys of its own count as the shortest, so classes without enough shared
+    keys drop out), and the longer lists are skipped, as the matches of a pair are counted on the two signatures. Pairs of at
+    least `matches` equal coordinates meet with their full sets.
+
+    So that a large group of near copies isn't compared pair by pair, each of `rounds` rounds compares all members of a
+    list with one of them, its pivot; what links is one component, and only pairs of different components are left. After
+    that the lists that still hold several components are cut in blocks of about `block` classes, and all pairs of
+    different components are counted, block by block; only pairs with enough matches leave a task. Nothing is left out:
+    a pair that is never compared is of one component by other links. Texts of candidates alone are shuffled. Tables between the
+    steps are in the shared folder.
     """
 
     def signed(batch: pa.RecordBatch) -> pa.Table:
@@ -148,56 +156,89 @@ def near_duplicates(
         digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
         c1 = batch.column("c1").to_pylist()
         own = [i for i, d in enumerate(digests) if int.from_bytes(d[:8], "big", signed=True) == c1[i]]
-        ids = batch.column("id").take(pa.array(own, pa.int64()))
-        return pa.table({"id": ids, "shingles": pa.array([sets[i].tobytes() for i in own], pa.binary())})
-
-    def confirmed(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates("id")
-        ids = group["id"].to_numpy()
-        forest = linked([np.frombuffer(s, np.uint64) for s in group["shingles"]], percent)
-        return pd.DataFrame({"a": [ids[i] for i, _ in forest], "b": [ids[j] for _, j in forest]}, dtype="int64")
+        return pa.table({"id": pa.array([c1[i] for i in own], pa.int64()), "shingles": pa.array([sets[i].tobytes() for i in own], pa.binary())})
+
+    def met(pairs: DataFrame, payload: DataFrame, agree: Callable[[pa.Table, pa.Table], np.ndarray]) -> DataFrame:
+        """The pairs whose payloads agree. Pairs are dealt in buckets; a class with very many pairs is in many buckets."""
+        pairs = written(pairs, "pairs")
+        n = pairs.count()
+        salt = F.pmod(F.xxhash64("b"), F.lit(16 + n // 10_000))
+        dealt = pairs.withColumn("bucket", F.pmod(F.xxhash64("a", salt), F.lit(parts_for(n, 2_000))))
+        # Under names of their own: both sides come from the same tables.
+        own_names = lambda df, **names: df.select(*(F.col(c).alias(names.get(c, c)) for c in df.columns))
+        members = dealt.join(own_names(payload, id="b"), "b")
+        pivots = own_names(dealt.select("a", "bucket").distinct()).join(own_names(payload, id="a"), "a")
+
+        def kept(left: pa.Table, right: pa.Table) -> pa.Table:
+            place = {x: i for i, x in enumerate(right.column("a").to_pylist())}
+            right = right.take(pa.array([place[x] for x in left.column("a").to_pylist()], pa.int64()))
+            return left.select(["a", "b"]).filter(pa.array(agree(left, right), pa.bool_()))
+
+        return written(members.groupBy("bucket").cogroup(pivots.groupBy("bucket")).applyInArrow(kept, "a long, b long"), "met")
+
+    def many_matches(left: pa.Table, right: pa.Table) -> np.ndarray:
+        return (columns(left, "keys", coordinates) == columns(right, "keys", coordinates)).sum(1) >= matches
+
+    def similar(left: pa.Table, right: pa.Table) -> np.ndarray:
+        found = np.zeros(left.num_rows, bool)
+        for i, (x, y) in enumerate(zip(left.column("shingles"), right.column("shingles"), strict=True)):
+            x, y = (np.frombuffer(v.as_py(), np.uint64) for v in (x, y))
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            found[i] = 100 * both >= percent * (len(x) + len(y) - both)
+        return found
 
     own = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     signatures = written(map_arrow(own.withColumn("_h", F.xxhash64("_text")), signed, "id long, h long, n long, c1 long, c2 long, keys array<long>"), "signatures")
     holders = signatures.where((F.col("n") > 0) & F.col("id").isNotNull())
-    classes = written(holders.groupBy("c1", "c2").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys")), "classes")
+    classes = written(holders.groupBy("c1", "c2").agg(F.min("id").alias("least_id"), F.first("n").alias("n"), F.first("keys").alias("keys")).withColumn("id", F.col("c1")), "classes")
 
     # Post; keep the keys that several classes share; of each class keep its rarest keys.
     posts = classes.select("id", F.explode("keys").alias("key"))
     shared = posts.groupBy("key").agg(F.count("*").alias("f")).where("f > 1")
     listed = posts.join(shared, "key").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("f", "key"))).alias("own"))
     room = F.lit(coordinates - matches + 1) - (F.lit(coordinates) - F.size("own"))
-    prefix = written(listed.where(room > 0).select("id", F.explode(F.slice("own", 1, room)).alias("k")).select("id", F.col("k.key").alias("key")), "prefix")
-    first = prefix.groupBy("key").agg(F.min("id").alias("leader"))
-    clusters = components(prefix.join(first, "key").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct())
-
-    # Deal the clusters in blocks of like size. A pair with that similarity is in the same or in neighbouring size buckets.
-    sized = clusters.select(F.col("node").alias("id"), F.col("root").alias("cluster")).join(classes.select("id", "n", "c1"), "id")
-    whole = sized.groupBy("cluster").agg(F.count("*").alias("m"))
-    bucket = F.when(F.col("m") <= block, 0).otherwise(F.floor(F.log("n") / F.lit(-math.log(percent / 100 - 0.001)))).cast("int").alias("bucket")
-    dealt = written(sized.join(whole, "cluster").select("id", "cluster", "c1", bucket), "dealt")
-    parts = dealt.groupBy("cluster", "bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
-    next_parts = parts.select("cluster", (F.col("bucket") - 1).alias("bucket"), F.col("parts").alias("up"))
-    last_parts = parts.select("cluster", (F.col("bucket") + 1).alias("bucket"), F.col("parts").alias("down"))
-    plan = parts.join(next_parts, ["cluster", "bucket"], "left").join(last_parts, ["cluster", "bucket"], "left").na.fill(0, ["up", "down"])
-    placed = dealt.join(plan, ["cluster", "bucket"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    others = placed.select(
-        "id",
-        "cluster",
-        F.concat(
-            F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.col("bucket").alias("k1"), F.least("part", j).alias("i"), F.col("bucket").alias("k2"), F.greatest("part", j).alias("j"))),
-            F.transform(F.slice(F.sequence(F.lit(0), F.col("up")), 1, F.col("up")), lambda j: F.struct(F.col("bucket").alias("k1"), F.col("part").alias("i"), (F.col("bucket") + 1).alias("k2"), j.alias("j"))),
-            F.transform(F.slice(F.sequence(F.lit(0), F.col("down")), 1, F.col("down")), lambda j: F.struct((F.col("bucket") - 1).alias("k1"), j.alias("i"), F.col("bucket").alias("k2"), F.col("part").alias("j"))),
-        ).alias("meets"),
-    )
-    # Candidates may be most documents, so texts always meet them by a shuffle, whatever a small input's sizes suggest.
-    texts = own.withColumnRenamed("_id", "id").join(dealt.select("id", "c1").hint("merge"), "id")
-    sets = map_arrow(texts, with_sets, "id long, shingles binary")
-    meetings = sets.select("id", "shingles").join(others.select("id", "cluster", F.explode("meets").alias("at")), "id")
-    links = meetings.groupBy("cluster", "at").applyInPandas(confirmed, "a long, b long")
-    joined = components(links)
+    fronts = written(listed.where(room > 0).select("id", F.transform(F.slice("own", 1, room), lambda x: x["key"]).alias("front")), "fronts")
+    posted = fronts.select("id", F.explode("front").alias("key"))
 
-    of_class = classes.select("c1", "c2", "id").join(joined.withColumnRenamed("node", "id"), "id", "left").select("c1", "c2", F.coalesce("root", "id").alias("component"))
+    # Candidates may be most documents, so texts always meet them by a shuffle, whatever a small input's sizes suggest.
+    wanted = classes.join(fronts.select("id"), "id").select("c1", F.col("least_id").alias("_id"))
+    texts = own.join(wanted.hint("merge"), "_id")
+    sets = written(map_arrow(texts, with_sets, "id long, shingles binary"), "sets")
+    signed_keys = classes.select("id", "keys")
+
+    def labelled(found: DataFrame | None, by: Column) -> tuple[DataFrame, DataFrame]:
+        """Components so far, and the lists that hold several of them: key, id, component, the list's pivot, least by `by`."""
+        joined = components(found) if found is not None else None
+        label = posted.withColumn("component", F.col("id"))
+        if joined is not None:
+            label = posted.join(joined.withColumnRenamed("node", "id"), "id", "left").select("id", "key", F.coalesce("root", "id").alias("component"))
+        rows = written(label, "posted")
+        open_ = attached(rows, "key", F.col("id"), rows.count(), pivot=F.struct(by.alias("o"), F.col("id"), F.col("component")), low=F.col("component"), high=-F.col("component"))
+        return joined, open_.where(F.col("low") != -F.col("high"))
+
+    links = None
+    for k in range(max(1, rounds)):
+        _, lists = labelled(links, F.xxhash64("id", F.lit(k)))
+        pairs = lists.where(F.col("component") != F.col("pivot.component")).select(F.least("id", "pivot.id").alias("a"), F.greatest("id", "pivot.id").alias("b"))
+        starred = met(met(pairs.distinct(), signed_keys, many_matches), sets, similar)
+        links = starred if links is None else links.union(starred)
+
+    joined, lists = labelled(links, F.lit(0))
+    left_over = written(lists.select("key", "id", "component"), "left-over")
+    n_left = left_over.count()
+    if n_left:
+        placed = attached(left_over, "key", F.col("id"), n_left, size="m").withColumn("parts", F.ceil(F.col("m") / block).cast("long"))
+        placed = placed.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+        spread = placed.select("key", "id", "component", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
+        meets = spread.select("key", "id", "component", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+        carried = meets.join(classes.select("id", "n", "keys"), "id").join(fronts, "id").withColumn("bucket", F.pmod(F.xxhash64("key", "i", "j"), F.lit(parts_for(n_left, 2_000))))
+        counted = carried.groupBy("bucket").applyInArrow(lambda t: collisions(t, coordinates, matches, percent), "a long, b long")
+        rest = met(counted, sets, similar)
+        joined = components(links.union(rest))
+
+    # A component is named by its least class; what is wanted is its least id.
+    rooted = classes.select("c1", "c2", "id", "least_id").join(joined.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    of_class = attached(rooted, "root", F.col("id"), rooted.count(), component=F.col("least_id")).select("c1", "c2", "component")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
     return (
         signatures.select("id", "h", "n", "c1", "c2")

@@ -95,6 +95,42 @@ def test_a_group_of_near_copies(spark, block):
     assert found == plain_components(texts)
 
 
+def test_a_chain_of_unlike_texts_gives_few_pairs(spark, monkeypatch):
+    """Neighbours share half of their shingles; every text reaches every other over shared keys, none is a near copy."""
+    rng = random.Random(8)
+    passages = [" ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(60)) for _ in range(201)]
+    texts = [(k, f"{passages[k]} {passages[k + 1]}") for k in range(200)] + [(900, f"{passages[7]} {passages[8]} more")]
+    pairs = []
+    whole = neardup.written
+    monkeypatch.setattr(neardup, "written", lambda df, name: pairs.append((name, out := whole(df, name))) or out)
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    found = sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in rows(neardup.near_duplicates(df))), key=str)
+    assert found == plain_components(texts)
+    # Pairs that went on to the comparison of full sets.
+    assert sum(d.count() for name, d in pairs if name == "met") <= 8
+
+
+def test_links_that_no_pivot_sees(spark):
+    """Three groups in one posting list: whichever member is the pivot, links among the others must be found."""
+    base = prose(31, 300).split(" ")
+    texts = []
+    for g in range(3):
+        own = [f"{w}g{g}" if i % 29 == g else w for i, w in enumerate(base)]
+        for k in range(6):
+            texts.append((100 * g + k, " ".join(f"{w}k{k}" if i == 11 * k + 3 else w for i, w in enumerate(own))))
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    for rounds in (1, 2):
+        found = sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in rows(neardup.near_duplicates(df, percent=85, matches=24, rounds=rounds, block=4))), key=str)
+        assert found == plain_components(texts)
+
+
+def test_unlike_texts_that_share_an_id(spark):
+    texts = [(1, prose(61, 80)), (1, prose(62, 80)), (2, prose(61, 80)), (3, prose(62, 80) + " more"), (None, prose(63, 80)), (4, prose(63, 80))]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    found = sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in rows(neardup.near_duplicates(df))), key=str)
+    assert found == plain_components(texts)
+
+
 def test_components_of_chains(spark):
     rng = random.Random(1)
     links = [(k, k + 1) for k in range(0, 60)] + [(100 + k, 100) for k in range(1, 30)] + [(7, 7), (200, 201), (201, 200)]
