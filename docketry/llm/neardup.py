@@ -208,33 +208,34 @@ def near_duplicates(
 
     def labelled(found: DataFrame | None, by: Column) -> tuple[DataFrame, DataFrame]:
         """Components so far, and the lists that hold several of them: key, id, component, the list's pivot, least by `by`."""
-        joined = components(found) if found is not None else None
-        label = posted.withColumn("component", F.col("id"))
-        if joined is not None:
+        label, joined = posted.withColumn("component", F.col("id")), None
+        if found is not None:
+            joined = components(found)
             label = posted.join(joined.withColumnRenamed("node", "id"), "id", "left").select("id", "key", F.coalesce("root", "id").alias("component"))
         rows = written(label, "posted")
         open_ = attached(rows, "key", F.col("id"), rows.count(), pivot=F.struct(by.alias("o"), F.col("id"), F.col("component")), low=F.col("component"), high=-F.col("component"))
         return joined, open_.where(F.col("low") != -F.col("high"))
 
-    links = None
-    for k in range(max(1, rounds)):
-        _, lists = labelled(links, F.xxhash64("id", F.lit(k)))
+    links, lists, joined = None, *labelled(None, F.xxhash64("id"))[::-1]
+    for k in range(1, max(1, rounds) + 1):
         pairs = lists.where(F.col("component") != F.col("pivot.component")).select(F.least("id", "pivot.id").alias("a"), F.greatest("id", "pivot.id").alias("b"))
         starred = met(met(pairs.distinct(), signed_keys, many_matches), sets, similar)
         links = starred if links is None else links.union(starred)
-
-    joined, lists = labelled(links, F.lit(0))
-    left_over = written(lists.select("key", "id", "component"), "left-over")
-    n_left = left_over.count()
+        joined, lists = labelled(links, F.xxhash64("id", F.lit(k)))
+        left_over = written(lists, "left-over")
+        lists, n_left = left_over, left_over.count()
+        if n_left == 0:
+            break
     if n_left:
-        placed = attached(left_over, "key", F.col("id"), n_left, size="m").withColumn("parts", F.ceil(F.col("m") / block).cast("long"))
+        placed = attached(left_over.select("key", "id", "component"), "key", F.col("id"), n_left, size="m").withColumn("parts", F.ceil(F.col("m") / block).cast("long"))
         placed = placed.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
         spread = placed.select("key", "id", "component", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
         meets = spread.select("key", "id", "component", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
         carried = meets.join(classes.select("id", "n", "keys"), "id").join(fronts, "id").withColumn("bucket", F.pmod(F.xxhash64("key", "i", "j"), F.lit(parts_for(n_left, 2_000))))
         counted = carried.groupBy("bucket").applyInArrow(lambda t: collisions(t, coordinates, matches, percent), "a long, b long")
         rest = met(counted, sets, similar)
-        joined = components(links.union(rest))
+        if rest.count():
+            joined = components(links.union(rest))
 
     # A component is named by its least class; what is wanted is its least id.
     rooted = classes.select("c1", "c2", "id", "least_id").join(joined.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
