@@ -34,9 +34,10 @@ class Model(NamedTuple):
 
 
 def windows(text: str | None, size: int) -> list[bytes]:
-    """Consecutive windows of `size` words of the whole text, A-Z lower-cased, words set between single spaces."""
+    """Windows of `size` words of the whole text, A-Z lower-cased, words set between single spaces; half of each lies in the next."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    return words if size == 1 else [b" ".join(words[i : i + size]) for i in range(0, len(words), size)]
+    step = max(1, size // 2)
+    return [b" ".join(words[i : i + size]) for i in range(0, max(1, len(words) - size + step), step)] if words else []
 
 
 def compressor(content: bytes) -> zstandard.ZstdCompressor:
@@ -50,41 +51,92 @@ def compressor(content: bytes) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(dict_data=dictionary, compression_params=settings)
 
 
-def train_dictionaries(toxic: Sequence[str], ordinary: Sequence[str], size: int, min_share: float, odds: float) -> tuple[bytes, bytes]:
-    """Dictionaries of at most `size` bytes each.
+def vocabulary(texts: Sequence[str | None]) -> Counter:
+    """For every word the texts that use it or the different words before it, whichever are fewer.
 
-    Both end in the most frequent words, so that ordinary words cost the same under either. Before them stand the words
-    that one class uses after at least two different words and min_share as many as it has texts, and by their share of all contexts `odds` times as
-    much as the other class; the most frequent stand last, where zstandard reaches them with the shortest offsets.
-    Different contexts are counted, not uses: copies of a text add nothing.
+    So neither copies of a text nor one text's own repetitions add anything.
     """
-    counts = []
-    for texts in (toxic, ordinary):
-        pairs: set[tuple[bytes, bytes]] = set()
-        for t in texts:
-            words = (t or "").encode("utf-8", "surrogatepass").lower().split()
-            pairs.update(zip(words, words[1:], strict=False))
-        counts.append(Counter(w for _, w in pairs))
-    total = [max(1, k.total()) for k in counts]
+    pairs: set[tuple[bytes, bytes]] = set()
+    holders: Counter = Counter()
+    for t in texts:
+        words = (t or "").encode("utf-8", "surrogatepass").lower().split()
+        pairs.update(zip([b"", *words], words, strict=False))
+        holders.update(set(words))
+    contexts = Counter(w for _, w in pairs)
+    return Counter({w: min(n, holders[w]) for w, n in contexts.items()})
+
+
+def segments(words: Counter, shortest: int, longest: int) -> Counter:
+    """Byte segments of words, the spaces around a word included, with the sum of the counts of the words that hold them."""
+    found: Counter = Counter()
+    for w, n in words.items():
+        framed = b" " + w + b" "
+        size = len(framed)
+        for s in {framed[i:j] for i in range(size - shortest + 1) for j in range(i + shortest, min(size, i + longest) + 1)}:
+            found[s] += n
+    return found
+
+
+def widened(telling: set[bytes], counts: Counter) -> dict[bytes, bytes]:
+    """For telling segments the widest telling one around them, a byte at a time, that keeps four fifths of their uses."""
+    around: dict[bytes, bytes] = {}
+    for s in sorted(telling, key=lambda s: (len(s), s)):
+        # The wider by one byte, whichever side it is on, that keeps the most uses.
+        for inner in (s[1:], s[:-1]):
+            if inner in telling and 5 * counts[s] >= 4 * counts[inner] and counts[s] > counts.get(around.get(inner, b""), 0):
+                around[inner] = s
+    out = {}
+    for s in around:
+        end = s
+        while end in around and 5 * counts[around[end]] >= 4 * counts[s]:
+            end = around[end]
+        out[s] = end
+    return out
+
+
+def train_dictionaries(toxic: Sequence[str], ordinary: Sequence[str], size: int, odds: float, shortest: int = 5, longest: int = 14) -> tuple[bytes, bytes]:
+    """Dictionaries of at most `size` bytes each, filled with segments of their class's texts.
+
+    Both end in the most frequent words, so that ordinary words cost the same under either. Before them stand the byte
+    segments of words, of `shortest` to `longest` bytes, that one class uses, by their share of all words, `odds` times as
+    much as the other class, and so often that chance would hardly let one segment of all do so (a likelihood ratio over
+    twice the logarithm of their number); of segments that lie in one another only the most telling. The most telling
+    stand last, where zstandard reaches them with the shortest offsets.
+    """
+    words = [vocabulary(texts) for texts in (toxic, ordinary)]
+    total = [max(1, k.total()) for k in words]
     base, room = [], size // 2
-    for w, _ in sorted((counts[0] + counts[1]).items(), key=lambda x: (-x[1], x[0])):
-        own = [(k.get(w, 0) + 0.5) / n for k, n in zip(counts, total, strict=True)]
+    for w, _ in sorted((words[0] + words[1]).items(), key=lambda x: (-x[1], x[0])):
+        own = [(k.get(w, 0) + 0.5) / n for k, n in zip(words, total, strict=True)]
         if max(own) < 2 * min(own):
             room -= len(w) + 1
             if room < 0:
                 break
             base.append(w)
+    counts = [segments(k, shortest, longest) for k in words]
+    least = 2 * np.log(max(2, len(counts[0].keys() | counts[1].keys())))
     out = []
     for mine in (0, 1):
-        least = max(2, min_share * len((toxic, ordinary)[mine]))
-        typical = [(n, w) for w, n in counts[mine].items() if n >= least and (n + 0.5) / total[mine] >= odds * (counts[1 - mine].get(w, 0) + 0.5) / total[1 - mine]]
-        picked, room = [], size // 2
-        for _, w in sorted(typical, key=lambda x: (-x[0], x[1])):
-            room -= len(w) + 1
+        share, telling = total[mine] / sum(total), []
+        for s, n in counts[mine].items():
+            other = counts[1 - mine].get(s, 0)
+            if n > 1 and (n + 0.5) / total[mine] >= odds * (other + 0.5) / total[1 - mine]:
+                ratio = 2 * (n * np.log(n / ((n + other) * share)) + (other * np.log(other / ((n + other) * (1 - share))) if other else 0.0))
+                if ratio >= least:
+                    telling.append((ratio, s))
+        picked, room, held = [], size // 2, set()
+        wider = widened({s for _, s in telling}, counts[mine])
+        for _, s in sorted(telling, key=lambda x: (-x[0], -len(x[1]), x[1])):
+            s = wider.get(s, s)
+            parts = {s[i:j] for i in range(len(s) - shortest + 1) for j in range(i + shortest, len(s) + 1)}
+            if held & parts:
+                continue
+            room -= len(s)
             if room < 0:
                 break
-            picked.append(w)
-        out.append(b" " + b" ".join([*reversed(picked), *reversed(base)]) + b" " + LEAD)
+            picked.append(s)
+            held |= parts
+        out.append(b"".join(reversed(picked)) + b" " + b" ".join(reversed(base)) + b" " + LEAD)
     return out[0], out[1]
 
 
@@ -131,24 +183,27 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 30, ridge: float = 1e-2
     return w
 
 
-def train(texts: Sequence[str | None], labels: Sequence[int], size: int = 16_384, window: int = 1, min_share: float = 0.012, odds: float = 8.0) -> Model:
+def train(texts: Sequence[str | None], labels: Sequence[int], size: int = 16_384, window: int = 1, odds: float = 16.0) -> Model:
     """Dictionaries from one half of the sample, threshold and weights from the other; ordinary only if a class is missing."""
     y = np.array(labels, float)
     if not len(y) or y.min() == y.max():
         return Model(b"", b"", window, 1.0, (30.0 if len(y) and y.min() == 1 else -30.0, 0.0, 0.0, 0.0, 0.0))
-    half = np.arange(len(y)) % 2 == 0
+    # Every other text of each class.
+    half = np.where(y == 1, np.cumsum(y == 1), np.cumsum(y == 0)) % 2 == 1
     first = [(t, v) for t, v, h in zip(texts, y, half, strict=True) if h]
-    pair = train_dictionaries([t for t, v in first if v == 1], [t for t, v in first if v == 0], size, min_share, odds)
+    pair = train_dictionaries([t for t, v in first if v == 1], [t for t, v in first if v == 0], size, odds)
     known_distances = distances(*pair)
     rest = [(known_distances.of(t, window), v) for t, v, h in zip(texts, y, half, strict=True) if not h]
     known = np.array([v for _, v in rest])
-    best = (-1.0, 0.0)
-    for threshold in np.arange(0.1, 0.9, 0.02).tolist():
-        hit = np.array([bool(len(d)) and d.max() >= threshold for d, _ in rest])
-        gap = hit[known == 1].mean() - hit[known == 0].mean() if 0 < known.sum() < len(known) else 0.0
-        best = max(best, (float(gap), threshold))
-    x = np.array([figures(d, best[1]) for d, _ in rest])
-    return Model(*pair, window, best[1], tuple(logistic(x, known).tolist()))
+    best = (np.inf, 0.0, np.zeros(5))
+    for threshold in np.arange(0.06, 0.9, 0.04).tolist():
+        x = np.array([figures(d, threshold) for d, _ in rest])
+        weights = logistic(x, known)
+        chance = np.clip(1 / (1 + np.exp(-np.clip(x @ weights, -30, 30))), 1e-9, 1 - 1e-9)
+        loss = -float(np.mean(known * np.log(chance) + (1 - known) * np.log(1 - chance)))
+        if loss < best[0]:
+            best = (loss, threshold, weights)
+    return Model(*pair, window, best[1], tuple(best[2].tolist()))
 
 
 def scores(texts: Sequence[str | None], model: Model) -> list[float]:
@@ -172,9 +227,9 @@ def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
         ids = labels.where((F.col(label_col) == y) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_l"), F.lit(y).alias("_y")).distinct()
         picked.append(ids.orderBy(*order).limit(most))
     known = docs.where(F.length(text_col) <= most_chars).select(F.col(id_col).alias("_i"), F.col(text_col).alias("_t"))
-    # At most 2 * most ids, by the limits above.
+    # At most 2 * most ids, by the limits above, and as many rows, should ids be repeated.
     found = known.join(F.broadcast(picked[0].union(picked[1])), F.col("_i") == F.col("_l")).select("_t", "_y", F.xxhash64("_i").alias("_o"))
-    rows = sorted(found.collect(), key=lambda r: (r["_o"], r["_t"]))
+    rows = sorted(found.orderBy("_o", "_t").limit(2 * most).collect(), key=lambda r: (r["_o"], r["_t"]))
     return [r["_t"] for r in rows], [r["_y"] for r in rows]
 
 

@@ -318,7 +318,23 @@ def test_toxicity_on_held_out_texts(spark, no_docs):
     assert toxicity.score_toxicity(no_docs, known).count() == 0
 
 
-def test_toxic_words_of_a_small_sample():
-    toxic = [" ".join(prose(k, 30).split()[:28] + ["nastybag", "end"]) if k % 3 == 0 else prose(k, 30) for k in range(24)]
-    model = toxicity.train([t for k in range(24) for t in (toxic[k], toxic[k], prose(500 + k, 30), prose(600 + k, 30))], [1, 1, 0, 0] * 24)
-    assert b"nastybag" in model.toxic and b"nastybag" not in model.ordinary
+def test_dictionaries_hold_what_tells_the_classes_apart():
+    """A marking word, and a marking start of many different words, which no list of words would hold."""
+    rng = random.Random(4)
+    toxic, ordinary = [], []
+    for k in range(60):
+        words = prose(k, 60).split(" ")
+        for _ in range(4):
+            words[rng.randrange(len(words))] = rng.choice(["nastybag", f"grumo{rng.choice('aeiou')}{rng.choice('lnrst')}{rng.choice('aeiou')}{rng.choice('lnrst')}"])
+        toxic.append(" ".join(words))
+        ordinary.append(prose(500 + k, 60))
+    bad, good = toxicity.train_dictionaries(toxic, ordinary, 16_384, 16.0)
+    assert b"nastybag" in bad and b" grumo" in bad and b"nastybag" not in good and b"grumo" not in good
+    model = toxicity.train([t for pair in zip(toxic, ordinary) for t in pair for _ in range(1)], [1, 0] * 60)
+    assert np.mean(np.array(toxicity.scores(toxic[1::2], model)) >= 0.5) >= 0.9
+    assert np.mean(np.array(toxicity.scores([prose(900 + k, 60) for k in range(30)], model)) < 0.5) >= 0.9
+
+
+def test_windows_overlap():
+    assert toxicity.windows("A b c D e", 4) == [b"a b c d", b"c d e"] and toxicity.windows("a B", 4) == [b"a b"]
+    assert toxicity.windows("a b", 1) == [b"a", b"b"] and toxicity.windows(None, 4) == []
