@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Space characters of the contracts, `[\x20\x09-\x0D]`; exactly the bytes that `bytes.split()` splits on.
@@ -21,9 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset in local mode.
+
+    On a cluster there is no folder to fall back on: executors would write to disks of their own.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = f"file://{tempfile.mkdtemp(prefix='spark-docketry-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return root
@@ -57,6 +62,16 @@ def bounded_broadcast(df: DataFrame, rows: int, most: int) -> DataFrame:
     return F.broadcast(df) if rows <= most else df
 
 
+def spread_join(rows: DataFrame, small: DataFrame, on: Column, row: Column, salts: int = 16) -> DataFrame:
+    """Left join of rows with the smaller table, each of whose rows stands once for every salt; `row` tells the rows apart.
+
+    Rows without a partner, nulls included, and rows of one very frequent key go to as many tasks as there are salts.
+    """
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(row), F.lit(salts)).cast("int"))
+    copied = small.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return dealt.join(copied, on & (F.col("_salt") == F.col("_copy")), "left").drop("_salt", "_copy")
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.Table | pa.RecordBatch | None], schema: str) -> DataFrame:
     """mapInArrow, one output table for an input batch; batches of all-empty input give nothing."""
 

@@ -63,7 +63,7 @@ def find_leaks(
     A window is `window` consecutive item words; an item of fewer words, but not none, is one window. A document word in
     any occurrence of a window is hit. Document words meet the windows by an equi-join on each window's rarest word; its
     place in the window fixes where the window would lie in the document, the document's ends bound it, and it is compared
-    whole. Texts stay where they are read: only matches and (id, digest, n_words) are shuffled. At most `broadcast_rows`
+    whole. Texts stay where they are read and are met in one pass: only matches and (id, digest, n_words) are shuffled. At most `broadcast_rows`
     windows, as counted, are sent to the executors at a time.
 
     Null and empty texts have no words and no hits, in documents as in items; null item ids are dropped from the list but
@@ -77,30 +77,30 @@ def find_leaks(
     parts = parts_for(index.count(), broadcast_rows)
 
     own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    row_key = [F.col("_id"), F.xxhash64("_text").alias("_h")]
-    spread = own.select(*row_key, words(F.col("_text")).alias("_words")).select("_id", "_h", "_words", F.posexplode("_words").alias("_p", "_v"))
+    # An empty word after the last one meets a window of its own: so every document leaves one row, with its number of words.
+    spread = own.select("_id", F.xxhash64("_text").alias("_h"), F.array_append(words(F.col("_text")), F.lit("")).alias("_words"))
+    spread = spread.select("_id", "_h", "_words", F.posexplode("_words").alias("_p", "_v"))
+    ends = docs.sparkSession.range(1).select(F.lit(None).cast(index.schema["_key"].dataType).alias("_key"), F.lit("").alias("_w"), F.lit(0).alias("_a"), F.array(F.lit("")).alias("_window"))
     # All of the test stands in the join itself, so that a row leaves it only for a window that occurs: the words array of
     # a long text is never copied for the words that don't.
     start, length = F.col("_p") - F.col("_a"), F.size("_window")
     occurs = (F.col("_v") == F.col("_w")) & (start >= 0) & (start + length <= F.size("_words")) & (F.slice("_words", start + 1, length) == F.col("_window"))
-    found = None
+    is_end, found = F.col("_key").isNull(), None
     for part in range(parts):
         piece = index if parts == 1 else index.where(F.pmod(F.xxhash64("_key"), F.lit(parts)) == part)
-        met = spread.join(F.broadcast(piece), occurs).select("_id", "_h", "_key", F.sequence(start, start + length - 1).alias("_hit"))
+        hit, n = F.when(~is_end, F.sequence(start, start + length - 1)), F.when(is_end, F.col("_p").cast("long"))
+        met = spread.join(F.broadcast(piece if part else piece.unionByName(ends)), occurs).select("_id", "_h", "_key", hit.alias("_hit"), n.alias("_n"))
         found = met if found is None else found.union(met)
-    by_doc = (
-        found.groupBy("_id", "_h")
-        .agg(F.size(F.array_distinct(F.flatten(F.collect_list("_hit")))).alias("_n_hit"), F.collect_set("_key").alias("_keys"))
-        .select(
-            F.col("_id").alias("_d"),
-            F.col("_h").alias("_g"),
-            "_n_hit",
-            F.size("_keys").alias("_n_items"),
-            F.array_sort(F.filter(F.col("_keys.id"), lambda x: x.isNotNull())).alias("_ids"),
-        )
+    by_doc = found.groupBy("_id", "_h").agg(
+        F.max("_n").alias("n_words"),
+        F.count("_n").cast("int").alias("_copies"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("_hit")))).alias("_n_hit"),
+        F.collect_set("_key").alias("_keys"),
+    )
+    # A repeated row is given as often as it was there.
+    joined = by_doc.select(
+        "_id", "_h", "n_words", "_n_hit", F.size("_keys").alias("_n_items"), F.array_sort(F.filter(F.col("_keys.id"), lambda x: x.isNotNull())).alias("_ids"), F.explode(F.array_repeat(F.lit(0), F.col("_copies"))).alias("_copy")
     )
-    counted = own.select(*row_key, F.size(words(F.col("_text"))).cast("long").alias("n_words"))
-    joined = counted.join(by_doc, F.col("_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_g")), "left")
     hits = F.coalesce(F.col("_n_hit"), F.lit(0)).cast("long")
     return joined.select(
         F.col("_id").alias(id_col),

@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docketry.llm._shared import bounded_broadcast, written
+from docketry.llm._shared import spread_join, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Leaves up to which their table is sent to every executor; beyond, documents meet it by a shuffle.
 BROADCAST_LEAVES = 100_000
-#: Slices of each leaf's order, of which one at most is cut inside.
-SLICES = 1024
+#: Slices of each leaf's order, of which one at most is cut inside, and rows for which there is one more.
+SLICES, ROWS_A_SLICE = 1024, 100_000
 
 
 def n_words(text: Column) -> Column:
@@ -38,14 +39,15 @@ def water_filled(nodes: DataFrame, parent: Sequence[str], budget: Column) -> Dat
 def leaf_budgets(leaves: DataFrame, levels: Sequence[str], weights: Sequence[tuple], total: float | None, share: float, max_epochs: int) -> DataFrame:
     """Leaf columns, supply (tokens) and budget (whole tokens) from the top of the tree down.
 
-    weights: (path, weight), a path naming a node by the values of the first levels; nodes not named weigh 1. A node's
+    weights: (path, weight), a path naming a node by the values of the first levels; nodes not named weigh 1, of a path
+    given twice the last weight holds. The children of one node are ordered in one task, as rows of three numbers. A node's
     cap is its leaves' tokens times max_epochs. What a node can't use stays with its siblings, and leaves their parent only when all of
     them are full, since the parent's own cap is the sum of theirs.
     """
     spark = leaves.sparkSession
     given = leaves
     for depth in range(1, len(levels) + 1):
-        named = [(*path, float(w)) for path, w in weights if len(path) == depth]
+        named = [(*path, float(w)) for path, w in dict(weights).items() if len(path) == depth]
         names = ", ".join([*(f"{c} string" for c in levels[:depth]), f"_w{depth} double"])
         given = given.join(F.broadcast(spark.createDataFrame(named, names)), list(levels[:depth]), "left").na.fill(1.0, [f"_w{depth}"])
     weightless = F.lit(False)
@@ -85,7 +87,7 @@ def mix(
     characters; null and empty texts have none. Repeated rows have equal places in the order and are counted one by one;
     an empty table gives no rows; other columns are ignored.
 
-    A leaf is never sorted as a whole: its order is cut in SLICES by hash, slices are summed with partial sums, and only
+    A leaf is never sorted as a whole: its order is cut in slices by hash, more as the rows are more, slices are summed with partial sums, and only
     the one slice in which the budget ends is ordered row by row. Only (id, leaf, tokens, hash) rows are shuffled.
     """
     names = [n for n, _ in levels]
@@ -110,13 +112,23 @@ def mix(
         "plan",
     )
     order = F.xxhash64(F.lit(seed), F.col("_epochs"), F.col("_id"), F.col("text_hash"))
-    placed = rows.join(bounded_broadcast(plan, n, broadcast_leaves), names).withColumn("_order", order)
-    placed = placed.withColumn("_slice", F.floor((F.col("_order").cast("double") / 2.0**64 + 0.5) * SLICES).cast("int"))
-    slices = placed.groupBy(*names, "_slice").agg(F.sum("n_tokens").alias("_sum"), F.first("_left").alias("_left"))
+    slices = SLICES + rows.count() // ROWS_A_SLICE
+
+    def with_leaf(df: DataFrame, leaf: DataFrame) -> DataFrame:
+        """Left join with a table of leaves: sent to all executors if they are few, else met by a shuffle that splits large leaves."""
+        if n <= broadcast_leaves:
+            return df.join(F.broadcast(leaf), names, "left")
+        named = leaf.select(*(F.col(c).alias(f"_l_{c}") for c in names), *(c for c in leaf.columns if c not in names))
+        same = reduce(Column.__and__, [F.col(c) == F.col(f"_l_{c}") for c in names])
+        return spread_join(df, named, same, F.struct("_id", "text_hash")).drop(*(f"_l_{c}" for c in names))
+
+    placed = with_leaf(rows, plan).withColumn("_order", order)
+    placed = placed.withColumn("_slice", F.least(F.floor((F.col("_order").cast("double") / 2.0**64 + 0.5) * slices), F.lit(slices - 1)).cast("int"))
+    sums = placed.groupBy(*names, "_slice").agg(F.sum("n_tokens").alias("_sum"), F.first("_left").alias("_left"))
     before = F.coalesce(F.sum("_sum").over(Window.partitionBy(*names).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ends = slices.withColumn("_before", before).where(F.col("_before") + F.col("_sum") > F.col("_left"))
+    ends = sums.withColumn("_before", before).where(F.col("_before") + F.col("_sum") > F.col("_left"))
     cut = ends.groupBy(*names).agg(F.min("_slice").alias("_cut"), F.min_by("_before", "_slice").alias("_before"))
-    marked = placed.join(bounded_broadcast(written(cut, "cut"), n, broadcast_leaves), names, "left")
+    marked = with_leaf(placed, written(cut, "cut"))
     inside = Window.partitionBy(*names).orderBy("_order", "_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = marked.where(F.col("_cut").isNull() | (F.col("_slice") != F.col("_cut")))
     whole = whole.withColumn("_more", (F.col("_cut").isNull() | (F.col("_slice") < F.col("_cut"))).cast("int"))

@@ -16,12 +16,21 @@ SEPARATORS = "|>»·•/"
 SYMBOLS = "#*$%&|<>"
 BOILERPLATE = (
     "all rights reserved",
+    "alle rechte vorbehalten",
     "cookie policy",
+    "cookie-richtlinie",
+    "datenschutzerklärung",
     "enable javascript",
     "lorem ipsum",
+    "mentions légales",
+    "politique de confidentialité",
+    "política de cookies",
+    "política de privacidad",
     "privacy policy",
     "subscribe to our newsletter",
     "terms of use",
+    "todos los derechos reservados",
+    "tous droits réservés",
 )
 
 SCHEMA = (

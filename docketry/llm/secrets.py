@@ -22,16 +22,22 @@ HEX = re.compile(r"[0-9a-f]+")
 MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 8, 16, 32
 #: In the order in which spans of one start are listed: the base kinds, then the confirmed ones.
 KINDS = ("assign", "access", "hex", "der", "ssh", "jwt")
-SSH_NAMES = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-nistp256", b"ecdsa-sha2-nistp384", b"ecdsa-sha2-nistp521")
+#: Kinds of elements in key encodings: numbers, strings, null, names, sequences and their tagged parts.
+KEY_TAGS, MAX_DEPTH, MIN_KEY = (0x02, 0x03, 0x04, 0x05, 0x06, 0x30, 0xA0, 0xA1), 16, 16
+SSH_MAGIC = b"openssh-key-v1\x00"
+#: Names of public keys and how many fields each has, the name included.
+SSH_NAMES = {b"ssh-rsa": 3, b"ssh-dss": 5, b"ssh-ed25519": 2, b"ecdsa-sha2-nistp256": 3, b"ecdsa-sha2-nistp384": 3, b"ecdsa-sha2-nistp521": 3}
 
 #: Candidates of the structural tests: base64 over wrapped lines, hex of even length, three dotted parts.
-BLOB = re.compile(r"[A-Za-z0-9+/]{40,}(?:\r?\n[A-Za-z0-9+/]+)*={0,2}")
+#: Lines of a blob are joined by line ends, or by their escapes where the text is itself quoted.
+JOINT = re.compile(r"\r?\n|(?:\\r)?\\n")
+BLOB = re.compile(r"[A-Za-z0-9+/_-]{40,}(?:(?:\r?\n|(?:\\r)?\\n)[A-Za-z0-9+/_-]+)*={0,2}")
 HEX_BLOB = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){16,}(?![0-9A-Fa-f])")
 JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
 
 # Cheap tests over whole batches that never miss a match of the pattern they stand for.
 MAY_ASSIGN = r"""(?i)(?:passwo?r?d|secret|token|api_?key)["']?\x20*[:=]"""
-MAY_HEX, MAY_BLOB, MAY_HEX_BLOB = r"[0-9a-f]{32}", r"[A-Za-z0-9+/]{40}", r"[0-9A-Fa-f]{32}"
+MAY_HEX, MAY_BLOB, MAY_HEX_BLOB = r"[0-9a-f]{32}", r"[A-Za-z0-9+/_-]{40}", r"[0-9A-Fa-f]{32}"
 
 
 class Span(NamedTuple):
@@ -60,30 +66,81 @@ def der_length(data: bytes, at: int) -> tuple[int, int] | None:
     return (start, start + size) if start + size <= len(data) else None
 
 
+def nested(data: bytes, at: int, end: int, depth: int = 0) -> tuple[int, bool] | None:
+    """Of the elements that fill at..end exactly, at every level: how many stand at this level, and whether any holds a
+    number, bit or octet string of key size. None if a length doesn't fit or an element is of no kind that keys hold."""
+    n, large = 0, False
+    while at < end:
+        if data[at] not in KEY_TAGS or depth > MAX_DEPTH or (inner := der_length(data, at)) is None or inner[1] > end:
+            return None
+        if data[at] in (0x30, 0xA0, 0xA1):
+            below = nested(data, *inner, depth + 1)
+            if below is None:
+                return None
+            large |= below[1]
+        else:
+            large |= data[at] in (0x02, 0x03, 0x04) and inner[1] - inner[0] >= MIN_KEY
+        n, at = n + 1, inner[1]
+    return n, large
+
+
 def is_der_key(data: bytes) -> bool:
-    """A SEQUENCE that fills the data, whose parts nest exactly and hold a number, bit or octet string of key size."""
+    """A SEQUENCE that fills the data, whose parts nest exactly at every level and hold something of key size."""
     if len(data) < 24 or data[0] != 0x30 or (top := der_length(data, 0)) is None or top[1] != len(data):
         return False
-    at, large, parts = top[0], False, 0
-    while at < top[1]:
-        if data[at] not in (0x02, 0x03, 0x04, 0x05, 0x06, 0x30, 0xA0, 0xA1) or (inner := der_length(data, at)) is None or inner[1] > top[1]:
-            return False
-        large |= data[at] in (0x02, 0x03, 0x04) and inner[1] - inner[0] >= 16
-        parts, at = parts + 1, inner[1]
-    return large and parts >= 2
+    found = nested(data, *top)
+    return found is not None and found[0] >= 2 and found[1]
 
 
-def is_ssh_key(data: bytes) -> bool:
-    """Length-prefixed fields after a known key name that fill the data, or the private key container's magic."""
-    if data.startswith(b"openssh-key-v1\x00"):
-        return True
-    at, fields = 0, []
-    while at < len(data):
+def fields(data: bytes, at: int = 0, most: int | None = None) -> tuple[list[bytes], int] | None:
+    """Length-prefixed fields from `at` to the data's end, or the first `most`, and where they end; None if a length doesn't fit."""
+    found = []
+    while at < len(data) and (most is None or len(found) < most):
         if at + 4 > len(data) or (end := at + 4 + int.from_bytes(data[at : at + 4], "big")) > len(data):
-            return False
-        fields.append(data[at + 4 : end])
+            return None
+        found.append(data[at + 4 : end])
         at = end
-    return len(fields) >= 2 and fields[0] in SSH_NAMES
+    return found, at
+
+
+def is_public_key(data: bytes) -> bool:
+    """Length-prefixed fields after a known key name, as many as it has, that fill the data."""
+    found = fields(data)
+    return found is not None and bool(found[0]) and SSH_NAMES.get(found[0][0]) == len(found[0])
+
+
+def container(data: bytes) -> tuple[list[bytes], int] | None:
+    """Public keys and private part of a private key container, and where it ends: magic, cipher, derivation and its options,
+    the keys' number, then a field for each key and one for the private part. None if a length doesn't fit."""
+    head = fields(data, len(SSH_MAGIC), 3) if data.startswith(SSH_MAGIC) else None
+    if head is None or len(head[0]) < 3 or head[1] + 4 > len(data):
+        return None
+    n = int.from_bytes(data[head[1] : head[1] + 4], "big")
+    body = fields(data, head[1] + 4, n + 1)
+    return body if body is not None and n >= 1 and len(body[0]) == n + 1 else None
+
+
+def is_ssh_key(data: bytes) -> bool:
+    """A public key, or a private key container whose public keys are such and whose private part is of key size."""
+    if not data.startswith(SSH_MAGIC):
+        return is_public_key(data)
+    found = container(data)
+    return found is not None and found[1] == len(data) and all(map(is_public_key, found[0][:-1])) and len(found[0][-1]) >= MIN_KEY
+
+
+def key_size(data: bytes) -> int | None:
+    """How many of the bytes the key takes that they begin with, as its own lengths tell; None if they begin with none."""
+    if data[:1] == b"\x30":
+        found = der_length(data, 0)
+        return found[1] if found else None
+    if data.startswith(SSH_MAGIC):
+        found = container(data)
+        return found[1] if found else None
+    name = fields(data, 0, 1)
+    if not name or not name[0] or name[0][0] not in SSH_NAMES:
+        return None
+    found = fields(data, 0, SSH_NAMES[name[0][0]])
+    return found[1] if found else None
 
 
 def decoded(text: str) -> bytes | None:
@@ -126,12 +183,20 @@ def confirmed_spans(text: str, blob: bool = True, hexed: bool = True, token: boo
     """Spans that decode as a key encoding or a signed token."""
     found = []
     for m in BLOB.finditer(text) if blob else ():
-        # The wrapped lines together, or else the first line alone: an ordinary word may follow on the next line.
-        for part in dict.fromkeys((m[0], re.match(r"[^\r\n]+", m[0])[0])):
-            data = decoded(re.sub(r"\s", "", part))
-            rank = 3 if data and is_der_key(data) else 4 if data and is_ssh_key(data) else None
-            if rank is not None:
-                found.append(Span(m.start(), rank, m.start() + len(part)))
+        # The key's own lengths tell at which of the wrapped lines it ends: prose may follow on the next one.
+        pieces = JOINT.split(m[0].rstrip("="))
+        body = "".join(pieces)
+        size = key_size(decoded(body) or decoded(body[:-1]) or b"")
+        if size is None:
+            continue
+        bare, joints = 0, [*JOINT.finditer(m[0])]
+        for i, piece in enumerate(pieces):
+            bare += len(piece)
+            if bare >= -(-size * 4 // 3):
+                data = decoded(body[:bare])
+                rank = 3 if data and is_der_key(data) else 4 if data and is_ssh_key(data) else None
+                if rank is not None:
+                    found.append(Span(m.start(), rank, m.start() + joints[i].start() if i < len(joints) else m.end()))
                 break
     for m in HEX_BLOB.finditer(text) if hexed else ():
         if is_der_key(bytes.fromhex(m[0])):

@@ -70,7 +70,7 @@ lj AS (SELECT *, row_number() OVER (PARTITION BY k, l ORDER BY pos) > 1 AS dup,
               NOT contains('.!?:;…"''”’»)]', tail)
               OR len(list_filter(ws, lambda s: trim(s, '|>»·•/') = '')) > 0.25 * len(ws)
               OR length(regexp_replace(l, '[^#*$%&|<>]', '', 'g')) > 0.1 * chars
-              OR regexp_matches(lower(l), 'all rights reserved|cookie policy|enable javascript|lorem ipsum|privacy policy|subscribe to our newsletter|terms of use')
+              OR regexp_matches(lower(l), 'all rights reserved|alle rechte vorbehalten|cookie policy|cookie-richtlinie|datenschutzerklärung|enable javascript|lorem ipsum|mentions légales|politique de confidentialité|política de cookies|política de privacidad|privacy policy|subscribe to our newsletter|terms of use|todos los derechos reservados|tous droits réservés')
               AS fails FROM lw WHERE len(ws) > 0),
 ls AS (SELECT k, count(*) FILTER (dup) AS n_dup_lines, count(*) FILTER (fails) AS n_removed,
               coalesce(sum(chars) FILTER (fails), 0)::BIGINT AS removed_chars FROM lj GROUP BY k),

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docketry.llm._shared import map_arrow
+from docketry.llm._shared import map_arrow, written
 
 
 def public_vocabulary(name: str = "byte_bpe_50k.tiktoken") -> tuple[str, str]:
@@ -63,7 +63,8 @@ def length_histogram(
     """
     if path is None or pattern is None:
         path, pattern = public_vocabulary()
-    counted = encoded_lengths(docs, path, pattern, text_col, keys).groupBy(*keys, "n_tokens").agg(F.count("*").alias("n_docs"))
+    # Read twice below; the texts are encoded once.
+    counted = written(encoded_lengths(docs, path, pattern, text_col, keys).groupBy(*keys, "n_tokens").agg(F.count("*").alias("n_docs")), "lengths")
     counted = counted.withColumn("_block", F.expr(f"n_tokens div {block}")).withColumn("_tokens", F.col("n_tokens") * F.col("n_docs"))
     by_block = counted.groupBy(*keys, "_block").agg(F.sum("n_docs").alias("_docs"), F.sum("_tokens").alias("_sum"))
     before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
@@ -91,27 +92,30 @@ def length_histogram(
     return out.withColumn("truncated_total", F.col("tokens_below") + F.col("n_tokens") * F.col("docs_from"))
 
 
-def truncated_at(histogram: DataFrame, limits: DataFrame, keys: tuple[str, ...] = (), limit_col: str = "context_limit") -> DataFrame:
+def truncated_at(histogram: DataFrame, limits: list[int], keys: tuple[str, ...] = ()) -> DataFrame:
     """For each `keys` and limit: documents cut, whole documents, tokens in all and tokens left when cut at the limit.
 
-    `limits` is a small table of limits (its rows are few by nature); repeated limits repeat their answers.
+    Read off the suffix sums: the shortest length above a limit tells what is cut, and a limit that no document exceeds is
+    answered by the longest length. limits is a short list; repeated limits count once; an empty histogram gives no rows.
     """
-    long = F.col("n_tokens") > F.col(limit_col)
-    return (
-        histogram.select(*keys, "n_tokens", "n_docs")
-        .join(F.broadcast(limits.select(limit_col)), F.lit(True))
-        .groupBy(*keys, limit_col)
-        .agg(
-            F.sum(F.when(long, F.col("n_docs")).otherwise(0)).alias("docs_cut"),
-            F.sum(F.when(long, 0).otherwise(F.col("n_docs"))).alias("docs_whole"),
-            F.sum(F.col("n_tokens") * F.col("n_docs")).alias("tokens_total"),
-            F.sum(F.least("n_tokens", limit_col) * F.col("n_docs")).alias("tokens_left"),
-        )
+    limit = F.explode(F.array(*(F.lit(int(x)).cast("long") for x in sorted(set(limits)))))
+    sums = F.struct("n_tokens", "docs_from", "tokens_from", "docs_below", "tokens_below")
+    asked = histogram.select(*keys, "n_docs", sums.alias("_s"), limit.alias("context_limit"))
+    found = asked.groupBy(*keys, "context_limit").agg(F.min(F.when(F.col("_s.n_tokens") > F.col("context_limit"), F.col("_s"))).alias("_above"), F.max("_s").alias("_last"))
+    docs, total = F.col("_last.docs_below") + F.col("_last.docs_from"), F.col("_last.tokens_below") + F.col("_last.tokens_from")
+    cut = F.coalesce("_above.docs_from", F.lit(0).cast("long"))
+    return found.select(
+        *keys,
+        "context_limit",
+        cut.alias("docs_cut"),
+        (docs - cut).alias("docs_whole"),
+        total.alias("tokens_total"),
+        F.coalesce(F.col("_above.tokens_below") + F.col("context_limit") * F.col("_above.docs_from"), total).alias("tokens_left"),
     )
 
 
 def quantile_lengths(histogram: DataFrame, quantiles: list[float], keys: tuple[str, ...] = ()) -> DataFrame:
-    """Exact quantiles: the smallest length with at least that share of the documents at or below it."""
+    """Exact quantiles: the smallest length with at least that share of the documents at or below it; no rows for an empty histogram."""
     wanted = F.explode(F.array(*map(F.lit, quantiles))).alias("quantile")
     total, upto = F.col("docs_below") + F.col("docs_from"), F.col("docs_below") + F.col("n_docs")
     return (
