@@ -72,15 +72,21 @@ def spread_join(rows: DataFrame, small: DataFrame, on: Column, row: Column, salt
     return dealt.join(copied, on & (F.col("_salt") == F.col("_copy")), "left").drop("_salt", "_copy")
 
 
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 1_000) -> Iterator[pa.RecordBatch]:
+    """Batches of at most `rows` rows, so that only so many texts are Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.Table | pa.RecordBatch | None], schema: str) -> DataFrame:
     """mapInArrow, one output table for an input batch; batches of all-empty input give nothing."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                out = fn(batch)
-                if out is not None:
-                    yield from out.to_batches() if isinstance(out, pa.Table) else [out]
+        for batch in slices(batches):
+            out = fn(batch)
+            if out is not None:
+                yield from out.to_batches() if isinstance(out, pa.Table) else [out]
 
     return df.mapInArrow(run, schema)
 

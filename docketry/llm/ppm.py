@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docketry.llm._shared import map_arrow, parts_for, text_bytes, written
+from docketry.llm._shared import parts_for, slices, text_bytes, written
 
 #: Context and symbol must fit a positive 64-bit number.
 MAX_ORDER = 6
@@ -85,7 +85,7 @@ def gram_counts(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.Re
             yield pa.RecordBatch.from_arrays([pa.array(gram[at : at + BATCH]), pa.array(n[at : at + BATCH])], ["gram", "n"])
 
     gathered, size = [], 0
-    for batch in batches:
+    for batch in slices(batches):
         learnt = 1 - np.array(batch.column("_held").to_pylist(), np.int64)
         for gram, owner in grams(batch.column("_text").to_pylist(), order):
             gathered.append(summed(gram, learnt[owner]))
@@ -214,14 +214,23 @@ def score(
     held = F.coalesce(held_out(F.col(id_col)), F.lit(False)) if held_out else F.lit(False)
     own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), held.alias("_held"))
 
-    def counted(batch: pa.RecordBatch) -> pa.Table:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         learnt, other = Counter(), set()
-        for t, h in zip(batch.column("_text").to_pylist(), batch.column("_held").to_pylist(), strict=True):
-            (other if h else learnt).update(words(t))
-        found = [*learnt, *other.difference(learnt)]
-        return pa.table({"word": pa.array(found, pa.binary()), "c": pa.array([learnt.get(w, 0) for w in found], pa.int64())})
 
-    vocabulary = written(map_arrow(own, counted, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "vocabulary")
+        def rows() -> pa.RecordBatch:
+            found = [*learnt, *other.difference(learnt)]
+            return pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array([learnt.get(w, 0) for w in found], pa.int64())], ["word", "c"])
+
+        for batch in slices(batches):
+            for t, h in zip(batch.column("_text").to_pylist(), batch.column("_held").to_pylist(), strict=True):
+                (other if h else learnt).update(words(t))
+            if len(learnt) + len(other) > SHARD:
+                yield rows()
+                learnt.clear()
+                other.clear()
+        yield rows()
+
+    vocabulary = written(own.mapInArrow(counted, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "vocabulary")
     sums = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("tokens"), F.count_if(F.col("c") > 0).alias("distinct"), F.count("*").alias("words")).first()
     n_train, base_of = sums["tokens"], np.log10(sums["tokens"] + sums["distinct"] + 1)
     trie = own.mapInArrow(lambda batches: gram_counts(batches, order), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
