@@ -17,6 +17,8 @@ BANKS = {
     "MAYBANK": "MAYBANK", "MALAYAN BANKING": "MAYBANK", "CIMB": "CIMB BANK", "CIMB BANK": "CIMB BANK", "PUBLIC BANK": "PUBLIC BANK", "RHB": "RHB BANK",
     "RHB BANK": "RHB BANK", "HONG LEONG BANK": "HONG LEONG BANK", "AMBANK": "AMBANK", "AM BANK": "AMBANK", "BANK ISLAM": "BANK ISLAM", "BANK RAKYAT": "BANK RAKYAT",
     "BANK KERJASAMA RAKYAT": "BANK RAKYAT", "BANK MUAMALAT": "BANK MUAMALAT", "OCBC": "OCBC BANK", "OCBC BANK": "OCBC BANK", "HSBC": "HSBC BANK", "HSBC BANK": "HSBC BANK",
+    "STANDARD CHARTERED": "STANDARD CHARTERED", "STANDARD CHARTERED BANK": "STANDARD CHARTERED", "UOB": "UOB BANK", "UOB BANK": "UOB BANK", "UNITED OVERSEAS BANK": "UOB BANK",
+    "AFFIN BANK": "AFFIN BANK", "ALLIANCE BANK": "ALLIANCE BANK", "BSN": "BANK SIMPANAN NASIONAL", "BANK SIMPANAN NASIONAL": "BANK SIMPANAN NASIONAL",
 }
 # Currencies by the ways they are printed.
 CURRENCIES = {
@@ -54,8 +56,10 @@ def currency(col: Column) -> Column:
 
 
 def normal_bank(col: Column) -> Column:
+    """A bank's name without the words that banks append; a name of such words alone stays."""
     words = F.split(normal_entity(col), " ")
-    return F.array_join(F.filter(words, lambda w: ~w.isin(*BANK_SUFFIXES)), " ")
+    kept = F.filter(words, lambda w: ~w.isin(*BANK_SUFFIXES))
+    return F.array_join(F.when(F.size(kept) > 0, kept).otherwise(words), " ")
 
 
 @F.pandas_udf(DoubleType())
@@ -64,13 +68,14 @@ def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() if x is not None and y is not None else None for x, y in zip(a, b, strict=True)])
 
 
-def canonical(names: DataFrame, col: str, table: dict[str, str], threshold: float = 0.85) -> DataFrame:
+def canonical(names: DataFrame, col: str, table: dict[str, str], threshold: float = 0.85, near: tuple[str, ...] | None = None) -> DataFrame:
     """Each distinct value of `col` with its canonical form: the table's, else the most similar known name's, else itself.
 
-    Only values that the table misses are compared, each once, with the table's few names; ties go to the first name.
+    Only values that the table misses are compared, each once, with the table's few names, or those of `near` alone; ties go
+    to the first name.
     """
     distinct = names.select(col).where(F.col(col).isNotNull()).distinct().withColumn("_hit", looked_up(F.col(col), table))
-    known = F.broadcast(names.sparkSession.createDataFrame([(k, v, i) for i, (k, v) in enumerate(table.items())], "_k string, _v string, _i int"))
+    known = F.broadcast(names.sparkSession.createDataFrame([(k, v, i) for i, (k, v) in enumerate(table.items()) if near is None or k in near], "_k string, _v string, _i int"))
     close = (
         distinct.where("_hit is null").join(known, F.lit(True)).withColumn("_s", ratio(F.col(col), F.col("_k"))).groupBy(col)
         .agg(F.max_by(F.struct("_v", "_s"), F.struct("_s", -F.col("_i"))).alias("_close"))

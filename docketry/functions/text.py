@@ -47,8 +47,25 @@ DENYLIST = (
     ("ADV-07", r"\b(your|the)\s+(entire\s+)?database\b"),
     ("ADV-08", r"\bbase\s?64\b"),
     ("ADV-08", r"decode\s+(this|the\s+following)"),
+    ("ADV-08", r"[A-Za-z0-9+/]{24,}={0,2}"),
+)
+
+# The steps that take markup out of a sentence, in order.
+PROSE_STEPS = (
+    (r"^\s+|\s+$", ""),
+    (r"^['‘’]+\s*", ""),
+    (r"\*\*([^*]+)\*\*", "$1"),
+    (r"__([^_]+)__", "$1"),
+    (r"\*\*|`", ""),
+    (r"#{1,6}\s*", ""),
+    (r":?-{3,}:?", " "),
+    (r"\s*\|\s*", ", "),
+    (r"(^|\s)[•·*]\s+", "$1"),
+    (r"(?:,\s*){2,}", ", "),
+    (r"^[\s,;]+", ""),
+    (r"\s{2,}", " "),
+    (r"^\s+|\s+$", ""),
 )
-BLOB = ("ADV-08", r"[A-Za-z0-9+/]{24,}={0,2}")
 
 # Words that a cell holds when it holds nothing, after folding.
 BLANKS = ("", "na", "n a", "nil", "none", "null", "-", "--", "notavailable", "not available", "notapplicable", "not applicable", "tiada")
@@ -90,12 +107,9 @@ def redact(col: Column) -> Column:
     return chained(col, [("(?U)" + p, put) for p, put in REDACTIONS])
 
 
-def denied(col: Column, patterns: Sequence[tuple[str, str]] = DENYLIST, blob: tuple[str, str] | None = BLOB) -> Column:
+def denied(col: Column, patterns: Sequence[tuple[str, str]] = DENYLIST) -> Column:
     """The first category with a hit; null for none, null and empty."""
-    hits = [F.when(col.rlike("(?i)" + p), category) for category, p in patterns]
-    if blob:
-        hits.append(F.when(col.rlike(blob[1]), blob[0]))
-    return F.coalesce(*hits)
+    return F.coalesce(*[F.when(col.rlike("(?i)" + p), category) for category, p in patterns])
 
 
 def collapsed(col: Column) -> Column:
@@ -132,10 +146,7 @@ def is_blank(col: Column) -> Column:
 
 def clean_prose(col: Column) -> Column:
     """Markup out of a sentence, wording left as it is."""
-    t = F.regexp_replace(F.trim(col), r"^['‘’]+\s*", "")
-    t = chained(t, [(r"\*\*([^*]+)\*\*", "$1"), (r"__([^_]+)__", "$1"), (r"\*\*|`", ""), (r"#{1,6}\s*", ""), (r":?-{3,}:?", " "), (r"\s*\|\s*", ", ")])
-    t = chained(t, [(r"(^|\s)[•·*]\s+", "$1"), (r"(?:,\s*){2,}", ", "), (r"^[\s,;]+", ""), (r"\s{2,}", " ")])
-    return F.trim(t)
+    return chained(col, PROSE_STEPS)
 
 
 def canonical_section(heading: Column, sections=SECTIONS) -> Column:
@@ -202,8 +213,8 @@ def deep_link(uri: Column, pages: Column) -> Column:
     return F.when(F.size(pages) > 0, F.concat(uri, F.lit("#page="), F.array_min(pages).cast("string"))).otherwise(uri)
 
 
-def summary_of(items: Column, most: int = 5) -> Column:
-    """The first items, then how many more there are."""
+def summary_of(items: Column, most: int = 5, n: Column | None = None) -> Column:
+    """The first items, then how many more there are: of n, where `items` are the first ones only."""
     named = F.array_join(F.slice(items, 1, most), ", ")
-    more = F.size(items) - most
+    more = (F.size(items) if n is None else n) - most
     return F.when(more > 0, F.concat(named, F.lit(" (+"), more.cast("string"), F.lit(" more)"))).otherwise(named)

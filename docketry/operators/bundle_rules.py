@@ -19,7 +19,10 @@ from docketry.operators.rules import per_bundle, status_of, tri_state_and
 # The policy's limits, mandatory documents, and entity types by the names they go by.
 POLICY = {"financial_months": 18, "bank_months": 2, "minimum_months": 6, "currency": "MYR"}
 MINIMUM_MONTHS = {"sole prop": 12, "sole proprietor": 12, "sole proprietorship": 12, "partnership": 12}
-ENTITY_TYPES = {k: k for k in MINIMUM_MONTHS} | {"perniagaan tunggal": "sole prop", "enterprise": "sole prop"}
+ENTITY_TYPES = {k: k for k in MINIMUM_MONTHS} | {
+    "perniagaan tunggal": "sole prop", "enterprise": "sole prop", "single proprietor": "sole prop", "perkongsian": "partnership", "llp": "partnership",
+    "limited liability partnership": "partnership", "perkongsian liabiliti terhad": "partnership",
+}
 SLOTS = (("company_form",), ("financial_statement",), ("bank_statement",), ("identity_document",), ("consent_form",), ("customer_information",))
 DOCUMENTS = {
     "company_form": "company_forms", "financial_statement": "financial_statements", "tax_declaration": "tax_declarations", "bank_statement": "bank_statements",
@@ -51,8 +54,9 @@ def catalogue(spark) -> DataFrame:
 def entity_keys(tables: dict[str, DataFrame]) -> DataFrame:
     """bundle_id and the policy's key of the entity type, null when nothing is similar enough."""
     types = tables["bundles"].select("bundle_id", F.lower(F.trim("entity_type")).alias("_t"))
-    known = canonical(types.where("_t <> ''"), "_t", ENTITY_TYPES)
-    return types.join(F.broadcast(known), "_t", "left").select("bundle_id", F.when(F.col("canonical").isin(*MINIMUM_MONTHS), F.col("canonical")).alias("entity_key"))
+    # Aliases count as they are; only the policy's own keys may be misspelt.
+    known = canonical(types.where("_t <> ''"), "_t", ENTITY_TYPES, near=tuple(MINIMUM_MONTHS))
+    return types.join(known, "_t", "left").select("bundle_id", F.when(F.col("canonical").isin(*MINIMUM_MONTHS), F.col("canonical")).alias("entity_key"))
 
 
 def package(tables, policy) -> DataFrame:
@@ -146,7 +150,7 @@ def overdraft(tables, policy) -> DataFrame:
 
 def bank_consistency(tables, policy) -> DataFrame:
     names = tables["bank_statements"].select("bundle_id", normal_bank(F.col("bank_name")).alias("_b"))
-    known = names.join(F.broadcast(canonical(names, "_b", BANKS)), "_b", "left")
+    known = names.join(canonical(names, "_b", BANKS), "_b", "left")
     banks = known.groupBy("bundle_id").agg(F.array_sort(F.collect_set("canonical")).alias("banks"), F.count_if(F.col("_b").isNull()).alias("unknown"))
     passed = F.when(F.size("banks") > 1, F.lit(False)).when((F.col("unknown") > 0) | (F.size("banks") == 0), F.lit(None).cast("boolean")).otherwise(F.lit(True))
     return per_bundle(tables["bundles"], banks.withColumn("passed", passed), "bank_consistency", F.concat(F.lit("banks: "), F.array_join("banks", ", ")))

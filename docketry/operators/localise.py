@@ -15,8 +15,10 @@ from docketry.functions.similarity import ratio
 from docketry.functions.text import printed_number
 
 TIERS = {"exact_number": 5, "exact_date": 5, "exact": 5, "fuzzy": 2, "fuzzy_ocr": 1}
-#: Words in a window at most.
-LONGEST = 8
+#: Window sizes that numbers and dates are looked for in.
+SHORT_RUNS = (1, 2, 3, 4)
+#: A month and a year without a day.
+MONTH_ONLY = r"^\s*[A-Za-z]+ \d{4}\s*$"
 VALUE_KEY = ("doc_id", "record_no", "field")
 
 
@@ -25,17 +27,23 @@ def joined_token(col: Column) -> Column:
     return F.regexp_replace(F.lower(col), r"(?U)[^\w]", "")
 
 
-def word_windows(words: DataFrame, longest: int = LONGEST) -> DataFrame:
-    """Every run of 1 to `longest` words of a page: its text, merged box, keys. A page's words are one window partition."""
-    here = Window.partitionBy("doc_id", "page").orderBy("ord")
-    out: DataFrame | None = None
-    for size in range(1, longest + 1):
-        ahead = here.rowsBetween(0, size - 1)
-        run = words.select(
-            "doc_id", "page", "ord", F.collect_list("text").over(ahead).alias("_t"), F.min("x0").over(ahead).alias("x0"), F.min("y0").over(ahead).alias("y0"),
-            F.max("x1").over(ahead).alias("x1"), F.max("y1").over(ahead).alias("y1"), F.lit(size).alias("size"),
-        ).where(F.size("_t") == size)
-        out = run if out is None else out.unionByName(run)
+def n_words_of(value: Column) -> Column:
+    """A value's words that hold a letter or digit."""
+    return F.size(F.filter(F.split(F.trim(value), r"\s+"), lambda w: joined_token(w) != ""))
+
+
+def word_windows(words: DataFrame, values: DataFrame) -> DataFrame:
+    """Runs of a page's words: text, merged box, keys. Sizes are those of the document's values, give or take two, and those
+    of numbers and dates, so no value is too long. A page's words come together in one row; runs are cut from it."""
+    page = words.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("ord", "text", "x0", "y0", "x1", "y1"))).alias("_all"))
+    near = F.sequence(F.greatest(n_words_of(F.col("value")) - 2, F.lit(1)), n_words_of(F.col("value")) + 2)
+    wanted = values.where(F.col("value").isNotNull()).select("doc_id", F.explode(F.array_union(near, F.array(*map(F.lit, SHORT_RUNS)))).alias("size")).distinct()
+    starts = F.posexplode(F.slice("_all", 1, F.size("_all") - F.col("size") + 1))
+    runs = page.join(wanted, "doc_id").where(F.size("_all") >= F.col("size")).select("doc_id", "page", "size", "_all", starts.alias("_i", "_first"))
+    run = F.slice("_all", F.col("_i") + 1, F.col("size"))
+    out = runs.select("doc_id", "page", F.col("_first.ord").alias("ord"), "size", run.alias("_r")).select(
+        "doc_id", "page", "ord", "size", F.col("_r.text").alias("_t"), F.array_min("_r.x0").alias("x0"), F.array_min("_r.y0").alias("y0"), F.array_max("_r.x1").alias("x1"), F.array_max("_r.y1").alias("y1")
+    )
     text = F.array_join("_t", " ")
     return out.select(
         "doc_id", "page", "ord", "size", "x0", "y0", "x1", "y1", F.round(printed_number(text), 6).alias("number"), parse_printed_date(text).alias("day"), joined_token(F.array_join("_t", "")).alias("joined")
@@ -45,12 +53,12 @@ def word_windows(words: DataFrame, longest: int = LONGEST) -> DataFrame:
 def candidates(values: DataFrame, windows: DataFrame, tolerance: float = 0.82) -> DataFrame:
     """Places of each value with their tier; of one window the first tier that claims it, of all windows of equal start and size one."""
     v = values.where(F.col("value").isNotNull()).withColumns(
-        {"_num": F.round(printed_number(F.col("value")), 6), "_day": parse_printed_date(F.col("value")), "_joined": joined_token(F.col("value")), "_n": F.size(F.filter(F.split(F.trim("value"), r"\s+"), lambda w: joined_token(w) != ""))}
+        {"_num": F.round(printed_number(F.col("value")), 6), "_day": parse_printed_date(F.col("value")), "_joined": joined_token(F.col("value")), "_n": n_words_of(F.col("value")), "_month": F.col("value").rlike(MONTH_ONLY)}
     )
     w = windows.withColumnRenamed("doc_id", "_doc")
     same = F.col("doc_id") == F.col("_doc")
     number = v.where(F.col("data_type").isin("number", "float", "numeric", "int") & F.col("_num").isNotNull()).join(w.where("number is not null and size <= 2"), same & (F.col("_num") == F.col("number")))
-    day = v.where("_day is not null").join(w.where("day is not null and size <= 4"), same & (F.col("_day") == F.col("day")))
+    day = v.where("_day is not null").join(w.where("day is not null and size <= 4"), same & (F.trunc("_day", "MM") == F.trunc("day", "MM")) & (F.col("_month") | (F.col("_day") == F.col("day"))))
     exact = v.where("_joined <> ''").join(w, same & (F.col("_joined") == F.col("joined")) & (F.abs(F.col("size") - F.col("_n")) <= 2))
     tier = F.when(F.col("size") == F.col("_n"), "exact").otherwise("fuzzy")
     keep = [*VALUE_KEY, "page", "ord", "size", "x0", "y0", "x1", "y1"]
@@ -79,14 +87,14 @@ def picked(scored: DataFrame) -> DataFrame:
     return scored.groupBy(*VALUE_KEY).agg(F.max_by(place, F.struct("score", -F.col("page"), -F.col("ord"), -F.col("size"))).alias("b"), F.count("*").alias("n_candidates")).select(*VALUE_KEY, "b.*", "n_candidates")
 
 
-def align(values: DataFrame, words: DataFrame, row_tolerance: float = 0.012, longest: int = LONGEST) -> DataFrame:
+def align(values: DataFrame, words: DataFrame, row_tolerance: float = 0.012) -> DataFrame:
     """A box for each value: null_value without a value, not_found without a place, else the best place.
 
     Score: tier, +4 on the hinted page, +2 below the hinted section on its page, +6 in the row of the record's first field. The first
     field of a record is placed first, then the others by it.
     """
     tier = F.create_map(*[F.lit(x) for pair in TIERS.items() for x in pair])[F.col("tier")]
-    found = candidates(values, word_windows(words, longest)).join(values.select(*VALUE_KEY, "field_ord", "hint_page", "hint_section"), list(VALUE_KEY))
+    found = candidates(values, word_windows(words, values)).join(values.select(*VALUE_KEY, "field_ord", "hint_page", "hint_section"), list(VALUE_KEY))
     found = found.join(section_heights(values, words), ["doc_id", "hint_section"], "left")
     no = F.lit(False)
     score = tier + F.when(F.coalesce(F.col("page") == F.col("hint_page"), no), 4).otherwise(0) + F.when(F.coalesce((F.col("page") == F.col("s_page")) & (F.col("y0") >= F.col("s_y")), no), 2).otherwise(0)

@@ -13,8 +13,11 @@ NOT_AVAILABLE = "Not Available"
 WARNING = "struct<field:string,message:string,current_state:string,expected_state:string>"
 PEOPLE = "array<struct<Name:string,`NRIC or Passport Number`:string,`ID Type`:string,Address:string>>"
 YEARS = "array<struct<`Financial Statement Date`:string>>"
-# Company form templates in the order in which they are preferred.
-COMPANY_TEMPLATES = ("SSM Corporate Information", "SSM Form 24", "SSM Form 44", "SSM Form 49", "SSM Business Registration", "Form 32A", "Section 14")
+# Company form templates and their subtypes; the combined form, which comes first, has none.
+COMPANY_TEMPLATES = {
+    "SSM Business Registration": None, "SSM Form 24": "form_24", "SSM Form 44": "form_44", "SSM Form 49": "form_49", "SSM Form 9 & 28": "form_9", "Form 32A": "form_32a",
+}
+COMBINED = "SSM Business Registration"
 
 
 def warning(field: str, bad: Column, expected: str) -> Column:
@@ -47,16 +50,28 @@ def has_key(payload: Column, key: str) -> Column:
 def company_forms(payloads: DataFrame) -> DataFrame:
     """Company forms: bundle_id, document_subtype, entity_name, registration number, people of both roles, warnings.
 
+    The combined form also warns of what it lacks: dates, address, a classification, people of either role.
+
     Shareholders count only where some row of theirs has the number's key: other forms list shares, not people.
     """
-    schema = f"struct<`Entity Name`:string,`Business Registration Number`:string,Directors:{PEOPLE},Shareholders:{PEOPLE}>"
+    schema = f"struct<`Entity Name`:string,`Business Registration Number`:string,`Incorporation Date`:string,`Registered Address`:string,`MSIC Code`:string,`Main Business`:string,Directors:{PEOPLE},Shareholders:{PEOPLE}>"
     order = F.create_map(*[F.lit(x) for i, t in enumerate(COMPANY_TEMPLATES) for x in (t, i)])
     own = payloads.where(F.col("template").isin(*COMPANY_TEMPLATES)).withColumns({"ord": order[F.col("template")], "p": F.from_json("payload", schema)})
     holders = F.when(F.contains("payload", F.lit('"Shareholders"')) & F.exists(F.coalesce("p.Shareholders", F.array().cast(PEOPLE)), lambda x: x["NRIC or Passport Number"].isNotNull()), F.col("p.Shareholders"))
+    subtype = F.create_map(*[F.lit(x).cast("string") for pair in COMPANY_TEMPLATES.items() for x in pair])[F.col("template")]
     name, number = F.col("p.`Entity Name`"), F.col("p.`Business Registration Number`")
+    empty = lambda field: F.col("template").eqNullSafe(COMBINED) & (F.coalesce(F.col(f"p.`{field}`"), F.lit("")) == "")
+    nobody = lambda role: (F.col("template") == COMBINED) & (F.coalesce(F.size(f"p.{role}"), F.lit(0)) <= 0)
+    lacking = [
+        warning("Incorporation Date", empty("Incorporation Date"), "the company's incorporation date"),
+        warning("Registered Address", empty("Registered Address"), "the registered office address"),
+        warning("MSIC Code", empty("MSIC Code") & empty("Main Business"), "an MSIC code or a main-business description"),
+        warning("Directors", nobody("Directors"), "at least one director row"),
+        warning("Shareholders", nobody("Shareholders"), "at least one shareholder row"),
+    ]
     return own.select(
-        "bundle_id", "ord", F.lower(F.regexp_replace("template", r"[^A-Za-z0-9]+", "_")).alias("document_subtype"), safe_string(name).alias("entity_name"), safe_string(number).alias("business_registration_number"),
-        F.col("p.Directors").alias("directors"), holders.alias("shareholders"), collected(warning("Entity Name", name.isNull(), "string"), warning("Business Registration Number", number.isNull(), "string")).alias("warnings"),
+        "bundle_id", "ord", subtype.alias("document_subtype"), safe_string(name).alias("entity_name"), safe_string(number).alias("business_registration_number"),
+        F.col("p.Directors").alias("directors"), holders.alias("shareholders"), collected(warning("Entity Name", name.isNull(), "string"), warning("Business Registration Number", number.isNull(), "string"), *lacking).alias("warnings"),
     )
 
 

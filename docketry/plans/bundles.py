@@ -70,9 +70,14 @@ def currency(spark, sf_dir):
 
 
 def supplier_names(spark, sf_dir):
-    """Suppliers of a nation matched one to one with its customers by name."""
-    s = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("string").alias("bundle_id"), F.col("s_suppkey").cast("string").alias("key"), F.col("s_name").alias("name"), F.col("s_suppkey").cast("int").alias("ord"))
-    c = table(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.col("c_nationkey").cast("string").alias("bundle_id"), F.col("c_custkey").cast("string").alias("key"), F.regexp_replace("c_name", "Customer", "Supplier").alias("name"), F.col("c_custkey").cast("int").alias("ord"))
+    """Suppliers matched one to one with customers by name, in bundles of a nation's parties under a hundred consecutive numbers."""
+
+    def parties(name, nation, number, label):
+        bundle = F.concat_ws("-", nation, F.expr(f"{number} div 100"))
+        return table(spark, sf_dir, name).select(bundle.alias("bundle_id"), F.col(number).cast("string").alias("key"), label.alias("name"), F.col(number).cast("int").alias("ord"))
+
+    s = parties("supplier", "s_nationkey", "s_suppkey", F.col("s_name"))
+    c = parties("customer", "c_nationkey", "c_custkey", F.regexp_replace("c_name", "Customer", "Supplier"))
     return matching.assigned(matching.scored_pairs(s, c, 0.9)).select("bundle_id", "person", "candidate")
 
 

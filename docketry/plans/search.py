@@ -108,8 +108,8 @@ def supersede(spark, sf_dir):
 
 
 def verified(spark, sf_dir):
-    """Documents of a source as pages: three made checks flag them."""
-    pages = table(spark, sf_dir, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("page"), "lang", "n_chars")
+    """Fifty documents in a row as the pages of one: three made checks flag them."""
+    pages = table(spark, sf_dir, "documents").select(F.expr("doc_id div 50").alias("doc_id"), F.col("doc_id").alias("page"), "lang", "n_chars")
     reasons = F.array_compact(F.array(F.when(F.col("n_chars") < 500, "short"), F.when(F.col("lang") == "es", "language"), F.when(F.col("page") % 17 == 0, "sampled")))
     flags = pages.select("doc_id", "page", F.explode(reasons).alias("reason"))
     out = corpus.verification(flags, pages)
@@ -163,7 +163,7 @@ QUERIES = {
     "s17_dry_run": (dry_run, VERSIONS + "SELECT count(*) FILTER (doc_id NOT IN (SELECT doc_id FROM o)) AS inserts, count(*) FILTER (doc_id IN (SELECT doc_id FROM o)) AS updates FROM n"),
     "w12_superseded": (supersede, VERSIONS + f"""SELECT o.doc_id, o.version, CASE WHEN n.doc_id IS NOT NULL AND (o.expiry_date IS NULL OR o.expiry_date > DATE '{AS_OF}') THEN DATE '{AS_OF}' ELSE o.expiry_date END AS expiry_date
         FROM o LEFT JOIN n USING (doc_id)"""),
-    "a14_verification": (verified, """WITH p AS (SELECT source AS doc_id, doc_id AS page, list_filter([CASE WHEN n_chars < 500 THEN 'short' END, CASE WHEN lang = 'es' THEN 'language' END, CASE WHEN doc_id % 17 = 0 THEN 'sampled' END], lambda v: v IS NOT NULL) AS r FROM documents)
+    "a14_verification": (verified, """WITH p AS (SELECT doc_id // 50 AS doc_id, doc_id AS page, list_filter([CASE WHEN n_chars < 500 THEN 'short' END, CASE WHEN lang = 'es' THEN 'language' END, CASE WHEN doc_id % 17 = 0 THEN 'sampled' END], lambda v: v IS NOT NULL) AS r FROM documents)
         SELECT doc_id, count(*) AS n_pages, count(*) FILTER (len(r) = 0) AS n_passed, array_to_string(list_sort(list_distinct(flatten(list(r)))), ',') AS reasons,
           coalesce(string_agg(page::VARCHAR, ',' ORDER BY page) FILTER (len(r) > 0), '') AS flagged FROM p GROUP BY doc_id"""),
     "w11_word_windows": (word_windows, """WITH w AS (SELECT item_id, regexp_split_to_array(trim(lower(text)), '[ \n]+') AS ws FROM benchmark), i AS (SELECT item_id, ws, unnest(range(len(ws) - 3)) AS f FROM w)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docketry.functions import text as X
@@ -18,6 +19,7 @@ SEEDS = (
     "**Bold** ### HEAD | a | b |, , and --- `code` • item",
     "interest rate on Loans: can I borrow?",
     "hello",
+    "\n  spoken \t\n",
 )
 SEED_SQL = ", ".join("({}, '{}')".format(-i - 1, s.replace("'", "''")) for i, s in enumerate(SEEDS))
 
@@ -41,11 +43,12 @@ def sql_chain(col: str, steps) -> str:
 
 def redaction(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text").unionByName(turns(spark, sf_dir).where("id < 0"))
-    return docs.select("id", F.sha2(X.redact(F.col("text")), 256).alias("sha"), (F.length(X.redact(F.col("text"))) - F.length("text")).alias("grown"))
+    clean = docs.select("id", "text", X.redact(F.col("text")).alias("x"))
+    return clean.select("id", F.sha2("x", 256).alias("sha"), (F.length("x") - F.length("text")).alias("grown"))
 
 
 def denylist(spark, sf_dir):
-    return turns(spark, sf_dir).select("id", X.denied(F.col("text"), blob=None).alias("category"))
+    return turns(spark, sf_dir).select("id", X.denied(F.col("text")).alias("category"))
 
 
 def prose(spark, sf_dir):
@@ -105,8 +108,11 @@ def chunk_ids(spark, sf_dir):
 
 
 def summaries(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.array_sort(F.collect_list("c_name")).alias("names"))
-    return c.select("c_nationkey", X.summary_of(F.col("names")).alias("summary"))
+    """The first five names of each nation and how many more there are: names are ranked, never gathered."""
+    c = table(spark, sf_dir, "customer").select("c_nationkey", "c_name")
+    place = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_name"))
+    first = c.withColumn("place", place).where("place <= 5").groupBy("c_nationkey").agg(F.array_sort(F.collect_list("c_name")).alias("names"))
+    return first.join(c.groupBy("c_nationkey").agg(F.count("*").alias("n")), "c_nationkey").select("c_nationkey", X.summary_of(F.col("names"), n=F.col("n")).alias("summary"))
 
 
 REDACT_SQL = sql_chain("text", X.REDACTIONS)
@@ -120,9 +126,7 @@ QUERIES = {
     "tx1_redaction": (redaction, TURNS + f""", d AS (SELECT doc_id AS id, text FROM documents UNION ALL SELECT * FROM t WHERE id < 0), r AS (SELECT id, text, {REDACT_SQL} AS x FROM d)
         SELECT id, sha256(x) AS sha, (length(x) - length(text))::INT AS grown FROM r"""),
     "tx3_denylist": (denylist, TURNS + "SELECT id, CASE " + " ".join("WHEN regexp_matches(text, '{}', 'i') THEN '{}'".format(p.replace("'", "''"), c) for c, p in X.DENYLIST) + " END AS category FROM t"),
-    "tx4_clean_prose": (prose, TURNS + "SELECT id, sha256(trim({})) AS sha FROM t".format(sql_chain("regexp_replace(trim(text), '^[''‘’]+\\s*', '')", [
-        (r"\*\*([^*]+)\*\*", "$1"), (r"__([^_]+)__", "$1"), (r"\*\*|`", ""), (r"#{1,6}\s*", ""), (r":?-{3,}:?", " "), (r"\s*\|\s*", ", "),
-        (r"(^|\s)[•·*]\s+", "$1"), (r"(?:,\s*){2,}", ", "), (r"^[\s,;]+", ""), (r"\s{2,}", " ")]))),
+    "tx4_clean_prose": (prose, TURNS + f"SELECT id, sha256({sql_chain('text', X.PROSE_STEPS)}) AS sha FROM t"),
     "f15_rewrites": (rewrites, TURNS + ", r AS (SELECT id, text, " + sql_chain("text", X.REWRITES) + r""" AS x, trim(replace(text, chr(10), ' ')) AS body FROM t),
         l AS (SELECT *, CASE WHEN regexp_extract(body, '^(.+?[.!?])(\s|$)', 1) <> '' THEN regexp_extract(body, '^(.+?[.!?])(\s|$)', 1) ELSE body END AS lead FROM r)
         SELECT id, sha256(x) AS sha, sha256(CASE WHEN length(lead) > 220 THEN rtrim(substr(lead, 1, 220)) || '…' ELSE lead END) AS lead, greatest(1, length(text) // 4)::INT AS tokens FROM l"""),

@@ -42,10 +42,23 @@ def test_align(values, words):
         assert got[(5, "gone")]["status"] == "not_found" and got[(6, "none")]["status"] == "null_value"
 
 
+def test_long_values_and_months(spark):
+    line = "the whole of the amount that was agreed between both parties on signing".split()
+    rows = [("d", 1, k, w, 0.05 * k, 0.1, 0.05 * k + 0.04, 0.12) for k, w in enumerate(line)] + [("d", 1, 50, "17/03/2025", 0.1, 0.3, 0.2, 0.32)]
+    words = spark.createDataFrame(rows, "doc_id string, page int, ord int, text string, x0 double, y0 double, x1 double, y1 double")
+    values = spark.createDataFrame(
+        [("d", 0, "terms", 0, " ".join(line), "string", None, None), ("d", 1, "month", 0, "March 2025", "date", None, None), ("d", 2, "day", 0, "2025-03-18", "date", None, None)],
+        "doc_id string, record_no int, field string, field_ord int, value string, data_type string, hint_page int, hint_section string",
+    )
+    got = {r["field"]: r for r in L.align(values, words).collect()}
+    assert (got["terms"]["tier"], got["terms"]["size"]) == ("exact", len(line))
+    assert (got["month"]["tier"], got["month"]["y0"]) == ("exact_date", 0.3) and got["day"]["status"] == "not_found"
+
+
 def test_proposals(spark, values, words):
     box = "doc_id string, record_no int, field string, page int, x0 double, y0 double, x1 double, y1 double, value string"
     p = spark.createDataFrame([("d", 1, "amount", 1, 0.55, 0.19, 0.68, 0.23, "100.00"), ("d", 3, "city", 1, 0.09, 0.39, 0.4, 0.43, "Ipoh")], box)
-    near = {r["field"]: r for r in L.snapped(p, L.candidates(values, L.word_windows(words))).collect()}
+    near = {r["field"]: r for r in L.snapped(p, L.candidates(values, L.word_windows(words, values))).collect()}
     assert near["amount"]["y0"] == 0.20
     held = {r["field"]: (r["text"], r["verified"]) for r in L.contained(p, words).collect()}
     assert held == {"amount": ("100.00", True), "city": ("Kuala Lumpvr", False)}

@@ -13,7 +13,7 @@ from docketry.sources import files
 
 def test_bundles_to_tables(spark, tmp_path):
     bundle = {
-        "SSM Corporate Information": {
+        "SSM Business Registration": {
             "Entity Name": "Acme", "Business Registration Number": None, "Directors": [{"Name": "Ali", "NRIC or Passport Number": "1", "ID Type": "my  kad"}, {"Name": None, "ID Type": "library card"}],
             "Shareholders": [{"Name": "Siti", "NRIC or Passport Number": "2"}],
         },
@@ -35,7 +35,10 @@ def test_bundles_to_tables(spark, tmp_path):
     consent = shaping.consent_forms(payloads).collect()
     assert [(r["bundle_id"], r["individual_name"], r["signature_present"]) for r in consent] == [("b2", "Lim", None)]
     told = shaping.warnings_of(("company_form", forms), ("person", shaping.people(forms)), ("financial_statement", shaping.financial_statements(payloads)))
-    assert sorted((r["document_type"], r["field"]) for r in told.collect()) == [("company_form", "Business Registration Number"), ("financial_statement", "Financial Statement Date"), ("person", "ID Type")]
+    assert sorted((r["document_type"], r["field"]) for r in told.collect()) == [
+        ("company_form", "Business Registration Number"), ("company_form", "Incorporation Date"), ("company_form", "MSIC Code"), ("company_form", "Registered Address"), ("financial_statement", "Financial Statement Date"),
+        ("person", "ID Type"),
+    ]
 
 
 def test_pages_and_facts(spark, tmp_path):
