@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Redaction patterns in the order in which they are applied, and what takes their place.
 REDACTIONS = (
@@ -213,6 +214,24 @@ def deep_link(uri: Column, pages: Column) -> Column:
     return F.when(F.size(pages) > 0, F.concat(uri, F.lit("#page="), F.array_min(pages).cast("string"))).otherwise(uri)
 
 
+def page_of(link: Column) -> Column:
+    """The page that a link names, else null."""
+    return F.regexp_extract(link, r"#page=(\d+)", 1).try_cast("int")
+
+
+def redacted(col: Column, kind: T.DataType) -> Column:
+    """A value of any type with all strings in it redacted; nulls and map keys stay."""
+    if isinstance(kind, T.StringType):
+        return redact(col)
+    if isinstance(kind, T.StructType):
+        return F.when(col.isNotNull(), F.struct(*(redacted(col[f.name], f.dataType).alias(f.name) for f in kind.fields)))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(col, lambda x: redacted(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(col, lambda _, v: redacted(v, kind.valueType))
+    return col
+
+
 def summary_of(items: Column, most: int = 5, n: Column | None = None) -> Column:
     """The first items, then how many more there are: of n, where `items` are the first ones only."""
     named = F.array_join(F.slice(items, 1, most), ", ")

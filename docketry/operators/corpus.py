@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -83,3 +83,14 @@ def windows(words: DataFrame, doc: str, order: str, word: str, size: int) -> Dat
     ahead = Window.partitionBy(doc).orderBy(order).rowsBetween(0, size - 1)
     runs = words.select(doc, F.col(order).alias("first"), F.collect_list(word).over(ahead).alias("words"))
     return runs.where(F.size("words") == size)
+
+
+def expired_versions(chunks: DataFrame, as_of: Column, doc: str = "doc_id", version: str = "version") -> DataFrame:
+    """Distinct document versions that expired before the day: doc, version, expiry_date."""
+    return chunks.where(F.col("expiry_date") < as_of).select(doc, version, "expiry_date").distinct()
+
+
+def review_order(pages: DataFrame, doc: str = "doc_id", page: str = "page", flagged: str = "flagged") -> DataFrame:
+    """Adds place, from 1: a document's flagged pages first, then by page; a null flag is none."""
+    by = Window.partitionBy(doc).orderBy(F.coalesce(flagged, F.lit(False)).desc(), page)
+    return pages.withColumn("place", F.row_number().over(by))

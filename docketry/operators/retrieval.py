@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docketry.functions.text import page_of
 from docketry.functions.vectors import dot, unit
 
 #: Query vectors sent to all executors at a time; a larger query table goes in several passes.
@@ -77,3 +78,21 @@ def retrieve(queries: DataFrame, chunks: DataFrame, most: int = 5, leg: int = 20
     d, w = dense(queries, chunks, leg), keyword(queries, chunks, leg)
     best = d.groupBy("query_id").agg(F.max("cosine").alias("best_cosine")).where(F.col("best_cosine") >= floor)
     return fused([d, w], most, k=k).join(best, "query_id")
+
+
+def servable(chunks: DataFrame, sources: DataFrame, channel: str) -> DataFrame:
+    """Chunks of allowed sources, internal ones for the internal channel only. sources: doc_id, a list kept by hand, trimmed here."""
+    allowed = sources.select(F.trim("doc_id").alias("doc_id")).distinct()
+    own = chunks.join(allowed, "doc_id", "left_semi")
+    return own if channel == "internal" else own.where(~F.col("access_tier").eqNullSafe("internal"))
+
+
+def citations(found: DataFrame, query: str, rank: str, ref: str = "ref", score: str = "score") -> DataFrame:
+    """Found chunks as citations: query and a struct of n (from 1, by rank), corpus, ref, snippet, doc_id, section, page, score, access_tier.
+
+    The page is the one that the reference names, null without one; the score has four decimals, null stays null.
+    """
+    n = F.row_number().over(Window.partitionBy(query).orderBy(rank, "chunk_id"))
+    shown = F.coalesce(ref, F.lit(""))
+    fields = [F.col("n"), F.col("corpus"), shown.alias("ref"), F.coalesce("content", F.lit("")).alias("snippet"), F.col("doc_id"), F.col("section"), page_of(shown).alias("page"), F.round(score, 4).alias("score"), F.col("access_tier")]
+    return found.withColumn("n", n).select(query, F.struct(*fields).alias("citation"))

@@ -18,6 +18,22 @@ COMPANY_TEMPLATES = {
     "SSM Business Registration": None, "SSM Form 24": "form_24", "SSM Form 44": "form_44", "SSM Form 49": "form_49", "SSM Form 9 & 28": "form_9", "Form 32A": "form_32a",
 }
 COMBINED = "SSM Business Registration"
+IDENTITY_TEMPLATE = "MyKad (Director ID or Passport)"
+# Fields of the customer form and the names they have in its payload.
+DIRECTOR_FIELDS = {
+    "name": "Director Name", "address": "Director Address", "email": "Director Email Address", "religion": "Director Religion", "marital_status": "Director Marital Status",
+    "estimated_monthly_income": "Director Estimated Monthly Income", "experience_in_current_business": "Director Experience in Current Business", "higher_education": "Director Higher Education",
+    "emergency_contact_name": "Director Emergency Contact Name", "emergency_contact_number": "Director Emergency Contact Number", "emergency_contact_relationship": "Director Emergency Contact Relationship",
+    "spouse_name": "Director Spouse Name", "spouse_contact_number": "Director Spouse Contact Number",
+}
+COMPANY_FIELDS = {
+    "company_age": "Company Age", "company_number_of_staff": "Company Number of Staff", "company_current_office_address": "Company Current Office Address", "company_office_status": "Company Office Status",
+    "company_office_monthly_rent": "Company Office Monthly Rent", "company_office_telephone": "Company Office Telephone", "company_email_address": "Company Email Address",
+    "company_auditor_firm_name": "Company Auditor Firm Name", "company_auditor_contact_person": "Company Auditor Contact Person", "company_auditor_contact_number": "Company Auditor Contact Number",
+}
+# Attribute types and frequencies as stored and as displayed.
+DATA_TYPES = {"alphabet": "Alphabet", "alphanumeric": "Alphanumeric", "numeric": "Numeric", "datetime": "Datetime", "boolean": "Boolean"}
+FREQUENCIES = {"unique": "Unique", "multiple": "Multiple"}
 
 
 def warning(field: str, bad: Column, expected: str) -> Column:
@@ -110,6 +126,81 @@ def consent_forms(payloads: DataFrame) -> DataFrame:
     return flat.select("bundle_id", "ord", "entity_name", safe_string(F.col("x.Name")).alias("individual_name"), safe_string(F.col("x.`NRIC or Passport Number`")).alias("nric_passport"), F.col("x.`Consent Form Signature`").alias("signature_present"))
 
 
+def identity_documents(payloads: DataFrame) -> DataFrame:
+    """A row for each director of an identity payload; unknown flags stay unknown, an expiry date has no source."""
+    row = "array<struct<`Director Name`:string,`Director NRIC or Passport Number`:string,`ID Type`:string,`Front Side IC Present`:boolean,`Back Side IC Present`:boolean>>"
+    own = payloads.where(F.col("template") == IDENTITY_TEMPLATE).withColumn("p", F.from_json("payload", f"struct<Directors:{row}>"))
+    flat = own.select("bundle_id", F.posexplode("p.Directors").alias("ord", "x"))
+    name, number, raw = F.col("x.`Director Name`"), F.col("x.`Director NRIC or Passport Number`"), F.col("x.`ID Type`")
+    kind = id_type(raw)
+    lacking = collected(warning("Director Name", name.isNull(), "string"), warning("Director NRIC or Passport Number", number.isNull(), "string"), warning("ID Type", kind.isNull() & (F.trim(raw) != ""), "mykad or passport"))
+    return flat.select(
+        "bundle_id", F.concat(F.lit("identity_document_"), F.col("ord").cast("string")).alias("document_id"), "ord", safe_string(name).alias("individual_name"), safe_string(number).alias("nric_passport"), kind.alias("id_type"),
+        F.col("x.`Front Side IC Present`").alias("front_image_present"), F.col("x.`Back Side IC Present`").alias("back_image_present"), F.lit(None).cast("date").alias("expiry_date"), lacking.alias("warnings"),
+    )
+
+
+def customer_information(payloads: DataFrame) -> DataFrame:
+    """The customer form of each bundle: company fields and a list of directors; a null field reads Not Available, without a warning."""
+    text = lambda names: ",".join(f"`{n}`:string" for n in names.values())
+    schema = f"struct<{text(COMPANY_FIELDS)},Directors:array<struct<{text(DIRECTOR_FIELDS)}>>>"
+    own = payloads.where("template = 'Customer Information Form'").withColumn("p", F.from_json("payload", schema))
+    filled = lambda c, names: [F.coalesce(c[shown], F.lit(NOT_AVAILABLE)).alias(f) for f, shown in names.items()]
+    directors = F.transform(F.coalesce("p.Directors", F.array().cast(f"array<struct<{text(DIRECTOR_FIELDS)}>>")), lambda x: F.struct(*filled(x, DIRECTOR_FIELDS)))
+    return own.select("bundle_id", F.lit("customer_information").alias("document_id"), F.lit(0).alias("ord"), *filled(F.col("p"), COMPANY_FIELDS), directors.alias("directors"))
+
+
+def tax_declarations(payloads: DataFrame, supplied: DataFrame) -> DataFrame:
+    """A row for each year end that was supplied for a bundle with a tax payload; the payload itself holds neither name nor dates.
+
+    supplied: bundle_id, entity_name, year_ends (strings, ISO or DD-MM-YYYY). A bundle that was supplied without a name or dates
+    gives one row with a null name, null date and a warning.
+    """
+    own = payloads.where("template = 'Borang B'").select("bundle_id").distinct().join(supplied, "bundle_id", "left")
+    named = F.coalesce(F.col("entity_name"), F.lit("")) != ""
+    rows = own.select("bundle_id", F.when(named, F.col("entity_name")).alias("entity_name"), F.posexplode_outer(F.when(named, F.col("year_ends"))).alias("ord", "y"))
+    day = parse_iso_or_dmy(F.col("y"))
+    lacking = collected(warning("entity_name", F.col("entity_name").isNull(), "an entity name and year ends, supplied by the caller"), warning("financial_year_end", day.isNull(), "DD-MM-YYYY"))
+    return rows.select("bundle_id", F.concat(F.lit("tax_declaration_"), F.coalesce("ord", F.lit(0)).cast("string")).alias("document_id"), F.coalesce("ord", F.lit(0)).alias("ord"), "entity_name", day.alias("financial_year_end"), lacking.alias("warnings"))
+
+
+def bundled(*families: tuple[str, DataFrame], entity_type: str, forms: DataFrame) -> DataFrame:
+    """A row for each bundle: bundle_id, entity_type, entity_name of its first company form, n_documents and document_types, sorted.
+
+    families: a type and its rows, each with bundle_id; a bundle with no document of any family isn't there. Forms: bundle_id, ord, entity_name.
+    """
+    counts: DataFrame | None = None
+    for kind, rows in families:
+        own = rows.groupBy("bundle_id").agg(F.count("*").alias("n")).withColumn("kind", F.lit(kind))
+        counts = own if counts is None else counts.unionByName(own)
+    first = forms.groupBy("bundle_id").agg(F.min_by("entity_name", "ord").alias("entity_name"))
+    whole = counts.groupBy("bundle_id").agg(F.sum("n").alias("n_documents"), F.array_sort(F.collect_set("kind")).alias("document_types"))
+    return whole.join(first, "bundle_id", "left").select("bundle_id", F.lit(entity_type).alias("entity_type"), safe_string(F.col("entity_name")).alias("entity_name"), "n_documents", "document_types")
+
+
+def group_with(payload: Column, field: str) -> Column:
+    """Of a JSON object the first array of objects some of which have the field, whatever its name: an array of maps, null if none has."""
+    rows = "array<map<string,string>>"
+    held = F.transform(F.map_entries(F.from_json(payload, "map<string,string>")), lambda e: F.when((e["key"] != "_locations") & e["value"].startswith("["), F.from_json(e["value"], rows)))
+    fits = F.filter(held, lambda a: (F.size(a) > 0) & F.forall(a, lambda x: x.isNotNull()) & F.exists(a, lambda x: F.map_contains_key(x, field)))
+    return F.get(fits, F.lit(0))
+
+
+def shown_as(col: Column, names: dict[str, str]) -> Column:
+    """A stored value as it is displayed; one that the table lacks stays."""
+    return F.coalesce(F.create_map(*[F.lit(x) for pair in names.items() for x in pair])[col], col)
+
+
+def listed_attributes(attributes: DataFrame) -> DataFrame:
+    """The catalogue's attributes with displayed type and frequency, by id; the catalogue is a small table by nature."""
+    return attributes.withColumns({"data_type": shown_as(F.col("data_type"), DATA_TYPES), "frequency": shown_as(F.col("frequency"), FREQUENCIES)}).orderBy("attribute_id")
+
+
+def clamped_severity(col: Column) -> Column:
+    """Reviews may warn or ask for a review; anything else, null included, asks for a review."""
+    return F.when(col.isin("warning", "needs_review"), col).otherwise("needs_review")
+
+
 def warnings_of(*families: tuple[str, DataFrame]) -> DataFrame:
     """All warnings of document families as rows: bundle_id, document_type and the warning's fields."""
     out: DataFrame | None = None

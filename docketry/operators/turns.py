@@ -132,3 +132,8 @@ def region_of(texts: DataFrame, key: str, text: str, places: DataFrame, default:
     hits = texts.select(key, F.lower(text).alias("_t")).join(F.broadcast(places), F.contains(F.col("_t"), F.lower("name")))
     best = hits.groupBy(key).agg(F.max_by("region", F.struct(-F.col("kind_ord"), F.length("name"), "name")).alias("region"))
     return texts.select(key).join(best, key, "left").select(key, F.coalesce("region", F.lit(default)).alias("region"))
+
+
+def contact_of(session: Column, contacts: Column) -> Column:
+    """A session's contact out of its region's list: always the same one for a session, sessions spread evenly; null for an empty list."""
+    return F.when(F.size(contacts) > 0, F.get(contacts, F.pmod(F.xxhash64(session), F.size(contacts)).cast("int")))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from docketry.functions import wording
 from docketry.functions.vectors import dot, unit
-from docketry.operators import bundle_rules, matching, rules
+from docketry.operators import bundle_rules, matching, rules, shaping
 from docketry.plans.texts import TURNS
 from docketry.plans.texts import turns as seeded
 from docketry.sources.tables import table
@@ -102,6 +102,29 @@ def terms(spark, sf_dir):
     return wording.term_use(docs.unionByName(seeded(spark, sf_dir).where("id < 0")), "id", "text")
 
 
+def payloads(spark, sf_dir):
+    """Identity and customer forms of every customer as the JSON that an extraction would give."""
+    c = table(spark, sf_dir, "customer")
+    person = F.struct(
+        F.col("c_name").alias("Director Name"), F.when(F.col("c_custkey") % 5 != 0, F.concat(F.lit("NO-"), "c_custkey")).alias("Director NRIC or Passport Number"),
+        F.when(F.col("c_custkey") % 3 == 0, "MyKad").when(F.col("c_custkey") % 3 == 1, "driving licence").alias("ID Type"), (F.col("c_custkey") % 2 == 0).alias("Front Side IC Present"),
+    )
+    director = F.struct(F.col("c_name").alias("Director Name"), F.when(F.col("c_custkey") % 4 == 0, F.col("c_mktsegment")).alias("Director Religion"))
+    form = F.struct(F.concat(F.lit("NO-"), "c_custkey").alias("Company Office Telephone"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_acctbal").cast("int").cast("string")).alias("Company Age"), F.array(director).alias("Directors"))
+    own = lambda template, payload: c.select(F.col("c_custkey").alias("bundle_id"), F.lit(template).alias("template"), F.to_json(payload).alias("payload"))
+    return own(shaping.IDENTITY_TEMPLATE, F.struct(F.array(person, person).alias("Directors"))).unionByName(own("Customer Information Form", form))
+
+
+def shaped_identities(spark, sf_dir):
+    d = shaping.identity_documents(payloads(spark, sf_dir))
+    return d.select("bundle_id", "document_id", "individual_name", "nric_passport", "id_type", "front_image_present", "back_image_present", F.array_join("warnings.field", ",").alias("warned"))
+
+
+def shaped_customers(spark, sf_dir):
+    d = shaping.customer_information(payloads(spark, sf_dir)).withColumn("one", F.col("directors")[0])
+    return d.select("bundle_id", "company_age", "company_office_telephone", "company_email_address", F.col("one.name").alias("name"), F.col("one.religion").alias("religion"), F.col("one.spouse_name").alias("spouse_name"), F.size("directors").alias("n_directors"))
+
+
 STATEMENT = "WITH s AS (SELECT o_custkey::VARCHAR AS bundle_id, o_orderkey, o_orderdate::DATE AS day, o_totalprice FROM orders WHERE o_orderstatus <> 'F')"
 
 QUERIES = {
@@ -122,6 +145,12 @@ QUERIES = {
     "r10_currency": (currency, STATEMENT + """, g AS (SELECT bundle_id, count(*) FILTER (o_orderkey % 6 = 0) AS odd FROM s GROUP BY ALL)
         SELECT c_custkey::VARCHAR AS bundle_id, CASE WHEN odd IS NULL THEN 'not_applicable' WHEN odd = 0 THEN 'passed' ELSE 'needs_review' END AS status,
           coalesce('to review: ' || odd, 'no such documents') AS message FROM customer LEFT JOIN g ON g.bundle_id = c_custkey::VARCHAR"""),
+    "p12_identity_documents": (shaped_identities, """SELECT c_custkey AS bundle_id, 'identity_document_' || i AS document_id, c_name AS individual_name, CASE WHEN c_custkey % 5 <> 0 THEN 'NO-' || c_custkey ELSE '' END AS nric_passport,
+        CASE WHEN c_custkey % 3 = 0 THEN 'mykad' END AS id_type, c_custkey % 2 = 0 AS front_image_present, NULL::BOOLEAN AS back_image_present,
+        array_to_string(list_filter([CASE WHEN c_custkey % 5 = 0 THEN 'Director NRIC or Passport Number' END, CASE WHEN c_custkey % 3 = 1 THEN 'ID Type' END], lambda x: x IS NOT NULL), ',') AS warned
+        FROM customer, (VALUES (0), (1)) v(i)"""),
+    "p14_customer_information": (shaped_customers, """SELECT c_custkey AS bundle_id, CASE WHEN c_custkey % 2 = 0 THEN trunc(c_acctbal)::INT::VARCHAR ELSE 'Not Available' END AS company_age, 'NO-' || c_custkey AS company_office_telephone,
+        'Not Available' AS company_email_address, c_name AS name, CASE WHEN c_custkey % 4 = 0 THEN c_mktsegment ELSE 'Not Available' END AS religion, 'Not Available' AS spouse_name, 1 AS n_directors FROM customer"""),
     "w9_matched_names": (supplier_names, None),
     "st5_daily_rollup": (events_by_day, "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL"),
     "f26_unit_vectors": (unit_vectors, """SELECT vec_id, round(1.0::DOUBLE, 9) AS squared, round(embedding[1]::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 9) AS x0, len(embedding)::INT AS n FROM embeddings"""),

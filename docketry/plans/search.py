@@ -148,7 +148,39 @@ KEYWORD = f"""w AS (SELECT doc_id, {WORDS} AS ws FROM documents), q AS (SELECT d
   kw AS (SELECT query_id, chunk_id, hits / n AS score, row_number() OVER (PARTITION BY query_id ORDER BY hits / n DESC, chunk_id) - 1 AS rank FROM h WHERE got = need)"""
 VERSIONS = "WITH " + CHUNKS + ", o AS (SELECT doc_id, lang, expiry_date, '1' AS version FROM c WHERE doc_id % 10 <> 0), n AS (SELECT doc_id, lang, expiry_date, '2' AS version FROM c WHERE doc_id % 3 = 0) "
 
+def served(spark, sf_dir):
+    """Chunks of the labelled documents, which are the allowed sources, for customers."""
+    sources = table(spark, sf_dir, "labels").select(F.concat(F.lit(" "), F.col("doc_id").cast("string")).alias("doc_id"))
+    own = chunks(spark, sf_dir).withColumn("doc_id", F.col("doc_id").cast("string"))
+    return retrieval.servable(own, sources, "customer").select("chunk_id", "corpus")
+
+
+def cited(spark, sf_dir):
+    """Twenty documents in a row as what one question found, longest first."""
+    ref = F.when(F.col("doc_id") % 3 != 0, F.concat(F.lit("doc://"), F.col("corpus"), F.lit("#page="), (F.col("doc_id") % 9).cast("string")))
+    found = chunks(spark, sf_dir).select(F.expr("doc_id div 20").alias("question"), "*", F.col("lang").alias("section"), ref.alias("ref"), (F.length("content") / 7.0).alias("score"))
+    c = retrieval.citations(found.withColumn("rank", -F.length("content")), "question", "rank")
+    fields = ("n", "corpus", "ref", "doc_id", "section", "page", "score", "access_tier")
+    return c.select("question", *(F.col(f"citation.{f}").alias(f) for f in fields), F.sha2("citation.snippet", 256).alias("snippet"))
+
+
+def expired(spark, sf_dir):
+    return corpus.expired_versions(chunks(spark, sf_dir), as_of(), "corpus", "program_code").select("corpus", "program_code", F.col("expiry_date").cast("string").alias("expiry_date"))
+
+
+def reviewed(spark, sf_dir):
+    """Fifty documents in a row as the pages of one, the flagged ones first."""
+    pages = chunks(spark, sf_dir).select(F.expr("doc_id div 50").alias("doc_id"), F.col("chunk_id").alias("page"), F.col("needs_review").alias("flagged"))
+    return corpus.review_order(pages)
+
+
 QUERIES = {
+    "p22_served_chunks": (served, "WITH " + CHUNKS + " SELECT chunk_id, corpus FROM c WHERE doc_id IN (SELECT doc_id FROM labels) AND access_tier <> 'internal'"),
+    "f44_citations": (cited, "WITH " + CHUNKS + """ SELECT doc_id // 20 AS question, row_number() OVER (PARTITION BY doc_id // 20 ORDER BY length(content) DESC, chunk_id)::INT AS n, corpus,
+        CASE WHEN doc_id % 3 <> 0 THEN 'doc://' || corpus || '#page=' || doc_id % 9 ELSE '' END AS ref, doc_id, lang AS section, CASE WHEN doc_id % 3 <> 0 THEN (doc_id % 9)::INT END AS page,
+        round(length(content) / 7.0::DOUBLE, 4) AS score, access_tier, sha256(content) AS snippet FROM c"""),
+    "u6_expired_versions": (expired, "WITH " + CHUNKS + f" SELECT DISTINCT corpus, program_code, expiry_date::VARCHAR AS expiry_date FROM c WHERE expiry_date < DATE '{AS_OF}'"),
+    "t8_review_order": (reviewed, "SELECT doc_id // 50 AS doc_id, doc_id AS page, doc_id % 13 = 0 AS flagged, row_number() OVER (PARTITION BY doc_id // 50 ORDER BY doc_id % 13 = 0 DESC, doc_id)::INT AS place FROM documents"),
     "p18_admitted_chunks": (admitted, "WITH " + CHUNKS + f" SELECT chunk_id, corpus FROM c WHERE (expiry_date IS NULL OR expiry_date > DATE '{AS_OF}') AND corpus IN ('src0', 'src1', 'src2', 'src3') AND access_tier <> 'internal' AND NOT needs_review"),
     "t2_dense": (dense, "WITH " + DENSE + " SELECT query_id, chunk_id, round(cosine, 6) AS cosine, rank::INT AS rank FROM dn WHERE rank < 20"),
     "t5_per_program": (per_program, "WITH " + SCORED + ", p AS (SELECT *, row_number() OVER (PARTITION BY query_id, program ORDER BY cosine DESC, chunk_id) - 1 AS rank FROM s) SELECT query_id, program, chunk_id, rank::INT AS rank FROM p WHERE rank < 2"),

@@ -69,17 +69,31 @@ def blocks(spark, sf_dir):
 
 def sections(spark, sf_dir):
     words = [w for _, ws in X.SECTIONS for w in ws]
-    regions = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     keys = F.array(*[F.lit(w) for w in words])
-    heading = F.concat(F.col("n_name"), F.lit(" "), F.initcap(keys[F.col("n_nationkey") % len(words)]), F.lit(" Terms"))
-    return regions.select("n_nationkey", X.canonical_section(heading).alias("section"))
+    heading = F.concat(F.col("url"), F.lit(" "), F.initcap(keys[F.col("page_id") % len(words)]), F.lit(" Terms"))
+    return table(spark, sf_dir, "pages").select("page_id", X.canonical_section(heading).alias("section"))
 
 
 def number_tokens(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    half = F.substring("text", 1, 400)
-    head, whole = X.numbers(half), X.numbers(F.col("text"))
-    return docs.select("doc_id", F.array_join(whole, " ").alias("numbers"), F.array_join(F.array_except(head, whole), " ").alias("missing"), F.sha2(X.highlighted(F.col("text")), 256).alias("marked"), X.has_table(F.col("text")).alias("has_table"))
+    return docs.select("doc_id", F.array_join(X.numbers(F.col("text")), " ").alias("numbers"), F.sha2(X.highlighted(F.col("text")), 256).alias("marked"), X.has_table(F.col("text")).alias("has_table"))
+
+
+def missing_numbers(spark, sf_dir):
+    """Numbers that a conversation's turn states and the document of the same id doesn't."""
+    said = table(spark, sf_dir, "conversations").select("conv_id", "turn", X.numbers(F.col("text")).alias("said"))
+    there = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("conv_id"), X.numbers(F.col("text")).alias("there"))
+    joined = said.join(there, "conv_id", "left")
+    return joined.select("conv_id", "turn", F.array_join(F.array_except("said", F.coalesce("there", F.array().cast("array<string>"))), " ").alias("missing"))
+
+
+def redacted_records(spark, sf_dir):
+    """Documents as nested records whose strings are all redacted, whatever they stand in."""
+    d = table(spark, sf_dir, "documents")
+    record = F.struct(F.col("doc_id").alias("n"), F.array("text", "lang").alias("parts"), F.create_map(F.lit("body"), F.struct(F.col("text").alias("t"))).alias("fields"))
+    rows = d.select("doc_id", record.alias("r"))
+    clean = rows.withColumn("r", X.redacted(F.col("r"), rows.schema["r"].dataType))
+    return clean.select("doc_id", F.col("r.n").alias("n"), F.sha2(F.col("r.parts")[0], 256).alias("part"), F.col("r.parts")[1].alias("lang"), F.sha2(F.col("r.fields")["body"]["t"], 256).alias("field"))
 
 
 def names(spark, sf_dir):
@@ -133,13 +147,16 @@ QUERIES = {
     "tx5_heading_blocks": (blocks, f"""WITH p AS (SELECT page_id, string_split_regex(html, '<h[12][^>]*>')[2:] AS parts FROM pages),
         c AS (SELECT page_id, unnest(range(len(parts))) AS pos, unnest(parts) AS part FROM p), g AS (SELECT *, split_part(part, '</h', 1) AS h FROM c)
         SELECT page_id, pos::INT AS pos, sha256(h) AS heading, CASE WHEN h = '' THEN 'overview' ELSE {SECTION_CASE} END AS section, (length(part) - length(h))::INT AS rest FROM g"""),
-    "tx6_sections": (sections, f"""WITH n AS (SELECT n_nationkey, n_name || ' ' || ({WORDS_SQL})[(n_nationkey % {N_WORDS})::INT + 1] || ' Terms' AS h FROM nation)
-        SELECT n_nationkey, {SECTION_CASE} AS section FROM n"""),
-    "f20_numbers": (number_tokens, rf"""WITH d AS (SELECT doc_id, text, list_sort(list_distinct(list_transform(regexp_extract_all(text, '{NUM}'), lambda x: replace(x, ',', '')))) AS w,
-        list_distinct(list_transform(regexp_extract_all(substr(text, 1, 400), '{NUM}'), lambda x: replace(x, ',', ''))) AS h FROM documents)
-        SELECT doc_id, array_to_string(w, ' ') AS numbers, coalesce(array_to_string(list_filter(h, lambda x: NOT list_contains(w, x)), ' '), '') AS missing,
+    "tx6_sections": (sections, f"""WITH n AS (SELECT page_id, url || ' ' || ({WORDS_SQL})[(page_id % {N_WORDS})::INT + 1] || ' Terms' AS h FROM pages)
+        SELECT page_id, {SECTION_CASE} AS section FROM n"""),
+    "f20_numbers": (number_tokens, rf"""WITH d AS (SELECT doc_id, text, list_sort(list_distinct(list_transform(regexp_extract_all(text, '{NUM}'), lambda x: replace(x, ',', '')))) AS w FROM documents)
+        SELECT doc_id, array_to_string(w, ' ') AS numbers,
           sha256(regexp_replace(text, '({NUM})', '<mark>\1</mark>', 'g')) AS marked,
           len(list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '^[ \t]*\|.*\|[ \t]*$'))) >= 2 AS has_table FROM d"""),
+    "tx12_missing_numbers": (missing_numbers, rf"""WITH c AS (SELECT conv_id, turn, list_sort(list_distinct(list_transform(regexp_extract_all(text, '{NUM}'), lambda x: replace(x, ',', '')))) AS s FROM conversations),
+        d AS (SELECT doc_id, list_transform(regexp_extract_all(text, '{NUM}'), lambda x: replace(x, ',', '')) AS w FROM documents)
+        SELECT conv_id, turn, coalesce(array_to_string(list_filter(s, lambda x: NOT list_contains(coalesce(w, []), x)), ' '), '') AS missing FROM c LEFT JOIN d ON doc_id = conv_id"""),
+    "f43_redacted_records": (redacted_records, f"WITH r AS (SELECT doc_id, lang, {REDACT_SQL} AS x FROM documents) SELECT doc_id, doc_id AS n, sha256(x) AS part, lang, sha256(x) AS field FROM r"),
     "f6_names": (names, rf"""WITH c AS (SELECT *, ' mohd. ' || c_name || '  bt ' || c_mktsegment || ' Sdn. Bhd.' AS raw,
         CASE c_custkey % 4 WHEN 0 THEN 'N.A.' WHEN 1 THEN ' Not  Applicable ' ELSE c_name END AS cell FROM customer)
         SELECT c_custkey, regexp_replace(upper(c_name), '[^A-Z0-9]', '', 'g') AS norm_id,
