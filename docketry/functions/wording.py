@@ -98,6 +98,21 @@ def money_near(words: tuple[str, ...], reach: int = 45):
     return near
 
 
+# Slots that hold money and the words that it stands near.
+MONEY_SLOTS = {
+    "revenue": ("revenue", "turnover", "sales", "annual revenue"), "total_equity_or_net_worth": ("net worth", "networth", "equity"),
+    "working_capital_limit": ("working capital", "wc limit"), "end_balance": ("end balance", "ending balance", "closing balance"),
+}
+
+
+def slots(text: Column) -> Column:
+    """What one turn says of a business, as a struct of numbers: years in business, staff, and money near the words of each slot; null if unsaid."""
+    low = F.lower(text)
+    count = lambda unit: F.nullif(F.regexp_extract(low, rf"(\d+)\s*{unit}\b", 1), F.lit(""))
+    years, staff = count(r"\+?\s*(?:years?|yrs?|tahun)"), count("(?:staff|employees?|workers?|orang|pekerja)")
+    return F.struct(years.try_cast("double").alias("business_age_years"), staff.try_cast("int").alias("staff_count"), *(money_near(w)(text).alias(slot) for slot, w in MONEY_SLOTS.items()))
+
+
 def year_in(col: Column) -> Column:
     return F.nullif(F.regexp_extract(col, r"(19|20)\d{2}", 0), F.lit("")).try_cast("int")
 

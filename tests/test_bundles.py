@@ -7,6 +7,7 @@ import datetime
 from pyspark.sql import functions as F
 
 from docketry.functions import text as X
+from docketry.functions.wording import slots
 from docketry.operators import shaping as S
 from docketry.operators.turns import contact_of
 
@@ -68,3 +69,10 @@ def test_contacts_are_stable(spark):
     df = spark.range(200).select(F.col("id").cast("string").alias("s"), F.array(F.lit("a"), F.lit("b"), F.lit("c")).alias("c"))
     got = df.select(contact_of(F.col("s"), F.col("c")).alias("x"), contact_of(F.col("s"), F.array().cast("array<string>")).alias("none")).collect()
     assert {r["x"] for r in got} == {"a", "b", "c"} and all(r["none"] is None for r in got)
+
+
+def test_slots_of_a_turn(spark):
+    said = ["We have been open 5+ years with 12 staff, annual revenue RM 1,200,000", "hello", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(said)], "i int, t string")
+    got = [tuple(r["s"]) for r in df.select("i", slots(F.col("t")).alias("s")).orderBy("i").collect()]
+    assert got == [(5.0, 12, 1200000.0, None, None, None), (None,) * 6, (None,) * 6]
