@@ -1,4 +1,4 @@
-"""The thin queries of the ten operators, with the parameters they run with."""
+"""The thin queries of the operators, with the parameters they run with."""
 
 from __future__ import annotations
 
@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm import leaks, lines, mixing, neardup, ppm, quality, secrets, tokens, toxicity, urls
-from docketry.llm._shared import table
+from docketry.llm import leaks, lines, merkle, mixing, neardup, ppm, quality, secrets, tokens, toxicity, urls
+from docketry.llm._shared import ascii_lower, table
 
 
 def op1_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,5 +72,14 @@ def op10_token_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.length_histogram(table(spark, sf_dir, "documents"), keys=("lang",))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    leaf = lambda text: merkle.row_digest(F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text)
+    rows = docs.select("doc_id", "source", leaf(F.col("text")).alias("leaf"), F.when(tampered, leaf(ascii_lower(F.col("text")))).alias("claimed"))
+    found = merkle.proofs(rows, carry=("claimed",)).withColumn("folded_root", merkle.folded(F.coalesce("claimed", "leaf"), F.col("proof")))
+    return found.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ppm_score, op2_line_dedup, op3_near_dedup, op4_secret_scan, op5_url_filter, op6_source_mix, op7_quality_rules, op8_decontamination, op9_toxicity, op10_token_lengths)}
+    return {f.__name__: f for f in (op1_ppm_score, op2_line_dedup, op3_near_dedup, op4_secret_scan, op5_url_filter, op6_source_mix, op7_quality_rules, op8_decontamination, op9_toxicity, op10_token_lengths, op13_merkle_manifest)}

@@ -7,6 +7,10 @@ SPACE = r"[\x20\x09-\x0D]"
 SPACES = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
+#: crc32 of doc_id in decimal: DuckDB has none, so the bits are folded one by one.
+CRC32 = """(SELECT xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: unicode(c)::BIGINT)),
+  lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::BIGINT) ELSE x // 2 END)), 4294967295::BIGINT))"""
+
 OP2 = f"""
 WITH t AS (SELECT row_number() OVER () AS k, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 l AS (SELECT k, doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM t),
@@ -101,5 +105,37 @@ FROM d LEFT JOIN hit USING (k) LEFT JOIN its USING (k)
 """
 
 
+
+
+def _op13(source_levels: int = 5, top_levels: int = 4) -> str:
+    """Levels are written out one by one; 16 ** source_levels rows a source and 16 ** top_levels sources are enough."""
+    value = lambda c: f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')"
+    leaf = lambda text: "sha256(" + " || ".join([*map(value, ("doc_id", "source", "lang", "n_chars")), value(text)]) + ")"
+    run = lambda k: f"SELECT source, p // 16 AS p, sha256(string_agg(d, '' ORDER BY p)) AS d, list(d ORDER BY p) AS ds, (n + 15) // 16 AS n FROM {k} WHERE n > 1 GROUP BY ALL"
+    steps = [f"""l AS (SELECT doc_id, coalesce('=' || source, '') AS source, {leaf("text")} AS leaf, {leaf(f"translate(text, {AZ})")} AS changed FROM documents),
+r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p, count(*) OVER (PARTITION BY source) AS n FROM l),
+a0 AS (SELECT source, p, leaf AS d, [leaf] AS ds, n FROM r)"""]
+    steps += [f"a{k} AS ({run(f'a{k - 1}').replace('GROUP BY ALL', 'GROUP BY source, p // 16, (n + 15) // 16')})" for k in range(1, source_levels + 1)]
+    steps.append("s AS (" + " UNION ALL ".join(f"SELECT source, d AS subroot FROM a{k} WHERE n = 1" for k in range(source_levels + 1)) + ")")
+    steps.append("b0 AS (SELECT '' AS source, row_number() OVER (ORDER BY source) - 1 AS p, subroot AS d, [subroot] AS ds, count(*) OVER () AS n, source AS of FROM s)")
+    steps += [f"b{k} AS ({run(f'b{k - 1}').replace('GROUP BY ALL', 'GROUP BY source, p // 16, (n + 15) // 16')})" for k in range(1, top_levels + 1)]
+    steps.append("root AS (" + " UNION ALL ".join(f"SELECT d AS root FROM b{k} WHERE n = 1" for k in range(top_levels + 1)) + ")")
+    joins, runs = [], []
+    for letter, place, levels in (("a", "r.p", source_levels), ("b", "t.p", top_levels)):
+        for k in range(1, levels + 1):
+            on = f"{letter}{k}.p = {place} // {16**k}" + (" AND a%d.source = r.source" % k if letter == "a" else "")
+            joins.append(f"LEFT JOIN {letter}{k} ON {on}")
+            runs.append((f"{letter}{k}.ds", f"({place} // {16 ** (k - 1)}) % 16 + 1"))
+    siblings = " || ".join(f"coalesce(array_to_string({ds}[:{i} - 1], '') || array_to_string({ds}[{i} + 1:], ''), '')" for ds, i in runs)
+    steps.append(f"""j AS (SELECT r.doc_id, leaf, changed, subroot, root, sha256({siblings}) AS proof_sha256,
+  CASE WHEN crc32_of % 5 = 0 THEN changed ELSE leaf END AS f0, {", ".join(f"{ds} AS g{n}, {i} AS i{n}" for n, (ds, i) in enumerate(runs))}
+  FROM (SELECT *, {CRC32} AS crc32_of FROM r) r JOIN s USING (source) JOIN b0 t ON t.of = r.source CROSS JOIN root {" ".join(joins)})""")
+    for n in range(len(runs)):
+        fold = f"sha256(array_to_string(g{n}[:i{n} - 1], '') || f{n} || array_to_string(g{n}[i{n} + 1:], ''))"
+        steps.append(f"f{n} AS (SELECT *, CASE WHEN g{n} IS NULL THEN f{n} ELSE {fold} END AS f{n + 1} FROM {'j' if n == 0 else f'f{n - 1}'})")
+    end = len(runs)
+    return f"WITH {', '.join(steps)} SELECT doc_id, leaf, subroot, root, proof_sha256, f{end} AS folded_root, f{end} = root AS verified FROM f{end - 1}"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": OP2, "op3_near_dedup": OP3, "op5_url_filter": OP5, "op7_quality_rules": OP7, "op8_decontamination": OP8}
+    return {"op2_line_dedup": OP2, "op3_near_dedup": OP3, "op5_url_filter": OP5, "op7_quality_rules": OP7, "op8_decontamination": OP8, "op13_merkle_manifest": _op13()}
