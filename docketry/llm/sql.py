@@ -106,6 +106,15 @@ FROM d LEFT JOIN hit USING (k) LEFT JOIN its USING (k)
 
 
 
+OP12 = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.x::DOUBLE[], c.x::DOUBLE[])::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score FROM s
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20
+"""
+
 
 def _op13(source_levels: int = 5, top_levels: int = 4) -> str:
     """Levels are written out one by one; 16 ** source_levels rows a source and 16 ** top_levels sources are enough."""
@@ -138,4 +147,4 @@ a0 AS (SELECT source, p, leaf AS d, [leaf] AS ds, n FROM r)"""]
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": OP2, "op3_near_dedup": OP3, "op5_url_filter": OP5, "op7_quality_rules": OP7, "op8_decontamination": OP8, "op13_merkle_manifest": _op13()}
+    return {"op2_line_dedup": OP2, "op3_near_dedup": OP3, "op5_url_filter": OP5, "op7_quality_rules": OP7, "op8_decontamination": OP8, "op12_pivot_topk": OP12, "op13_merkle_manifest": _op13()}
