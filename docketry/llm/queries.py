@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm import leaks, lines, merkle, mixing, neardup, ppm, quality, secrets, tokens, topk, toxicity, urls
+from docketry.llm import alignment, leaks, lines, merkle, mixing, neardup, ppm, quality, secrets, tokens, topk, toxicity, urls
 from docketry.llm._shared import ascii_lower, table
 
 
@@ -72,6 +72,10 @@ def op10_token_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.length_histogram(table(spark, sf_dir, "documents"), keys=("lang",))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
 def op12_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), is_query=lambda i: i % 20 == 0, k=20)
 
@@ -86,4 +90,4 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ppm_score, op2_line_dedup, op3_near_dedup, op4_secret_scan, op5_url_filter, op6_source_mix, op7_quality_rules, op8_decontamination, op9_toxicity, op10_token_lengths, op12_pivot_topk, op13_merkle_manifest)}
+    return {f.__name__: f for f in (op1_ppm_score, op2_line_dedup, op3_near_dedup, op4_secret_scan, op5_url_filter, op6_source_mix, op7_quality_rules, op8_decontamination, op9_toxicity, op10_token_lengths, op11_token_alignment, op12_pivot_topk, op13_merkle_manifest)}
