@@ -68,6 +68,25 @@ def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() if x is not None and y is not None else None for x, y in zip(a, b, strict=True)])
 
 
+def known_as(col: Column, table: dict[str, str], threshold: float = 0.85, near: tuple[str, ...] | None = None) -> Column:
+    """What `canonical` gives, as a column: for names that are few and come again and again, each compared once a batch."""
+    known = [(k, v) for k, v in table.items() if near is None or k in near]
+
+    def found(name: str) -> str:
+        if name in table:
+            return table[name]
+        scores = [difflib.SequenceMatcher(None, name, k).ratio() for k, _ in known]
+        best = max(range(len(known)), key=scores.__getitem__)  # the first of equals
+        return known[best][1] if scores[best] >= threshold else name
+
+    @F.pandas_udf("string")
+    def of(names: pd.Series) -> pd.Series:
+        forms = {n: found(n) for n in names.dropna().unique()}
+        return pd.Series([forms.get(n) for n in names], dtype=object)
+
+    return of(col)
+
+
 def canonical(names: DataFrame, col: str, table: dict[str, str], threshold: float = 0.85, near: tuple[str, ...] | None = None) -> DataFrame:
     """Each distinct value of `col` with its canonical form: the table's, else the most similar known name's, else itself.
 

@@ -197,8 +197,8 @@ def consent(tables, policy) -> DataFrame:
     return per_bundle(tables["bundles"], judged, "consent_signature", F.concat(F.lit("missing or unsigned: "), F.coalesce("n_failed", F.lit(0)).cast("string")))
 
 
-def customer_form(tables, policy) -> DataFrame:
-    form = tables["customer_information"]
+def missing_of_form() -> tuple[Column, Column]:
+    """The fields that a customer form lacks, and whether a director's marital state leaves the spouse's fields open."""
     company = F.array_compact(F.array(*[F.when(is_blank(F.col(c)), F.lit(c)) for c in COMPANY_FIELDS]))
 
     def of_director(d: Column) -> Column:
@@ -208,8 +208,12 @@ def customer_form(tables, policy) -> DataFrame:
         return F.array_compact(F.array(*own, *spouse))
 
     missing = F.concat(company, F.flatten(F.transform("directors", of_director)))
-    unclear = F.exists("directors", lambda d: ~is_blank(d["marital_status"]) & marital_status(d["marital_status"]).isNull() & (is_blank(d["spouse_name"]) | is_blank(d["spouse_contact_number"])))
-    judged = form.select("bundle_id", missing.alias("missing"), unclear.alias("unclear"))
+    return missing, F.exists("directors", lambda d: ~is_blank(d["marital_status"]) & marital_status(d["marital_status"]).isNull() & (is_blank(d["spouse_name"]) | is_blank(d["spouse_contact_number"])))
+
+
+def customer_form(tables, policy) -> DataFrame:
+    missing, unclear = missing_of_form()
+    judged = tables["customer_information"].select("bundle_id", missing.alias("missing"), unclear.alias("unclear"))
     judged = judged.withColumn("passed", F.when(F.size("missing") > 0, F.lit(False)).when(F.col("unclear"), F.lit(None).cast("boolean")).otherwise(F.lit(True)))
     return per_bundle(tables["bundles"], judged, "customer_information", F.concat(F.lit("missing: "), F.array_join("missing", ", ")))
 

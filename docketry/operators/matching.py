@@ -51,5 +51,5 @@ def last_by_number(documents: DataFrame, number: str) -> DataFrame:
 def entity_match(rows: DataFrame, a: str, b: str, threshold: float = 0.95) -> DataFrame:
     """Adds `passed` and `score`: equal once punctuation and case are gone, else similar enough. Only unequal names are compared."""
     named = rows.withColumns({"_a": normal_entity(F.col(a)), "_b": normal_entity(F.col(b))})
-    score = F.when(F.col("_a") == F.col("_b"), 1.0).otherwise(ratio(F.col("_a"), F.col("_b")))
+    score = F.when(F.col("_a") == F.col("_b"), 1.0).otherwise(ratio(F.when(F.col("_a") != F.col("_b"), F.col("_a")), F.col("_b")))
     return named.withColumn("score", score).withColumn("passed", F.col("score") >= threshold).drop("_a", "_b")

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docketry.functions import similarity
+from docketry.operators import bundle_report
 from docketry.operators import bundle_rules as B
 from docketry.operators import matching, rules
 
@@ -75,6 +76,33 @@ def test_every_rule(tables, spark):
     assert groups[("good", "BANK_STATEMENT")] == 6 and groups[("good", "PACKAGE")] == 1
 
 
+def rows_of(df):
+    return sorted(map(tuple, df.select(*rules.RESULT).collect()), key=repr)
+
+
+def test_one_pass_gives_what_the_rules_give(tables, spark):
+    assert rows_of(bundle_report.report(tables)) == rows_of(rules.run_all(B.RULES, tables, B.POLICY))
+    none = {k: v.limit(0) for k, v in tables.items()}
+    assert bundle_report.report(none).count() == 0
+    alone = none | {"bundles": tables["bundles"]}
+    assert rows_of(bundle_report.report(alone)) == rows_of(rules.run_all(B.RULES, alone, B.POLICY))
+
+
+def test_one_pass_over_odd_documents(tables, spark):
+    """Null dates, numbers and names, documents of unknown bundles, an empty list of months, dates that drift or are ahead."""
+    odd = {
+        "financial_statements": [("good", "f3", 2, None, None, None, None, None, None), ("new", "f4", 0, "x", D(2030, 1, 1), False, None, True, True), ("drift", "f5", 0, "x", D(2024, 1, 1), True, True, True, True), ("drift", "f6", 1, "x", D(2025, 4, 1), True, True, True, True)],
+        "tax_declarations": [("late", "t3", 0, None, None), ("late", "t4", 1, "x", D(2026, 1, 1))],
+        "bank_statements": [("late", "b4", 0, None, "RHB", "RM", None, None, None, []), ("drift", "b5", 0, "x", "Totally Other", "RM", D(2025, 1, 1), D(2025, 2, 1), [("2025-01", -2.0), ("2025-01", -3.0), (None, -1.0)], None), ("drift", "b6", 1, "x", None, "RM", D(2025, 2, 1), D(2025, 3, 1), None, ["2025-02", "2025-02"])],
+        "identity_documents": [("late", "i3", 0, None, None, None, None, None), ("drift", "i4", 0, "P One", "p-1", None, True, None), ("drift", "i5", 1, "P Two", "P2", "", False, True)],
+        "people": [("late", 0, "director", 0, None, None, None), ("drift", 0, "director", 0, "P One", "P1", "passport"), ("drift", 0, "director", 1, "P 1 again", "P-1", None), ("drift", 0, "shareholder", 0, "P Two", "P2", "mykad")],
+        "consent_forms": [("late", "c4", 0, None, None, None, True), ("drift", "c5", 0, "x", "P", "p1", None)],
+        "bundles": [("late", D(2025, 8, 1), " llp "), ("drift", D(2025, 8, 1), "")],
+    }
+    more = {k: v.unionByName(spark.createDataFrame(odd[k], v.schema)) if k in odd else v for k, v in tables.items()}
+    assert rows_of(bundle_report.report(more)) == rows_of(rules.run_all(B.RULES, more, B.POLICY))
+
+
 def test_contract(spark):
     with pytest.raises(TypeError):
         rules.checked(spark.createDataFrame([("b", "r", "c", "yes", "s", "m")], "bundle_id string, rule_id string, check string, passed string, status string, message string"))
