@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from docketry.functions import wording
 from docketry.functions.vectors import dot, unit
-from docketry.operators import bundle_rules, matching, rules, shaping
+from docketry.operators import bundle_report, bundle_rules, matching, shaping
+from docketry.plans import rule_sql
 from docketry.plans.texts import TURNS
 from docketry.plans.texts import turns as seeded
 from docketry.sources.tables import table
@@ -45,8 +46,12 @@ def tables(spark, sf_dir):
 
 def report(spark, sf_dir):
     """Outcomes of all sixteen rules over all bundles, counted by rule and status."""
-    out = rules.run_all(bundle_rules.RULES, tables(spark, sf_dir), bundle_rules.POLICY)
-    return out.groupBy("rule_id", "status").agg(F.count("*").alias("n"))
+    return bundle_report.report(tables(spark, sf_dir)).groupBy("rule_id", "status").agg(F.count("*").alias("n"))
+
+
+def one_rule(i):
+    """The outcomes of one rule by itself."""
+    return lambda spark, sf_dir: bundle_rules.RULES[i][1](tables(spark, sf_dir), bundle_rules.POLICY).select("bundle_id", "status")
 
 
 def completeness(spark, sf_dir):
@@ -128,7 +133,15 @@ def shaped_customers(spark, sf_dir):
 STATEMENT = "WITH s AS (SELECT o_custkey::VARCHAR AS bundle_id, o_orderkey, o_orderdate::DATE AS day, o_totalprice FROM orders WHERE o_orderstatus <> 'F')"
 
 QUERIES = {
-    "r0_rule_report": (report, None),
+    "r0_rule_report": (report, rule_sql.counts()),
+    "r3_consecutive_years": (one_rule(2), rule_sql.of_rule(2)),
+    "r4_financial_sections": (one_rule(3), rule_sql.of_rule(3)),
+    "r6_bank_duration": (one_rule(5), rule_sql.of_rule(5)),
+    "r9_bank_consistency": (one_rule(8), rule_sql.of_rule(8)),
+    "r12_identity_coverage": (one_rule(11), rule_sql.of_rule(11)),
+    "r14_customer_form": (one_rule(13), rule_sql.of_rule(13)),
+    "r15_entity_names": (one_rule(14), rule_sql.of_rule(14)),
+    "r16_numbers_of_people": (one_rule(15), rule_sql.of_rule(15)),
     "r1_completeness": (completeness, """WITH o AS (SELECT o_custkey AS k, bool_or(o_orderstatus = 'F') AS fin, bool_or(o_orderstatus <> 'F') AS bank, bool_or(o_orderpriority = '1-URGENT') AS tax FROM orders GROUP BY ALL),
         d AS (SELECT c_custkey::VARCHAR AS bundle_id, list_filter([
             CASE WHEN NOT (coalesce(fin, false) OR (coalesce(tax, false) AND c_mktsegment IN ('BUILDING', 'MACHINERY'))) THEN 'financial_statement' END,
