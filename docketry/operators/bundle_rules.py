@@ -235,7 +235,7 @@ def number_match(tables, policy) -> DataFrame:
     there = tables["identity_documents"].select("bundle_id").distinct()
     p = people.select("bundle_id", F.col("nric_passport").alias("key"), "name", (F.col("doc_ord") * 1000 + F.col("person_ord")).alias("ord"))
     c = tables["identity_documents"].select("bundle_id", F.col("document_id").alias("key"), F.col("individual_name").alias("name"), "ord")
-    taken = matching.assigned(matching.scored_pairs(p, c)).select("bundle_id", F.col("person").alias("nric_passport"), F.col("candidate").alias("document_id"))
+    taken = matching.matched(p, c).select("bundle_id", F.col("person").alias("nric_passport"), F.col("candidate").alias("document_id"))
     numbers = tables["identity_documents"].select("bundle_id", "document_id", F.col("nric_passport").alias("printed"))
     judged = people.join(there, "bundle_id", "left_semi").join(taken, ["bundle_id", "nric_passport"], "left").join(numbers, ["bundle_id", "document_id"], "left")
     judged = judged.where(F.col("document_id").isNotNull() | F.col("is_director"))

@@ -83,7 +83,7 @@ def supplier_names(spark, sf_dir):
 
     s = parties("supplier", "s_nationkey", "s_suppkey", F.col("s_name"))
     c = parties("customer", "c_nationkey", "c_custkey", F.regexp_replace("c_name", "Customer", "Supplier"))
-    return matching.assigned(matching.scored_pairs(s, c, 0.9)).select("bundle_id", "person", "candidate")
+    return matching.matched(s, c, 0.9).select("bundle_id", "person", "candidate")
 
 
 def events_by_day(spark, sf_dir):
