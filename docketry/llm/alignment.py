@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import os
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -61,13 +62,14 @@ class Pair:
     Texts are encoded whole, or cut where neither tokenizer can join what is left and right of the cut. A byte-level one
     splits by its pattern before it merges, and no part of that has a space after something else than white space; a piece
     model has no piece with a space mark after another character. Both are looked up in the models; if either doesn't hold,
-    texts aren't cut. Words come again and again, so what they gave is kept, up to `most` of them.
+    texts aren't cut. Words come again and again, so what they gave is kept: the last `most` of them, and as many before those.
     """
 
-    def __init__(self, path_a: str, path_b: str, most: int = 300_000):
+    def __init__(self, path_a: str, path_b: str, most: int = 200_000):
         import sentencepiece
         from tokenizers import Tokenizer, pre_tokenizers
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.a = Tokenizer.from_file(path_a)
         self.a.encode_special_tokens = True
         self.a.no_padding()
@@ -82,7 +84,8 @@ class Pair:
         self.bytes_b = [piece_bytes(p) for p in pieces]
         self.size_b = len(pieces)
         self.cuts = isinstance(self.a.pre_tokenizer, pre_tokenizers.ByteLevel) and self.a.normalizer is None and not any(re.search(f"[^{SPACE_MARK}]{SPACE_MARK}", p) for p in pieces)
-        self.most, self.kept = most, {}
+        self.name_a, self.name_b = [str(i) for i in range(len(self.bytes_a))], [str(i) for i in range(self.size_b)]
+        self.most, self.kept, self.before = most, {}, {}
 
     def segments(self, text: str) -> list[str]:
         return CUT.split(" " + text) if self.cuts else [" " + text]
@@ -92,35 +95,49 @@ class Pair:
 
         Segments start with a space, which the piece model adds by itself.
         """
-        new = [s for s in segments if s not in self.kept]
-        if len(self.kept) + len(new) > self.most:
-            self.kept = {}
-            new = list(segments)
+        found, new = {}, []
+        for s in segments:
+            if s in self.kept:
+                found[s] = self.kept[s]
+            elif s in self.before:
+                found[s] = self.kept[s] = self.before[s]
+            else:
+                new.append(s)
         for at in range(0, len(new), 10_000):
             part = new[at : at + 10_000]
             spans = self.b.encode([s[1:] for s in part], return_type="offset_mapping", num_threads=1)
             for s, a, b in zip(part, self.a.encode_batch(part, add_special_tokens=False), spans, strict=True):
-                self.kept[s] = self.one(s, a.ids, a.offsets, b["ids"], b["offsets"])
-        return self.kept
+                found[s] = self.kept[s] = self.one(s, a.ids, a.offsets, b["ids"], b["offsets"])
+        if len(self.kept) > self.most:
+            self.before, self.kept = self.kept, {}
+        return found
 
     def one(self, text: str, ids_a: list[int], spans_a: list, ids_b: list[int], spans_b: list) -> tuple | None:
         pieces_a, pieces_b = [self.bytes_a[i] for i in ids_a], [self.bytes_b[i] for i in ids_b]
         data = text.encode()
         if b"".join(pieces_a) != data or b"".join(pieces_b) != data:
             return None
-        offset = range(len(text) + 1) if len(data) == len(text) else [0, *np.cumsum([len(c.encode()) for c in text]).tolist()]
         # The piece model's spans don't count the space that it adds.
-        spans_b = [(first + (i > 0), last + 1) for i, (first, last) in enumerate(spans_b)]
-        ends_a, ends_b = byte_ends(spans_a, pieces_a, offset), byte_ends(spans_b, pieces_b, offset)
-        common, groups, pairs, at_a, at_b = set(ends_b), [], [], 0, 0
-        place_b = {end: i for i, end in enumerate(ends_b)}
-        for i, end in enumerate(ends_a):
-            if end in common:
-                j = place_b[end]
-                groups.append(",".join(map(str, ids_a[at_a : i + 1])) + "|" + ",".join(map(str, ids_b[at_b : j + 1])))
-                pairs.append(ids_a[i] * self.size_b + ids_b[j])
-                at_a, at_b = i + 1, j + 1
-        return len(ids_a), len(ids_b), ";".join(groups), pairs
+        if len(data) == len(text):
+            ends_a, ends_b = [end for _, end in spans_a], [end + 1 for _, end in spans_b]
+        else:
+            offset = [0, *accumulate(len(c.encode()) for c in text)]
+            ends_a = byte_ends(spans_a, pieces_a, offset)
+            ends_b = byte_ends([(first + (i > 0), last + 1) for i, (first, last) in enumerate(spans_b)], pieces_b, offset)
+        name_a, name_b = self.name_a, self.name_b
+        groups, pairs, own_a, j, n = [], [], [], 0, len(ends_b)
+        own_b: list[str] = []
+        for i, end in zip(ids_a, ends_a, strict=True):
+            own_a.append(name_a[i])
+            while j < n and ends_b[j] < end:
+                own_b.append(name_b[ids_b[j]])
+                j += 1
+            if j < n and ends_b[j] == end:
+                own_b.append(name_b[ids_b[j]])
+                groups.append(",".join(own_a) + "|" + ",".join(own_b))
+                pairs.append(i * self.size_b + ids_b[j])
+                own_a, own_b, j = [], [], j + 1
+        return len(ids_a), n, ";".join(groups), pairs
 
 
 @lru_cache(maxsize=2)
