@@ -2,43 +2,76 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import groupby, islice
+from operator import itemgetter
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 def packed(units: DataFrame, doc: str, max_tokens: int = 800, merge_tokens: int = 50, order: str = "ord") -> DataFrame:
     """Greedy packing of a document's units, in order, into chunks of at most max_tokens: doc, chunk_no, units, tokens.
 
     units: doc, order, unit, tokens, has_table. A unit with a table stands alone; a last chunk of under merge_tokens joins the
-    one before unless either holds a table. What a chunk holds depends on all before it, so a document is packed as one
-    array; a document is as long as its text.
-    """
-    one = F.struct(F.col(order).alias("o"), F.col("unit").alias("u"), F.col("tokens").cast("long").alias("t"), F.col("has_table").alias("x"))
-    listed = units.groupBy(doc).agg(F.array_sort(F.collect_list(one)).alias("_units"))
-    empty = F.expr("cast(array() as array<struct<units:array<string>,tokens:bigint,x:boolean>>)")
-
-    def step(done: Column, u: Column) -> Column:
-        last = F.element_at(done, -1)
-        alone = F.struct(F.array(u["u"].cast("string")).alias("units"), u["t"].alias("tokens"), u["x"].alias("x"))
-        joins = (F.size(done) > 0) & ~u["x"] & ~F.coalesce(last["x"], F.lit(True)) & ((last["tokens"] == 0) | (last["tokens"] + u["t"] <= max_tokens))
-        grown = F.struct(F.concat(last["units"], F.array(u["u"].cast("string"))).alias("units"), (last["tokens"] + u["t"]).alias("tokens"), F.lit(False).alias("x"))
-        return F.when(joins, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(grown))).otherwise(F.concat(done, F.array(alone)))
-
-    chunks = listed.select(doc, F.reduce("_units", empty, step).alias("c"))
-    n = F.size("c")
-    last, before = F.try_element_at("c", n), F.try_element_at("c", n - 1)
-    merged = F.concat(
-        F.slice("c", 1, F.greatest(n - 2, F.lit(0))),
-        F.array(F.struct(F.concat(before["units"], last["units"]).alias("units"), (before["tokens"] + last["tokens"]).alias("tokens"), F.lit(False).alias("x"))),
-    )
-    tail = F.coalesce((n >= 2) & ~last["x"] & ~before["x"] & (last["tokens"] < merge_tokens), F.lit(False))
-    out = chunks.select(doc, F.posexplode(F.when(tail, merged).otherwise(F.col("c"))).alias("chunk_no", "k"))
-    return out.select(doc, "chunk_no", F.col("k.units").alias("units"), F.col("k.tokens").alias("tokens"))
+    one before unless either holds a table. Null tokens count as none, a null has_table as a table; units of one place go by their text.
 
+    What a chunk holds depends on all before it, so a document's units pass one task in order; that task holds two chunks at a
+    time, however long the document is.
+    """
 
-def upserted(existing: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
-    """Existing rows without an incoming one, and all incoming rows."""
-    return existing.join(incoming.select(key), key, "left_anti").unionByName(incoming)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunks = _chunks(_units(batches), max_tokens, merge_tokens)
+        while some := list(islice(chunks, 1_000)):
+            docs, places, texts, tokens = zip(*some, strict=True)
+            yield pa.RecordBatch.from_pydict({doc: pa.array(docs, kind), "chunk_no": pa.array(places, pa.int32()), "units": pa.array(texts, pa.list_(pa.string())), "tokens": pa.array(tokens, pa.int64())})
+
+    kind = to_arrow_type(units.schema[doc].dataType)
+    own = units.repartition(F.col(doc)).sortWithinPartitions(doc, order, "unit")
+    rows = own.select(F.col(doc).alias("d"), F.col("unit").cast("string").alias("u"), F.coalesce(F.col("tokens").cast("long"), F.lit(0)).alias("t"), F.coalesce("has_table", F.lit(True)).alias("x"))
+    return rows.mapInArrow(run, f"`{doc}` {units.schema[doc].dataType.simpleString()}, chunk_no int, units array<string>, tokens long")
+
+
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in batches:
+        yield from zip(*(batch.column(c).to_pylist() for c in ("d", "u", "t", "x")), strict=True)
+
+
+def _chunks(units: Iterator[tuple], max_tokens: int, merge_tokens: int) -> Iterator[tuple]:
+    """(document, number, units, tokens) of each chunk; units are (document, unit, tokens, has_table), a document's next to each other."""
+    for doc, rows in groupby(units, key=itemgetter(0)):
+        number, held, last = 0, None, None  # chunks as [units, tokens, has_table]; `held` may still take the last one in
+        for _, unit, tokens, table in rows:
+            if last is not None and not table and not last[2] and (last[1] == 0 or last[1] + tokens <= max_tokens):
+                last[0].append(unit)
+                last[1] += tokens
+                continue
+            if held is not None:
+                yield doc, number, held[0], held[1]
+                number += 1
+            held, last = last, [[unit], tokens, table]
+        if held is not None and not held[2] and not last[2] and last[1] < merge_tokens:
+            held, last = None, [held[0] + last[0], held[1] + last[1], False]
+        for chunk in filter(None, (held, last)):
+            yield doc, number, chunk[0], chunk[1]
+            number += 1
+
+
+def latest(rows: DataFrame, key: str, order: tuple[str, ...] = ()) -> DataFrame:
+    """Of the rows of each key the one that is last by `order`, ties by all columns; null is a key as well."""
+    others = [c for c in rows.columns if c != key]
+    by = F.struct(*order, *others) if others else F.lit(0)
+    last = rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), by).alias("_r"))
+    return last.select("_r.*")
+
+
+def upserted(existing: DataFrame, incoming: DataFrame, key: str, order: tuple[str, ...] = ()) -> DataFrame:
+    """Existing rows without an incoming one, and of each incoming key the row that is last by `order`."""
+    new = latest(incoming, key, order)
+    there = new.select(F.col(key).alias("_k"))
+    return existing.join(there, F.col(key).eqNullSafe(F.col("_k")), "left_anti").unionByName(new)
 
 
 def upsert_counts(existing: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
