@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from docketry.llm._shared import SPACE, map_arrow, parts_for, text_bytes, written
 
+#: Stands for the null id, below all others.
+NO_ID = -(2**63)
 GOLDEN, MIX_A, MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -84,7 +86,7 @@ def build_shard(lines: pd.DataFrame) -> pd.DataFrame:
             "bits": [[np.packbits(b).tobytes() for b in levels]],
             "prints": [h2.view(np.uint64)[order].astype(np.uint32).tobytes()],
             "counts": [counts.tobytes()],
-            "keepers": [lines["keeper"].fillna(np.iinfo(np.int64).min).to_numpy(np.int64)[order].tobytes()],
+            "keepers": [lines["keeper"].to_numpy(np.int64)[order].tobytes()],
         }
     )
 
@@ -159,14 +161,16 @@ def dedup_lines(
         lines, left = (text or "").split("\n"), []
         for line in lines:
             h = line_hash(line, min_chars)
-            if h is None or (who := keeper.get(h)) is None or who == i:
+            if h is None or (who := keeper.get(h)) is None or who == (NO_ID if i is None else i):
                 left.append(line)
         body = "\n".join(left)
         return len(lines), len(lines) - len(left), hashlib.sha256(body.encode("utf-8", "surrogatepass")).hexdigest(), body if text is not None else None
 
     own = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), *(F.col(c).alias(f"_c_{c}") for c in carry))
     pairs = map_arrow(own.select("_id", "_text"), hashes, "h1 long, h2 long, id long").distinct()
-    lines = written(pairs.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("id").alias("keeper")), "lines")
+    # Without a null the column stays whole numbers in pandas; a float would round ids of over 2^53.
+    keeper = F.coalesce(F.max("id"), F.lit(NO_ID)).alias("keeper")
+    lines = written(pairs.groupBy("h1", "h2").agg(F.count("*").alias("n"), keeper), "lines")
     shard = F.pmod("h1", F.lit(parts_for(lines.count(), shard_lines))).alias("shard")
     shards = lines.select(shard, "*").groupBy("shard").applyInPandas(build_shard, SHARD)
 

@@ -59,6 +59,20 @@ def test_line_dedup_against_plain(docs, texts, no_docs, block, shard):
     assert lines.dedup_lines(no_docs).count() == 0
 
 
+def test_line_dedup_of_large_ids(spark):
+    """Ids over 2^53 stay exact beside null ids, in one shard and in many."""
+    line, own = "a line that three documents share, word for word", "a line that documents without an id have alone"
+    big = 2**60
+    rows = [(big + 1, line), (big + 3, f"{line}\nx"), (big + 5, line), (None, own), (None, f"{own}\n{line}"), (2**53 + 1, own), (2**53 + 3, own)]
+    rows += [(-(2**62) - 1, "only below zero, and long enough to count"), (-(2**62) - 3, "only below zero, and long enough to count"), (None, "only below zero, and long enough to count")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for shard in (1 << 16, 1):
+        got = sorted(((r["doc_id"], r["n_lines"], r["n_dropped"], r["kept_sha256"]) for r in [r.asDict() for r in lines.dedup_lines(df, shard_lines=shard).collect()]), key=str)
+        assert got == plain_dedup(rows)
+    kept = {r["doc_id"]: r["kept_text"] for r in [r.asDict() for r in lines.dedup_lines(df).collect()] if r["doc_id"] and r["doc_id"] >= big}
+    assert kept == {big + 1: "", big + 3: "x", big + 5: line}
+
+
 def plain_components(texts):
     sets = []
     for i, t in texts:
