@@ -31,8 +31,8 @@ def ranked(scored: DataFrame, query: str, score: str, item: str, most: int, with
     return scored.withColumn("rank", F.row_number().over(by) - 1).where(F.col("rank") < most)
 
 
-def dense(queries: DataFrame, chunks: DataFrame, most: int, vector: str = "embedding", query_id: str = "query_id", item_id: str = "chunk_id", carry: tuple[str, ...] = ()) -> DataFrame:
-    """Exact cosine of every query with every chunk, best `most` kept. A stated query set against all rows, in blocks of queries."""
+def dense(queries: DataFrame, chunks: DataFrame, most: int, vector: str = "embedding", query_id: str = "query_id", item_id: str = "chunk_id", carry: tuple[str, ...] = (), within: tuple[str, ...] = ()) -> DataFrame:
+    """Exact cosine of every query with every chunk, best `most` kept, of each value of the carried columns `within`. A stated query set against all rows, in blocks of queries."""
     n = queries.count()
     items = chunks.select(item_id, *carry, unit(F.col(vector)).alias("_v"))
     out: DataFrame | None = None
@@ -41,11 +41,28 @@ def dense(queries: DataFrame, chunks: DataFrame, most: int, vector: str = "embed
         part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == b)
         q = F.broadcast(part.select(query_id, unit(F.col(vector)).alias("_q")))
         scored = items.join(q, F.lit(True)).select(query_id, item_id, *carry, dot(F.col("_q"), F.col("_v")).alias("cosine"))
-        best = ranked(scored, query_id, "cosine", item_id, most)
+        best = ranked(scored, query_id, "cosine", item_id, most, list(within))
         out = best if out is None else out.unionByName(best)
     return out
 
 
+def per_program(queries: DataFrame, chunks: DataFrame, programs: list[str | int], most: int, program: str = "program") -> DataFrame:
+    """A comparison's chunks: of each of the programs max(2, most // their number), place in the programs' order, then by rank.
+
+    programs: the few that are compared, in order.
+    """
+    each = max(2, most // len(programs))
+    found = dense(queries, chunks.where(F.col(program).isin(*programs)), each, carry=(program,), within=(program,))
+    order = F.array_position(F.array(*map(F.lit, programs)), F.col(program)) - 1
+    return found.withColumn("place", (order * each + F.col("rank")).cast("long"))
+
+
+def abstained(found: DataFrame, floor: float = 0.58, query: str = "query_id", cosine: str = "cosine") -> DataFrame:
+    """Each query's best cosine, and whether it is under the floor, so that nothing is answered."""
+    best = found.groupBy(query).agg(F.max(cosine).alias("best_cosine"))
+    return best.withColumn("abstains", F.col("best_cosine") < floor)
+
+
 def terms(col: Column) -> Column:
     """Lower-case words of letters and digits of any script."""
     return F.filter(F.split(F.lower(col), r"[^\p{L}\p{N}]+"), lambda w: w != "")

@@ -121,6 +121,17 @@ def eligibility(slots: DataFrame, key: str, rules=TIER1, refer: Column | None =
     return lists.select(key, status.alias("status"), F.array_join("_m", ",").alias("missing"), F.array_join("_f", ",").alias("failed"))
 
 
+def outcomes(slots: DataFrame, key: str, rules=TIER1) -> DataFrame:
+    """Evidence of a check without its figures: key and a map from each slot to whether it holds, null where the slot is missing."""
+    each = []
+    for name, low, high, of, share in rules:
+        value = F.col(name).cast("double")
+        top = F.col(of).cast("double") * share if of else F.lit(high).cast("double")
+        bad = F.coalesce(value < F.lit(low), F.lit(False)) | F.coalesce(value > top, F.lit(False))
+        each += [F.lit(name), F.when(value.isNotNull(), ~bad)]
+    return slots.select(key, F.create_map(*each).alias("rule_results"))
+
+
 def in_range(rows: DataFrame, amount: str, ranges: DataFrame) -> DataFrame:
     """Rows with every range that holds their amount; null bounds are open. ranges: low, high and what names the range; a small dimension."""
     x = F.col(amount)

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docketry.plans import bundles, ledger, search, texts, turns
+from docketry.plans import bundles, ledger, search, texts, turns, understanding
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (ledger, texts, turns, search, bundles)
+MODULES = (ledger, texts, turns, understanding, search, bundles)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

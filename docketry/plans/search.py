@@ -51,9 +51,21 @@ def dense(spark, sf_dir):
 
 def per_program(spark, sf_dir):
     """Two of each program for every query, in the programs' order."""
-    q = F.broadcast(vector_queries(spark, sf_dir).select("query_id", unit(F.col("embedding")).alias("_q")))
-    scored = vectors(spark, sf_dir).join(q, F.lit(True)).select("query_id", "chunk_id", "program", dot(unit(F.col("embedding")), F.col("_q")).alias("cosine"))
-    return retrieval.ranked(scored, "query_id", "cosine", "chunk_id", 2, ["program"]).select("query_id", "program", "chunk_id", "rank")
+    found = retrieval.per_program(vector_queries(spark, sf_dir), vectors(spark, sf_dir), list(range(10)), 20)
+    return found.select("query_id", "program", "chunk_id", "rank")
+
+
+def compared(spark, sf_dir):
+    """Three programs side by side: 20 // 3 of each, numbered through."""
+    found = retrieval.per_program(vector_queries(spark, sf_dir), vectors(spark, sf_dir), [7, 2, 5], 20)
+    return found.select("query_id", "program", "chunk_id", "place")
+
+
+def floor(spark, sf_dir):
+    """Queries that point away from a chunk: the best cosine, and whether it is under the floor of 0.25."""
+    away = vector_queries(spark, sf_dir).withColumn("embedding", F.transform("embedding", lambda x: -x))
+    found = retrieval.abstained(retrieval.dense(away, vectors(spark, sf_dir), 5), 0.25)
+    return found.select("query_id", F.round("best_cosine", 6).alias("best_cosine"), "abstains")
 
 
 def keyword_queries(spark, sf_dir):
@@ -184,6 +196,9 @@ QUERIES = {
     "p18_admitted_chunks": (admitted, "WITH " + CHUNKS + f" SELECT chunk_id, corpus FROM c WHERE (expiry_date IS NULL OR expiry_date > DATE '{AS_OF}') AND corpus IN ('src0', 'src1', 'src2', 'src3') AND access_tier <> 'internal' AND NOT needs_review"),
     "t2_dense": (dense, "WITH " + DENSE + " SELECT query_id, chunk_id, round(cosine, 6) AS cosine, rank::INT AS rank FROM dn WHERE rank < 20"),
     "t5_per_program": (per_program, "WITH " + SCORED + ", p AS (SELECT *, row_number() OVER (PARTITION BY query_id, program ORDER BY cosine DESC, chunk_id) - 1 AS rank FROM s) SELECT query_id, program, chunk_id, rank::INT AS rank FROM p WHERE rank < 2"),
+    "t5_compared": (compared, "WITH " + SCORED + """, p AS (SELECT *, row_number() OVER (PARTITION BY query_id, program ORDER BY cosine DESC, chunk_id) - 1 AS rank FROM s)
+        SELECT query_id, program, chunk_id, (list_position([7, 2, 5], program) - 1) * 6 + rank AS place FROM p WHERE rank < 6 AND program IN (7, 2, 5)"""),
+    "a20_floor": (floor, "WITH " + SCORED + " SELECT query_id, round(max(-cosine), 6) AS best_cosine, max(-cosine) < 0.25 AS abstains FROM s GROUP BY ALL"),
     "t3_keyword": (keyword, "WITH " + KEYWORD + " SELECT query_id, chunk_id, round(score, 9) AS score, rank::INT AS rank FROM kw WHERE rank < 20"),
     "t4_fused": (fused, "WITH " + DENSE + ", " + KEYWORD + """, u AS (SELECT query_id, chunk_id, rank FROM dn WHERE rank < 20 UNION ALL SELECT query_id, chunk_id, rank FROM kw WHERE rank < 20),
         f AS (SELECT query_id, chunk_id, sum(1.0::DOUBLE / (rank + 60)) AS rrf FROM u WHERE query_id IN (SELECT vec_id FROM embeddings) AND query_id IN (SELECT doc_id FROM documents) GROUP BY ALL),

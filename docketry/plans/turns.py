@@ -79,16 +79,25 @@ def routes(spark, sf_dir):
     return T.routed(scored, taxonomy(spark), 0.55).select("id", "action", "ref", "secondary_kind")
 
 
-def eligibility(spark, sf_dir):
+def applicants(spark, sf_dir):
     o = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(
         F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("revenue"), F.count("*").alias("orders"), F.max("o_totalprice").alias("top")
     )
-    slots = table(spark, sf_dir, "customer").join(o, "c_custkey", "left").select(
+    return table(spark, sf_dir, "customer").join(o, "c_custkey", "left").select(
         "c_custkey", "c_mktsegment",
         (F.col("c_custkey") % 9).cast("double").alias("business_age_years"), F.col("c_acctbal").alias("total_equity_or_net_worth"), "revenue",
         F.when(F.col("c_custkey") % 6 != 0, F.col("top") * 2).alias("working_capital_limit"), F.col("c_acctbal").alias("end_balance"), F.col("orders").alias("staff_count"),
     )
-    return T.eligibility(slots, "c_custkey", refer=F.col("c_mktsegment") == "MACHINERY")
+
+
+def eligibility(spark, sf_dir):
+    return T.eligibility(applicants(spark, sf_dir), "c_custkey", refer=F.col("c_mktsegment") == "MACHINERY")
+
+
+def outcomes(spark, sf_dir):
+    """The map of outcomes, read slot by slot."""
+    found = T.outcomes(applicants(spark, sf_dir), "c_custkey")
+    return found.select("c_custkey", F.size("rule_results").alias("n"), *(F.col("rule_results")[name].alias(name) for name, *_ in T.TIER1))
 
 
 def products(spark, sf_dir):
@@ -155,6 +164,10 @@ QUERIES = {
             CASE WHEN wc < 0 OR wc > revenue * 0.3::DOUBLE THEN 'working_capital_limit' END, CASE WHEN eq < 0 THEN 'end_balance' END, CASE WHEN n < 5 THEN 'staff_count' END], lambda v: v IS NOT NULL) AS f FROM s)
         SELECT c_custkey, CASE WHEN c_mktsegment = 'MACHINERY' THEN 'refer_to_sales' WHEN len(m) > 0 THEN 'incomplete' WHEN len(f) > 0 THEN 'not_eligible' ELSE 'eligible' END AS status,
           coalesce(array_to_string(m, ','), '') AS missing, coalesce(array_to_string(f, ','), '') AS failed FROM l"""),
+    "p25_outcomes": (outcomes, """WITH o AS (SELECT o_custkey AS c_custkey, sum(o_totalprice::DECIMAL(18,2))::DOUBLE AS revenue, count(*) AS n, max(o_totalprice) AS top FROM orders GROUP BY ALL)
+        SELECT c_custkey, 6 AS n, c_custkey % 9 >= 3 AS business_age_years, c_acctbal >= 0 AS total_equity_or_net_worth, revenue >= 0 AS revenue,
+          CASE WHEN c_custkey % 6 <> 0 THEN top * 2 >= 0 AND coalesce(top * 2 <= revenue * 0.3::DOUBLE, true) END AS working_capital_limit, c_acctbal >= 0 AS end_balance, o.n >= 5 AS staff_count
+        FROM customer LEFT JOIN o USING (c_custkey)"""),
     "j13_product_ranges": (products, RANGE + " SELECT * FROM q"),
     "j14_amount_bands": (bands, f"""WITH b(band, low, high) AS ({values(BANDS)}) SELECT band, count(*) AS n_orders, min(round(o_totalprice, 2)) AS lowest FROM orders
         JOIN b ON round(o_totalprice, 2) >= low AND round(o_totalprice, 2) <= coalesce(high, 1e300) GROUP BY ALL"""),
