@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from docketry.functions import wording
 from docketry.functions.vectors import dot, unit
-from docketry.operators import bundle_report, bundle_rules, matching, shaping
+from docketry.operators import bundle_report, bundle_rules, bundle_tables, matching, shaping
 from docketry.plans import rule_sql
 from docketry.plans.texts import TURNS
 from docketry.plans.texts import turns as seeded
@@ -130,6 +130,28 @@ def shaped_customers(spark, sf_dir):
     return d.select("bundle_id", "company_age", "company_office_telephone", "company_email_address", F.col("one.name").alias("name"), F.col("one.religion").alias("religion"), F.col("one.spouse_name").alias("spouse_name"), F.size("directors").alias("n_directors"))
 
 
+def transaction_payloads(spark, sf_dir):
+    """Every customer's orders as the transactions of a statement's payload, dates in two formats, some missing or unreadable, some balances null."""
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    day = F.when(k % 11 == 0, "soon").when(k % 9 != 0, F.date_format("o_orderdate", "yyyy-MM-dd")).when(k % 2 == 0, F.date_format("o_orderdate", "dd-MM-yyyy"))
+    printed = F.when(k % 5 != 0, F.round(F.col("o_totalprice")).cast("long").cast("string"))
+    one = F.struct(k.alias("k"), day.alias("Transaction Date"), printed.alias("Transaction Balance"))
+    rows = o.groupBy(F.col("o_custkey").alias("bundle_id")).agg(F.array_sort(F.collect_list(one)).alias("Transactions"))
+    payload = F.struct(F.when(F.col("bundle_id") % 4 != 0, "RHB Bank").alias("Bank Name"), F.when(F.col("bundle_id") % 3 == 0, "US$").otherwise("RM").alias("Currency"), "Transactions")
+    return rows.select("bundle_id", F.lit(bundle_tables.BANK_TEMPLATE).alias("template"), F.to_json(payload).alias("payload"))
+
+
+def statements_of_payloads(spark, sf_dir):
+    names = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("bundle_id"), F.col("c_name").alias("entity_name"))
+    b = bundle_tables.bank_statements(transaction_payloads(spark, sf_dir), names)
+    total = F.aggregate("monthly_balances", F.lit(0.0), lambda a, m: a + m["end_balance"])
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    return b.select(
+        "bundle_id", "entity_name", "bank_name", "currency", day("statement_start_date").alias("first_day"), day("statement_end_date").alias("last_day"), F.array_join("covered_months", ",").alias("months"),
+        F.coalesce(total, F.lit(0.0)).alias("total"), F.size("warnings").alias("n_warnings"),
+    )
+
+
 STATEMENT = "WITH s AS (SELECT o_custkey::VARCHAR AS bundle_id, o_orderkey, o_orderdate::DATE AS day, o_totalprice FROM orders WHERE o_orderstatus <> 'F')"
 
 QUERIES = {
@@ -164,6 +186,14 @@ QUERIES = {
         FROM customer, (VALUES (0), (1)) v(i)"""),
     "p14_customer_information": (shaped_customers, """SELECT c_custkey AS bundle_id, CASE WHEN c_custkey % 2 = 0 THEN trunc(c_acctbal)::INT::VARCHAR ELSE 'Not Available' END AS company_age, 'NO-' || c_custkey AS company_office_telephone,
         'Not Available' AS company_email_address, c_name AS name, CASE WHEN c_custkey % 4 = 0 THEN c_mktsegment ELSE 'Not Available' END AS religion, 'Not Available' AS spouse_name, 1 AS n_directors FROM customer"""),
+    "a5_bank_documents": (statements_of_payloads, """WITH t AS (SELECT o_custkey AS b, o_orderkey AS k, CASE WHEN o_orderkey % 11 <> 0 AND (o_orderkey % 9 <> 0 OR o_orderkey % 2 = 0) THEN o_orderdate::DATE END AS day,
+          o_orderkey % 11 = 0 AS unread, CASE WHEN o_orderkey % 5 <> 0 THEN round(o_totalprice) END AS bal FROM orders),
+        m AS (SELECT b, date_trunc('month', day) AS month, last({'v': bal} ORDER BY day, k).v AS bal, min(day) AS f, max(day) AS l FROM t WHERE day IS NOT NULL GROUP BY ALL),
+        w AS (SELECT b, min(f) AS f, max(l) AS l, string_agg(strftime(month, '%Y-%m'), ',' ORDER BY month) AS months, sum(coalesce(bal, 0)) AS total, count(*) FILTER (bal IS NULL) AS zeros FROM m GROUP BY b),
+        u AS (SELECT b, count(*) FILTER (unread) AS unread FROM t GROUP BY b)
+        SELECT u.b AS bundle_id, c_name AS entity_name, CASE WHEN u.b % 4 <> 0 THEN 'RHB Bank' END AS bank_name, CASE WHEN u.b % 3 = 0 THEN 'US$' ELSE 'RM' END AS currency, strftime(f, '%Y-%m-%d') AS first_day,
+          strftime(l, '%Y-%m-%d') AS last_day, months, coalesce(total, 0)::DOUBLE AS total, (unread + coalesce(zeros, 0) + CASE WHEN f IS NULL THEN 0 ELSE (u.b % 4 = 0)::INT + (u.b % 3 = 0)::INT END)::INT AS n_warnings
+        FROM u JOIN customer ON c_custkey = u.b LEFT JOIN w USING (b)"""),
     "w9_matched_names": (supplier_names, None),
     "st5_daily_rollup": (events_by_day, "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL"),
     "f26_unit_vectors": (unit_vectors, """SELECT vec_id, round(1.0::DOUBLE, 9) AS squared, round(embedding[1]::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 9) AS x0, len(embedding)::INT AS n FROM embeddings"""),
