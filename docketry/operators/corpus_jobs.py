@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docketry.functions.text import approx_tokens, canonical_section, chunk_id, deep_link, has_table, numbers
+from docketry.functions.text import SECTIONS, approx_tokens, canonical_section, chunk_id, deep_link, has_table, numbers
 from docketry.operators.corpus import packed
 
 
@@ -67,6 +67,64 @@ def curated(pages: DataFrame, sections=None) -> DataFrame:
     )
 
 
+def selected_pages(pages: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Pages that the manifest takes in, with corpus, content_type and access_tier: the document's defaults, then what overrides say.
+
+    pages: doc_id, page; manifest: as `sources.config.read_manifest` gives it, a row a document. Documents that it doesn't list, pages outside a
+    document's list, and pages that are to be skipped are left out. Of several overrides of a page the last that says something counts.
+    """
+    own = manifest.select(
+        "doc_id", "include_pages", "page_overrides", F.coalesce("default_corpus", F.lit("program")).alias("corpus"), F.lit("standard").alias("content_type"), F.coalesce("default_access_tier", F.lit("customer")).alias("access_tier")
+    )
+    held = (F.size("include_pages") == 0) | F.array_contains("include_pages", F.col("page"))
+    taken = pages.drop("corpus", "content_type", "access_tier").join(own, "doc_id").where(held)
+    # Each page's overrides in order: no other page's rows are met.
+    said = F.filter(F.coalesce("page_overrides", F.array().cast(own.schema["page_overrides"].dataType)), lambda o: F.array_contains(o["pages"], F.col("page")))
+    last = lambda field: F.try_element_at(F.filter(F.transform("_said", lambda o: o[field]), lambda x: x.isNotNull()), F.lit(-1))
+    out = taken.withColumn("_said", said).where(~F.coalesce(last("skip"), F.lit(False)))
+    return out.withColumns({c: F.coalesce(last(c), c) for c in ("corpus", "content_type", "access_tier")}).drop("_said", "include_pages", "page_overrides")
+
+
+def curated_documents(pages: DataFrame, manifest: DataFrame, sections=SECTIONS) -> DataFrame:
+    """Each document of a corpus as one text: file (corpus/name.md) and text, front matter and sections.
+
+    Sections stand in the canonical order, then others by where they are first seen; a block's heading is printed unless it is the
+    section's own title. Front matter is YAML whose strings are quoted as JSON's. The name is the program's code, else the document's id.
+    pages: doc_id, page, md, corpus, content_type.
+    """
+    cut = blocks(pages).withColumn("section", canonical_section(F.col("heading"), sections))
+    order = F.array(*(F.lit(name) for name, _ in sections))
+    shown = F.concat(F.upper(F.substring("section", 1, 1)), F.lower(F.replace(F.substring("section", 2, 999), F.lit("_"), F.lit(" "))))
+    heading = F.when(F.lower("heading") != F.lower(shown), F.concat(F.lit("**"), F.initcap("heading"), F.lit("**\n")))
+    entry = F.struct("page", "block", F.concat(F.coalesce(heading, F.lit("")), F.col("body"), F.lit("\n")).alias("text"), "content_type")
+    by = cut.groupBy("corpus", "doc_id", "section").agg(F.array_sort(F.collect_list(entry)).alias("b"), F.first(shown).alias("title"))
+    listed = F.array_sort(F.array_distinct(F.transform("b", lambda x: x["page"])))
+    kind = F.when(F.exists("b", lambda x: x["content_type"] == "indicative"), "indicative").otherwise("standard")
+    bracketed = lambda c: F.concat(F.lit("["), F.array_join(c.cast("array<string>"), ", "), F.lit("]"))
+    text = F.concat(F.lit("## "), F.col("title"), F.lit("\n<!-- section="), F.col("section"), F.lit(" pages="), bracketed(listed), F.lit(" content_type="), kind, F.lit(" -->\n"), F.array_join(F.transform("b", lambda x: x["text"]), "\n"))
+    place = F.array_position(order, F.col("section"))
+    one = by.select("corpus", "doc_id", F.struct(F.when(place > 0, place).otherwise(len(sections) + 1).alias("o"), F.struct(F.col("b")[0]["page"], F.col("b")[0]["block"]).alias("first"), F.col("section").alias("section"), listed.alias("pages"), text.alias("text")).alias("s"))
+    whole = one.groupBy("corpus", "doc_id").agg(F.array_sort(F.collect_list("s")).alias("s")).join(manifest, "doc_id", "left")
+    quoted = lambda c: F.coalesce(F.get(F.split(F.to_json(F.struct(F.col(c).cast("string").alias("x"))), r'^\{"x":|\}$'), F.lit(1)), F.lit("null"))
+    scalar = lambda c: F.concat(F.lit(f"{c}: "), F.when(F.col(c).isNull(), "null").otherwise(quoted(c)))
+    items = lambda name, c: F.concat(F.lit(f"{name}:"), F.array_join(F.transform(c.cast("array<string>"), lambda x: F.concat(F.lit("\n- "), x)), ""))
+    seen = F.array_sort(F.array_distinct(F.flatten(F.transform("s", lambda x: x["pages"]))))
+    tier = F.concat(F.lit('access_tier: "'), F.coalesce("default_access_tier", F.lit("customer")), F.lit('"'))
+    front = [*(scalar(c) for c in ("doc_id", "program_code", "title", "corpus")), tier]
+    front += [scalar(c) for c in ("version", "effective_date", "expiry_date", "lang", "source_uri")] + [items("source_pages", seen), items("sections", F.transform("s", lambda x: x["section"]))]
+    body = F.rtrim(F.regexp_replace(F.array_join(F.transform("s", lambda x: x["text"]), "\n"), r"\s+$", ""))
+    name = F.coalesce("program_code", "doc_id")
+    return whole.select(F.concat("corpus", F.lit("/"), name, F.lit(".md")).alias("file"), F.concat(F.lit("---\n"), F.concat_ws("\n", *front), F.lit("\n---\n\n"), body, F.lit("\n")).alias("text"))
+
+
+def verification_documents(found: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Each document's verification as a file: file (doc_id/verification.json) and text. found: as `corpus.verification` gives it."""
+    joined = found.join(manifest.select("doc_id", "version", "program_code"), "doc_id", "left")
+    summary = F.struct(F.col("n_pages").alias("pages"), F.col("n_passed").alias("passed"), F.size("flagged_pages").alias("flagged"), "reasons")
+    report = F.to_json(F.struct("doc_id", "version", "program_code", summary.alias("summary"), "flagged_pages"), {"pretty": "true", "ignoreNullFields": "false"})
+    return joined.select(F.concat("doc_id", F.lit("/verification.json")).alias("file"), report.alias("text"))
+
+
 def chunked(sections: DataFrame, label: Column, max_tokens: int = 800, merge_tokens: int = 50) -> DataFrame:
     """Sections of a document packed into chunks: content with a breadcrumb of their titles, pages, type, and whether one is over the ceiling."""
     title = F.initcap(F.replace("section", F.lit("_"), F.lit(" ")))

@@ -130,6 +130,34 @@ def contained(proposals: DataFrame, words: DataFrame, pad: float = 0.01) -> Data
     return held.select(*VALUE_KEY, "page", text.alias("text"), verified.alias("verified"))
 
 
+def reconciled(values: DataFrame, proposals: DataFrame, order: DataFrame, words: DataFrame, places: DataFrame, radius: float = 0.18, pad: float = 0.01) -> DataFrame:
+    """A box for each value out of proposed ones: page, box, quality.
+
+    A proposal snaps to the nearest place of its value (llm_ and the place's tier), else it counts if the words inside its box hold the value
+    (llm_verified), else it is unverified. Pages are gone through in their order and the first that snaps or verifies counts;
+    failing that the first unverified proposal (llm_unverified), failing that not_found; a value that is null is null_value.
+
+    values, proposals: VALUE_KEY and value; proposals: a page and a box, null boxes count as none, one a value and page; order: doc_id, page, place as
+    `reads.page_order` gives it; places: as `candidates` gives them.
+    """
+    given = proposals.where("x0 IS NOT NULL").join(values.where("value IS NOT NULL").select(*VALUE_KEY), list(VALUE_KEY), "left_semi")
+    middle = lambda a, b: (F.col(a) + F.col(b)) / 2
+    near = given.select(*VALUE_KEY, "page", middle("x0", "x1").alias("_px"), middle("y0", "y1").alias("_py")).join(places, [*VALUE_KEY, "page"])
+    near = near.withColumn("_d", F.hypot(middle("x0", "x1") - F.col("_px"), middle("y0", "y1") - F.col("_py"))).where(F.col("_d") < radius)
+    snap = near.groupBy(*VALUE_KEY, "page").agg(F.min_by(F.struct("x0", "y0", "x1", "y1", "tier"), F.struct("_d", "ord", "size")).alias("_s"))
+    held = contained(given, words, pad).select(*VALUE_KEY, "page", "verified").groupBy(*VALUE_KEY, "page").agg(F.bool_or("verified").alias("verified"))
+    joined = given.join(snap, [*VALUE_KEY, "page"], "left").join(held, [*VALUE_KEY, "page"], "left").join(order.select("doc_id", "page", "place"), ["doc_id", "page"])
+    own = F.struct("x0", "y0", "x1", "y1")
+    box = F.when(F.col("_s").isNotNull(), F.struct("_s.x0", "_s.y0", "_s.x1", "_s.y1")).otherwise(own)
+    quality = F.when(F.col("_s").isNotNull(), F.concat(F.lit("llm_"), F.col("_s.tier"))).when(F.coalesce("verified", F.lit(False)), "llm_verified").otherwise("llm_unverified")
+    judged = joined.select(*VALUE_KEY, "page", "place", box.alias("b"), quality.alias("quality"))
+    rank = F.struct((F.col("quality") == "llm_unverified").cast("int"), F.col("place"))
+    first = judged.groupBy(*VALUE_KEY).agg(F.min_by(F.struct("page", "b", "quality"), rank).alias("f"))
+    out = values.select(*VALUE_KEY, "value").join(first, list(VALUE_KEY), "left")
+    none = F.when(F.col("value").isNull(), "null_value").otherwise("not_found")
+    return out.select(*VALUE_KEY, "f.page", "f.b.x0", "f.b.y0", "f.b.x1", "f.b.y1", F.coalesce("f.quality", none).alias("quality"))
+
+
 def iou(a: DataFrame, b: DataFrame) -> DataFrame:
     """Overlap over union of the boxes that two tables give a value; 0 when the page differs or one has none."""
     o = b.select(*VALUE_KEY, *(F.col(c).alias(f"_{c}") for c in ("page", "x0", "y0", "x1", "y1")))

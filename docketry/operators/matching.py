@@ -71,6 +71,19 @@ def similar_names(left: DataFrame, right: DataFrame, t: float) -> DataFrame:
     return likely.withColumn("score", ratio(F.col("left"), F.col("right"))).where(F.col("score") >= t)
 
 
+def nearest_token(turns: DataFrame, key: str, text: str, candidates: DataFrame, least: float = 0.6) -> DataFrame:
+    """The word of each turn that is most like a core of its candidates, so that it alone can be put right: key, token, score.
+
+    candidates: key, code; a core is a code without a last i or number. Ties go to the first word; turns without a word of `least` have no row.
+    """
+    words = turns.select(F.col(key).cast("string").alias("bundle_id"), F.posexplode(F.regexp_extract_all(text, F.lit("[A-Za-z]{3,}"), 0)).alias("at", "token"))
+    words = words.withColumn("left", F.upper("token"))
+    cores = candidates.select(F.col(key).cast("string").alias("bundle_id"), F.upper(F.regexp_replace("code", r"(?i)[-\s]?(?:i|\d+)$", "")).alias("name"))
+    scored = words.join(similar_names(words.withColumnRenamed("left", "name"), cores, least), ["bundle_id", "left"])
+    best = scored.groupBy("bundle_id").agg(F.max_by(F.struct("token", "score"), F.struct("score", -F.col("at"))).alias("b"))
+    return turns.select(key).distinct().join(best, F.col(key).cast("string") == F.col("bundle_id")).select(key, "b.token", "b.score")
+
+
 def scored_pairs(people: DataFrame, candidates: DataFrame, threshold: float = 0.85) -> DataFrame:
     """People and candidates of one bundle with a name similarity of the threshold or more. Both: bundle_id, key, name, ord."""
     p = people.select("bundle_id", F.col("key").alias("person"), F.col("ord").alias("p_ord"), normal_name(F.col("name")).alias("left"))

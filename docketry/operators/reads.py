@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docketry.functions.text import numbers
+from docketry.functions.text import normal_program, numbers
 from docketry.functions.wording import period
 
 PAGE = ("doc_id", "page")
@@ -78,14 +78,36 @@ def merged_slots(old: Column, new: Column) -> Column:
 
 
 def mentions(turns: DataFrame, key: str, text: str, names: DataFrame) -> DataFrame:
-    """Programs that a turn names as whole words, the longest name first: key, code, place. names: code, name; a small dimension."""
-    padded = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "), F.lit(" "))
-    own = names.select("code", F.trim(F.regexp_replace(F.lower("name"), r"[^\p{L}\p{N}]+", " ")).alias("_n"))
-    hits = turns.select(key, padded.alias("_t")).join(F.broadcast(own), F.contains(F.col("_t"), F.concat(F.lit(" "), F.col("_n"), F.lit(" "))))
+    """Programs that a turn names as whole words, the longest name first: key, code, place. names: code, name; a small dimension.
+
+    A name may carry what names drift by: an i or a number behind it, with or without a space or dash.
+    """
+    bare = lambda c: F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " ")
+    own = names.select("code", F.trim(bare(F.col("name"))).alias("_n")).where("_n <> ''")
+    hits = turns.select(key, F.concat(F.lit(" "), bare(F.col(text)), F.lit(" ")).alias("_t")).join(F.broadcast(own), F.regexp_like(F.col("_t"), F.concat(F.lit(" "), F.col("_n"), F.lit("(?: ?i| ?[0-9]+)? "))))
     best = hits.groupBy(key, "code").agg(F.max(F.length("_n")).alias("_l"))
     return best.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(F.col("_l").desc(), "code"))).drop("_l")
 
 
+def program_names(catalogue: DataFrame) -> DataFrame:
+    """code and name: every program by its code and by what its full name shows in brackets. catalogue: program, full_name."""
+    shown = F.regexp_extract_all("full_name", F.lit(r"\(([^)]+)\)"), 1)
+    named = catalogue.where(F.trim("program") != "").select(F.trim("program").alias("code"), F.explode(F.concat(F.array(F.trim("program")), F.coalesce(shown, F.array().cast("array<string>")))).alias("name"))
+    return named.select("code", F.trim("name").alias("name")).where("name <> ''").distinct()
+
+
+def catalogue_sides(catalogue: DataFrame, indexed: DataFrame) -> DataFrame:
+    """The catalogue's programs with `indexed_code`: the code under which the index has them, null where it hasn't; codes meet without their drift.
+
+    catalogue: program, full_name; indexed: code. An empty index has no sides: no rows.
+    """
+    there = indexed.where(F.col("code").isNotNull()).groupBy(normal_program(F.col("code")).alias("_c")).agg(F.max("code").alias("indexed_code"))
+    some = indexed.agg((F.count("code") > 0).alias("_some")).where("_some")
+    own = catalogue.where(F.trim("program") != "").withColumn("_c", normal_program(F.col("program")))
+    # One row, or none.
+    return own.join(there, "_c", "left").join(F.broadcast(some), F.lit(True), "left_semi").drop("_c")
+
+
 def rescued(scored: DataFrame, named: DataFrame, key: str, program_intent: str, specific: Column) -> DataFrame:
     """Off-topic turns that name a program become about programs, confidence 0.9 at least, unless their topic is specific."""
     there = named.select(key, F.lit(True).alias("_named")).distinct()

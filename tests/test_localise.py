@@ -64,3 +64,22 @@ def test_proposals(spark, values, words):
     assert held == {"amount": ("100.00", True), "city": ("Kuala Lumpvr", False)}
     same = {r["field"]: r["iou"] for r in L.iou(p, p.where("field = 'amount'")).collect()}
     assert same == {"amount": 1.0, "city": 0.0}
+
+
+def test_reconciled(spark, values, words):
+    """Snapped, verified by containment, unverified on an earlier page, not found, null; pages in their order."""
+    two = words.unionByName(spark.createDataFrame([("d", 2, 0, "Penang", 0.1, 0.5, 0.2, 0.52), ("d", 2, 1, "somewhere", 0.3, 0.5, 0.5, 0.52)], words.schema))
+    box = "doc_id string, record_no int, field string, page int, x0 double, y0 double, x1 double, y1 double, value string"
+    p = spark.createDataFrame(
+        [
+            ("d", 1, "amount", 1, 0.55, 0.19, 0.68, 0.23, "100.00"), ("d", 5, "gone", 1, 0.0, 0.8, 0.1, 0.9, "Penang"), ("d", 5, "gone", 2, 0.09, 0.49, 0.21, 0.53, "Penang"), ("d", 2, "name", 1, 0.8, 0.9, 0.9, 0.95, "ACME Trading Sdn Bhd"),
+            ("d", 3, "city", 1, None, None, None, None, "Kuala Lumpur"), ("d", 6, "none", 1, 0.0, 0.0, 1.0, 1.0, None),
+        ],
+        box,
+    )
+    order = spark.createDataFrame([("d", 1, 1), ("d", 2, 2)], "doc_id string, page int, place int")
+    places = L.candidates(values, L.word_windows(two, values)).where("field <> 'gone'")
+    got = {r["field"]: (r["page"], r["quality"], r["y0"]) for r in L.reconciled(values, p, order, two, places).where("record_no > 0").collect()}
+    assert got["amount"] == (1, "llm_exact_number", 0.20) and got["gone"] == (2, "llm_verified", 0.49) and got["name"] == (1, "llm_unverified", 0.9)
+    assert got["city"] == (None, "not_found", None) and got["none"] == (None, "null_value", None)
+    assert L.reconciled(values.limit(0), p, order, two, places).count() == 0
