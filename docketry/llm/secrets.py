@@ -7,6 +7,8 @@ import binascii
 import hashlib
 import json
 import re
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -31,13 +33,16 @@ SSH_NAMES = {b"ssh-rsa": 3, b"ssh-dss": 5, b"ssh-ed25519": 2, b"ecdsa-sha2-nistp
 #: Candidates of the structural tests: base64 over wrapped lines, hex of even length, three dotted parts.
 #: Lines of a blob are joined by line ends, or by their escapes where the text is itself quoted.
 JOINT = re.compile(r"\r?\n|(?:\\r)?\\n")
-BLOB = re.compile(r"[A-Za-z0-9+/_-]{40,}(?:(?:\r?\n|(?:\\r)?\\n)[A-Za-z0-9+/_-]+)*={0,2}")
-HEX_BLOB = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){16,}(?![0-9A-Fa-f])")
+BLOB = re.compile(r"[A-Za-z0-9+/_-]{32,}(?:(?:\r?\n|(?:\\r)?\\n)[A-Za-z0-9+/_-]+)*={0,2}")
+HEX_BLOB = re.compile(r"[0-9A-Fa-f]{32,}")
+#: Where a key may begin: in base64 a sequence's tag, a short length or the magic; in hex likewise.
+STARTS = re.compile(r"(?=M[A-P]|AAAA|b3BlbnNzaC1r)")
+HEX_STARTS = re.compile(r"(?=30|0000|6f70656e7373682d6b6579)")
 JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
 
 # Cheap tests over whole batches that never miss a match of the pattern they stand for.
 MAY_ASSIGN = r"""(?i)(?:passwo?r?d|secret|token|api_?key)["']?\x20*[:=]"""
-MAY_HEX, MAY_BLOB, MAY_HEX_BLOB = r"[0-9a-f]{32}", r"[A-Za-z0-9+/_-]{40}", r"[0-9A-Fa-f]{32}"
+MAY_HEX, MAY_BLOB, MAY_HEX_BLOB = r"[0-9a-f]{32}", r"[A-Za-z0-9+/_-]{32}", r"[0-9A-Fa-f]{32}"
 
 
 class Span(NamedTuple):
@@ -179,28 +184,65 @@ def base_spans(text: str, assign: bool = True, access: bool = True, hexed: bool
     return sorted(found)
 
 
+def key_rank(data: bytes) -> int | None:
+    """The kind of key that fills the data."""
+    return 3 if is_der_key(data) else 4 if is_ssh_key(data) else None
+
+
+def key_in(body: str, at: int, ends: set[int]) -> tuple[int, int] | None:
+    """Kind and end of the key that begins at a place of joined base64 lines and ends where a line does; its own lengths tell which."""
+    head = decoded(body[at : at + 32]) or b""
+    if head[:1] == b"\x30":
+        n = head[1] & 0x7F if len(head) > 1 and head[1] >= 0x80 else 0
+        size = 2 + n + (int.from_bytes(head[2 : 2 + n], "big") if n else head[1]) if n <= 4 and len(head) > 2 + n else None
+    elif head.startswith(SSH_MAGIC) or any(head[4:].startswith(name) for name in SSH_NAMES):
+        rest = body[at:]
+        size = key_size(decoded(rest[: len(rest) - (len(rest) % 4 == 1)]) or b"")
+    else:
+        size = None
+    if size is None or (end := at + -(-size * 4 // 3)) not in ends:
+        return None
+    rank = key_rank(decoded(body[at:end]) or b"")
+    return None if rank is None else (rank, end)
+
+
+def keys_in_lines(text: str, start: int, end: int) -> list[Span]:
+    """Keys in a run of base64 lines, wherever in a line they begin; the search goes on behind each."""
+    joints = [m.span() for m in JOINT.finditer(text, start, end)]
+    starts, stops = [start, *(j[1] for j in joints)], [*(j[0] for j in joints), end]
+    pieces = [text[a:b] for a, b in zip(starts, stops, strict=True)]
+    pieces[-1] = pieces[-1].rstrip("=")
+    body, places = "".join(pieces), [0, *accumulate(map(len, pieces))]
+    ends, found, at = set(places), [], 0
+    while m := STARTS.search(body, at):
+        at = m.start() + 1
+        if key := key_in(body, m.start(), ends):
+            rank, at = key
+            first, last = bisect_right(places, m.start()) - 1, bisect_left(places, at) - 1
+            found.append(Span(starts[first] + m.start() - places[first], rank, stops[last]))
+    return found
+
+
+def key_in_hex(text: str, start: int, end: int) -> Span | None:
+    """The key that fills a run of hex digits, whole or but for what stands before it."""
+    low = text[start:end].lower()
+    for m in HEX_STARTS.finditer(low):
+        if (len(low) - m.start()) % 2 == 0:
+            head = bytes.fromhex(low[m.start() : m.start() + 12])
+            whole = head[0] != 0x30 or len(head) < 6 or (head[1] < 0x80 and 2 + head[1] or 2 + (head[1] & 0x7F) + int.from_bytes(head[2 : 2 + min(4, head[1] & 0x7F)], "big")) == (len(low) - m.start()) // 2
+            if whole and (rank := key_rank(bytes.fromhex(low[m.start() :]))) is not None:
+                return Span(start + m.start(), rank, end)
+    return None
+
+
 def confirmed_spans(text: str, blob: bool = True, hexed: bool = True, token: bool = True) -> list[Span]:
     """Spans that decode as a key encoding or a signed token."""
     found = []
     for m in BLOB.finditer(text) if blob else ():
-        # The key's own lengths tell at which of the wrapped lines it ends: prose may follow on the next one.
-        pieces = JOINT.split(m[0].rstrip("="))
-        body = "".join(pieces)
-        size = key_size(decoded(body) or decoded(body[:-1]) or b"")
-        if size is None:
-            continue
-        bare, joints = 0, [*JOINT.finditer(m[0])]
-        for i, piece in enumerate(pieces):
-            bare += len(piece)
-            if bare >= -(-size * 4 // 3):
-                data = decoded(body[:bare])
-                rank = 3 if data and is_der_key(data) else 4 if data and is_ssh_key(data) else None
-                if rank is not None:
-                    found.append(Span(m.start(), rank, m.start() + joints[i].start() if i < len(joints) else m.end()))
-                break
+        found += keys_in_lines(text, *m.span())
     for m in HEX_BLOB.finditer(text) if hexed else ():
-        if is_der_key(bytes.fromhex(m[0])):
-            found.append(Span(m.start(), 3, m.end()))
+        if (key := key_in_hex(text, *m.span())) is not None:
+            found.append(key)
     for m in JWT.finditer(text) if token else ():
         if is_signed_token(*m.groups()):
             found.append(Span(m.start(), 5, m.end()))
@@ -211,8 +253,9 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row for each input row: id, the base spans' counts and digest, all spans as text.
 
     base_sha256 is over the base spans alone, written kind:start:end in code points, end exclusive, by start and then by
-    the order of KINDS; `spans` adds what the structural tests confirmed: der (key encodings with nested lengths, from
-    base64 or hex), ssh (length-prefixed public keys, private key containers) and jwt (signed tokens). Null texts count
+    the order of KINDS; `spans` adds what the structural tests confirmed: der (key encodings with nested lengths) and ssh
+    (length-prefixed public keys, private key containers), both from base64 or hex, and jwt (signed tokens). A key may begin
+    anywhere in a run of base64 or hex and ends with a line of it; a run's first line has 32 characters or more. Null texts count
     as empty ones and have no spans. Repeated rows are scanned one by one; other columns are ignored. No shuffle; a scan
     over the whole batch by a linear-time matcher decides which texts the exact patterns look at.
     """

@@ -112,6 +112,59 @@ def test_whole_key_is_the_span(spark):
     assert [text[s.start : s.end] for s in found] == [wrapped(LONG_DER, 64)]
 
 
+B64 = lambda data: base64.b64encode(data).decode()
+#: Keys that something stands before, after or around.
+AROUND = [
+    ("\n".join([B64(LONG_DER).rstrip("="), B64(DER).rstrip("=")]), ["der", "der"]),
+    ("\n".join([wrapped(LONG_DER, 64).rstrip("="), wrapped(CONTAINER, 64).rstrip("="), "x"]), ["der", "ssh"]),
+    ("an_identifier_of_forty_characters_or_more_x\n" + wrapped(LONG_DER, 64), ["der"]),
+    *[(f"key{c}" + B64(LONG_DER), ["der"]) for c in ("/", "-", "_", "A", "MM", "MMII")],
+    ("dir/sub/" + wrapped(CONTAINER, 64) + "\n", ["ssh"]),
+    (SSH.hex(), ["ssh"]), (CONTAINER.hex().upper(), ["ssh"]), ("ff" + DER.hex(), ["der"]), ("f" + DER.hex(), ["der"]), ("30" + LONG_DER.hex(), ["der"]),
+    (B64(SSH + b"more than the key"), []), (DER.hex() + "00", []), ("M" * 200, []), ("30" * 200, []), ("AAAA" * 60, []),
+    ('{"k":"' + wrapped(LONG_DER, 64, "\\r\\n").rstrip("=") + '\\n' + B64(SSH) + '"}', ["der", "ssh"]),
+]
+
+
+def plain_keys(text):
+    """Keys by trying every start and every line end of each run, the first that fits from the left."""
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9+/_-]{32,}(?:(?:\r?\n|(?:\\r)?\\n)[A-Za-z0-9+/_-]+)*={0,2}", text):
+        chars, stops, at = [], [], m.start()
+        for piece in re.split(r"(\r?\n|(?:\\r)?\\n)", m[0]):
+            if not re.fullmatch(r"\r?\n|(?:\\r)?\\n", piece):
+                chars += [(c, at + i) for i, c in enumerate(piece) if c != "="]
+                stops.append((len(chars), at + len(piece)))
+            at += len(piece)
+        i = 0
+        while i < len(chars):
+            hit = None
+            for n, stop in stops:
+                data = secrets.decoded("".join(c for c, _ in chars[i:n])) if n > i else None
+                if data and (secrets.is_der_key(data) or secrets.is_ssh_key(data)):
+                    hit = (n, f"{'der' if secrets.is_der_key(data) else 'ssh'}:{chars[i][1]}:{stop}")
+                    break
+            if hit:
+                out.append(hit[1])
+            i = hit[0] if hit else i + 1
+    for m in re.finditer(r"[0-9A-Fa-f]{32,}", text):
+        for i in range(m.start(), m.end() - 40):
+            if (m.end() - i) % 2 == 0 and (secrets.is_der_key(data := bytes.fromhex(text[i : m.end()])) or secrets.is_ssh_key(data)):
+                out.append(f"{'der' if secrets.is_der_key(data) else 'ssh'}:{i}:{m.end()}")
+                break
+    return sorted(out)
+
+
+def test_no_key_is_lost(spark):
+    texts = [t for t, _ in AROUND] + [t for t, _ in CASES if t] + [f"{a}\n{b}" for a, _ in AROUND[:6] for b, _ in AROUND[8:14]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in rows(secrets.find_secrets(df)):
+        found = sorted(s for s in r["spans"].split(",") if s.split(":")[0] in ("der", "ssh"))
+        assert found == plain_keys(texts[r["doc_id"]]), texts[r["doc_id"]]
+        if r["doc_id"] < len(AROUND):
+            assert sorted(s.split(":")[0] for s in found) == sorted(AROUND[r["doc_id"]][1]), texts[r["doc_id"]]
+
+
 def plain_base(text):
     """The base kinds by a walk over the text, without regular expressions' help for what fails."""
     out = []
