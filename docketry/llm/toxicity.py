@@ -3,22 +3,24 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketry.llm._shared import map_arrow
 
-
 #: Both dictionaries end in LEAD, and every window stands between LEAD and TAIL: zstandard would store a block too short to
 #: gain as it is, and looks for no match in a block's last eight bytes; so framed, a single word's cost shows.
 LEAD, TAIL = bytes(range(1, 9)) + bytes(range(14, 22)), bytes(range(22, 31))
+#: Words in a window and odds of a dictionary's segments that cross-validation chooses from.
+GRID = tuple((window, odds) for window in (1, 2, 4) for odds in (16.0, 4.0, 64.0))
 #: Distances that a Python worker keeps between texts; the table is emptied when it gets larger.
 KEPT = 1_000_000
 
@@ -216,6 +218,42 @@ def scores(texts: Sequence[str | None], model: Model) -> list[float]:
     return (1 / (1 + np.exp(-np.clip(z, -30, 30)))).tolist()
 
 
+def log_loss(found: Sequence[float], known: Sequence[int]) -> float:
+    """Mean loss of the scores, each class counting alike."""
+    chance, y = np.clip(np.array(found, float), 1e-6, 1 - 1e-6), np.array(known, float)
+    loss = -(y * np.log(chance) + (1 - y) * np.log(1 - chance))
+    return float(np.mean([loss[y == v].mean() for v in (0, 1) if (y == v).any()]))
+
+
+def chosen(spark: SparkSession, texts: Sequence[str | None], labels: Sequence[int], size: int, grid: Sequence[tuple[int, float]], most: int, folds: int = 2) -> tuple[int, float]:
+    """Window and odds by cross-validation within the sample: of `grid` the pair with the least loss on texts that it wasn't trained on.
+
+    At most `most` texts of each class take part; each pair and fold is a task's work. Ties go to the first pair, which also
+    stands where a class has too few texts to be split.
+    """
+    y = np.array(labels)
+    place = np.where(y == 1, np.cumsum(y == 1), np.cumsum(y == 0)) - 1
+    own = [(t, int(v), int(i) % folds) for t, v, i in zip(texts, y, place, strict=True) if i < most]
+    if min(sum(v == c and f == k for _, v, f in own) for c in (0, 1) for k in range(folds)) < 2:
+        return grid[0]
+    sample = spark.sparkContext.broadcast(own)
+
+    def judged(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for r in frame.itertuples():
+                rest = [(t, v) for t, v, f in sample.value if f != r.fold]
+                held = [(t, v) for t, v, f in sample.value if f == r.fold]
+                model = train([t for t, _ in rest], [v for _, v in rest], size, r.window, r.odds)
+                loss = log_loss(scores([t for t, _ in held], model), [v for _, v in held])
+                distances.cache_clear()
+                yield pd.DataFrame({"at": [r.at], "loss": [loss]})
+
+    rows = [(i, int(w), float(o), f) for i, (w, o) in enumerate(grid) for f in range(folds)]
+    found = spark.createDataFrame(rows, "at int, window int, odds double, fold int").repartition(len(rows), "at", "fold").mapInPandas(judged, "at int, loss double")
+    losses = found.groupBy("at").agg(F.avg("loss").alias("loss")).collect()  # a row for each pair
+    return grid[min(losses, key=lambda r: (round(r["loss"], 9), r["at"]))["at"]]
+
+
 def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most: int, most_chars: int) -> tuple[list, list]:
     """Texts and labels of at most `most` ids of each class, chosen by a hash of the id; texts of over most_chars left out.
 
@@ -243,19 +281,22 @@ def score_toxicity(
     most: int = 2_000,
     most_chars: int = 50_000,
     size: int = 16_384,
-    window: int = 1,
+    grid: Sequence[tuple[int, float]] = GRID,
+    cross: int = 400,
 ) -> DataFrame:
     """One row for each document row: id, held_out, score (0 to 1), predicted (1 from 0.5).
 
     held_out: a condition on the id; its rows are never learnt from (default: none). The model learns from at most `most`
     labelled texts of each class of at most most_chars code points, collected to the driver; this bound is the fit's only
-    one: every whole text is scored, window by window, where it is read. Null and empty texts have no windows and get the
+    one: every whole text is scored, window by window, where it is read. Words in a window and the odds of a dictionary's segments
+    are the pair of `grid` that does best by cross-validation among these texts (`cross` of each class at most). Null and empty texts have no windows and get the
     score of the intercept. A missing class or no labels score all alike. Null labels and ids aren't learnt from; repeated
     labels count once; repeated rows are scored one by one; other columns are ignored.
     """
     held = F.coalesce(held_out(F.col(id_col)), F.lit(False)) if held_out else F.lit(False)
     texts, known = training_sample(docs, labels.where(~held), id_col, text_col, label_col, most, most_chars)
-    model = docs.sparkSession.sparkContext.broadcast(train(texts, known, size, window))
+    window, odds = chosen(docs.sparkSession, texts, known, size, grid, cross) if len(grid) > 1 else grid[0]
+    model = docs.sparkSession.sparkContext.broadcast(train(texts, known, size, window, odds))
 
     def run(batch: pa.RecordBatch) -> pa.Table:
         found = scores(batch.column("_text").to_pylist(), model.value)

@@ -352,3 +352,56 @@ def test_dictionaries_hold_what_tells_the_classes_apart():
 def test_windows_overlap():
     assert toxicity.windows("A b c D e", 4) == [b"a b c d", b"c d e"] and toxicity.windows("a B", 4) == [b"a b"]
     assert toxicity.windows("a b", 1) == [b"a", b"b"] and toxicity.windows(None, 4) == []
+
+
+def test_toxicity_scores_against_plain_compression(spark):
+    """Every document of the given tables: each window compressed by itself under both dictionaries, figures and odds by hand."""
+    import math
+
+    from tests.compare import SF_DIR
+
+    docs, labels = (spark.read.parquet(f"{SF_DIR}/{t}.parquet") for t in ("documents", "labels"))
+    held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    texts, known = toxicity.training_sample(docs, labels.where(~held), "doc_id", "text", "toxic", 2_000, 50_000)
+    assert len(texts) == labels.where(~held).join(docs, "doc_id").count()
+    window, odds = toxicity.chosen(spark, texts, known, 16_384, toxicity.GRID, 400)
+    assert (window, odds) in toxicity.GRID and toxicity.chosen(spark, texts, known, 16_384, toxicity.GRID, 400) == (window, odds)
+    model = toxicity.train(texts, known, 16_384, window, odds)
+    compressors = [toxicity.compressor(d) for d in (model.toxic, model.ordinary)]
+    frame = lambda w: toxicity.LEAD + b" " + w + b" " + toxicity.TAIL
+    empty = len(compressors[1].compress(frame(b"")))
+
+    def score(text):
+        words = (text or "").encode().lower().split()
+        step = max(1, window // 2)
+        pieces, at = [], 0
+        while words and (not pieces or at + window <= len(words) + step - 1):
+            pieces.append(b" ".join(words[at : at + window]))
+            at += step
+        if not pieces:
+            z = model.weights[0]
+        else:
+            toxic, ordinary = ([len(c.compress(frame(p))) for p in pieces] for c in compressors)
+            gains = [(o - t) / max(o - empty, 1) for t, o in zip(toxic, ordinary, strict=True)]
+            over = sum(g >= model.threshold for g in gains)
+            z = sum(w * x for w, x in zip(model.weights, (1, math.log1p(over), over / len(gains), max(gains), sum(gains) / len(gains)), strict=True))
+        return 1 / (1 + math.exp(-max(-30, min(30, z))))
+
+    by = {r["doc_id"]: r["text"] for r in docs.collect()}
+    found = rows(toxicity.score_toxicity(docs, labels, held_out=lambda i: F.crc32(i.cast("string")) % 5 == 0))
+    assert len(found) == len(by)
+    for r in found:
+        want = score(by[r["doc_id"]])
+        assert abs(r["score"] - want) < 1e-9 and r["predicted"] == int(want >= 0.5)
+
+
+def test_the_fit_of_toxicity_never_sees_held_out_labels(spark):
+    """Turning every held-out label round changes no score."""
+    from tests.compare import SF_DIR
+
+    docs, labels = (spark.read.parquet(f"{SF_DIR}/{t}.parquet") for t in ("documents", "labels"))
+    held = lambda i: F.crc32(i.cast("string")) % 5 == 0
+    turned = labels.withColumn("toxic", F.when(held(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    grid = ((2, 4.0), (1, 16.0))
+    scored = [sorted((r["doc_id"], r["score"]) for r in rows(toxicity.score_toxicity(docs, x, held_out=held, grid=grid))) for x in (labels, turned)]
+    assert scored[0] == scored[1]
