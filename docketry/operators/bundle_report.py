@@ -36,11 +36,9 @@ def item(kind: str, slot: Column | None = None, **measures: Column) -> Column:
     return F.struct(F.lit(kind).alias("kind"), (F.lit(None) if slot is None else slot).cast("string").alias("slot"), *own)
 
 
-def items_of(family: DataFrame, *items: Column) -> DataFrame:
-    """bundle_id and the items of each row; `items` are items or arrays of them."""
-    types = {f.name: f.dataType.typeName() for f in family.select(*(c.alias(f"_{i}") for i, c in enumerate(items))).schema.fields}
-    arrays = [c if types[f"_{i}"] == "array" else F.array(c) for i, c in enumerate(items)]
-    return family.select("bundle_id", F.explode(F.concat(*arrays)).alias("i")).select("bundle_id", "i.*")
+def items_of(family: DataFrame, *items: Column, lists: tuple[Column, ...] = ()) -> DataFrame:
+    """bundle_id and the items of each row: `items`, and those of the arrays in `lists`."""
+    return family.select("bundle_id", F.explode(F.concat(F.array(*items), *lists) if lists else F.array(*items)).alias("i")).select("bundle_id", "i.*")
 
 
 def flag(condition: Column) -> Column:
@@ -72,7 +70,7 @@ def all_items(tables: dict[str, DataFrame], policy: dict) -> DataFrame:
     document = F.col("document_id").cast("string")
     by_month = F.transform(F.coalesce(months, F.array().cast("array<date>")), lambda m: item(MONTH, m, day=m, first_document=document, last_document=document))
     overdrawn = F.filter(F.coalesce("monthly_balances", F.array().cast(bank.schema["monthly_balances"].dataType)), lambda b: b["end_balance"] < 0)
-    parts.append(items_of(bank, own, item(BANK, F.col("_bank"), n_unknown=F.col("_name").isNull().cast("long")), by_month, F.transform(overdrawn, lambda b: item(BALANCE, b["month"], n=F.lit(1)))))
+    parts.append(items_of(bank, own, item(BANK, F.col("_bank"), n_unknown=F.col("_name").isNull().cast("long")), lists=(by_month, F.transform(overdrawn, lambda b: item(BALANCE, b["month"], n=F.lit(1))))))
 
     identity = tables["identity_documents"]
     own_type, front = F.nullif(F.col("id_type"), F.lit("")), F.col("front_image_present")
