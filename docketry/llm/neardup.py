@@ -228,10 +228,12 @@ def near_duplicates(
             break
     if n_left:
         placed = attached(left_over.select("key", "id", "component"), "key", F.col("id"), n_left, size="m").withColumn("parts", F.ceil(F.col("m") / block).cast("long"))
+        placed = written(placed, "placed")
+        n_rows = placed.agg(F.sum("parts")).first()[0]  # each class stands once for every block of its list
         placed = placed.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
         spread = placed.select("key", "id", "component", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
         meets = spread.select("key", "id", "component", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
-        carried = meets.join(classes.select("id", "n", "keys"), "id").join(fronts, "id").withColumn("bucket", F.pmod(F.xxhash64("key", "i", "j"), F.lit(parts_for(n_left, 2_000))))
+        carried = meets.join(classes.select("id", "n", "keys"), "id").join(fronts, "id").withColumn("bucket", F.pmod(F.xxhash64("key", "i", "j"), F.lit(parts_for(n_rows, 2_000))))
         counted = carried.groupBy("bucket").applyInArrow(lambda t: collisions(t, coordinates, matches, percent), "a long, b long")
         rest = met(counted, sets, similar)
         if rest.count():
