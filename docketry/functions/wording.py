@@ -90,7 +90,9 @@ def money_near(words: tuple[str, ...], reach: int = 45):
         low = F.lower(text)
         found = []
         for w in words:
-            places = F.filter(F.sequence(F.lit(1), F.greatest(F.length(low), F.lit(1))), lambda i: F.substr(low, i, F.lit(len(w))) == w)
+            pieces = F.split(low, rf"\Q{w}\E")
+            held = F.when(F.size(pieces) > 1, F.sequence(F.lit(1), F.size(pieces) - 1)).otherwise(F.array().cast("array<int>"))
+            places = F.transform(held, lambda i: F.length(F.array_join(F.slice(pieces, F.lit(1), i), w)) + 1)  # noqa: B023
             around = F.transform(places, lambda i: money_in(F.substr(low, F.greatest(i - reach, F.lit(1)), F.least(i - 1, F.lit(reach)) + len(w) + reach)))
             found.append(F.try_element_at(F.array_compact(around), F.lit(1)))
         return F.coalesce(*found)

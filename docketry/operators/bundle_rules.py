@@ -162,6 +162,12 @@ def bank_currency(tables, policy) -> DataFrame:
     return per_bundle(tables["bundles"], judged.withColumn("passed", F.when(F.col("odd") == 0, F.lit(True))), "bank_currency", F.concat(F.lit("to review: "), F.col("odd").cast("string")))
 
 
+def currency_counts(tables) -> DataFrame:
+    """bundle_id, code (null where none is printed), n statements of it, and their document ids in order."""
+    codes = tables["bank_statements"].select("bundle_id", "document_id", currency(F.col("currency")).alias("code"))
+    return codes.groupBy("bundle_id", "code").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("document_id")).alias("documents"))
+
+
 def last_people(tables) -> DataFrame:
     """People by their number as written, the last entry of a number counting; roles in the order they were declared."""
     keyed = tables["people"].groupBy("bundle_id", "nric_passport").agg(F.max_by(F.struct("name", "role", "id_type", "doc_ord", "person_ord"), F.struct("doc_ord", F.col("role") == "shareholder", "person_ord")).alias("p"), F.bool_or(F.col("role") == "director").alias("is_director"))

@@ -45,7 +45,7 @@ def flags(pages: DataFrame, facts: DataFrame, bounds: DataFrame, truth: DataFram
     judged = bound_facts(facts.where("value is not null"), bounds).where((F.col("value") < F.col("bound.low")) | (F.col("value") > F.col("bound.high")))
     out = out.unionByName(of(judged, "out_of_bounds", F.col("field")))
     sizes = facts.where("lower(field) = 'financing_size_max' and value is not null").join(pages.select("doc_id", "page", "declared_code"), ["doc_id", "page"])
-    wrong = sizes.join(F.broadcast(truth), F.col("declared_code") == F.col("program")).where(F.col("value") != F.col("max"))
+    wrong = sizes.join(truth, F.col("declared_code") == F.col("program")).where(F.col("value") != F.col("max"))
     out = out.unionByName(of(wrong, "contradicts_product", F.col("field")))
     code = lambda c: F.nullif(F.upper(F.trim(c)), F.lit(""))
     return out.unionByName(of(pages.where(code("program_code") != code("declared_code")), "program_identity", F.col("program_code")))
@@ -144,7 +144,7 @@ def chunked(sections: DataFrame, label: Column, max_tokens: int = 800, merge_tok
 def enriched(chunks: DataFrame, manifest: DataFrame, flagged: DataFrame) -> DataFrame:
     """Chunks as records of the store: id, link, the manifest's fields, and whether a page of theirs is flagged. manifest: one row a document."""
     pages = flagged.groupBy("doc_id").agg(F.collect_set("page").alias("_bad"))
-    joined = chunks.join(F.broadcast(manifest), "doc_id", "left").join(pages, "doc_id", "left")
+    joined = chunks.join(manifest, "doc_id", "left").join(pages, "doc_id", "left")
     return joined.select(
         chunk_id(F.col("doc_id"), F.coalesce("version", F.lit("1")), F.col("section"), F.col("content")).alias("chunk_id"), *chunks.columns,
         deep_link(F.col("source_uri"), F.col("pages")).alias("source_uri"), F.col("title").alias("doc_title"), "program_code", "version", "effective_date", "expiry_date",

@@ -38,10 +38,10 @@ def self_consistency(reads: DataFrame, dense: Column) -> DataFrame:
 def overridden(pages: DataFrame, overrides: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     """Pages with what overrides say of them; of several overrides of a page the last that says something counts, column by column.
 
-    overrides: doc_id, page, ord and the columns, null where they say nothing; a small dimension.
+    overrides: doc_id, page, ord and the columns, null where they say nothing.
     """
     last = overrides.groupBy(*PAGE).agg(*(F.max_by(c, F.when(F.col(c).isNotNull(), F.col("ord"))).alias(f"_{c}") for c in columns))
-    joined = pages.join(F.broadcast(last), list(PAGE), "left")
+    joined = pages.join(last, list(PAGE), "left")
     return joined.withColumns({c: F.coalesce(f"_{c}", c) for c in columns}).drop(*(f"_{c}" for c in columns))
 
 

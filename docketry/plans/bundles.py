@@ -152,6 +152,52 @@ def statements_of_payloads(spark, sf_dir):
     )
 
 
+def numbered_documents(spark, sf_dir):
+    """Customers by nation whose number no order of their nation carries, numbers written in two ways."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("string").alias("bundle_id"), F.concat(F.lit("C-"), "c_custkey").alias("number"), "c_custkey")
+    o = table(spark, sf_dir, "orders").where("o_orderstatus = 'O'").select(F.col("o_custkey").alias("c_custkey"))
+    docs = o.join(c.select("c_custkey", "bundle_id"), "c_custkey").select("bundle_id", F.concat(F.lit("c "), "c_custkey").alias("number"))
+    return matching.without_document(c, docs).select("bundle_id", "c_custkey")
+
+
+def year_payloads(spark, sf_dir):
+    """Every customer's orders as the years of a financial statement's payload."""
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    day = F.when(k % 7 == 0, "n/a").when(k % 5 != 0, F.date_format("o_orderdate", "yyyy-MM-dd")).when(k % 2 == 0, F.date_format("o_orderdate", "dd-MM-yyyy"))
+    rows = o.groupBy(F.col("o_custkey").alias("bundle_id")).agg(F.array_sort(F.collect_list(F.struct(k.alias("k"), day.alias("Financial Statement Date")))).alias("Financials By Year"))
+    b = F.col("bundle_id")
+    flags = {"Balance Sheet Present": b % 2 == 0, "Profit and Loss Present": F.when(b % 3 != 0, b % 5 == 0), "Cash Flow Present": F.lit(True), "Auditors Report Present": F.when(b % 4 != 0, b % 7 != 0), "Audited": F.when(b % 6 == 0, b % 4 == 0)}
+    payload = F.struct(F.when(b % 9 != 0, F.concat(F.lit("Entity "), b)).alias("Entity Name"), *(c.alias(n) for n, c in flags.items()), "Financials By Year")
+    return rows.select("bundle_id", F.lit("Financial Statements").alias("template"), F.to_json(payload).alias("payload"))
+
+
+def years_of_payloads(spark, sf_dir):
+    d = shaping.financial_statements(year_payloads(spark, sf_dir))
+    flags = ("balance_sheet_present", "profit_and_loss_present", "cash_flow_present", "auditors_report_present", "audited")
+    return d.select("bundle_id", "ord", "entity_name", F.date_format("financial_year_end", "yyyy-MM-dd").alias("financial_year_end"), *flags, F.size("warnings").alias("n_warnings"))
+
+
+def form_payloads(spark, sf_dir):
+    """Company and consent forms of every customer: shareholders with and without numbers, applicants or directors."""
+    c, k = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    person = lambda role, number: F.struct(F.concat(F.lit(f"{role} "), "c_name").alias("Name"), number.alias("NRIC or Passport Number"), F.when(k % 3 == 0, "pasport").when(k % 3 == 1, "licence").alias("ID Type"))
+    holders = F.array(person("Holder", F.when(k % 2 == 0, F.concat(F.lit("H"), k))), person("Second", F.lit(None).cast("string")))
+    signed = F.array(F.struct(F.col("c_name").alias("Name"), F.concat(F.lit("N"), k).alias("NRIC or Passport Number"), F.when(k % 4 != 0, k % 5 != 0).alias("Consent Form Signature")))
+    own = lambda template, payload: c.select(k.alias("bundle_id"), F.lit(template).alias("template"), F.to_json(payload).alias("payload"))
+    consent = F.struct(F.when(k % 8 != 0, F.col("c_name")).alias("Entity Name"), F.when(k % 2 == 0, signed).alias("Applicants"), F.concat(signed, signed).alias("Directors"))
+    forms = own("SSM Form 24", F.struct(F.col("c_name").alias("Entity Name"), holders.alias("Shareholders"))).unionByName(own("SSM Form 49", F.struct(F.array(person("Director", F.concat(F.lit("D"), k))).alias("Directors"))))
+    return forms.unionByName(own("Consent Form", consent))
+
+
+def people_of_forms(spark, sf_dir):
+    p = shaping.people(shaping.company_forms(form_payloads(spark, sf_dir)))
+    return p.select("bundle_id", "doc_ord", "role", "person_ord", "name", "nric_passport", "id_type", F.size("warnings").alias("n_warnings"))
+
+
+def consents_of_forms(spark, sf_dir):
+    return shaping.consent_forms(form_payloads(spark, sf_dir))
+
+
 STATEMENT = "WITH s AS (SELECT o_custkey::VARCHAR AS bundle_id, o_orderkey, o_orderdate::DATE AS day, o_totalprice FROM orders WHERE o_orderstatus <> 'F')"
 
 QUERIES = {
@@ -194,6 +240,17 @@ QUERIES = {
         SELECT u.b AS bundle_id, c_name AS entity_name, CASE WHEN u.b % 4 <> 0 THEN 'RHB Bank' END AS bank_name, CASE WHEN u.b % 3 = 0 THEN 'US$' ELSE 'RM' END AS currency, strftime(f, '%Y-%m-%d') AS first_day,
           strftime(l, '%Y-%m-%d') AS last_day, months, coalesce(total, 0)::DOUBLE AS total, (unread + coalesce(zeros, 0) + CASE WHEN f IS NULL THEN 0 ELSE (u.b % 4 = 0)::INT + (u.b % 3 = 0)::INT END)::INT AS n_warnings
         FROM u JOIN customer ON c_custkey = u.b LEFT JOIN w USING (b)"""),
+    "j2_without_document": (numbered_documents, """SELECT c_nationkey::VARCHAR AS bundle_id, c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'O')"""),
+    "p10_financial_years": (years_of_payloads, """SELECT o_custkey AS bundle_id, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1)::INT AS ord, CASE WHEN o_custkey % 9 <> 0 THEN 'Entity ' || o_custkey ELSE '' END AS entity_name,
+          CASE WHEN o_orderkey % 7 <> 0 AND (o_orderkey % 5 <> 0 OR o_orderkey % 2 = 0) THEN strftime(o_orderdate::DATE, '%Y-%m-%d') END AS financial_year_end, o_custkey % 2 = 0 AS balance_sheet_present,
+          CASE WHEN o_custkey % 3 <> 0 THEN o_custkey % 5 = 0 END AS profit_and_loss_present, true AS cash_flow_present, CASE WHEN o_custkey % 4 <> 0 THEN o_custkey % 7 <> 0 END AS auditors_report_present,
+          CASE WHEN o_custkey % 6 = 0 THEN o_custkey % 4 = 0 WHEN o_custkey % 4 <> 0 THEN o_custkey % 7 <> 0 END AS audited, CASE WHEN o_orderkey % 7 <> 0 AND (o_orderkey % 5 <> 0 OR o_orderkey % 2 = 0) THEN 0 ELSE 1 END AS n_warnings FROM orders"""),
+    "p8_people_of_forms": (people_of_forms, """WITH x AS (SELECT c_custkey AS k, c_name AS n FROM customer),
+        p AS (SELECT k, 1 AS doc_ord, 'shareholder' AS role, 0 AS person_ord, 'Holder ' || n AS name, 'H' || k AS nric_passport FROM x WHERE k % 2 = 0 UNION ALL SELECT k, 1, 'shareholder', 1, 'Second ' || n, '' FROM x WHERE k % 2 = 0
+          UNION ALL SELECT k, 3, 'director', 0, 'Director ' || n, 'D' || k FROM x)
+        SELECT k AS bundle_id, doc_ord::INT AS doc_ord, role, person_ord::INT AS person_ord, name, nric_passport, CASE WHEN role = 'director' AND k % 3 = 0 THEN 'passport' END AS id_type, CASE WHEN k % 3 = 1 THEN 1 ELSE 0 END AS n_warnings FROM p"""),
+    "p13_consent_forms": (consents_of_forms, """SELECT c_custkey AS bundle_id, i::INT AS ord, CASE WHEN c_custkey % 8 <> 0 THEN c_name ELSE '' END AS entity_name, c_name AS individual_name, 'N' || c_custkey AS nric_passport,
+          CASE WHEN c_custkey % 4 <> 0 THEN c_custkey % 5 <> 0 END AS signature_present FROM customer, (VALUES (0), (1)) v(i) WHERE i = 0 OR c_custkey % 2 <> 0"""),
     "w9_matched_names": (supplier_names, None),
     "st5_daily_rollup": (events_by_day, "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL"),
     "f26_unit_vectors": (unit_vectors, """SELECT vec_id, round(1.0::DOUBLE, 9) AS squared, round(embedding[1]::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 9) AS x0, len(embedding)::INT AS n FROM embeddings"""),

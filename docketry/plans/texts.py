@@ -61,7 +61,8 @@ def rewrites(spark, sf_dir):
 
 def blocks(spark, sf_dir):
     """Headings and bodies of pages: text between h1 and h2 marks."""
-    parts = F.slice(F.split("html", "<h[12][^>]*>"), 2, 1_000_000)
+    parts = F.split("html", "<h[12][^>]*>")
+    parts = F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
     cut = table(spark, sf_dir, "pages").select("page_id", F.posexplode(parts).alias("pos", "part"))
     heading = F.substring_index("part", "</h", 1)
     return cut.select("page_id", "pos", F.sha2(heading, 256).alias("heading"), X.canonical_section(heading).alias("section"), (F.length("part") - F.length(heading)).alias("rest"))

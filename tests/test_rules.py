@@ -103,6 +103,11 @@ def test_one_pass_over_odd_documents(tables, spark):
     assert rows_of(bundle_report.report(more)) == rows_of(rules.run_all(B.RULES, more, B.POLICY))
 
 
+def test_currencies_of_a_bundle(tables):
+    got = {(r["bundle_id"], r["code"]): (r["n"], r["documents"]) for r in B.currency_counts(tables).collect()}
+    assert got == {("good", "MYR"): (1, ["b1"]), ("bad", "GBP"): (1, ["b2"]), ("bad", None): (1, ["b3"])}
+
+
 def test_contract(spark):
     with pytest.raises(TypeError):
         rules.checked(spark.createDataFrame([("b", "r", "c", "yes", "s", "m")], "bundle_id string, rule_id string, check string, passed string, status string, message string"))
