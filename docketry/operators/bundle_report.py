@@ -9,7 +9,7 @@ give a row each and are joins of their own.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketry.functions.dates import months_in_range
@@ -231,3 +231,19 @@ def report(tables: dict[str, DataFrame], policy: dict = B.POLICY) -> DataFrame:
     for i, rule in ((14, B.entity_name), (15, B.number_match)):
         out = out.unionByName(checked(rule(tables, policy).withColumn("rule_id", F.lit(B.CATALOGUE[i][0]))).withColumn("rule_ord", F.lit(i)))
     return out
+
+
+# What each rule asks of a bundle, in catalogue order.
+DESCRIPTIONS = (
+    "every document that the kind of entity must hand in is there", "the latest year end is recent enough", "at least two years in a row, none missing, none twice", "statements hold all their sections",
+    "months of bank statements neither miss nor repeat one", "bank statements cover as many months as the entity needs", "the latest bank statement is recent enough", "no month ends overdrawn", "all statements are of one bank",
+    "statements are in the accepted currency", "identity documents show the sides that their kind has", "each director has an identity document", "each director has signed a consent form", "no field of the customer form is blank",
+    "documents carry the declared name", "numbers on identity documents are the declared ones",
+)
+
+
+def listing(spark: SparkSession, policy_id: str) -> DataFrame:
+    """The catalogue under a policy's id: policy_id, place, rule_id, check, category, description, document_group."""
+    checks = [check for check, *_ in judgements(B.POLICY)] + ["entity_name", "identity_number"]
+    rows = [(policy_id, i, rule, check, rule.split(".")[0], text, group) for i, ((rule, group), check, text) in enumerate(zip(B.CATALOGUE, checks, DESCRIPTIONS, strict=True))]
+    return spark.createDataFrame(rows, "policy_id string, place int, rule_id string, check string, category string, description string, document_group string")

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from docketry.functions.text import redact
+from docketry.functions.text import redact, redacted
+from docketry.functions.wording import lint
 from docketry.sources.store import merge_batch
 
 
@@ -28,6 +29,23 @@ def upsert_stream(chunks: DataFrame, root: str, key: str, checkpoint: str, order
     return chunks.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def audit_rows(turns: DataFrame, at: Column) -> DataFrame:
+    """The audit record of each answered turn, its texts redacted at every depth; feeds `audit_stream`, whose own redaction changes nothing more.
+
+    turns: trace_id, session_id, channel, route, rule_version, guardrail (struct), primary, confidence, secondary, decision_inputs
+    (map of texts), handoff_required, reply. Terms that the reply should not use are added to the decision's inputs; null routes,
+    versions and hand-offs read as empty and false. `at` is the record's time.
+    """
+    met = F.col("_l.violations")
+    inputs = F.coalesce("decision_inputs", F.create_map().cast("map<string,string>"))
+    inputs = F.when(F.size(met) > 0, F.map_concat(F.map_filter(inputs, lambda k, _: k != "terminology_violations"), F.create_map(F.lit("terminology_violations"), F.to_json(met)))).otherwise(inputs)
+    rows = turns.withColumn("_l", lint(F.col("reply"))).select(
+        "trace_id", "session_id", "channel", F.coalesce("route", F.lit("")).alias("route"), F.coalesce("rule_version", F.lit("")).alias("rule_version"), "guardrail", F.struct("primary", "confidence", "secondary").alias("intent"),
+        inputs.alias("decision_inputs"), F.coalesce("handoff_required", F.lit(False)).alias("handoff_required"), at.cast("timestamp").alias("timestamp"),
+    )
+    return rows.withColumns({c: redacted(F.col(c), rows.schema[c].dataType) for c in ("guardrail", "decision_inputs")})
+
+
 class Idle(StatefulProcessor):
     """State of a key that goes once the watermark is `idle_ms` past the key's last event; without idle_ms it stays."""
 

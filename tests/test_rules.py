@@ -108,6 +108,11 @@ def test_currencies_of_a_bundle(tables):
     assert got == {("good", "MYR"): (1, ["b1"]), ("bad", "GBP"): (1, ["b2"]), ("bad", None): (1, ["b3"])}
 
 
+def test_listing(spark):
+    rows = bundle_report.listing(spark, "p-1").orderBy("place").collect()
+    assert [(r["rule_id"], r["document_group"]) for r in rows] == list(B.CATALOGUE) and {r["policy_id"] for r in rows} == {"p-1"} and len({r["check"] for r in rows}) == 16
+
+
 def test_contract(spark):
     with pytest.raises(TypeError):
         rules.checked(spark.createDataFrame([("b", "r", "c", "yes", "s", "m")], "bundle_id string, rule_id string, check string, passed string, status string, message string"))

@@ -24,6 +24,18 @@ def test_audit_is_redacted(spark, tmp_path):
     assert got == {1: "call [PHONE_REDACTED]", 2: "pay [AMOUNT_REDACTED] now", 3: None}
 
 
+def test_audit_rows(spark, tmp_path):
+    schema = "trace_id string, session_id string, channel string, route string, rule_version string, guardrail struct<flagged:boolean,text:string>, primary string, confidence double, secondary string, decision_inputs map<string,string>, handoff_required boolean, reply string"
+    rows = [("t1", "s", "web", None, None, (True, "call 012-345 6789"), "INS-01", 0.9, None, {"status": "ok", "said": "RM 5,000"}, None, "Our loan is cheap"), ("t2", "s", "web", "R", "v", None, None, None, None, None, True, "hello")]
+    out = jobs.audit_rows(source(spark, tmp_path, [rows], schema), F.lit("2025-01-01 00:00:00"))
+    jobs.audit_stream(out, str(tmp_path / "out"), str(tmp_path / "cp"), ()).awaitTermination()
+    got = {r["trace_id"]: r for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    a, b = got["t1"], got["t2"]
+    assert (a["route"], a["rule_version"], a["handoff_required"], a["guardrail"]["text"]) == ("", "", False, "call [PHONE_REDACTED]") and tuple(a["intent"]) == ("INS-01", 0.9, None)
+    assert a["decision_inputs"]["said"] == "[AMOUNT_REDACTED]" and "loan" in a["decision_inputs"]["terminology_violations"]
+    assert (b["decision_inputs"], b["handoff_required"], b["guardrail"]) == ({}, True, None)
+
+
 def files(root):
     return {str(f.relative_to(root)): f.stat().st_mtime_ns for f in (root / "data").rglob("*.parquet")}
 
