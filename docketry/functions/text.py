@@ -162,11 +162,25 @@ def canonical_section(heading: Column, sections=SECTIONS) -> Column:
     return F.when(heading.isNull() | (heading == ""), "overview").otherwise(found)
 
 
+# Fixed value: the row of dashes under a table's heads.
+SEPARATOR = r"(?m)^\s*\|?[\s:|-]*-{3,}[\s:|-]*\|"
+
+
+def looks_tabular(col: Column) -> Column:
+    """Whether a text holds the row of dashes under a table's heads; null is no table."""
+    return F.coalesce(col.rlike(SEPARATOR), F.lit(False))
+
+
 def has_table(col: Column) -> Column:
     """At least two lines that begin and end with a pipe."""
     return F.regexp_count(col, F.lit(r"(?m)^[ \t]*\|[^\n]*\|[ \t]*$")) >= 2
 
 
+def breadcrumb(label: Column, titles: Column) -> Column:
+    """A chunk's trail: its label, then the titles of its sections."""
+    return F.concat(label, F.lit(" › "), F.array_join(titles, "; "), F.lit(" › "))
+
+
 def approx_tokens(col: Column) -> Column:
     return F.greatest(F.lit(1), F.floor(F.length(col) / 4)).cast("int")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docketry.functions.text import SECTIONS, approx_tokens, canonical_section, chunk_id, deep_link, has_table, numbers
+from docketry.functions.text import SECTIONS, approx_tokens, breadcrumb, canonical_section, chunk_id, deep_link, has_table, numbers
 from docketry.operators.corpus import packed
 
 
@@ -133,7 +133,7 @@ def chunked(sections: DataFrame, label: Column, max_tokens: int = 800, merge_tok
     labels = units.groupBy("doc_id").agg(F.first("_label").alias("_label"), F.first("corpus").alias("corpus"))
     parsed = F.transform("units", lambda u: F.from_json(u, "struct<title:string,text:string,section:string,pages:array<int>,content_type:string>"))
     out = packed(units.withColumn("ord", F.col("first")), "doc_id", max_tokens, merge_tokens, "ord").withColumn("u", parsed).join(labels, "doc_id")
-    crumb = F.concat(F.col("_label"), F.lit(" › "), F.array_join(F.transform("u", lambda x: x["title"]), "; "), F.lit(" › "))
+    crumb = breadcrumb(F.col("_label"), F.transform("u", lambda x: x["title"]))
     return out.select(
         "corpus", "doc_id", "chunk_no", F.col("u")[0]["section"].alias("section"), F.concat(crumb, F.array_join(F.transform("u", lambda x: x["text"]), "\n\n")).alias("content"),
         F.array_sort(F.array_distinct(F.flatten(F.transform("u", lambda x: x["pages"])))).alias("pages"),

@@ -250,6 +250,30 @@ def payload_schema(attributes: list[dict]) -> T.StructType:
     return T.StructType([T.StructField(f.name, T.ArrayType(T.StructType(groups[f.name]))) if f.name in groups else f for f in fields])
 
 
+def keyed_locations(locations: Column) -> Column:
+    """Where each row group's values were found, by group, row key and column, from the JSON object that lists them row by row.
+
+    A row's key is its `_row_key`, without one row_ and its place; of equal keys the later ones get (2), (3) and so on. Cells without
+    a location are dropped, as are entries that are no rows; groups that are no lists are left out. Null for null.
+    """
+    groups = F.map_filter(F.from_json(locations, "map<string,string>"), lambda _, v: F.coalesce(v.startswith("["), F.lit(False)))
+    empty = F.array().cast("array<struct<key:string,value:map<string,string>>>")
+
+    def added(done: Column, row: Column) -> Column:
+        keys = F.transform(done, lambda e: e["key"])
+        own = F.coalesce(F.nullif(row["m"]["_row_key"], F.lit("")), F.concat(F.lit("row_"), (row["i"] + 1).cast("string")))
+        numbered = lambda n: F.concat(own, F.lit(" ("), n.cast("string"), F.lit(")"))
+        free = F.get(F.filter(F.sequence(F.lit(2), F.size(done) + 2), lambda n: ~F.array_contains(keys, numbered(n))), F.lit(0))
+        cells = F.map_filter(row["m"], lambda k, v: (k != "_row_key") & v.isNotNull() & ~v.isin("", "{}", "[]", "null", "0", "false"))
+        return F.array_append(done, F.struct(F.when(F.array_contains(keys, own), numbered(free)).otherwise(own).alias("key"), cells.alias("value")))
+
+    def keyed(rows: Column) -> Column:
+        parsed = F.transform(rows, lambda x, i: F.struct(i.alias("i"), F.from_json(x, "map<string,string>").alias("m")))
+        return F.map_from_entries(F.reduce(F.filter(parsed, lambda r: r["m"].isNotNull()), empty, added))
+
+    return F.transform_values(groups, lambda _, v: keyed(F.from_json(v, "array<string>")))
+
+
 def unique_keys(rows: DataFrame, group: str, key: str, order: str) -> DataFrame:
     """Keys made distinct in their group by (2), (3) and so on in order; a blank key is row_ and its place.
 

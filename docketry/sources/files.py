@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docketry.operators.shaping import DATA_TYPES, FREQUENCIES, shown_as, templates
+
 # Uploads that are admitted.
 MIME_TYPES = ("application/pdf", "image/png", "image/jpeg", "image/webp", "image/tiff")
 EXTENSIONS = {"pdf": "application/pdf", "png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "webp": "image/webp", "tif": "image/tiff", "tiff": "image/tiff"}
@@ -24,6 +26,15 @@ def read_corpora(spark: SparkSession, root: str, schema: str, corpora: list[str]
     return rows.where(F.col("doc_id").isin(*docs)) if docs else rows
 
 
+def read_templates(spark: SparkSession, root: str) -> DataFrame:
+    """The template catalogue out of its three tables under the root (templates, template_attributes, attributes), as `shaping.templates` gives it, types and frequencies as they are displayed."""
+    t, links, a = (spark.read.parquet(f"{root}/{name}") for name in ("templates", "template_attributes", "attributes"))
+    text = lambda df, c, name: df[c].cast("string").alias(name)
+    links = links.select(text(links, "template_id", "template_id"), text(links, "attribute_id", "attribute_id"), text(links, "id", "link_ord"), shown_as(F.col("frequency"), FREQUENCIES).alias("frequency"), "row_group")
+    attributes = a.select(text(a, "id", "attribute_id"), F.col("name").alias("attribute_name"), shown_as(F.col("data_type"), DATA_TYPES).alias("data_type"))
+    return templates(t.select(text(t, "id", "template_id"), F.col("name").alias("template_name")), links, attributes)
+
+
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """One text file a page, named page_<number>: doc_id is the directory's name."""
     where = F.col("_metadata.file_path")

@@ -76,3 +76,26 @@ def test_slots_of_a_turn(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(said)], "i int, t string")
     got = [tuple(r["s"]) for r in df.select("i", slots(F.col("t")).alias("s")).orderBy("i").collect()]
     assert got == [(5.0, 12, 1200000.0, None, None, None), (None,) * 6, (None,) * 6]
+
+
+def test_keyed_locations(spark):
+    import json
+
+    rows = [
+        {"Txns": [{"_row_key": "a", "x": {"page": 1}, "y": None}, {"_row_key": "a", "x": {}}, 5, {"_row_key": "", "x": {"page": 2}}, {"_row_key": "a (2)", "x": {"page": 3}}, {"_row_key": "a", "z": {"page": 4}}], "Name": {"page": 9}, "None": None},
+        {},
+    ]
+    df = spark.createDataFrame([(0, json.dumps(rows[0])), (1, json.dumps(rows[1])), (2, None)], "i int, j string")
+    got = [r["m"] for r in df.select("i", S.keyed_locations(F.col("j")).alias("m")).orderBy("i").collect()]
+    assert got[0] == {"Txns": {"a": {"x": '{"page":1}'}, "a (2)": {}, "row_4": {"x": '{"page":2}'}, "a (2) (2)": {"x": '{"page":3}'}, "a (3)": {"z": '{"page":4}'}}}
+    assert got[1] == {} and got[2] is None
+
+
+def test_template_catalogue_of_three_tables(spark, tmp_path):
+    from docketry.sources.files import read_templates
+
+    spark.createDataFrame([(1, "T1"), (2, "T2")], "id int, name string").write.parquet(str(tmp_path / "templates"))
+    spark.createDataFrame([(12, 1, 8, "multiple", "G"), (11, 1, 7, "unique", None)], "id int, template_id int, attribute_id int, frequency string, row_group string").write.parquet(str(tmp_path / "template_attributes"))
+    spark.createDataFrame([(7, "Name", "alphabet"), (8, "Sum", "odd")], "id int, name string, data_type string").write.parquet(str(tmp_path / "attributes"))
+    got = {r["template_id"]: (r["template_name"], [(a["attribute_name"], a["data_type"], a["frequency"], a["row_group"]) for a in r["attributes"]]) for r in read_templates(spark, str(tmp_path)).collect()}
+    assert got == {"1": ("T1", [("Name", "Alphabet", "Unique", None), ("Sum", "odd", "Multiple", "G")]), "2": ("T2", [])}

@@ -42,6 +42,14 @@ def test_deck(spark):
     assert {r["section"]: r["needs_review"] for r in records}["financing_size"] and all(r["chunk_id"].startswith("d:2:") for r in records)
 
 
+def test_tables_and_breadcrumbs(spark):
+    from docketry.functions import text
+
+    rows = [("| a | b |\n| --- | :-: |\n| 1 | 2 |",), ("a --- b",), ("---\n",), (None,), ("x\n|----|",)]
+    df = spark.createDataFrame(rows, "t string").select("t", text.looks_tabular(F.col("t")).alias("x"), text.breadcrumb(F.lit("P"), F.array(F.lit("A"), F.lit("B"))).alias("c"))
+    assert [(r["x"], r["c"]) for r in df.collect()] == [(x, "P › A; B › ") for x in (True, False, False, False, True)]
+
+
 def test_terms():
     assert wording.linted("Our LOAN has an Interest rate.")["text"] == "Our FINANCING has an Profit rate."
     assert wording.linted("We offer financing, not a loan.")["violations"] == [{"rule": "financing", "term": "loan", "kept": "yes"}]
