@@ -38,19 +38,19 @@ def bank_statements(payloads: DataFrame, names: DataFrame, accepted: str = bundl
     months = dated.groupBy("bundle_id", "month").agg(F.max_by("printed", F.struct("day", "row_no")).alias("printed"), F.min("day").alias("first"), F.max("day").alias("last"))
     balance = F.col("printed").try_cast("double")
     field = F.concat(F.lit("Transaction Balance["), F.date_format("month", "yyyy-MM"), F.lit("]"))
-    lacking = noted(field, balance.isNull(), F.lit("no balance at the month's end; counted as zero"), F.coalesce("printed", F.lit("null")), "a numeric value")
+    lacking = noted(field, balance.isNull(), F.lit("no balance at the month's end; counted as zero"), F.coalesce("printed", F.lit("null")), "a number")
     one = F.struct("month", F.coalesce(balance, F.lit(0.0)).alias("end_balance"), lacking.alias("w"))
     whole = months.groupBy("bundle_id").agg(F.array_sort(F.collect_list(one)).alias("m"), F.min("first").alias("start"), F.max("last").alias("end"))
     unread = each.where("day IS NULL AND text IS NOT NULL")
     where = F.concat(F.lit("Transactions["), F.col("row_no").cast("string"), F.lit("].Transaction Date"))
-    bad = noted(where, F.lit(True), F.lit("date doesn't read; row left out"), F.col("text"), "an ISO date (YYYY-MM-DD)")
+    bad = noted(where, F.lit(True), F.lit("date doesn't read; row left out"), F.col("text"), "a date, YYYY-MM-DD or DD-MM-YYYY")
     unread = unread.groupBy("bundle_id").agg(F.array_sort(F.collect_list(F.struct("row_no", bad.alias("w")))).alias("u"))
     joined = own.join(whole, "bundle_id", "left").join(unread, "bundle_id", "left").join(names, "bundle_id", "left")
     there, code = F.col("start").isNotNull(), currency(F.col("p.Currency"))
     foreign = noted(F.lit("Currency"), there & (code != accepted), F.concat(F.lit("balances are in "), code, F.lit("; they need conversion")), F.col("p.Currency"), accepted)
     of = lambda column: F.coalesce(F.transform(column, lambda x: x["w"]), F.array().cast(f"array<{WARNING}>"))
-    own_warnings = F.array(warning("Transactions", F.col("p.Transactions").isNull(), "an array (possibly empty)"))
-    rest = F.array(warning("Bank Name", there & F.col("p.`Bank Name`").isNull(), "a non-empty string"), warning("Currency", there & F.col("p.Currency").isNull(), "a non-empty string"), foreign)
+    own_warnings = F.array(warning("Transactions", F.col("p.Transactions").isNull(), "a list of transactions"))
+    rest = F.array(warning("Bank Name", there & F.col("p.`Bank Name`").isNull(), "some text"), warning("Currency", there & F.col("p.Currency").isNull(), "some text"), foreign)
     all_warnings = F.array_compact(F.concat(own_warnings.cast(f"array<{WARNING}>"), of("u"), rest.cast(f"array<{WARNING}>"), of("m")))
     return joined.select(
         "bundle_id", F.lit("bank_statement").alias("document_id"), F.lit(0).alias("ord"), safe_string(F.col("entity_name")).alias("entity_name"), F.col("p.`Bank Name`").alias("bank_name"), F.col("p.Currency").alias("currency"),

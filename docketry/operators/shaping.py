@@ -18,6 +18,11 @@ COMPANY_TEMPLATES = {
     "SSM Business Registration": None, "SSM Form 24": "form_24", "SSM Form 44": "form_44", "SSM Form 49": "form_49", "SSM Form 9 & 28": "form_9", "Form 32A": "form_32a",
 }
 COMBINED = "SSM Business Registration"
+# What the combined form should have held, as its warnings state it.
+COMBINED_EXPECTS = {
+    "Incorporation Date": "the company's incorporation date", "Registered Address": "the registered office address", "MSIC Code": "an MSIC code or a main-business description", "Directors": "at least one director row",
+    "Shareholders": "at least one shareholder row",
+}
 IDENTITY_TEMPLATE = "MyKad (Director ID or Passport)"
 # Fields of the customer form and the names they have in its payload.
 DIRECTOR_FIELDS = {
@@ -78,13 +83,8 @@ def company_forms(payloads: DataFrame) -> DataFrame:
     name, number = F.col("p.`Entity Name`"), F.col("p.`Business Registration Number`")
     empty = lambda field: F.col("template").eqNullSafe(COMBINED) & (F.coalesce(F.col(f"p.`{field}`"), F.lit("")) == "")
     nobody = lambda role: (F.col("template") == COMBINED) & (F.coalesce(F.size(f"p.{role}"), F.lit(0)) <= 0)
-    lacking = [
-        warning("Incorporation Date", empty("Incorporation Date"), "the company's incorporation date"),
-        warning("Registered Address", empty("Registered Address"), "the registered office address"),
-        warning("MSIC Code", empty("MSIC Code") & empty("Main Business"), "an MSIC code or a main-business description"),
-        warning("Directors", nobody("Directors"), "at least one director row"),
-        warning("Shareholders", nobody("Shareholders"), "at least one shareholder row"),
-    ]
+    lacks = {"Incorporation Date": empty("Incorporation Date"), "Registered Address": empty("Registered Address"), "MSIC Code": empty("MSIC Code") & empty("Main Business"), "Directors": nobody("Directors"), "Shareholders": nobody("Shareholders")}
+    lacking = [warning(field, bad, COMBINED_EXPECTS[field]) for field, bad in lacks.items()]
     return own.select(
         "bundle_id", "ord", subtype.alias("document_subtype"), safe_string(name).alias("entity_name"), safe_string(number).alias("business_registration_number"),
         F.col("p.Directors").alias("directors"), holders.alias("shareholders"), collected(warning("Entity Name", name.isNull(), "string"), warning("Business Registration Number", number.isNull(), "string"), *lacking).alias("warnings"),
