@@ -16,6 +16,8 @@ from docketry.llm.components import attached, components
 GOLDEN, MIX_A, MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Word hashes that a Python worker keeps between texts; the table is emptied when it gets larger.
 KEPT_WORDS = 1_000_000
+#: Pairs of one bucket where nearly all classes of a group are compared.
+GRID_PAIRS = 8_000
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -176,6 +178,32 @@ def near_duplicates(
 
         return written(members.groupBy("bucket").cogroup(pivots.groupBy("bucket")).applyInArrow(kept, "a long, b long"), "met")
 
+    def met_in_grid(pairs: DataFrame, payload: DataFrame, agree: Callable[[pa.Table, pa.Table], np.ndarray]) -> DataFrame:
+        """As `met`, for pairs of classes that nearly all pair with one another: classes are dealt in chunks, pairs by their two chunks.
+
+        A payload is sent once to every pair of chunks that asks for it, of which there are about n / GRID_PAIRS in all, instead of once for every pair.
+        """
+        pairs = written(pairs, "pairs")
+        side = max(1, int(np.ceil(np.sqrt(pairs.count() / GRID_PAIRS))))
+        chunk = lambda c: F.pmod(F.xxhash64(c), F.lit(side))
+        dealt = pairs.withColumn("bucket", F.least(chunk("a"), chunk("b")) * side + F.greatest(chunk("a"), chunk("b")))
+        asked = dealt.select("bucket", F.col("a").alias("id")).union(dealt.select("bucket", F.col("b").alias("id"))).distinct()
+        # Under names of their own: both sides of the next step come from the same pairs.
+        renamed = lambda df: df.select(*(F.col(c).alias(c) for c in df.columns))
+        carried = renamed(asked).join(renamed(payload), "id")
+
+        def kept(left: pa.Table, right: pa.Table) -> pa.Table:
+            ids = right.column("id").to_numpy()
+            order = np.argsort(ids)
+            out = []
+            for at in range(0, left.num_rows, 4_000):
+                some = left.slice(at, 4_000).select(["a", "b"])
+                a, b = (order[np.searchsorted(ids, some.column(c).to_numpy(), sorter=order)] for c in ("a", "b"))
+                out.append(some.filter(pa.array(agree(right.take(pa.array(a)), right.take(pa.array(b))), pa.bool_())))
+            return pa.concat_tables(out)
+
+        return written(dealt.groupBy("bucket").cogroup(carried.groupBy("bucket")).applyInArrow(kept, "a long, b long"), "met")
+
     def many_matches(left: pa.Table, right: pa.Table) -> np.ndarray:
         return (columns(left, "keys", coordinates) == columns(right, "keys", coordinates)).sum(1) >= matches
 
@@ -235,7 +263,7 @@ def near_duplicates(
         meets = spread.select("key", "id", "component", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
         carried = meets.join(classes.select("id", "n", "keys"), "id").join(fronts, "id").withColumn("bucket", F.pmod(F.xxhash64("key", "i", "j"), F.lit(parts_for(n_rows, 2_000))))
         counted = carried.groupBy("bucket").applyInArrow(lambda t: collisions(t, coordinates, matches, percent), "a long, b long")
-        rest = met(counted, sets, similar)
+        rest = met_in_grid(counted, sets, similar)
         if rest.count():
             joined = components(links.union(rest))
 

@@ -100,8 +100,9 @@ def test_near_duplicates_against_plain(docs, texts, no_docs, block):
     assert neardup.near_duplicates(no_docs).count() == 0
 
 
-@pytest.mark.parametrize("block", [256, 8])
-def test_a_group_of_near_copies(spark, block):
+@pytest.mark.parametrize("block,pairs", [(256, 8_000), (8, 20)])
+def test_a_group_of_near_copies(spark, monkeypatch, block, pairs):
+    monkeypatch.setattr(neardup, "GRID_PAIRS", pairs)
     base, rng = prose(11, 150), random.Random(5)
     texts = [(100 + k, near(near(base, rng.randrange(150)), rng.randrange(150)) if k else base) for k in range(40)] + [(k, prose(50 + k, 150)) for k in range(20)]
     df = spark.createDataFrame(texts, "doc_id long, text string")
