@@ -9,8 +9,8 @@ from docketry.sources.tables import table
 
 #: (id, text, program, stage): turns that the given conversations lack, put beside them in the query and in its SQL.
 SEEDS = (
-    (-1, "What else do you have besides GGSM?", "GGSM", None), (-2, "What can you do?", None, None), (-3, "What can you do for MHP?", "MHP", None), (-4, "ok proceed", None, "program_offer"),
-    (-5, "Tak nak lah", None, "program_offer"), (-6, "yes", None, "answering"), (-7, "how long is the tempoh for MIHP", "MIHP", None), (-8, "Show me all programmes", None, None),
+    (-1, "What else do you have besides ACGR?", "ACGR", None), (-2, "What can you do?", None, None), (-3, "What can you do for BDK?", "BDK", None), (-4, "ok proceed", None, "program_offer"),
+    (-5, "Tak nak lah", None, "program_offer"), (-6, "yes", None, "answering"), (-7, "how long is the tempoh for BIDK", "BIDK", None), (-8, "Show me all programmes", None, None),
     (-9, "modal kerja", None, None), (-10, "I need RM 250k", None, None), (-11, "berapa banyak", None, None), (-12, "Nope", None, "program_offer"), (-13, "apa lagi", None, "program_offer"),
     (-14, "layak tak saya?", None, None), (-15, "kadar untung", None, None), (-16, "dokumen apa", None, None), (-17, "new lorry and machinery", None, None), (-18, "import from suppliers", None, None),
     (-19, "expand our shop", None, None), (-20, "kontrak projek", None, None), (-21, "do you have any islamic financing", None, None), (-22, "can you compare them", None, None), (-23, "", None, None),

@@ -54,19 +54,19 @@ def test_mentions(spark):
 
 
 def test_names_with_drift_and_both_sides_of_a_catalogue(spark):
-    turns = spark.createDataFrame([(1, "tenure of GGSM3, and MHP-I?"), (2, "becf 2 or xbecf"), (3, "GGSMX"), (4, None)], "id int, text string")
-    catalogue = spark.createDataFrame([("GGSM", "Global Scheme"), ("MHP", None), ("TERAJU", "TERAJU fund (BECF)"), (" ", "none"), (None, "none")], "program string, full_name string")
+    turns = spark.createDataFrame([(1, "tenure of ACGR3, and BDK-I?"), (2, "orcf 2 or xorcf"), (3, "ACGRX"), (4, None)], "id int, text string")
+    catalogue = spark.createDataFrame([("ACGR", "Global Scheme"), ("BDK", None), ("ORCHID", "ORCHID fund (ORCF)"), (" ", "none"), (None, "none")], "program string, full_name string")
     names = R.program_names(catalogue)
-    assert {(r["code"], r["name"]) for r in names.collect()} == {("GGSM", "GGSM"), ("MHP", "MHP"), ("TERAJU", "TERAJU"), ("TERAJU", "BECF")}
-    assert {(r["id"], r["code"]) for r in R.mentions(turns, "id", "text", names).collect()} == {(1, "GGSM"), (1, "MHP"), (2, "TERAJU")}
-    index = spark.createDataFrame([("GGSM3",), ("MHP-I",), (None,)], "code string")
-    assert {r["program"]: r["indexed_code"] for r in R.catalogue_sides(catalogue, index).collect()} == {"GGSM": "GGSM3", "MHP": "MHP-I", "TERAJU": None}
+    assert {(r["code"], r["name"]) for r in names.collect()} == {("ACGR", "ACGR"), ("BDK", "BDK"), ("ORCHID", "ORCHID"), ("ORCHID", "ORCF")}
+    assert {(r["id"], r["code"]) for r in R.mentions(turns, "id", "text", names).collect()} == {(1, "ACGR"), (1, "BDK"), (2, "ORCHID")}
+    index = spark.createDataFrame([("ACGR3",), ("BDK-I",), (None,)], "code string")
+    assert {r["program"]: r["indexed_code"] for r in R.catalogue_sides(catalogue, index).collect()} == {"ACGR": "ACGR3", "BDK": "BDK-I", "ORCHID": None}
     assert R.catalogue_sides(catalogue, index.limit(0)).count() == 0
 
 
 def test_nearest_token(spark):
     from docketry.operators.matching import nearest_token
 
-    turns = spark.createDataFrame([(1, "whats the tenure of GSGM or ggsn"), (2, "hello there"), (3, None)], "id int, text string")
-    candidates = spark.createDataFrame([(1, "GGSM3"), (1, "MHP-I"), (2, "GGSM3"), (3, "MHP")], "id int, code string")
-    assert [(r["id"], r["token"], round(r["score"], 2)) for r in nearest_token(turns, "id", "text", candidates).collect()] == [(1, "GSGM", 0.75)]
+    turns = spark.createDataFrame([(1, "whats the tenure of AGCR or acgn"), (2, "hello there"), (3, None)], "id int, text string")
+    candidates = spark.createDataFrame([(1, "ACGR3"), (1, "BDK-I"), (2, "ACGR3"), (3, "BDK")], "id int, code string")
+    assert [(r["id"], r["token"], round(r["score"], 2)) for r in nearest_token(turns, "id", "text", candidates).collect()] == [(1, "AGCR", 0.75)]
