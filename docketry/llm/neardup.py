@@ -67,19 +67,23 @@ def columns(table: pa.Table, name: str, width: int) -> np.ndarray:
     return table.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
-def collisions(table: pa.Table, coordinates: int, matches: int, percent: int) -> pa.Table:
+def collisions(table: pa.Table, classes: pa.Table, coordinates: int, matches: int, percent: int) -> pa.Table:
     """Pairs a, b of a bucket: of rows of one posting list and two blocks of it, those with at least `matches` equal coordinates.
 
-    Rows: key, i, j (the list and the blocks that meet), part (the row's own block), id, n, component, keys and front (the
-    keys that the class is posted under). Pairs that are known to be of one component are passed over, as are pairs whose
+    Rows: key, i, j (the list and the blocks that meet), part (the row's own block), id, component; classes: id, n, keys and front
+    (the keys that the class is posted under), once for all lists of the bucket. Pairs that are known to be of one component are passed over, as are pairs whose
     sizes rule the similarity out. A pair that meets in several lists is counted in the first of them only.
     """
     where = np.stack([table.column(c).to_numpy() for c in ("key", "i", "j")], 1)
     _, meeting = np.unique(where, axis=0, return_inverse=True)
     meeting = meeting.ravel()
-    part, ids, n, comp = (table.column(c).to_numpy() for c in ("part", "id", "n", "component"))
-    keys, fronts = columns(table, "keys", coordinates), table.column("front").to_pylist()
-    posted = np.array([np.isin(k, f) for k, f in zip(keys, fronts, strict=True)])
+    part, ids, comp = (table.column(c).to_numpy() for c in ("part", "id", "component"))
+    own_keys, fronts = columns(classes, "keys", coordinates), classes.column("front").to_pylist()
+    own_posted = np.array([np.isin(k, f) for k, f in zip(own_keys, fronts, strict=True)])
+    known = classes.column("id").to_numpy()
+    by_id = np.argsort(known)
+    at_class = by_id[np.searchsorted(known, ids, sorter=by_id)]
+    n, keys, posted = classes.column("n").to_numpy()[at_class], own_keys[at_class], own_posted[at_class]
     order = np.argsort(meeting, kind="stable")
     a, b = [], []
     for own in np.split(order, np.flatnonzero(np.diff(meeting[order])) + 1):
@@ -255,14 +259,17 @@ def near_duplicates(
         if n_left == 0:
             break
     if n_left:
-        placed = attached(left_over.select("key", "id", "component"), "key", F.col("id"), n_left, size="m").withColumn("parts", F.ceil(F.col("m") / block).cast("long"))
-        placed = written(placed, "placed")
-        n_rows = placed.agg(F.sum("parts")).first()[0]  # each class stands once for every block of its list
+        # Lists of one group hold nearly the same classes and have the same pivot: their blocks meet in one bucket, where a signature is sent once.
+        placed = attached(left_over.select("key", "id", "component"), "key", F.col("id"), n_left, size="m", head=F.xxhash64("id")).withColumn("parts", F.ceil(F.col("m") / block).cast("long"))
         placed = placed.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
-        spread = placed.select("key", "id", "component", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
-        meets = spread.select("key", "id", "component", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
-        carried = meets.join(classes.select("id", "n", "keys"), "id").join(fronts, "id").withColumn("bucket", F.pmod(F.xxhash64("key", "i", "j"), F.lit(parts_for(n_rows, 2_000))))
-        counted = carried.groupBy("bucket").applyInArrow(lambda t: collisions(t, coordinates, matches, percent), "a long, b long")
+        spread = placed.select("key", "id", "component", "part", "parts", "head", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
+        i, j = F.least("part", "other"), F.greatest("part", "other")
+        group = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("key"), F.lit(parts_for(n_left, 2_000)))).otherwise(F.xxhash64("head", "parts", i, j))
+        meets = written(spread.select("key", "id", "component", "part", i.alias("i"), j.alias("j"), group.alias("bucket")), "meets")
+        signed_classes = classes.select("id", "n", "keys").join(fronts, "id")
+        asked = meets.select("bucket", "id").distinct().join(signed_classes.select(*(F.col(c).alias(c) for c in signed_classes.columns)), "id")
+        asked = asked.select(*(F.col(c).alias(c) for c in asked.columns))
+        counted = meets.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(lambda t, c: collisions(t, c, coordinates, matches, percent), "a long, b long")
         rest = met_in_grid(counted, sets, similar)
         if rest.count():
             joined = components(links.union(rest))
