@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docketry.functions.text import page_of
 from docketry.functions.vectors import dot, unit
 
 #: Query vectors sent to all executors at a time; a larger query table goes in several passes.
 QUERY_BLOCK = 20_000
+#: Bytes of text of one block of the keyword leg, and word sets that meet a block at a time.
+TEXT_BLOCK, SET_BLOCK = 48_000_000, 100_000
 
 
 def admissible(chunks: DataFrame, as_of: Column, corpora: list[str] | None = None, channel: str = "customer", program: str | None = None) -> DataFrame:
@@ -31,6 +37,15 @@ def ranked(scored: DataFrame, query: str, score: str, item: str, most: int, with
     return scored.withColumn("rank", F.row_number().over(by) - 1).where(F.col("rank") < most)
 
 
+def places(column: pa.ChunkedArray) -> np.ndarray:
+    """The place of each value among the distinct values in order, null first."""
+    coded = pa.concat_arrays(column.chunks or [pa.array([], column.type)]).dictionary_encode(null_encoding="encode")
+    if not len(coded):
+        return np.empty(0, np.int64)
+    order = pc.rank(coded.dictionary, sort_keys="ascending", null_placement="at_start", tiebreaker="dense").to_numpy()
+    return order[coded.indices.to_numpy()].astype(np.int64)
+
+
 def dense(queries: DataFrame, chunks: DataFrame, most: int, vector: str = "embedding", query_id: str = "query_id", item_id: str = "chunk_id", carry: tuple[str, ...] = (), within: tuple[str, ...] = ()) -> DataFrame:
     """Exact cosine of every query with every chunk, best `most` kept, of each value of the carried columns `within`. A stated query set against all rows, in blocks of queries."""
     n = queries.count()
@@ -68,17 +83,73 @@ def terms(col: Column) -> Column:
     return F.filter(F.split(F.lower(col), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
+def keyword_best(chunks: pa.Table, sets: pa.Table, most: int, item_id: str) -> pa.Table:
+    """_set, item, score: each word set's best `most` chunks of a block, of those that hold all its words.
+
+    chunks: item, _len, _words; sets: _set. Words are joined by spaces. The block's postings are sorted once; a set walks its shortest list.
+    """
+    asked = [(s, s.split(" ")) for s in sets.column("_set").to_pylist()]
+    number = {w: i for i, w in enumerate(dict.fromkeys(w for _, ws in asked for w in ws))}
+    length = chunks.column("_len").to_numpy().astype(np.int64)
+    # Rows of one id and length are one chunk; chunks are numbered in the order of their ids.
+    key = places(chunks.column(item_id)) * (length.max(initial=0) + 1) + length
+    _, sample, chunk = np.unique(key, return_index=True, return_inverse=True)
+    chunk, n = chunk.ravel(), max(len(sample), 1)
+    vocabulary, codes, counts = pa.array(list(number), pa.string()), [], []
+    for at in range(0, chunks.num_rows, 1_000):
+        words = pa.concat_arrays(pc.split_pattern(chunks.column("_words").slice(at, 1_000).cast(pa.string()), " ").chunks)
+        known = pc.fill_null(pc.index_in(words.flatten(), value_set=vocabulary), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        holder = np.repeat(chunk[at : at + 1_000], pc.list_value_length(words).to_numpy())
+        code, count = np.unique((known * n + holder)[known >= 0], return_counts=True)
+        codes.append(code)
+        counts.append(count)
+    code, inverse = np.unique(np.concatenate(codes) if codes else np.empty(0, np.int64), return_inverse=True)
+    count = np.zeros(len(code), np.int64)
+    np.add.at(count, inverse.ravel(), np.concatenate(counts) if counts else np.empty(0, np.int64))
+    first, holders, size = np.searchsorted(code, np.arange(len(number) + 1) * n), code % n, length[sample]
+    found, items, scores = [], [], []
+    for s, words in asked:
+        lists = sorted(((first[i + 1] - first[i], first[i], times) for i, times in ((number[w], words.count(w)) for w in dict.fromkeys(words))))
+        if lists[0][0] == 0:
+            continue
+        held = holders[lists[0][1] : lists[0][1] + lists[0][0]]
+        hits = count[lists[0][1] : lists[0][1] + lists[0][0]] * lists[0][2]
+        for many, at, times in lists[1:]:
+            other = holders[at : at + many]
+            place = np.minimum(np.searchsorted(other, held), many - 1)
+            both = other[place] == held
+            held, hits = held[both], hits[both] + count[at + place[both]] * times
+        score = hits / size[held]
+        if len(score) > most:
+            enough = score >= np.partition(score, len(score) - most)[len(score) - most]
+            held, score = held[enough], score[enough]
+        best = np.argsort(-score, kind="stable")[:most]
+        found += [s] * len(best)
+        items.append(sample[held[best]])
+        scores.append(score[best])
+    taken = pa.array(np.concatenate(items) if items else np.empty(0, np.int64))
+    return pa.table({"_set": pa.array(found, pa.string()), item_id: chunks.column(item_id).take(taken), "score": np.concatenate(scores) if scores else np.empty(0)})
+
+
 def keyword(queries: DataFrame, chunks: DataFrame, most: int, text: str = "content", query_id: str = "query_id", item_id: str = "chunk_id") -> DataFrame:
     """Chunks that hold all of a query's words, ranked by how often they occur in it over the chunk's length.
 
-    Words meet by an equi-join on the few words that queries hold; texts don't move.
+    Queries of the same words are one word set. Chunks are dealt in blocks by their bytes, each word set goes to each block, and only a
+    block's best leave it, so pairs of a query and a chunk are never rows. Rows of one id and length are one chunk.
     """
-    wanted = queries.select(query_id, F.explode(F.array_distinct(terms(F.col("text")))).alias("_w"))
-    needed = wanted.groupBy(query_id).agg(F.count("*").alias("_need"))
-    words = chunks.select(item_id, terms(F.col(text)).alias("_ws")).select(item_id, F.size("_ws").alias("_len"), F.explode("_ws").alias("_w"))
-    counts = words.join(wanted.select("_w").distinct(), "_w", "left_semi").groupBy(item_id, "_len", "_w").agg(F.count("*").alias("_n"))
-    hits = counts.join(wanted, "_w").groupBy(query_id, item_id).agg(F.count("*").alias("_got"), (F.sum("_n") / F.max("_len")).alias("score"))
-    return ranked(hits.join(needed, query_id).where("_got = _need").select(query_id, item_id, "score"), query_id, "score", item_id, most)
+    asked = queries.select(query_id, F.explode(F.array_distinct(terms(F.col("text")))).alias("_w")).groupBy(query_id).agg(F.array_join(F.array_sort(F.collect_list("_w")), " ").alias("_set"))
+    sets = asked.select("_set").distinct()
+    size = chunks.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
+    blocks, parts = max(1, -(-size // TEXT_BLOCK)), max(1, -(-sets.count() // SET_BLOCK))
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    words = chunks.where(F.col(text).isNotNull()).select(item_id, terms(F.col(text)).alias("_ws")).select(item_id, F.size("_ws").alias("_len"), F.array_join("_ws", " ").alias("_words"))
+    dealt = words.where("_len > 0").select("*", F.pmod(F.xxhash64(item_id, "_len"), F.lit(blocks)).cast("int").alias("_block"), numbers(parts).alias("_part"))
+    sent = sets.select("_set", F.pmod(F.xxhash64("_set"), F.lit(parts)).cast("int").alias("_part"), numbers(blocks).alias("_block"))
+    schema = T.StructType([T.StructField("_set", T.StringType()), T.StructField(item_id, chunks.schema[item_id].dataType), T.StructField("score", T.DoubleType())])
+    keys = ["_part", "_block"]
+    found = dealt.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInArrow(lambda c, s: keyword_best(c, s, most, item_id), schema)
+    best = ranked(found, "_set", "score", item_id, most)
+    return asked.join(best, "_set").select(query_id, item_id, "score", "rank")
 
 
 def fused(legs: list[DataFrame], most: int, query_id: str = "query_id", item_id: str = "chunk_id", k: int = 60) -> DataFrame:
