@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docketry.functions.text import page_of
-from docketry.functions.vectors import dot, unit
 
-#: Query vectors sent to all executors at a time; a larger query table goes in several passes.
-QUERY_BLOCK = 20_000
+#: Query vectors, and vectors, of one block of the dense leg; each block of the one meets each of the other.
+QUERY_BLOCK, VECTOR_BLOCK = 8_192, 16_384
 #: Bytes of text of one block of the keyword leg, and word sets that meet a block at a time.
 TEXT_BLOCK, SET_BLOCK = 48_000_000, 100_000
+#: More than the order of its sums can change in the cosine of two unit vectors.
+ROUNDING = 1e-12
 
 
 def admissible(chunks: DataFrame, as_of: Column, corpora: list[str] | None = None, channel: str = "customer", program: str | None = None) -> DataFrame:
@@ -46,19 +47,110 @@ def places(column: pa.ChunkedArray) -> np.ndarray:
     return order[coded.indices.to_numpy()].astype(np.int64)
 
 
+def leading(most: int, *keys: np.ndarray) -> np.ndarray:
+    """Rows in the order of the keys, the first `most` of each value of the first key."""
+    order = np.lexsort(keys[::-1])
+    run = keys[0][order]
+    start = np.flatnonzero(np.r_[True, run[1:] != run[:-1]]) if len(run) else np.empty(0, np.int64)
+    place = np.arange(len(run)) - np.repeat(start, np.diff(np.r_[start, len(run)]))
+    return order[place < most]
+
+
+class Vectors:
+    """A list column as matrices: rows by their dimension (-1 for null, or a null component), values, norms (1 for none)."""
+
+    def __init__(self, column: pa.ChunkedArray):
+        lists = pa.concat_arrays(column.chunks or [pa.array([], column.type)])
+        flat = lists.flatten()
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.first = np.cumsum(sizes) - sizes
+        lacks = np.zeros(len(sizes), bool)
+        lacks[np.repeat(np.arange(len(sizes)), sizes)[flat.is_null().to_numpy(zero_copy_only=False)]] = True
+        self.flat = pc.fill_null(flat.cast(pa.float64()), 0.0).to_numpy(zero_copy_only=False)
+        self.dim = np.where(lacks | lists.is_null().to_numpy(zero_copy_only=False), -1, sizes)
+
+    def of(self, rows: np.ndarray, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Values, norms, unit vectors, and which rows can't be judged by these: a component or the norm isn't a usual number."""
+        v = self.flat[self.first[rows][:, None] + np.arange(dim)]
+        with np.errstate(all="ignore"):
+            squares = np.zeros(len(rows))
+            for j in range(dim):
+                squares += v[:, j] * v[:, j]
+            norm = np.sqrt(squares)
+            norm[norm == 0] = 1.0
+            odd = ~np.isfinite(norm) | (norm < 1e-100)
+            return v, norm, np.where(odd[:, None], 0.0, v / norm[:, None]), odd
+
+
+def nearest_of_block(items: pa.Table, asked: pa.Table, most: int, within: tuple[str, ...], item_id: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of queries and of items, and their cosines: each query's best `most` of the block, of each value of `within`.
+
+    Products of unit vectors leave what is within rounding of the `most`-th best; those cosines are then summed component by component.
+    Of equal vectors only the `most` first ids can be wanted. A cosine that isn't known stands behind all others.
+    """
+    place, q, v = places(items.column(item_id)), Vectors(asked.column("_q")), Vectors(items.column("_v"))
+    group = np.zeros(len(place), np.int64)
+    for c in within:
+        own = places(items.column(c))
+        group = np.unique(group * (own.max(initial=0) + 1) + own, return_inverse=True)[1].ravel()
+    out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+    for dim in np.unique(q.dim):
+        queries = np.flatnonzero(q.dim == dim)
+        for g in np.unique(group):
+            same = np.flatnonzero((group == g) & (v.dim == dim)) if dim >= 0 else np.empty(0, np.int64)
+            if len(same) < most:
+                unknown = np.setdiff1d(np.flatnonzero(group == g), same)
+                unknown = unknown[np.argsort(place[unknown], kind="stable")[:most]]
+                out.append((np.repeat(queries, len(unknown)), np.tile(unknown, len(queries)), np.full(len(queries) * len(unknown), np.nan)))
+            if not len(same):
+                continue
+            raw = np.ascontiguousarray(v.of(same, dim)[0])
+            kind = np.unique(raw.view(f"V{8 * dim}").ravel(), return_inverse=True)[1].ravel() if dim else np.zeros(len(same), np.int64)
+            same = same[np.sort(leading(most, kind, place[same]))]
+            b, norm_b, unit_b, odd_b = v.of(same, dim)
+            for at in range(0, len(queries), 256):
+                some = queries[at : at + 256]
+                a, norm_a, unit_a, odd_a = q.of(some, dim)
+                product = unit_a @ unit_b.T
+                product[odd_a], product[:, odd_b] = np.inf, np.inf
+                if len(same) > most:
+                    least = np.partition(product, len(same) - most, axis=1)[:, len(same) - most]
+                    left, right = np.nonzero(product >= least[:, None] - ROUNDING)
+                else:
+                    left, right = (x.ravel() for x in np.indices(product.shape))
+                cosine = np.zeros(len(left))
+                with np.errstate(all="ignore"):
+                    for j in range(dim):
+                        cosine += a[left, j] * b[right, j]
+                    cosine = cosine / norm_a[left] / norm_b[right]
+                lost = np.isnan(cosine)
+                best = leading(most, left, ~lost, -np.where(lost, 0.0, cosine), place[same[right]])
+                # Not a number is more than any number, as Spark orders them; null is less. They are told apart by infinity here.
+                out.append((some[left[best]], same[right[best]], np.where(lost, np.inf, cosine)[best]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
 def dense(queries: DataFrame, chunks: DataFrame, most: int, vector: str = "embedding", query_id: str = "query_id", item_id: str = "chunk_id", carry: tuple[str, ...] = (), within: tuple[str, ...] = ()) -> DataFrame:
-    """Exact cosine of every query with every chunk, best `most` kept, of each value of the carried columns `within`. A stated query set against all rows, in blocks of queries."""
-    n = queries.count()
-    items = chunks.select(item_id, *carry, unit(F.col(vector)).alias("_v"))
-    out: DataFrame | None = None
-    blocks = max(1, -(-n // QUERY_BLOCK))
-    for b in range(blocks):
-        part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == b)
-        q = F.broadcast(part.select(query_id, unit(F.col(vector)).alias("_q")))
-        scored = items.join(q, F.lit(True)).select(query_id, item_id, *carry, dot(F.col("_q"), F.col("_v")).alias("cosine"))
-        best = ranked(scored, query_id, "cosine", item_id, most, list(within))
-        out = best if out is None else out.unionByName(best)
-    return out
+    """Exact cosine of every query with every chunk, best `most` kept, of each value of the carried columns `within`. A stated query set against all rows.
+
+    Blocks of queries meet blocks of chunks; only a block's best leave a task. A cosine with a vector of zeros is 0; one without a
+    vector, with a null component or of different lengths is null.
+    """
+    blocks, parts = (max(1, -(-df.count() // each)) for df, each in ((chunks, VECTOR_BLOCK), (queries, QUERY_BLOCK)))
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = lambda n, *cols: F.pmod(F.xxhash64(*cols), F.lit(n)).cast("int")
+    q = queries.select(query_id, F.col(vector).alias("_q"), dealt(parts, query_id, vector).alias("_part"), numbers(blocks).alias("_block"))
+    v = chunks.select(item_id, *carry, F.col(vector).alias("_v"), dealt(blocks, item_id, vector).alias("_block"), numbers(parts).alias("_part"))
+    fields = [T.StructField(f.name, f.dataType) for f in (queries.schema[query_id], *(chunks.schema[c] for c in (item_id, *carry)))]
+
+    def nearest(items: pa.Table, asked: pa.Table) -> pa.Table:
+        left, right, cosine = nearest_of_block(items, asked, most, within, item_id)
+        known = pa.array(np.where(np.isinf(cosine), np.nan, cosine), mask=np.isnan(cosine), from_pandas=False)
+        return pa.table({query_id: asked.column(query_id).take(pa.array(left)), **{c: items.column(c).take(pa.array(right)) for c in (item_id, *carry)}, "cosine": known})
+
+    keys = ["_part", "_block"]
+    scored = v.groupBy(*keys).cogroup(q.groupBy(*keys)).applyInArrow(nearest, T.StructType([*fields, T.StructField("cosine", T.DoubleType())]))
+    return ranked(scored, query_id, "cosine", item_id, most, list(within))
 
 
 def per_program(queries: DataFrame, chunks: DataFrame, programs: list[str | int], most: int, program: str = "program") -> DataFrame:
