@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import difflib
 import re
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
@@ -21,6 +23,8 @@ CUES = re.compile(
 )
 QUOTES = "\"'“”‘’"
 CUE_REACH = 28
+#: Texts that are Python objects at a time.
+TEXTS_AT_ONCE = 100
 # Magnitudes of printed money.
 UNITS = {"juta": 1e6, "million": 1e6, "mil": 1e6, "m": 1e6, "k": 1e3, "ribu": 1e3, "thousand": 1e3}
 # Months by the letters that tell them apart, English and Malay, in the order in which they are tried.
@@ -36,13 +40,14 @@ LINTED = StructType([StructField("text", StringType()), StructField("violations"
 def swapped(parts: list[str], put: str) -> list[dict]:
     """One term's turn over a text split at it: odd parts are the term as found. They are replaced in place, but for those
     that the part before ends in a cue for or that stand in quotes; returned is what was met."""
-    met, written = [], ""
+    met, written = [], ""  # only as much of what is written as a cue can reach
     for i in range(1, len(parts), 2):
-        written += parts[i - 1]
-        found, quoted = parts[i], written[-1:] in tuple(QUOTES) and not set(QUOTES).isdisjoint("".join(parts[i + 1 :])[:3])
-        kept = quoted or CUES.search(written[-CUE_REACH:]) is not None
+        written = (written + parts[i - 1])[-CUE_REACH:]
+        # No term is shorter than three characters, so the next part and the term behind it hold the three that follow.
+        found, quoted = parts[i], written[-1:] in tuple(QUOTES) and not set(QUOTES).isdisjoint((parts[i + 1] + "".join(parts[i + 2 : i + 3]))[:3])
+        kept = quoted or CUES.search(written) is not None
         met.append({"rule": put, "term": found, "kept": "yes" if kept else "no"})
-        written += found
+        written = (written + found)[-CUE_REACH:]
         if not kept:
             parts[i] = put.upper() if found.isupper() else put.capitalize() if found[0].isupper() else put
     return met
@@ -66,9 +71,23 @@ def lint(texts: pd.Series) -> pd.DataFrame:
 
 
 def term_use(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """Every use of a term in a corpus: key, rule, term, kept. Texts without any of them aren't looked at closely."""
-    may = rows.where(F.col(text).rlike(r"(?i)\b(?:interest|loan)")).select(key, lint(F.col(text)).alias("l"))
-    return may.select(key, F.explode("l.violations").alias("v")).select(key, "v.*").distinct()
+    """Every use of a term in a corpus: key, rule, term, kept. Texts without any of them aren't looked at closely.
+
+    So many texts as `TEXTS_AT_ONCE` are Python objects at a time, and only what was met leaves a task, once for each text.
+    """
+    may = rows.where(F.col(text).rlike(r"(?i)\b(?:interest|loan)")).select(key, F.col(text).alias("_text"))
+    fields = ("rule", "term", "kept")
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                some = batch.slice(at, TEXTS_AT_ONCE)
+                found = [(i, v) for i, t in enumerate(some.column(1)) for v in dict.fromkeys(tuple(m[f] for f in fields) for m in linted(t.as_py())["violations"])]
+                keys = some.column(0).take(pa.array([i for i, _ in found], pa.int64()))
+                yield pa.RecordBatch.from_arrays([keys, *(pa.array([v[k] for _, v in found], pa.string()) for k in range(len(fields)))], [key, *fields])
+
+    schema = StructType([may.schema[0], *(StructField(f, StringType()) for f in fields)])
+    return may.mapInArrow(met, schema).distinct()
 
 
 def money_in(text: Column) -> Column:

@@ -62,6 +62,16 @@ def test_terms_over_a_corpus(spark):
     assert [tuple(r) for r in wording.term_use(df, "id", "text").collect()] == [(1, "financing", "loan", "no")]
 
 
+def test_terms_leave_a_task_without_their_texts(spark):
+    """More texts than are looked at together; no column of whole texts comes back from Python."""
+    texts = [(i, None if i % 50 == 7 else f"{'LOAN ' * (i % 3)}not a loan, interest rate {i}" if i % 2 else "none") for i in range(330)]
+    df = spark.createDataFrame(texts, "id long, text string").coalesce(1)
+    found = wording.term_use(df, "id", "text")
+    want = {(i, v["rule"], v["term"], v["kept"]) for i, t in texts for v in wording.linted(t)["violations"]}
+    assert found.count() == len(want) > 300 and {tuple(r) for r in found.collect()} == want
+    assert "EvalPython" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_money_and_periods(spark):
     cases = [("I need RM 1.5 juta", 1.5e6), ("3 years and 250k", 250e3), ("about 12,000 now", 12000.0), ("rm50", 50.0), ("5 staff", None), (None, None)]
     df = spark.createDataFrame([(t,) for t, _ in cases], "t string")
