@@ -57,8 +57,10 @@ def similar_names(left: DataFrame, right: DataFrame, t: float) -> DataFrame:
     left, right: bundle_id, name. Names meet under a rare gram that both need, within the lengths that the ratio allows; what
     then holds enough letters in common is scored. Null names match nothing.
     """
-    known = lambda df, side: df.select("bundle_id", "name", F.lit(side).alias("side")).where(F.col("name").isNotNull()).distinct()
-    keys = name_keys(known(left, "l").unionByName(known(right, "r")), t)
+    known = lambda df, other, side: df.select("bundle_id", "name", F.lit(side).alias("side")).where(F.col("name").isNotNull()).join(bundles(other), "bundle_id", "left_semi").distinct()
+    # Only names that have another side in their bundle are cut into grams.
+    bundles = lambda df: df.where(F.col("name").isNotNull()).select("bundle_id").distinct()
+    keys = name_keys(known(left, right, "l").unionByName(known(right, left, "r")), t)
     a = keys.where("side = 'l'").select("bundle_id", "gram", F.col("name").alias("left"))
     b = keys.where("side = 'r'").select("bundle_id", "gram", F.col("name").alias("right"))
     la, lb = F.char_length("left"), F.char_length("right")

@@ -81,3 +81,19 @@ def test_matched_against_a_plain_greedy_pass(spark, seed):
     want = greedy(normal(people), normal(candidates), 0.7)
     assert {tuple(r) for r in matching.matched(p, c, 0.7).collect()} == want
     assert {tuple(r) for r in matching.assigned(matching.scored_pairs(p, c, 0.7)).collect()} == want
+
+
+def test_only_names_with_another_side_are_cut_into_grams(spark, monkeypatch):
+    seen, own = [], matching.name_keys
+
+    def counting(names, *args):
+        seen.append(sorted((r["bundle_id"], r["name"], r["side"]) for r in names.collect()))
+        return own(names, *args)
+
+    monkeypatch.setattr(matching, "name_keys", counting)
+    left = [("b0", "ABCDEFGH"), ("b1", "ABCDEFGH"), ("b2", "ABCDEFGH"), ("b3", None), (None, "ABCDEFGH")]
+    right = [("b0", "ABCDEFGX"), ("b2", None), ("b3", "ABCDEFGH"), ("b4", "ABCDEFGH"), (None, "ABCDEFGH")]
+    schema = "bundle_id string, name string"
+    found = matching.similar_names(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema), 0.8).collect()
+    assert [tuple(r) for r in found] == [("b0", "ABCDEFGH", "ABCDEFGX", 0.875)]
+    assert seen == [[("b0", "ABCDEFGH", "l"), ("b0", "ABCDEFGX", "r")]]
