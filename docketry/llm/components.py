@@ -17,10 +17,14 @@ def attached(rows: DataFrame, key: str, row: Column, n_rows: int, size: str = "_
     A group's rows are dealt by a salt before they are summed or joined, so a group that holds most rows is no hot task;
     one group's parts are as many as the salts.
     """
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(row), F.lit(SALTS + n_rows // ROWS_A_SALT)))
-    parts = salted.groupBy(key, "_salt").agg(F.count("*").alias(size), *(F.min(c).alias(name) for name, c in least.items()))
-    whole = parts.groupBy(key).agg(F.sum(size).alias(size), *(F.min(name).alias(name) for name in least))
-    return salted.join(parts.select(key, "_salt").join(whole, key), [key, "_salt"]).drop("_salt")
+    salts = SALTS + n_rows // ROWS_A_SALT
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(row), F.lit(salts)))
+    # Which parts a group has goes along as bits, so that the sums of a group reach its parts without a join of their own.
+    words = range(0, salts, 63)
+    held = [F.expr(f"bit_or(CASE WHEN _salt >= {w} AND _salt < {w + 63} THEN shiftleft(1L, CAST(_salt - {w} AS INT)) ELSE 0L END)").alias(f"_in_{w}") for w in words]
+    whole = salted.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias(size), *(F.min(c).alias(name) for name, c in least.items()), *held)
+    parts = F.concat(*(F.expr(f"filter(sequence({w}L, {min(w + 63, salts) - 1}L), x -> getbit(_in_{w}, CAST(x - {w} AS INT)) = 1)") for w in words))
+    return salted.join(whole.withColumn("_salt", F.explode(parts)).drop(*(f"_in_{w}" for w in words)), [key, "_salt"]).drop("_salt")
 
 
 def _large_star(edges: DataFrame, n: int) -> DataFrame:
@@ -35,19 +39,22 @@ def _small_star(edges: DataFrame, n: int) -> DataFrame:
     return near.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
 
 
+def _moving(edges: DataFrame) -> int:
+    """How many links there are, or 0 where each node has one link to its root and no root has a link: nothing would move."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("b", F.lit(0), F.lit(1)))
+    nodes = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    now = nodes.agg(F.sum("up").alias("n"), F.bool_or((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0))).alias("open")).first()
+    return now["n"] if now["open"] else 0
+
+
 def components(links: DataFrame) -> DataFrame:
     """node and root (the smallest node reachable) of every node that links name; links has whole numbers a and b.
 
     Every round is written to the shared folder, so a lost executor costs one round. Self-links and repeated links don't
     matter; rows with nulls are dropped; no links give no rows.
     """
-    edges = written(links.where(F.col("a") != F.col("b")).select("a", "b"), "links")
-    before = None
-    while True:
-        now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
-        if now["n"] == 0 or now == before:
-            break
-        before = now
-        edges = written(_small_star(_large_star(edges, now["n"]).distinct(), now["n"]), "links")
+    edges = written(links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "links")
+    while (n := _moving(edges)) > 0:
+        edges = written(_small_star(_large_star(edges, n), n), "links")
     root = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return root.union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docketry.llm._shared import map_arrow, parts_for, written
+from docketry.llm._shared import map_arrow, parts_for, perhaps_among, written
 from docketry.llm.components import attached, components
 
 GOLDEN, MIX_A, MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -209,7 +209,9 @@ def near_duplicates(
         return written(dealt.groupBy("bucket").cogroup(carried.groupBy("bucket")).applyInArrow(kept, "a long, b long"), "met")
 
     def many_matches(left: pa.Table, right: pa.Table) -> np.ndarray:
-        return (columns(left, "keys", coordinates) == columns(right, "keys", coordinates)).sum(1) >= matches
+        x, y = (t.column("n").to_numpy() for t in (left, right))
+        of_sizes = percent * np.maximum(x, y) <= 100 * np.minimum(x, y)
+        return of_sizes & ((columns(left, "keys", coordinates) == columns(right, "keys", coordinates)).sum(1) >= matches)
 
     def similar(left: pa.Table, right: pa.Table) -> np.ndarray:
         found = np.zeros(left.num_rows, bool)
@@ -232,11 +234,13 @@ def near_duplicates(
     fronts = written(listed.where(room > 0).select("id", F.transform(F.slice("own", 1, room), lambda x: x["key"]).alias("front")), "fronts")
     posted = fronts.select("id", F.explode("front").alias("key"))
 
-    # Candidates may be most documents, so texts always meet them by a shuffle, whatever a small input's sizes suggest.
-    wanted = classes.join(fronts.select("id"), "id").select("c1", F.col("least_id").alias("_id"))
-    texts = own.join(wanted.hint("merge"), "_id")
+    # Signatures and texts of candidates alone are shuffled. They may be most documents, so these joins are always by a shuffle, whatever a small input's sizes suggest.
+    n_fronts = fronts.count()
+    candidates = written(perhaps_among(classes.select("id", "least_id", "n", "keys"), "id", fronts.select("id"), n_fronts).join(fronts.hint("merge"), "id"), "candidates")
+    wanted = candidates.select(F.col("id").alias("c1"), F.col("least_id").alias("_id"))
+    texts = perhaps_among(own, "_id", wanted.select("_id"), n_fronts).join(wanted.hint("merge"), "_id")
     sets = written(map_arrow(texts, with_sets, "id long, shingles binary"), "sets")
-    signed_keys = classes.select("id", "keys")
+    signed_keys = candidates.select("id", "n", "keys")
 
     def labelled(found: DataFrame | None, by: Column) -> tuple[DataFrame, DataFrame]:
         """Components so far, and the lists that hold several of them: key, id, component, the list's pivot, least by `by`."""
@@ -248,12 +252,15 @@ def near_duplicates(
         open_ = attached(rows, "key", F.col("id"), rows.count(), pivot=F.struct(by.alias("o"), F.col("id"), F.col("component")), low=F.col("component"), high=-F.col("component"))
         return joined, open_.where(F.col("low") != -F.col("high"))
 
-    links, lists, joined = None, *labelled(None, F.xxhash64("id"))[::-1]
+    def links(new: DataFrame) -> DataFrame:
+        """New links beside the components so far, each node's link with its root."""
+        return new if joined is None else new.union(joined.select(F.col("node").alias("a"), F.col("root").alias("b")))
+
+    joined, lists = labelled(None, F.xxhash64("id"))
     for k in range(1, max(1, rounds) + 1):
         pairs = lists.where(F.col("component") != F.col("pivot.component")).select(F.least("id", "pivot.id").alias("a"), F.greatest("id", "pivot.id").alias("b"))
         starred = met(met(pairs.distinct(), signed_keys, many_matches), sets, similar)
-        links = starred if links is None else links.union(starred)
-        joined, lists = labelled(links, F.xxhash64("id", F.lit(k)))
+        joined, lists = labelled(links(starred), F.xxhash64("id", F.lit(k)))
         left_over = written(lists, "left-over")
         lists, n_left = left_over, left_over.count()
         if n_left == 0:
@@ -266,13 +273,12 @@ def near_duplicates(
         i, j = F.least("part", "other"), F.greatest("part", "other")
         group = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("key"), F.lit(parts_for(n_left, 2_000)))).otherwise(F.xxhash64("head", "parts", i, j))
         meets = written(spread.select("key", "id", "component", "part", i.alias("i"), j.alias("j"), group.alias("bucket")), "meets")
-        signed_classes = classes.select("id", "n", "keys").join(fronts, "id")
-        asked = meets.select("bucket", "id").distinct().join(signed_classes.select(*(F.col(c).alias(c) for c in signed_classes.columns)), "id")
+        asked = meets.select("bucket", "id").distinct().join(candidates.select(*(F.col(c).alias(c) for c in ("id", "n", "keys", "front"))), "id")
         asked = asked.select(*(F.col(c).alias(c) for c in asked.columns))
         counted = meets.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(lambda t, c: collisions(t, c, coordinates, matches, percent), "a long, b long")
         rest = met_in_grid(counted, sets, similar)
         if rest.count():
-            joined = components(links.union(rest))
+            joined = components(links(rest))
 
     # A component is named by its least class; what is wanted is its least id.
     rooted = classes.select("c1", "c2", "id", "least_id").join(joined.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))

@@ -13,6 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from docketry.llm import _shared as shared
 from docketry.llm import components, lines, mixing, neardup, ppm, toxicity
 from tests.llm.conftest import near, prose
 
@@ -155,6 +156,50 @@ def test_components_of_chains(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_links_that_are_stars_already_are_written_once(spark, monkeypatch):
+    steps, whole = [], components.written
+    monkeypatch.setattr(components, "written", lambda df, name: steps.append(name) or whole(df, name))
+    stars = spark.createDataFrame([(1, 5), (1, 9), (7, 2), (2, 2)], "a long, b long")
+    assert {r["node"]: r["root"] for r in rows(components.components(stars))} == {1: 1, 5: 1, 9: 1, 2: 2, 7: 2}
+    assert steps == ["links"]
+
+
+def test_groups_of_few_and_of_very_many_parts(spark):
+    df = spark.createDataFrame([(k % 7 if k % 11 else None, k) for k in range(300)], "g long, v long")
+    want = sorted((g, v, len(own), min(own)) for g in range(7) for own in [[k for k in range(300) if k % 11 and k % 7 == g]] for v in own)
+    for n in (300, 250_000_000):
+        found = rows(components.attached(df, "g", F.col("v"), n, size="n", least=F.col("v")))
+        assert sorted((r["g"], r["v"], r["n"], r["least"]) for r in found) == want
+    plan = components.attached(df, "g", F.col("v"), 300)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 3
+
+
+def test_only_rows_that_may_be_wanted_stay(spark):
+    df = spark.range(-20_000, 20_000).selectExpr("id * 1000003 AS k", "id AS v").union(spark.sql("SELECT NULL, 1L"))
+    wanted = df.where("v % 100 = 0").select("k").union(spark.sql("SELECT CAST(NULL AS BIGINT)"))
+    left = {r["v"] for r in rows(shared.perhaps_among(df, "k", wanted, 401))}
+    assert {v for v in range(-20_000, 20_000) if v % 100 == 0} <= left
+    few = 40_000 / 8
+    assert len(left) < few and shared.perhaps_among(df, "k", wanted, 401, most=0).count() == 40_001
+    assert shared.perhaps_among(df, "k", wanted.where("k < 0 AND k > 0"), 0).count() == 0
+
+
+def test_texts_and_signatures_of_candidates_alone_are_shuffled(spark, monkeypatch):
+    seen, whole = [], neardup.map_arrow
+    monkeypatch.setattr(neardup, "map_arrow", lambda df, fn, schema: seen.append(df) or whole(df, fn, schema))
+    steps, put = {}, neardup.written
+    monkeypatch.setattr(neardup, "written", lambda df, name: steps.setdefault(name, put(df, name)))
+    texts = [(k, prose(500 + k, 60)) for k in range(60)] + [(900, prose(501, 60) + " more")]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    near_duplicates = neardup.near_duplicates(df)
+    found = sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in rows(near_duplicates)), key=str)
+    assert found == plain_components(texts)
+    assert {r["least_id"] for r in rows(steps["candidates"])} == {1, 900}
+    # The texts meet the bitmaps, which need no shuffle, before they are shuffled.
+    plan = seen[1]._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin [_piece" in plan
+
+
 def test_language_model_base_against_plain(docs, texts, no_docs):
     held = lambda i: F.crc32(i.cast("string")) % 7 == 2
     out = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
