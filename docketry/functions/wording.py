@@ -71,11 +71,12 @@ def lint(texts: pd.Series) -> pd.DataFrame:
 
 
 def term_use(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """Every use of a term in a corpus: key, rule, term, kept. Texts without any of them aren't looked at closely.
+    """Every use of a term in a corpus: key, rule, term, kept. Texts without the letters of any of them aren't looked at closely.
 
     So many texts as `TEXTS_AT_ONCE` are Python objects at a time, and only what was met leaves a task, once for each text.
     """
-    may = rows.where(F.col(text).rlike(r"(?i)\b(?:interest|loan)")).select(key, F.col(text).alias("_text"))
+    # Letters alone, cases as Unicode has them: Java and Python differ in what else is a letter in either case, and in where words begin.
+    may = rows.where(F.col(text).rlike("(?iu)interest|loan")).select(key, F.col(text).alias("_text"))
     fields = ("rule", "term", "kept")
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,7 +8,7 @@ from docketry.functions import wording
 from docketry.functions.vectors import dot, unit
 from docketry.operators import bundle_report, bundle_rules, bundle_tables, matching, shaping
 from docketry.plans import rule_sql
-from docketry.plans.texts import TURNS
+from docketry.plans.texts import TURNS, seeds
 from docketry.plans.texts import turns as seeded
 from docketry.sources.tables import table
 from docketry.streaming.jobs import daily_rollup
@@ -102,9 +102,16 @@ def topics(spark, sf_dir):
 
 
 def terms(spark, sf_dir):
-    """Terms in conversations and documents, after 'the' was replaced by 'loan' so that there are some."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.regexp_replace("text", r"\bthe\b", "loan").alias("text"))
-    return wording.term_use(docs.unionByName(seeded(spark, sf_dir).where("id < 0")), "id", "text")
+    """Terms in conversations and documents, after 'the' was replaced by 'loan' so that there are some, and in seeds as they are.
+
+    A use is told by where it stands: documents, conversations and seeds have ids in common, so the origin and the turn (else null) are beside them.
+    """
+    at = lambda origin, key, turn: F.struct(F.lit(origin).alias("origin"), F.col(key).alias("id"), turn.cast("long").alias("turn")).alias("at")
+    none, text = F.lit(None), F.regexp_replace("text", r"\bthe\b", "loan").alias("text")
+    docs = table(spark, sf_dir, "documents").select(at("document", "doc_id", none), text)
+    said = table(spark, sf_dir, "conversations").select(at("conversation", "conv_id", F.col("turn")), text)
+    rows = docs.unionByName(said).unionByName(seeds(spark).select(at("seed", "id", none), "text"))
+    return wording.term_use(rows, "at", "text").select("at.*", "rule", "term", "kept")
 
 
 def payloads(spark, sf_dir):

@@ -24,9 +24,13 @@ SEEDS = (
 SEED_SQL = ", ".join("({}, '{}')".format(-i - 1, s.replace("'", "''")) for i, s in enumerate(SEEDS))
 
 
+def seeds(spark):
+    return spark.createDataFrame([(-i - 1, s) for i, s in enumerate(SEEDS)], "id long, text string")
+
+
 def turns(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
-    return rows.unionByName(spark.createDataFrame([(-i - 1, s) for i, s in enumerate(SEEDS)], "id long, text string"))
+    return rows.unionByName(seeds(spark))
 
 
 TURNS = f"WITH t(id, text) AS (SELECT conv_id * 1000 + turn, text FROM conversations UNION ALL VALUES {SEED_SQL})"

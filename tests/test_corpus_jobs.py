@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from docketry.functions import wording
 from docketry.operators import corpus_jobs as J
+from docketry.plans import bundles
+from docketry.plans.texts import SEEDS
 
 
 def test_deck(spark):
@@ -72,6 +76,27 @@ def test_terms_leave_a_task_without_their_texts(spark):
     assert "EvalPython" not in found._jdf.queryExecution().executedPlan().toString()
 
 
+def test_terms_at_odd_letters(spark):
+    """Other letters that Python takes for i and s, and marks before a word."""
+    texts = [(1, "\u0131nterest rate"), (2, "\u0130nterest"), (3, "loan\u017f"), (4, "e\u0301loan"), (5, "\u00e9loan"), (6, "preloan"), (7, "_interest")]
+    found = {tuple(r) for r in wording.term_use(spark.createDataFrame(texts, "id long, text string"), "id", "text").collect()}
+    assert found == {(i, v["rule"], v["term"], v["kept"]) for i, t in texts for v in wording.linted(t)["violations"]} and {i for i, *_ in found} == {1, 2, 3, 4}
+
+
+def test_terms_of_conversations_and_documents(spark, tmp_path):
+    """All turns count, also where their ids are a document's or another turn's (1000 and 0 of the next); given tables have 'the' for a term."""
+    docs = [(1000, "the end"), (1001, "no term"), (1, None), (2, "What they call the 'the' is not the interest")]
+    said = [(1, 0, "the end"), (0, 1000, "the end"), (1, 1, "THE the LOAN of the loans"), (1, 2, None), (2, 3, "there"), (-1, 0, "interest rates"), (3, 0, "never the")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(said, "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    rows = [("document", d, None, t) for d, t in docs] + [("conversation", c, n, t) for c, n, t in said]
+    rows = [(*at, t and re.sub(r"\bthe\b", "loan", t)) for *at, t in rows] + [("seed", -i - 1, None, t) for i, t in enumerate(SEEDS)]
+    want = {(*at, v["rule"], v["term"], v["kept"]) for *at, t in rows for v in wording.linted(t)["violations"]}
+    found = bundles.terms(spark, str(tmp_path)).collect()
+    assert len(found) == len(want) and {tuple(r) for r in found} == want
+    assert {("conversation", 1, 0), ("conversation", 0, 1000), ("conversation", -1, 0), ("document", 1000, None)} <= {r[:3] for r in want}
+
+
 def test_money_and_periods(spark):
     cases = [("I need RM 1.5 juta", 1.5e6), ("3 years and 250k", 250e3), ("about 12,000 now", 12000.0), ("rm50", 50.0), ("5 staff", None), (None, None)]
     df = spark.createDataFrame([(t,) for t, _ in cases], "t string")
